@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, mixing, packing
 
 QUERIES = {
+    "op2_genetic_packing": packing.op2_genetic_packing,
     "op8_pareto_mixing": mixing.op8_pareto_mixing,
     "op10_prefix_target_chat": chat.op10_prefix_target_chat,
 }
