@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing
+from . import chat, mixing, packing, tokenfiles
 
 QUERIES = {
     "op2_genetic_packing": packing.op2_genetic_packing,
+    "op3_perfect_hash_ids": tokenfiles.op3_perfect_hash_ids,
     "op8_pareto_mixing": mixing.op8_pareto_mixing,
     "op10_prefix_target_chat": chat.op10_prefix_target_chat,
 }
