@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, tokenfiles
+from . import chat, mixing, packing, tokenfiles, toxicity, urls
 
 QUERIES = {
     "op2_genetic_packing": packing.op2_genetic_packing,
     "op3_perfect_hash_ids": tokenfiles.op3_perfect_hash_ids,
+    "op4_link_graph_urls": urls.op4_link_graph_urls,
+    "op5_nbsvm_toxicity": toxicity.op5_nbsvm_toxicity,
     "op8_pareto_mixing": mixing.op8_pareto_mixing,
     "op10_prefix_target_chat": chat.op10_prefix_target_chat,
 }
