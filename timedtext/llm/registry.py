@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, tokenfiles, toxicity, urls
+from . import chat, mixing, neardup, packing, tokenfiles, toxicity, urls
 
 QUERIES = {
     "op2_genetic_packing": packing.op2_genetic_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_nbsvm_toxicity": toxicity.op5_nbsvm_toxicity,
     "op8_pareto_mixing": mixing.op8_pareto_mixing,
     "op10_prefix_target_chat": chat.op10_prefix_target_chat,
+    "op9_dart_minhash": neardup.op9_dart_minhash,
 }
 
 ORACLE_SQL = {
