@@ -17,7 +17,8 @@ So every candidate pair is either in one component already or verified.
 
 Defined cases: texts without words, null ones included, link with nothing; texts of fewer than five words
 have one shingle, of all of them; repeated rows and equal texts are one class; ties go to the smaller
-doc_id; a null doc_id never stands for others; an empty table gives an empty result; extra columns are
+doc_id; a null doc_id is a class of its own;
+rows that repeat a doc_id are one document to :func:`keep_first`; an empty table gives an empty result; extra columns are
 ignored by :func:`near_duplicates` and kept by :func:`keep_first`.
 """
 
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, drop_tables, partitions, table, text_of
 from .components import components
@@ -39,25 +41,23 @@ THRESHOLD = 0.8
 REST_TILE, ALL_TILE = 256, 1024
 
 
-def signatures(texts: DataFrame, k: int = COORDINATES, bands: int = BANDS, seed: int = 0) -> DataFrame:
-    """(id, text) -> (id, copy_key, n_words, bands)."""
+def signatures(texts: DataFrame, k: int = COORDINATES, bands: int = BANDS, seed: int = 0, least_words: int = 0) -> DataFrame:
+    """Key columns and, last, ``text`` -> the key columns with (copy_key, n_words, bands); shorter texts are left out."""
+    keys = texts.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            sets, whole, words = [], [], []
-            for s, w, n in shingle_sets(b.column(1).to_pylist()):
-                sets.append(s)
-                whole.append(w)
-                words.append(n)
-            keys = np.concatenate([np.zeros((0, bands), np.int64), *[band_keys(dart_signatures(sets[i : i + 256], k, seed=seed), bands) for i in range(0, len(sets), 256)]])
-            # a second hash beside the word sequence's: the shingles' sum, so that classes are told apart by 128 bits
-            sums = [int(np.add.reduce(s, dtype=np.uint64)) for s in sets]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel(), pa.int64()))
-            both = pa.array([f"{w:016x}{x:016x}" for w, x in zip(whole, sums, strict=True)])
-            yield pa.RecordBatch.from_arrays([ids, both, pa.array(words, pa.int32()), lists], ["id", "copy_key", "n_words", "bands"])
-
-    return texts.mapInArrow(run, "id long, copy_key string, n_words int, bands array<long>")
+            found = [(i, s, w, n) for i, (s, w, n) in enumerate(shingle_sets(b.column(len(keys)).to_pylist())) if n >= least_words]
+            sets = [x[1] for x in found]
+            signed = np.concatenate([np.zeros((0, bands), np.int64), *[band_keys(dart_signatures(sets[i : i + 256], k, seed=seed), bands) for i in range(0, len(sets), 256)]])
+            # beside the word sequence's hash the shingles' sum, so that classes are told apart by 128 bits
+            both = pa.array([f"{w:016x}{int(np.add.reduce(s, dtype=np.uint64)):016x}" for _, s, w, _ in found], pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, signed.size + 1, bands), pa.int32()), pa.array(signed.ravel(), pa.int64()))
+            rows = pa.array([x[0] for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(rows) for c in range(len(keys))], both, pa.array([x[3] for x in found], pa.int32()), lists], [*keys, "copy_key", "n_words", "bands"])
+
+    added = T.StructType().add("copy_key", T.StringType()).add("n_words", T.IntegerType()).add("bands", T.ArrayType(T.LongType()))
+    return texts.mapInArrow(run, T.StructType([*texts.schema.fields[:-1], *added.fields]))
 
 
 def shingles_of(texts: DataFrame) -> DataFrame:
@@ -195,8 +195,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = COOR
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class: the one whose doc_id is the class's."""
     kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    first = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    first = docs.filter("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    return first.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
 
 
 def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
