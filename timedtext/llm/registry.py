@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neardup, packing, paragraphs, tokenfiles, toxicity, urls
+from . import chat, kmtree, mixing, neardup, packing, paragraphs, pivots, tokenfiles, toxicity, urls
 
 QUERIES = {
+    "op1_pivot_permutation": pivots.op1_pivot_permutation,
     "op2_genetic_packing": packing.op2_genetic_packing,
     "op3_perfect_hash_ids": tokenfiles.op3_perfect_hash_ids,
     "op4_link_graph_urls": urls.op4_link_graph_urls,
     "op5_nbsvm_toxicity": toxicity.op5_nbsvm_toxicity,
+    "op6_kmeans_tree_search": kmtree.op6_kmeans_tree_search,
     "op7_paragraph_minhash": paragraphs.op7_paragraph_minhash,
     "op8_pareto_mixing": mixing.op8_pareto_mixing,
     "op10_prefix_target_chat": chat.op10_prefix_target_chat,

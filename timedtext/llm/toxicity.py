@@ -158,22 +158,22 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column | None = None, max_labe
     return Model(slot, w * r, c)
 
 
-def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` with ``score``, 0 to 1."""
+def score(docs: DataFrame, model: Model, columns: list[str], name: str = "score") -> DataFrame:
+    """``columns`` of ``docs`` with their score, 0 to 1, as ``name``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in batches:
             z = np.full(b.num_rows, model.intercept)
-            for first, texts in batches_of(b.column("text_").to_pylist()):
+            for first, texts in batches_of(b.column(b.num_columns - 1).to_pylist()):
                 row, feature = present(texts, model.slot)
                 z[first : first + len(texts)] += np.bincount(row, model.weight[feature] if len(feature) else None, minlength=len(texts))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p)], [*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p)], [*b.schema.names[:-1], name])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], text_of().alias("text_"))
-    out = T.StructType([*[f for f in rows.schema.fields if f.name != "text_"], T.StructField("score", T.DoubleType())])
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], text_of().alias("scored_text_"))
+    out = T.StructType([*rows.schema.fields[:-1], T.StructField(name, T.DoubleType())])
     return rows.mapInArrow(run, out)
 
 
