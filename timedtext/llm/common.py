@@ -9,7 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches that go to Python hold 8 MB at most, however long their texts are; a lower setting stays."""
+    now = spark.conf.get(ARROW_BYTES, "67108864").rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +48,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     later joins with.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = shared_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
