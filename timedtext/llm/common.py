@@ -52,17 +52,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
-def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete tables made by :func:`cut` that nothing reads any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+def drop_tables(*frames: DataFrame) -> None:
+    """Delete tables that :func:`cut` returned and that nothing reads any more."""
     for df in frames:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if folder.startswith(shared_dir(spark)) or shared_dir(spark).endswith(folder.rpartition("/")[0].removeprefix("file:").lstrip("/")):
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -17,19 +17,18 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """
     pairs = links.filter("a is not null and b is not null and a != b").select("a", "b")
     edges = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    spark = edges.sparkSession
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), "cc-labels")
+    labels = held = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), "cc-labels")
     for _ in range(most_rounds):
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         low = cut(labels.join(near, "node").select("node", F.least("component", "near").alias("low"), "component"), "cc-low")
         root = low.select(F.col("node").alias("low"), F.col("low").alias("root"))
         new = cut(low.join(root, "low").select("node", F.col("root").alias("component"), (F.col("root") != F.col("component")).alias("moved")), "cc-labels")
-        drop_tables(spark, low, labels)
+        drop_tables(low, held)
         moved = not new.filter("moved").isEmpty()
-        labels = new.select("node", "component")
+        labels, held = new.select("node", "component"), new
         if not moved:
             break
     else:
         raise RuntimeError("components did not settle")
-    drop_tables(spark, edges)
+    drop_tables(edges)
     return labels

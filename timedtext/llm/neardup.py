@@ -171,7 +171,7 @@ def verified_links(classes: DataFrame, sets: DataFrame, threshold: float = THRES
     cells = cells.join(classes.select("id", "bands"), "id").join(sets, "id").select("bucket", "i", "j", "band", "in_rest", "id", "component", "bands", "shingles")
     cells = cells.repartition(partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = cut(_verify_blocks(cells, threshold), "dup-more")
-    drop_tables(spark, open_)
+    drop_tables(open_)
     return components(links.unionByName(more))
 
 

@@ -68,14 +68,14 @@ def propagate(seeds: DataFrame, edges: DataFrame, steps: int = 20, damping: floa
     base = seeds.select("kind", "host", (F.col("weight") * (1 - damping)).alias("rank"))
     if flow.isEmpty():
         return base
-    rank = cut(base, "url-rank")
+    rank = held = cut(base, "url-rank")
     for k in range(1, steps + 1):
         passed = flow.join(rank, (flow["kind"] == rank["kind"]) & (flow["src"] == rank["host"])).select(flow["kind"], F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
         new = base.unionByName(passed).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if k % cut_every == 0 or k == steps:
-            old, rank = rank, cut(new, "url-rank")
-            if k > cut_every:
-                drop_tables(rank.sparkSession, old)
+            rank = cut(new, "url-rank")
+            drop_tables(held)
+            held = rank
         else:
             rank = new
     return rank
