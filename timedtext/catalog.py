@@ -384,7 +384,7 @@ UNITS_BY_HAND = [
     ("c", 3, "う𠮷野家に行った。", 2571, 6001),
     ("c", 4, "そうだねええ？", 5385, 7099),
     ("c", 5, "本当？", 6350, 7099),
-    ("c", 6, "！", 6599, 7099),
+    ("c", 6, "！", 6600, 7099),
     ("c", 7, "「すごい」時間を分ける。", 6683, 12333),
     ("c", 8, "三つに。", 10555, 12333),
     ("c", 9, "分ける。", 11444, 12333),
