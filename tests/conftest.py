@@ -1,6 +1,15 @@
+import os
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+HERE = Path(__file__).resolve().parent
+# workers import the package and the functions that tests hand over
+sys.path.insert(0, str(HERE.parent))
+os.environ["PYTHONPATH"] = os.pathsep.join([str(HERE.parent), str(HERE), str(HERE / "llm"), os.environ.get("PYTHONPATH", "")])
+
 
 @pytest.fixture(scope="session")
 def spark():
