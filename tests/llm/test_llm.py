@@ -314,12 +314,47 @@ def test_paragraphs(spark):
     near = " ".join([*p.split()[:-1], "changed"])
     texts = [f"{p}\nshort line\n{r}", f"intro\n{near}\nshort line", f"{q}\n{q}", p, None, "", "short line"]
     docs = docs_of(spark, texts)
-    rows = sorted((x.doc_id, x.paragraph, x.first_doc_id, x.first_paragraph, x.kept) for x in paragraphs.repeated_paragraphs(docs).collect())
-    assert rows == [(0, 0, 0, 0, True), (1, 1, 0, 0, False), (2, 0, 2, 0, True), (2, 1, 2, 0, False), (3, 0, 0, 0, False)]
+    rows = sorted((x.doc_id, x.word, x.n_words, x.first_doc_id, x.first_word, x.kept) for x in paragraphs.repeated_passages(docs).collect())
+    assert rows == [(0, 0, 60, 0, 0, True), (1, 1, 60, 0, 0, False), (2, 0, 30, 2, 0, True), (2, 30, 30, 2, 0, False), (3, 0, 60, 0, 0, False)]
     left = {x.doc_id: x for x in paragraphs.remove_repeats(docs).collect()}
     assert {k: v.text for k, v in left.items()} == {0: texts[0], 1: "intro\nshort line", 2: q, 4: None, 5: "", 6: "short line"}
     assert left[1].n_chars == len("intro\nshort line")
-    assert paragraphs.repeated_paragraphs(docs.limit(0)).count() == 0
+    again = docs.unionByName(docs)
+    assert {x.doc_id for x in paragraphs.repeated_passages(again).collect()} == {0, 1, 2, 3} and paragraphs.remove_repeats(again).count() == 2 * len(left)
+    assert paragraphs.repeated_passages(docs.limit(0)).count() == 0 and paragraphs.remove_repeats(docs.limit(0)).count() == 0
+    ids = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert paragraphs.repeated_passages(ids).count() == 0 and paragraphs.remove_repeats(ids).count() == len(texts)
+
+
+def prose(rng, n):
+    out = []
+    while sum(len(s.split()) for s in out) < n:
+        out.append(words(rng, rng.randrange(5, 14)) + ".")
+    return " ".join(out)
+
+
+def test_passages_inside_lines(spark):
+    """Passages of over 50 words at any place of long lines are found, and nothing else is touched."""
+    rng = random.Random(13)
+    passages = [prose(rng, rng.randrange(51, 120)) for _ in range(30)]
+    texts, holds = [], []
+    for i in range(150):
+        w = prose(rng, 300).split()
+        if i < 90:
+            at = rng.randrange(len(w))
+            w[at:at] = passages[i % 30].split()
+            holds.append(i)
+        texts.append(" ".join(w))
+    docs = docs_of(spark, texts)
+    found = {}
+    for x in paragraphs.repeated_passages(docs).collect():
+        found.setdefault(x.doc_id, 0)
+        found[x.doc_id] += x.n_words
+    assert set(found) <= set(holds) and len(found) >= 0.97 * len(holds)
+    left = {x.doc_id: x.text.split() for x in paragraphs.remove_repeats(docs).collect()}
+    assert all(left[i] == texts[i].split() for i in range(150) if i < 30 or i >= 90)
+    gone = sum(len(texts[i].split()) - len(left[i]) for i in range(30, 90))
+    assert gone >= 0.7 * sum(len(passages[i % 30].split()) for i in range(30, 90))
 
 
 # --- mixing, chat ----------------------------------------------------------------------------------

@@ -1,65 +1,216 @@
 """Substring dedup by paragraphs: MinHash banding, exact Jaccard verification, removal by components.
 
-Paragraphs are the lines of a text with at least ``LEAST_WORDS`` words; shorter lines are left alone.
-Paragraphs of the same words are one class. Classes go through the same banded join as documents do, with
-bands tuned for recall (a pair at similarity 0.8 is missed with a chance of about 4 in 100,000), and
-are linked at an exact Jaccard similarity of five-word shingles of 0.8 or more. In each component of
-more than one paragraph the first one, by doc_id and place, stays and all others are removed.
+Paragraphs are of two kinds. Lines with at least ``LEAST_WORDS`` words go through the same banded join
+as documents do, with bands tuned for recall (a pair at similarity 0.8 is missed with a chance of about
+4 in 100,000), and are linked at an exact Jaccard similarity of five-word shingles of 0.8 or more. As
+repeated passages also stand inside longer lines, every line is cut further, after sentences of some
+words and at words that their own hash picks. These cuts depend on the words next to them alone, so
+the same passage is cut alike wherever it stands. Such segments are classes of equal words, and only
+segments of such classes count.
+
+Classes that are linked are one component, whose first place, by doc_id and word, stays. Neighbouring
+places of a document that are repeated make one passage; passages of at least ``LEAST_WORDS`` words are
+reported, and removed but for first places. Places are counted in words (runs of anything but ASCII
+white space), so spans hold for the original text.
 
 Defined cases: null and empty texts have no paragraphs; a paragraph repeated within one text is
 removed there too; repeated rows of one document are one document; ties go to the smaller doc_id and then
-the earlier line; documents with a null doc_id are neither compared nor changed; a document that loses
+the earlier word; documents with a null doc_id are neither compared nor changed; a document that loses
 all it has is dropped by :func:`remove_repeats`, one that was empty before stays; an empty table gives
 an empty result; extra columns are kept.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, table, text_of
-from .neardup import THRESHOLD, shingles_of, signatures, verified_links
+from .common import cut, drop_tables, table, text_of
+from .neardup import THRESHOLD, verified_links
+from .shingles import WORDS, band_keys, dart_signatures, grouped, mix, sequence_hash, shingle_sets, shingles_in_order, words_in
 
 COORDINATES, BANDS = 42, 14
 LEAST_WORDS = 20
+SENTENCE_WORDS, SEGMENT_WORDS, PICK = 6, 4, 16
+GAP_WORDS = 4
+DARTS_AT_ONCE = 100_000
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SPAN = "doc_id long, word int, n_words int, line int, key1 long, key2 long, bands array<long>"
 
 
-def repeated_paragraphs(docs: DataFrame, least_words: int = LEAST_WORDS, threshold: float = THRESHOLD, k: int = COORDINATES, bands: int = BANDS) -> DataFrame:
-    """One row per paragraph that occurs more than once, copies and near copies alike:
-    (doc_id, paragraph, n_words, first_doc_id, first_paragraph, kept)."""
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text")).filter(F.length("text") >= 2 * least_words - 1)
-    signed = cut(signatures(lines, k, bands, least_words=least_words), "par-signed")
-    spot = F.struct("doc_id", "paragraph")
-    classes = cut(signed.groupBy("copy_key").agg(F.min(spot).alias("spot"), F.first("bands").alias("bands"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "par-classes")
+def edges(h: np.ndarray, at: np.ndarray, b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every word: is it the last one of its line, is it the last one of its segment, and line breaks before it."""
+    broken = np.concatenate([[0], np.cumsum(b == 10)])
+    line_end = np.ones(len(h), bool)
+    line_end[:-1] = broken[start[1:]] > broken[stop[:-1]]
+    line_end[at[1:][at[1:] > 0] - 1] = True
+    last, before = b[stop - 1], b[np.maximum(stop - 2, start)]
+    mark = lambda x: (x == 46) | (x == 33) | (x == 63)  # noqa: E731  . ! ?
+    closing = (last == 34) | (last == 39) | (last == 41) | (last == 93)
+    wide = stop - start >= 3
+    third = b[np.maximum(stop - 3, 0)]
+    wide &= ((third == 0xE3) & (before == 0x80) & (last == 0x82)) | ((third == 0xEF) & (before == 0xBC) & ((last == 0x81) | (last == 0x9F)))
+    sentence = mark(last) | (closing & mark(before)) | wide
+    here = np.arange(len(h))
+    past = np.concatenate([[-1], np.maximum.accumulate(np.where(sentence | line_end, here, -1))[:-1]])
+    picked = np.zeros(len(h), bool)
+    picked[1:] = mix(h[1:] + h[:-1] * np.uint64(0x9FB21C651E98DF25)) % np.uint64(PICK) == 0
+    return line_end, line_end | (sentence & (here - past >= SENTENCE_WORDS)) | picked, broken[start]
+
+
+def _signed(sets: list[np.ndarray], k: int, bands: int) -> np.ndarray:
+    """Band keys of all sets, so many shingles at once."""
+    out, first, size = [np.zeros((0, bands), np.int64)], 0, 0
+    for i, s in enumerate(sets):
+        size += len(s)
+        if size >= DARTS_AT_ONCE or i + 1 == len(sets):
+            out.append(band_keys(dart_signatures(sets[first : i + 1], k), bands))
+            first, size = i + 1, 0
+    return np.concatenate(out)
+
+
+def spans(texts: DataFrame, least_words: int, k: int, bands: int) -> DataFrame:
+    """(doc_id, text) -> paragraphs as ``SPAN``; ``bands`` are empty for those that only equal words link."""
+
+    def of_group(ids: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
+        h, at, b, start, stop = words_in(texts)
+        if not len(h):
+            return
+        owner = np.repeat(np.arange(len(texts)), np.diff(at))
+        line_end, segment_end, breaks = edges(h, at, b, start, stop)
+        text_at = np.concatenate([[0], np.cumsum([len(t.lower().encode("utf-8", "replace")) + 1 for t in texts])])
+        breaks_before = np.concatenate([[0], np.cumsum(b == 10)])[text_at[:-1]]
+        again = mix(h ^ np.uint64(0x94D049BB133111EB))
+
+        def ends(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            hi = np.flatnonzero(flag) + 1
+            return np.concatenate([[0], hi[:-1]]), hi
+
+        lo, hi = ends(line_end)
+        long = hi - lo >= least_words
+        lines = lo[long], hi[long]
+        s = shingles_in_order(h)
+        signed = _signed([np.unique(s[x : y - WORDS + 1]) for x, y in zip(*lines, strict=True)], k, bands)
+        lo, hi = ends(segment_end)
+        whole = np.isin(lo, lines[0]) & np.isin(hi, lines[1])  # told already, as a line
+        other = (hi - lo >= SEGMENT_WORDS) & ~whole
+        for (lo, hi), keys in ((lines, signed), ((lo[other], hi[other]), np.zeros((other.sum(), 0), np.int64))):
+            doc = owner[lo]
+            held = pa.ListArray.from_arrays(pa.array(np.arange(len(lo) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel(), pa.int64()))
+            columns = [pa.array(ids[doc], pa.int64()), pa.array(lo - at[doc], pa.int32()), pa.array(hi - lo, pa.int32()), pa.array(breaks[lo] - breaks_before[doc], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(sequence_hash(x, lo, hi).view(np.int64)) for x in (h, again)], held], ["doc_id", "word", "n_words", "line", "key1", "key2", "bands"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            with np.errstate(over="ignore"):
+                for first, some in grouped(b.column(1).to_pylist()):
+                    yield from of_group(ids[first : first + len(some)], some)
+
+    return texts.mapInArrow(run, SPAN)
+
+
+def shingles_of_lines(texts: DataFrame) -> DataFrame:
+    """(text, wanted: array of (line, id)) -> (id, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lines = text.split("\n")
+                # rows that repeat a doc_id with another text may have fewer lines
+                ids = [w["id"] for w in wanted if w["line"] < len(lines)]
+                sets = [s.view(np.int64) for s, _, _ in shingle_sets([lines[w["line"]] for w in wanted if w["line"] < len(lines)])]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(s) for s in sets]]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["id", "shingles"])
+
+    return texts.mapInArrow(run, "id long, shingles array<long>")
+
+
+def linked_lines(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Lines as ``SPAN`` -> (key1, key2, c1, c2): classes that are linked with others, and their component's own class."""
+    spot = F.struct("doc_id", "line")
+    classes = cut(lines.groupBy("key1", "key2").agg(F.min(spot).alias("spot"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "par-classes")
     postings = classes.select("id", F.explode("bands").alias("bucket"))
     wide = postings.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     ids = postings.join(wide, "bucket").select("id").distinct()
-    wanted = cut(classes.join(ids, "id", "left_semi").select("id", "spot.doc_id", F.col("spot.paragraph").alias("at")), "par-wanted")
-    some = texts.join(wanted, "doc_id").select("id", F.get(F.split("text", "\n"), F.col("at")).alias("text"), "doc_id", "at")
-    # rows that repeat a doc_id may bring the same paragraph number again: the class's own one is kept
-    sets = cut(shingles_of(some.select("id", F.coalesce("text", F.lit("")).alias("text"))).dropDuplicates(["id"]), "par-sets")
-    linked = verified_links(classes.select("id", "bands"), sets, threshold)
-    heads = classes.join(linked, F.col("id") == F.col("node"), "left").filter("n > 1 or node is not null")
-    heads = cut(heads.select("copy_key", F.coalesce("component", "id").alias("component"), "spot"), "par-heads")
-    first = heads.groupBy("component").agg(F.min("spot").alias("first"))
-    members = signed.select("doc_id", "paragraph", "n_words", "copy_key").join(heads.join(first, "component").select("copy_key", "first"), "copy_key")
-    here = F.struct("doc_id", "paragraph")
-    return members.select("doc_id", "paragraph", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), (here == F.col("first")).alias("kept"))
+    wanted = classes.join(ids, "id", "left_semi").groupBy("spot.doc_id").agg(F.collect_list(F.struct("spot.line", "id")).alias("wanted"))
+    sets = cut(shingles_of_lines(texts.join(wanted, "doc_id").select("text", "wanted")).dropDuplicates(["id"]), "par-sets")
+    found = verified_links(classes.select("id", "bands"), sets, threshold)
+    heads = classes.select(F.col("id").alias("component"), F.col("key1").alias("c1"), F.col("key2").alias("c2"))
+    return cut(found.join(classes.select(F.col("id").alias("node"), "key1", "key2"), "node").join(heads, "component").select("key1", "key2", "c1", "c2"), "par-linked")
+
+
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, threshold: float = THRESHOLD, k: int = COORDINATES, bands: int = BANDS) -> DataFrame:
+    """One row per passage that occurs more than once, copies and near copies alike:
+    (doc_id, word, n_words, first_doc_id, first_word, kept)."""
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    held = cut(spans(texts, least_words, k, bands), "par-spans")
+    linked = linked_lines(texts, held.filter(F.size("bands") > 0), threshold)
+    twice = held.groupBy("key1", "key2").agg(F.count("*").alias("n")).filter("n > 1").select("key1", "key2")
+    heads = cut(twice.join(linked, ["key1", "key2"], "full").select("key1", "key2", F.coalesce("c1", "key1").alias("c1"), F.coalesce("c2", "key2").alias("c2")), "par-heads")
+    members = cut(held.join(heads, ["key1", "key2"]).select("doc_id", "word", "n_words", "c1", "c2"), "par-members")
+    drop_tables(held)
+    spot = F.struct("doc_id", "word")
+    first = members.groupBy("c1", "c2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).filter("first != last").select("c1", "c2", "first")
+    placed = members.join(first, ["c1", "c2"]).select("doc_id", "word", (F.col("word") + F.col("n_words")).alias("past"), "first", (spot == F.col("first")).alias("kept"))
+    along = W.partitionBy("doc_id", "kept").orderBy("word", "past")
+    reach = F.max("past").over(along.rowsBetween(W.unboundedPreceding, -1))
+    opens = placed.withColumn("opens", F.coalesce(F.col("word") > reach + GAP_WORDS, F.lit(True)).cast("int"))
+    runs = opens.withColumn("run", F.sum("opens").over(along.rowsBetween(W.unboundedPreceding, 0))).groupBy("doc_id", "kept", "run")
+    out = runs.agg(F.min("word").alias("word"), (F.max("past") - F.min("word")).alias("n_words"), F.min("first").alias("first")).filter(F.col("n_words") >= least_words)
+    return out.select("doc_id", "word", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.word").alias("first_word"), "kept")
+
+
+def without(text: str, gone: list[tuple[int, int]]) -> str:
+    """``text`` without the spans (word, n_words); lines that go whole take their line break along."""
+    at = [m.span() for m in WORD.finditer(text)]
+    out, done = [], 0
+    for word, n in sorted(gone):
+        word, past = min(word, len(at)), min(word + n, len(at))
+        if past <= word:
+            continue
+        begin, end = at[word][0], at[past - 1][1]
+        before = at[word - 1][1] if word else 0
+        if word and (past == len(at) or "\n" not in text[before:begin]):
+            begin = before
+        else:
+            end = at[past][0] if past < len(at) else len(text)
+        out.append(text[done : max(done, begin)])
+        done = max(done, end)
+    return "".join(out) + text[done:]
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the repeated paragraphs but their first occurrence; ``n_chars`` follows the text where there is one."""
-    gone = repeated_paragraphs(docs, **options).filter("not kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("paragraph").alias("gone"))
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i))
-    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left").withColumn("text", new)
-    out = out.filter(F.col("gone").isNull() | (F.trim("text") != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the repeated passages but their first occurrence; ``n_chars`` follows the text where there is one."""
+    found = repeated_passages(docs, **options).filter("not kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list(F.struct("word", "n_words")).alias("gone_spans"))
+    names = docs.columns
+    text, count = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = b.column(len(names)).to_pylist()
+            kept, new = np.ones(b.num_rows, bool), b.column(text).to_pylist()
+            for i, some in enumerate(gone):
+                if some is not None and new[i] is not None:
+                    new[i] = without(new[i], [(g["word"], g["n_words"]) for g in some])
+                    kept[i] = bool(new[i].strip())
+            columns = list(b.columns[:-1])
+            columns[text] = pa.array(new, b.schema.field(text).type)
+            if count >= 0:
+                sizes = [len(t or "") if g is not None else n for t, g, n in zip(new, gone, b.column(count).to_pylist(), strict=True)]
+                columns[count] = pa.array(sizes, b.schema.field(count).type)
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).filter(pa.array(kept))
+
+    rows = docs.join(found, F.col("doc_id").cast("long") == F.col("gone_id"), "left").select(*[docs[f"`{c}`"] for c in names], "gone_spans")
+    return rows.mapInArrow(run, T.StructType(docs.schema.fields))
 
 
 def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents"))

@@ -31,6 +31,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word (runs of anything but ASCII white space, lower-cased), and where each text's words begin (n + 1)."""
+    return words_in(texts)[:2]
+
+
+def words_in(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """:func:`word_hashes`, then the lower-cased bytes of all texts and where in them each word starts and stops."""
     raw = [t.lower().encode("utf-8", "replace") + b" " for t in texts]
     ends = np.cumsum([len(r) for r in raw])
     b = np.frombuffer(b"".join(raw), np.uint8)
@@ -40,7 +45,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(b) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], dtype=np.uint64)])
     h = mix((sums[stop] - sums[start]) * down[start])
-    return h, np.concatenate([[0], np.searchsorted(start, ends)])
+    return h, np.concatenate([[0], np.searchsorted(start, ends)]), b, start, stop
 
 
 def grouped(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -54,6 +59,21 @@ def grouped(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield first, texts[first:]
 
 
+def shingles_in_order(h: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Hash of the shingle that starts at each word, over the ends of texts too."""
+    s = np.zeros(max(0, len(h) - words + 1), np.uint64)
+    for k in range(words):
+        s = s * np.uint64(0xD6E8FEB86659FD93) + h[k : k + len(s)]
+    return mix(s)
+
+
+def sequence_hash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of the words ``lo`` to ``hi`` (not included), the same wherever they stand."""
+    up, down = _powers(len(h) + 1)
+    order = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)], dtype=np.uint64)])
+    return mix((order[hi] - order[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+
 def shingle_sets(texts: list[str], words: int = WORDS) -> Iterator[tuple[np.ndarray, int, int]]:
     """Per text: its distinct shingle hashes in order, a hash of its word sequence, and its number of words.
 
@@ -62,16 +82,9 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> Iterator[tuple[np.ndar
     with np.errstate(over="ignore"):
         for _, some in grouped(texts):
             h, at = word_hashes(some)
-            s = np.zeros(max(0, len(h) - words + 1), np.uint64)
-            for k in range(words):
-                s = s * np.uint64(0xD6E8FEB86659FD93) + h[k : k + len(s)]
-            s = mix(s)
-            up, _ = _powers(len(h) + 1)
-            order = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)], dtype=np.uint64)])
-            down = _POWERS[1]
-            for lo, hi in zip(at, at[1:], strict=False):
-                n = int(hi - lo)
-                whole = int(mix((order[hi : hi + 1] - order[lo : lo + 1]) * down[lo : lo + 1] + np.uint64(n))[0])
+            s = shingles_in_order(h, words)
+            for lo, hi, whole in zip(at[:-1].tolist(), at[1:].tolist(), sequence_hash(h, at[:-1], at[1:]).tolist(), strict=True):
+                n = hi - lo
                 if n >= words:
                     yield np.unique(s[lo : hi - words + 1]), whole, n
                 else:
