@@ -32,7 +32,8 @@ from .common import cut, table, text_of
 BITS = 20
 SIZES = (3, 4, 5, 6)
 MAX_LABELLED = 12_000
-KEEP = 8192
+KEEP = 2048
+LEAN = 0.5
 AT_ONCE = 2_000_000
 AS_SPACE = np.arange(256, dtype=np.uint8)
 AS_SPACE[:33] = 32
@@ -109,14 +110,16 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, toxic int, other int").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def _regress(y: np.ndarray, row: np.ndarray, feature: np.ndarray, ratio: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam on x[row, feature] = ratio[feature]."""
+def _regress(y: np.ndarray, row: np.ndarray, feature: np.ndarray, ratio: np.ndarray, l2: float, steps: int, lean: float) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam on x[row, feature] = ratio[feature]; the rarer kind weighs more, by the kinds' ratio to the power ``lean``."""
     x, n, k = ratio[feature], len(y), len(ratio)
-    w, c = np.zeros(k), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+    share = np.where(y == 1, y.mean(), 1 - y.mean()) ** -lean
+    share /= share.sum()
+    w, c = np.zeros(k), 0.0
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, steps + 1):
         z = np.bincount(row, x * w[feature], minlength=n) + c
-        gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
         g = np.append(np.bincount(feature, x * gap[row], minlength=k) + l2 * w, gap.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
@@ -125,7 +128,7 @@ def _regress(y: np.ndarray, row: np.ndarray, feature: np.ndarray, ratio: np.ndar
     return w, c
 
 
-def fit(docs: DataFrame, labels: DataFrame, fold: Column | None = None, max_labelled: int = MAX_LABELLED, keep: int = KEEP, alpha: float = 0.5, l2: float = 1e-4, steps: int = 300) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fold: Column | None = None, max_labelled: int = MAX_LABELLED, keep: int = KEEP, alpha: float = 0.5, l2: float = 1e-4, steps: int = 300, lean: float = LEAN) -> Model:
     rows = cut(training_rows(docs, labels, F.lit(True) if fold is None else fold, max_labelled), "tox-train")
     size = dict(rows.groupBy("toxic").count().collect())  # two numbers
     n_toxic, n_other = size.get(1, 0), size.get(0, 0)
@@ -153,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column | None = None, max_labe
     lengths = np.diff(lists.offsets.to_numpy())
     y = found.column("toxic").to_numpy().astype(np.float64)
     r = kept["ratio"].to_numpy(np.float64)
-    w, c = _regress(y, np.repeat(np.arange(len(y)), lengths), lists.values.to_numpy().astype(np.int64), r, l2, steps)
+    w, c = _regress(y, np.repeat(np.arange(len(y)), lengths), lists.values.to_numpy().astype(np.int64), r, l2, steps, lean)
     held.unpersist()
     return Model(slot, w * r, c)
 
