@@ -34,7 +34,7 @@ SIZES = (3, 4, 5, 6)
 MAX_LABELLED = 12_000
 KEEP = 2048
 LEAN = 0.5
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
 AS_SPACE = np.arange(256, dtype=np.uint8)
 AS_SPACE[:33] = 32
 
