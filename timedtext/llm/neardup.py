@@ -142,12 +142,16 @@ def _verify_blocks(cells: DataFrame, threshold: float) -> DataFrame:
     return cells.mapInPandas(run, "a long, b long")
 
 
-def verified_links(classes: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``classes`` (id, bands) and ``sets`` (id, shingles; at least of those that share a bucket) -> components (node, component)."""
-    spark = classes.sparkSession
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """``classes`` (id, bands) -> (bucket, band, id, first) of the buckets that hold several; ``first`` is their smallest id."""
     postings = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     wide = postings.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
-    shared = cut(postings.join(wide.select("bucket", "first"), "bucket"), "dup-shared")
+    return cut(postings.join(wide.select("bucket", "first"), "bucket"), "dup-shared")
+
+
+def verified_links(classes: DataFrame, shared: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``classes`` (id, bands), their :func:`shared_buckets` and ``sets`` (id, shingles) of those in them -> components (node, component)."""
+    spark = classes.sparkSession
     star = shared.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -181,12 +185,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = COOR
     signed = cut(signatures(texts, k, bands), "dup-signed")
     worded = signed.filter("n_words > 0 and id is not null")
     classes = cut(worded.groupBy("copy_key").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "dup-classes")
-    postings = classes.select("id", F.explode("bands").alias("bucket"))
-    wide = postings.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    ids = cut(postings.join(wide, "bucket").select("id").distinct(), "dup-ids")
+    shared = shared_buckets(classes.select("id", "bands"))
+    ids = shared.select("id").distinct()
     # repeated doc_ids with other texts: a class is its representative's id and text together
     sets = cut(shingles_of(texts.join(ids, "id", "left_semi").select("id", "text")).dropDuplicates(["id"]), "dup-sets")
-    found = verified_links(classes.select("id", "bands"), sets, threshold)
+    found = verified_links(classes.select("id", "bands"), shared, sets, threshold)
     heads = classes.join(found, classes["id"] == found["node"], "left").select("copy_key", F.coalesce("component", "id").alias("class_id"))
     rows = signed.select("id", F.when(F.col("n_words") > 0, F.col("copy_key")).alias("copy_key")).join(heads, "copy_key", "left")
     return rows.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce(F.coalesce("class_id", "id") == F.col("id"), F.lit(True)).alias("kept"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, drop_tables, table, text_of
-from .neardup import THRESHOLD, verified_links
+from .neardup import THRESHOLD, shared_buckets, verified_links
 from .shingles import WORDS, band_keys, dart_signatures, grouped, mix, sequence_hash, shingle_sets, shingles_in_order, words_in
 
 COORDINATES, BANDS = 42, 14
@@ -137,12 +137,11 @@ def linked_lines(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFr
     """Lines as ``SPAN`` -> (key1, key2, c1, c2): classes that are linked with others, and their component's own class."""
     spot = F.struct("doc_id", "line")
     classes = cut(lines.groupBy("key1", "key2").agg(F.min(spot).alias("spot"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "par-classes")
-    postings = classes.select("id", F.explode("bands").alias("bucket"))
-    wide = postings.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    ids = postings.join(wide, "bucket").select("id").distinct()
+    shared = shared_buckets(classes.select("id", "bands"))
+    ids = shared.select("id").distinct()
     wanted = classes.join(ids, "id", "left_semi").groupBy("spot.doc_id").agg(F.collect_list(F.struct("spot.line", "id")).alias("wanted"))
     sets = cut(shingles_of_lines(texts.join(wanted, "doc_id").select("text", "wanted")).dropDuplicates(["id"]), "par-sets")
-    found = verified_links(classes.select("id", "bands"), sets, threshold)
+    found = verified_links(classes.select("id", "bands"), shared, sets, threshold)
     heads = classes.select(F.col("id").alias("component"), F.col("key1").alias("c1"), F.col("key2").alias("c2"))
     return cut(found.join(classes.select(F.col("id").alias("node"), "key1", "key2"), "node").join(heads, "component").select("key1", "key2", "c1", "c2"), "par-linked")
 
@@ -158,7 +157,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, threshold
     members = cut(held.join(heads, ["key1", "key2"]).select("doc_id", "word", "n_words", "c1", "c2"), "par-members")
     drop_tables(held)
     spot = F.struct("doc_id", "word")
-    first = members.groupBy("c1", "c2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).filter("first != last").select("c1", "c2", "first")
+    # written, so that the join stands on two exchanges and a component with very many places can be split
+    first = cut(members.groupBy("c1", "c2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).filter("first != last").select("c1", "c2", "first"), "par-first")
     placed = members.join(first, ["c1", "c2"]).select("doc_id", "word", (F.col("word") + F.col("n_words")).alias("past"), "first", (spot == F.col("first")).alias("kept"))
     along = W.partitionBy("doc_id", "kept").orderBy("word", "past")
     reach = F.max("past").over(along.rowsBetween(W.unboundedPreceding, -1))
