@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, shared_path, table, text_of
-from .tokens import WORD_LEVEL, ChunkEncoder, crc32, vocabulary
+from .tokens import WORD_LEVEL, crc32, vocabulary, worker_encoder
 
 MAGIC = b"TTIDS001"
 NULL_KEY = -(1 << 63)
@@ -122,7 +122,7 @@ def write_shards(docs: DataFrame, root: str, path: str, shards: int, end_id: int
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        encoder = ChunkEncoder(path, leading_space=False)
+        encoder = worker_encoder(path, leading_space=False)
         width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
         keys, ends, out = [], [0], None

@@ -19,6 +19,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterable
+from functools import lru_cache
 
 ODD_SPACE = re.compile(r"\s \s|\s \Z")
 TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"  # ASCII punctuation but ', which starts contractions, and <, >, which may start control tokens
@@ -121,5 +122,11 @@ class ChunkEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str, leading_space: bool) -> ChunkEncoder:
+    """One encoder for all tasks of a Python worker, so that later tasks find the chunks of earlier ones."""
+    return ChunkEncoder(path, leading_space)
+
+
 def crc32(ids: bytes) -> int:
     return zlib.crc32(ids) & 0xFFFFFFFF
