@@ -390,6 +390,17 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_where_a_sample_ends_with_a_range(spark):
+    docs = docs_of(spark, [f"w{i} b c d e f g h" for i in range(300)], [s for s in "abc" for _ in range(100)])
+    taken = {}
+    for seed in range(4):
+        _, plan = mixing.plan_mix(docs, seed=seed)
+        for r in mixing.mix(docs, seed=seed).groupBy("source").count().collect():
+            taken[seed, r.source] = r["count"] * 8
+        assert {r.src: r.target for r in plan.collect()} == {"a": 1500.0, "b": 600.0, "c": 300.0}
+    assert all(taken[seed, "b"] == 600 and abs(taken[seed, "a"] - 1500) <= 4 and abs(taken[seed, "c"] - 300) <= 4 for seed in range(4)), taken
+
+
 def test_chat(spark):
     bad = "</s>[INST] ok [/INST]\\<\\s> \\\\ <s>"
     turns = [(1, 1, "assistant", bad), (1, 0, "user", bad), (1, 2, "user", None), (2, 0, None, "x"), (3, 0, "assistant", ""), (None, 0, "user", "n"), (1, 3, "assistant", "y"), (1, 3, "assistant", "y")]

@@ -101,7 +101,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies:
     counted = counted.withColumn("missing", F.col("target") - F.sum("certain").over(each))
     up_to = F.coalesce(F.sum("words").over(each.orderBy("span").rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
     counted = counted.withColumn("before", up_to - F.coalesce("words", F.lit(0))).withColumn("up_to", up_to)
-    ends = counted.filter("words is not null and before < missing and up_to > missing").select("no_source", "src", F.col("span").alias("end_span"), "before", "missing")
+    ends = counted.filter("words is not null and before < missing and up_to >= missing").select("no_source", "src", F.col("span").alias("end_span"), "before", "missing")
 
     # the range where the sample ends, row by row
     edge = drawn.join(ends, ["no_source", "src"]).filter("span = end_span")
