@@ -357,6 +357,15 @@ def test_passages_inside_lines(spark):
     assert gone >= 0.7 * sum(len(passages[i % 30].split()) for i in range(30, 90))
 
 
+def test_words_between_repeats_stay(spark):
+    rng = random.Random(14)
+    a, b = words(rng, 15), words(rng, 15)
+    texts = [f"{a}\namount due {i}\n{b}" for i in range(4)]
+    left = {x.doc_id: x.text for x in paragraphs.remove_repeats(docs_of(spark, texts)).collect()}
+    assert left[0] == texts[0] and all(f"amount due {i}" in left[i] for i in range(4)), left
+    assert all(len(left[i].split()) < 33 for i in range(1, 4)), left
+
+
 # --- mixing, chat ----------------------------------------------------------------------------------
 
 

@@ -8,9 +8,10 @@ words and at words that their own hash picks. These cuts depend on the words nex
 the same passage is cut alike wherever it stands. Such segments are classes of equal words, and only
 segments of such classes count.
 
-Classes that are linked are one component, whose first place, by doc_id and word, stays. Neighbouring
-places of a document that are repeated make one passage; passages of at least ``LEAST_WORDS`` words are
-reported, and removed but for first places. Places are counted in words (runs of anything but ASCII
+Classes that are linked are one component, whose first place, by doc_id and word, stays. Repeated places
+of a document that lie at most ``GAP_WORDS`` apart make one run; the places of runs that reach over at
+least ``LEAST_WORDS`` words are reported, joined where they touch, and removed but for first places. Words
+between them that were not found again are neither. Places are counted in words (runs of anything but ASCII
 white space), so spans hold for the original text.
 
 Defined cases: null and empty texts have no paragraphs; a paragraph repeated within one text is
@@ -163,8 +164,13 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, threshold
     along = W.partitionBy("doc_id", "kept").orderBy("word", "past")
     reach = F.max("past").over(along.rowsBetween(W.unboundedPreceding, -1))
     opens = placed.withColumn("opens", F.coalesce(F.col("word") > reach + GAP_WORDS, F.lit(True)).cast("int"))
-    runs = opens.withColumn("run", F.sum("opens").over(along.rowsBetween(W.unboundedPreceding, 0))).groupBy("doc_id", "kept", "run")
-    out = runs.agg(F.min("word").alias("word"), (F.max("past") - F.min("word")).alias("n_words"), F.min("first").alias("first")).filter(F.col("n_words") >= least_words)
+    opens = opens.withColumn("parts", F.coalesce(F.col("word") > reach, F.lit(True)).cast("int"))
+    so_far = along.rowsBetween(W.unboundedPreceding, 0)
+    pieces = opens.withColumns({"run": F.sum("opens").over(so_far), "piece": F.sum("parts").over(so_far)}).groupBy("doc_id", "kept", "run", "piece")
+    out = pieces.agg(F.min("word").alias("word"), F.max("past").alias("past"), F.min("first").alias("first"))
+    # the words between the pieces of a run were not compared: they count for its length and stay
+    run = W.partitionBy("doc_id", "kept", "run")
+    out = out.withColumn("reach", F.max("past").over(run) - F.min("word").over(run)).filter(F.col("reach") >= least_words).withColumn("n_words", F.col("past") - F.col("word"))
     return out.select("doc_id", "word", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.word").alias("first_word"), "kept")
 
 
