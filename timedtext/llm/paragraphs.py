@@ -4,9 +4,11 @@ Paragraphs are of two kinds. Lines with at least ``LEAST_WORDS`` words go throug
 as documents do, with bands tuned for recall (a pair at similarity 0.8 is missed with a chance of about
 4 in 100,000), and are linked at an exact Jaccard similarity of five-word shingles of 0.8 or more. As
 repeated passages also stand inside longer lines, every line is cut further, after sentences of some
-words and at words that their own hash picks. These cuts depend on the words next to them alone, so
-the same passage is cut alike wherever it stands. Such segments are classes of equal words, and only
-segments of such classes count.
+words; such segments are classes of equal words. And of every ``SPACING`` neighbouring runs of
+``ANCHOR`` words the one with the smallest hash is an anchor (winnowing), so that any ``LEAST_WORDS``
+equal words hold an equal anchor, wherever they stand and whatever their marks, and the anchors inside
+a passage touch. Where a passage's anchors end, its words are compared with those of the first place, one by
+one, for ``REACH`` words to both sides.
 
 Classes that are linked are one component, whose first place, by doc_id and word, stays. Repeated places
 of a document that lie at most ``GAP_WORDS`` apart make one run; the places of runs that reach over at
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +41,9 @@ from .shingles import WORDS, band_keys, dart_signatures, grouped, mix, sequence_
 
 COORDINATES, BANDS = 42, 14
 LEAST_WORDS = 20
-SENTENCE_WORDS, SEGMENT_WORDS, PICK = 6, 4, 16
+SENTENCE_WORDS, SEGMENT_WORDS = 6, 4
+SPACING, REACH = 10, 16
+ANCHOR = LEAST_WORDS - SPACING + 1
 GAP_WORDS = 4
 DARTS_AT_ONCE = 100_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,9 +65,23 @@ def edges(h: np.ndarray, at: np.ndarray, b: np.ndarray, start: np.ndarray, stop:
     sentence = mark(last) | (closing & mark(before)) | wide
     here = np.arange(len(h))
     past = np.concatenate([[-1], np.maximum.accumulate(np.where(sentence | line_end, here, -1))[:-1]])
-    picked = np.zeros(len(h), bool)
-    picked[1:] = mix(h[1:] + h[:-1] * np.uint64(0x9FB21C651E98DF25)) % np.uint64(PICK) == 0
-    return line_end, line_end | (sentence & (here - past >= SENTENCE_WORDS)) | picked, broken[start]
+    return line_end, line_end | (sentence & (here - past >= SENTENCE_WORDS)), broken[start]
+
+
+def anchors(h: np.ndarray, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where anchors begin, and their keys. Of equal ones (runs of one word) every ``SPACING``th is taken."""
+    here = np.arange(max(0, len(h) - ANCHOR + 1))
+    n = len(here) - SPACING + 1
+    if n <= 0:
+        return here[:0], np.zeros(0, np.uint64)
+    key = sequence_hash(h, here, here + ANCHOR)
+    order = (key & ~np.uint64(15)) | ((here - at[owner[here]]) % SPACING).astype(np.uint64)
+    best, least = order[:n].copy(), here[:n].copy()
+    for j in range(1, SPACING):
+        less = order[j : j + n] < best
+        best[less], least[less] = order[j : j + n][less], here[j : j + n][less]
+    chosen = np.unique(least[owner[:n] == owner[np.arange(n) + SPACING + ANCHOR - 2]])
+    return chosen, key[chosen]
 
 
 def _signed(sets: list[np.ndarray], k: int, bands: int) -> np.ndarray:
@@ -78,7 +96,11 @@ def _signed(sets: list[np.ndarray], k: int, bands: int) -> np.ndarray:
 
 
 def spans(texts: DataFrame, least_words: int, k: int, bands: int) -> DataFrame:
-    """(doc_id, text) -> paragraphs as ``SPAN``; ``bands`` are empty for those that only equal words link."""
+    """(doc_id, text) -> paragraphs as ``SPAN``; ``bands`` are empty for those that only equal words link.
+
+    Anchors have one key of 64 bits, and 0 as the other.
+    """
+    names = ["doc_id", "word", "n_words", "line", "key1", "key2", "bands"]
 
     def of_group(ids: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
         h, at, b, start, stop = words_in(texts)
@@ -106,7 +128,12 @@ def spans(texts: DataFrame, least_words: int, k: int, bands: int) -> DataFrame:
             doc = owner[lo]
             held = pa.ListArray.from_arrays(pa.array(np.arange(len(lo) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel(), pa.int64()))
             columns = [pa.array(ids[doc], pa.int64()), pa.array(lo - at[doc], pa.int32()), pa.array(hi - lo, pa.int32()), pa.array(breaks[lo] - breaks_before[doc], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(sequence_hash(x, lo, hi).view(np.int64)) for x in (h, again)], held], ["doc_id", "word", "n_words", "line", "key1", "key2", "bands"])
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(sequence_hash(x, lo, hi).view(np.int64)) for x in (h, again)], held], names)
+        lo, key = anchors(h, at, owner)
+        none = np.zeros(len(lo) + 1, np.int32)
+        held = pa.ListArray.from_arrays(pa.array(none), pa.array([], pa.int64()))
+        columns = [pa.array(ids[owner[lo]], pa.int64()), pa.array(lo - at[owner[lo]], pa.int32()), pa.array(none[1:] + ANCHOR, pa.int32()), pa.array(none[1:])]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(key.view(np.int64)), pa.array(none[1:], pa.int64()), held], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,6 +174,47 @@ def linked_lines(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFr
     return cut(found.join(classes.select(F.col("id").alias("node"), "key1", "key2"), "node").join(heads, "component").select("key1", "key2", "c1", "c2"), "par-linked")
 
 
+def words_around(texts: DataFrame) -> DataFrame:
+    """(doc_id, text, wanted: words at which anchors begin) -> (doc_id, word, before, after): hashes of the words next to each anchor, the nearest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, text, wanted in zip(*[b.column(c).to_pylist() for c in range(3)], strict=True):
+                with np.errstate(over="ignore"):
+                    h = words_in([text])[0].astype(np.uint32).view(np.int32)
+                out += [(doc, w, h[max(0, w - REACH) : w][::-1], h[w + ANCHOR : w + ANCHOR + REACH]) for w in wanted]
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], ["doc_id", "word", "before", "after"])
+
+    return texts.mapInArrow(run, "doc_id long, word int, before array<int>, after array<int>")
+
+
+def grown(texts: DataFrame, met: DataFrame) -> DataFrame:
+    """Anchors (doc_id, word, first) that are not first places -> those at the ends of passages, with the equal words
+    before and after them: (doc_id, word, first, left, right)."""
+    along = W.partitionBy("doc_id").orderBy("word", "first")
+
+    def follows(step) -> Column:
+        """The next anchor on one side touches this one, here and at the first place."""
+        by = F.abs(F.col("word") - step("word").over(along))
+        return F.coalesce((by <= ANCHOR) & (step("first.doc_id").over(along) == F.col("first.doc_id")) & (F.abs(F.col("first.word") - step("first.word").over(along)) == by), F.lit(False))
+
+    ends = cut(met.distinct().withColumn("inner", follows(F.lag) & follows(F.lead)).filter("not inner").drop("inner"), "par-ends")
+    spots = ends.select("doc_id", "word").unionByName(ends.select("first.doc_id", "first.word")).distinct()
+    wanted = spots.groupBy("doc_id").agg(F.collect_list("word").alias("wanted"))
+    around = cut(words_around(texts.join(wanted, "doc_id").select("doc_id", "text", "wanted")).dropDuplicates(["doc_id", "word"]), "par-around")
+    there = around.select(F.struct("doc_id", "word").alias("first"), F.col("before").alias("first_before"), F.col("after").alias("first_after"))
+
+    def equal(a: str, b: str) -> Column:
+        same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+        end = F.array_position(same, False).cast("int")
+        return F.when(end > 0, end - 1).otherwise(F.size(same))
+
+    both = ends.join(around, ["doc_id", "word"]).join(there, "first")
+    return cut(both.select("doc_id", "word", "first", equal("before", "first_before").alias("left"), equal("after", "first_after").alias("right")), "par-grown")
+
+
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, threshold: float = THRESHOLD, k: int = COORDINATES, bands: int = BANDS) -> DataFrame:
     """One row per passage that occurs more than once, copies and near copies alike:
     (doc_id, word, n_words, first_doc_id, first_word, kept)."""
@@ -160,7 +228,18 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, threshold
     spot = F.struct("doc_id", "word")
     # written, so that the join stands on two exchanges and a component with very many places can be split
     first = cut(members.groupBy("c1", "c2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).filter("first != last").select("c1", "c2", "first"), "par-first")
-    placed = members.join(first, ["c1", "c2"]).select("doc_id", "word", (F.col("word") + F.col("n_words")).alias("past"), "first", (spot == F.col("first")).alias("kept"))
+    placed = members.join(first, ["c1", "c2"]).select("doc_id", "word", (F.col("word") + F.col("n_words")).alias("past"), "first", (spot == F.col("first")).alias("kept"), (F.col("c2") == 0).alias("anchor"))
+    placed = cut(placed, "par-placed")
+    drop_tables(members)
+    more = grown(texts, placed.filter("anchor and not kept").select("doc_id", "word", "first"))
+    begin = F.col("first.word") - F.col("left")
+    ends = more.select("doc_id", (F.col("word") - F.col("left")).alias("word"), (F.col("word") + ANCHOR + F.col("right")).alias("past"), F.struct(F.col("first.doc_id").alias("doc_id"), begin.alias("word")).alias("first"), F.lit(False).alias("kept"), F.col("first.word").alias("guard"))
+    heads_grown = more.groupBy("first").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    heads_grown = heads_grown.select("first.doc_id", begin.alias("word"), (F.col("first.word") + ANCHOR + F.col("right")).alias("past"), F.struct("first.doc_id", begin.alias("word")).alias("first"), F.lit(True).alias("kept"), F.lit(None).cast("int").alias("guard"))
+    placed = placed.select("doc_id", "word", "past", "first", "kept", F.when(F.col("anchor") & ~F.col("kept"), F.col("first.word")).alias("guard")).unionByName(ends).unionByName(heads_grown)
+    # a place that overlaps its own first place (a text that repeats a few words) begins after it
+    own = (F.col("doc_id") == F.col("first.doc_id")) & F.col("guard").isNotNull()
+    placed = placed.withColumn("word", F.when(own, F.greatest("word", F.col("guard") + ANCHOR)).otherwise(F.col("word"))).filter("word < past")
     along = W.partitionBy("doc_id", "kept").orderBy("word", "past")
     reach = F.max("past").over(along.rowsBetween(W.unboundedPreceding, -1))
     opens = placed.withColumn("opens", F.coalesce(F.col("word") > reach + GAP_WORDS, F.lit(True)).cast("int"))
