@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from timedtext.llm import chat, kmtree, mixing, neardup, packing, paragraphs, pivots, tokenfiles, tokens, toxicity, urls
 from timedtext.llm.components import components
-from timedtext.llm.shingles import dart_signatures, shingle_sets
+from timedtext.llm.shingles import dart_signatures, occurrences, shingle_bags
 
 D = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, rank string"
@@ -242,10 +243,11 @@ def test_tree_search(spark):
 
 def shingles(text):
     w = (text or "").lower().split()
-    return set(zip(*[w[i:] for i in range(5)], strict=False)) if len(w) >= 5 else ({tuple(w)} if w else set())
+    return Counter(zip(*[w[i:] for i in range(5)], strict=False)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
 
 
 def classes(texts, t=0.8):
+    """Components by brute force over all pairs of bags of shingles."""
     sets = [shingles(x) for x in texts]
     label = list(range(len(texts)))
     moved = True
@@ -253,7 +255,7 @@ def classes(texts, t=0.8):
         moved = False
         for i, a in enumerate(sets):
             for j, b in enumerate(sets):
-                if a and b and label[i] != label[j] and len(a & b) >= t * len(a | b) - 1e-9:
+                if a and b and label[i] != label[j] and (a & b).total() >= t * (a | b).total() - 1e-9:
                     label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
                     moved = True
     return label
@@ -271,7 +273,7 @@ def copies(rng, n=70):
 
 
 def test_near_duplicates(spark):
-    texts = copies(random.Random(7))
+    texts = [*copies(random.Random(7)), "la " * 30, "la " * 300, "la " * 290]
     docs = docs_of(spark, texts)
     got = {r.doc_id: r for r in neardup.near_duplicates(docs).collect()}
     want = classes(texts)
@@ -281,6 +283,38 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_other_texts(spark):
+    rng = random.Random(21)
+    a, b = words(rng, 40), words(rng, 90)
+    near = " ".join([*b.split()[:-1], "changed"])
+    rows = spark.createDataFrame([(0, a), (1, a), (1, b), (5, b), (1, b), (6, near), (None, a), (None, near), (None, "")], "doc_id long, text string")
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in neardup.keep_first(rows).collect())
+    assert kept == [(False, 0, a), (False, 1, b), (True, 0, "")]
+    got = sorted(((r.class_id is None, r.class_id or 0, r.doc_id or 0, r.kept) for r in neardup.near_duplicates(rows).collect()))
+    assert [(c, n) for c, n in Counter((x[0], x[1]) for x in got).items()] == [((False, 0), 3), ((False, 1), 5), ((True, 0), 1)]
+    assert sum(x[3] for x in got) == 3
+
+
+CLASHING = ["kept_id", "row", "gone_id", "gone_hash", "gone_spans", "scored_text_", "score", "copy_key", "text_hash", "bands", "class_id", "kept"]
+
+
+def test_clashing_names(spark):
+    text = words(random.Random(22), 60)
+    docs = spark.createDataFrame([(i, text, *["x"] * len(CLASHING)) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHING))
+    want = [(0, text, *["x"] * len(CLASHING))]
+    assert [tuple(r) for r in neardup.keep_first(docs).collect()] == want
+    assert [tuple(r) for r in paragraphs.remove_repeats(docs).collect()] == want
+    none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(docs, none, docs.columns, "toxic_").columns == [*docs.columns, "toxic_"]
+    assert toxicity.score(docs, none, ["doc_id", "score"], "score").columns == ["doc_id", "score", "score"]
+
+
+def test_repeated_lines_weigh_more():
+    """Texts that differ in how often they say one thing are not near copies, though their sets of shingles are equal."""
+    a, b = "la " * 30, "la " * 300
+    assert classes([a, b]) == [0, 1]
+
+
 def test_blocks_lose_no_link(spark, monkeypatch):
     texts = copies(random.Random(8), 120)
     monkeypatch.setattr(neardup, "REST_TILE", 2)
@@ -297,8 +331,10 @@ def test_darts_estimate_weighted_similarity():
     true = np.minimum(w, v).sum() / np.maximum(w, v).sum()
     s = np.concatenate([dart_signatures([e, e], 256, [w, v], seed=k) for k in range(8)], axis=1)
     assert abs((s[0] == s[1]).mean() - true) < 0.04
-    assert (dart_signatures([np.zeros(0, np.uint64)], 8) == 0).all()
-    assert [len(x[0]) for x in shingle_sets(["", "a", "a b c d e", "a b c d e f"])] == [0, 1, 1, 2]
+    assert (dart_signatures([np.zeros(0, np.uint64)], 8, [np.zeros(0)]) == 0).all()
+    assert [len(x[0]) for x in shingle_bags(["", "a", "a b c d e", "a b c d e f"])] == [0, 1, 1, 2]
+    s, n, _, _ = next(shingle_bags(["la " * 20 + "a b c d e"]))
+    assert n.max() == 16 and len(occurrences(s, n)) == n.sum() == 21
 
 
 def test_components(spark):
@@ -326,6 +362,45 @@ def test_paragraphs(spark):
     assert paragraphs.repeated_passages(ids).count() == 0 and paragraphs.remove_repeats(ids).count() == len(texts)
 
 
+def test_spans_of_one_text_never_touch_another(spark):
+    rng = random.Random(23)
+    a, u, v = (words(rng, 60, 10**9) for _ in range(3))
+    rows = [(0, a), (1, a), (1, f"{u}\n{v}"), (1, f"{u}\n{v}"), (2, f"{v}\nend")]
+    left = sorted((r.doc_id, r.text) for r in paragraphs.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert left == [(0, a), (1, f"{u}\n{v}"), (1, f"{u}\n{v}"), (2, "end")]
+
+
+def test_near_copies_inside_lines(spark):
+    """Long sentences and long parts without marks are linked at a similarity of 0.8, not only if they are equal."""
+    rng = random.Random(24)
+    sentences = [words(rng, 60, 10**9) + "." for _ in range(8)]
+    changed = [" ".join(["other", *s.split()[1:]]) for s in sentences]
+    texts = [f"{words(rng, 9, 10**9)}. {s} {words(rng, 30, 10**9)}." for s in [*sentences, *changed]]
+    left = {x.doc_id: x.text.split() for x in paragraphs.remove_repeats(docs_of(spark, texts)).collect()}
+    assert all(left[i] == texts[i].split() for i in range(8))
+    assert all("other" not in left[i] and len(left[i]) == 39 for i in range(8, 16)), {i: len(left[i]) for i in range(8, 16)}
+
+
+def test_paragraph_pairs_by_brute_force(spark):
+    """Whole lines against all pairs of lines: every similar pair is in one component, and only the first of each stays."""
+    rng = random.Random(25)
+    base = [words(rng, rng.randrange(40, 90)) for _ in range(15)]
+    lines = []
+    for _ in range(80):
+        w = rng.choice(base).split()
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        lines.append(" ".join(w))
+    docs = docs_of(spark, lines)
+    want = classes(lines)
+    cut_at = {r.doc_id for r in paragraphs.repeated_passages(docs).filter("not kept").collect()}
+    assert {i for i, c in enumerate(want) if c != i} <= cut_at
+    left = {r.doc_id: r.text for r in paragraphs.remove_repeats(docs).collect()}
+    # of a whole class nothing stays but its first line
+    assert {i for i in left if want[i] == i} == {i for i, c in enumerate(want) if c == i}
+    assert all(i not in left for i, c in enumerate(want) if c != i)
+
+
 def prose(rng, n):
     out = []
     while sum(len(s.split()) for s in out) < n:

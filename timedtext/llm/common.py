@@ -3,35 +3,53 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
+_open = threading.local()
+
 
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, batches that go to Python hold 8 MB at most, however long their texts are; a lower setting stays.
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Batches that go to Python hold 8 MB at most, however long their texts are; a lower setting stays."""
-    now = spark.conf.get(ARROW_BYTES, "67108864").rstrip("b")
-    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+    The session's own setting comes back afterwards.
+    """
+    own = spark.conf.get(ARROW_BYTES, None)
+    now = (own or "67108864").rstrip("b")
+    lower = not now.isdigit() or not 0 < int(now) <= BATCH_BYTES
+    if lower:
         spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if lower and own is None:
+            spark.conf.unset(ARROW_BYTES)
+        elif lower:
+            spark.conf.set(ARROW_BYTES, own)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session does not name one (local tests), one is made and set.
+    A local session that does not name one gets a temporary folder; on a cluster that is an error, as
+    executors would not see the driver's folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="timedtext-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,24 +63,52 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This ends the lineage in files that outlive any executor, and gives Spark exact sizes to plan
-    later joins with.
+    later joins with. Inside :func:`scratch` the table goes when the block ends.
     """
     spark = df.sparkSession
-    bounded_batches(spark)
     path = shared_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    if held := getattr(_open, "paths", None):
+        held[-1].append(path)
+    with bounded_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.cut_path = path
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut inside are deleted at the end, but those that :func:`finish` made."""
+    stack = _open.paths = getattr(_open, "paths", None) or []
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            _delete(spark, path)
+
+
+def finish(df: DataFrame, name: str) -> DataFrame:
+    """Cut a block's result to a table that outlives the block; an outer block takes it over."""
+    out = cut(df, name)
+    stack = getattr(_open, "paths", None) or []
+    if stack:
+        stack[-1].remove(out.cut_path)
+        if len(stack) > 1:
+            stack[-2].append(out.cut_path)
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_tables(*frames: DataFrame) -> None:
     """Delete tables that :func:`cut` returned and that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.cut_path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -72,3 +118,11 @@ def partitions(spark: SparkSession) -> int:
 def text_of(name: str = "text") -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or it with underscores, so that no column of ``columns`` has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

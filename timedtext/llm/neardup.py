@@ -1,25 +1,27 @@
 """Near-duplicate documents: DartMinHash signatures, banded joins, exact verification, components.
 
-Texts are sets of five-word shingles (lower-cased words between ASCII white space). Texts with the same
-words are one copy class and only its smallest doc_id goes on. Classes that share a band key are
-candidates; links are pairs with an exact Jaccard similarity of ``threshold`` or more.
+Texts are bags of five-word shingles (lower-cased words between ASCII white space), each weighed by how
+often it occurs. Darts are thrown into these weighted regions, so signatures agree with the chance of the
+weighted Jaccard similarity, and that is also what pairs are verified by. Texts with the same words are one
+copy class. Classes that share a band key are candidates; links are pairs with an exact similarity of
+``threshold`` or more.
 
 Buckets may hold very many classes, so pairs are not listed:
 
-1. every bucket's smallest member is compared with all other members (one pair a member), and
+1. every bucket's first member is compared with all other members (one pair a member), and
    components are taken;
 2. buckets whose members then lie in more than one component are compared in blocks: the members
    outside the bucket's largest component against all members in other components, tile by tile,
-   each pair in the first band that it shares only. A tile returns one link per member and
-   component that it meets, not its pairs.
+   each pair in the first band that it shares only. Tiles are bounded in members and in words. A tile
+   returns one link per member and component that it meets, not its pairs.
 
 So every candidate pair is either in one component already or verified.
 
-Defined cases: texts without words, null ones included, link with nothing; texts of fewer than five words
-have one shingle, of all of them; repeated rows and equal texts are one class; ties go to the smaller
-doc_id; a null doc_id is a class of its own;
-rows that repeat a doc_id are one document to :func:`keep_first`; an empty table gives an empty result; extra columns are
-ignored by :func:`near_duplicates` and kept by :func:`keep_first`.
+Defined cases: every row is a document of its own, whatever its doc_id; texts without words, null ones
+included, link with nothing but rows of the same doc_id; texts of fewer than five words have one shingle, of all of them; repeated rows
+and equal texts are one class; the smallest doc_id names a class and its row is kept (of rows that share
+it, any one), null doc_ids come last; an empty table gives an empty result; extra columns, whatever
+their names, are ignored by :func:`near_duplicates` and kept by :func:`keep_first`.
 """
 
 from __future__ import annotations
@@ -32,40 +34,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop_tables, partitions, table, text_of
+from .common import cut, drop_tables, finish, free_name, partitions, scratch, table, text_of
 from .components import components
-from .shingles import band_keys, dart_signatures, shingle_sets
+from .shingles import band_keys, dart_signatures, occurrences, shingle_bags
 
 COORDINATES, BANDS = 96, 24
 THRESHOLD = 0.8
 REST_TILE, ALL_TILE = 256, 1024
+REST_WORDS, ALL_WORDS = 500_000, 2_000_000
 
 
-def signatures(texts: DataFrame, k: int = COORDINATES, bands: int = BANDS, seed: int = 0, least_words: int = 0) -> DataFrame:
-    """Key columns and, last, ``text`` -> the key columns with (copy_key, n_words, bands); shorter texts are left out."""
+def signatures(texts: DataFrame, k: int = COORDINATES, bands: int = BANDS, seed: int = 0) -> DataFrame:
+    """Key columns and, last, ``text`` -> the key columns with (copy_key, n_words, bands)."""
     keys = texts.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, s, w, n) for i, (s, w, n) in enumerate(shingle_sets(b.column(len(keys)).to_pylist())) if n >= least_words]
-            sets = [x[1] for x in found]
-            signed = np.concatenate([np.zeros((0, bands), np.int64), *[band_keys(dart_signatures(sets[i : i + 256], k, seed=seed), bands) for i in range(0, len(sets), 256)]])
+            found = list(shingle_bags(b.column(len(keys)).to_pylist()))
+            some = [found[i : i + 256] for i in range(0, len(found), 256)]
+            signed = np.concatenate([np.zeros((0, bands), np.int64), *[band_keys(dart_signatures([x[0] for x in f], k, [x[1] for x in f], seed), bands) for f in some]])
             # beside the word sequence's hash the shingles' sum, so that classes are told apart by 128 bits
-            both = pa.array([f"{w:016x}{int(np.add.reduce(s, dtype=np.uint64)):016x}" for _, s, w, _ in found], pa.string())
+            both = pa.array([f"{w:016x}{int(np.add.reduce(s, dtype=np.uint64)):016x}" for s, _, w, _ in found], pa.string())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, signed.size + 1, bands), pa.int32()), pa.array(signed.ravel(), pa.int64()))
-            rows = pa.array([x[0] for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(c).take(rows) for c in range(len(keys))], both, pa.array([x[3] for x in found], pa.int32()), lists], [*keys, "copy_key", "n_words", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], both, pa.array([x[3] for x in found], pa.int32()), lists], [*keys, "copy_key", "n_words", "bands"])
 
     added = T.StructType().add("copy_key", T.StringType()).add("n_words", T.IntegerType()).add("bands", T.ArrayType(T.LongType()))
     return texts.mapInArrow(run, T.StructType([*texts.schema.fields[:-1], *added.fields]))
 
 
 def shingles_of(texts: DataFrame) -> DataFrame:
-    """(id, text) -> (id, shingles)."""
+    """(id, text) -> (id, shingles), every occurrence of a shingle as an element of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s.view(np.int64) for s, _, _ in shingle_sets(b.column(1).to_pylist())]
+            sets = [occurrences(s, n).view(np.int64) for s, n, _, _ in shingle_bags(b.column(1).to_pylist())]
             ends = np.cumsum([0, *[len(s) for s in sets]])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "shingles"])
@@ -143,8 +145,8 @@ def _verify_blocks(cells: DataFrame, threshold: float) -> DataFrame:
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
-    """``classes`` (id, bands) -> (bucket, band, id, first) of the buckets that hold several; ``first`` is their smallest id."""
-    postings = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
+    """``classes`` (id, n_words, bands) -> (bucket, band, id, n_words, first) of the buckets that hold several; ``first`` is their smallest id."""
+    postings = classes.select("id", "n_words", F.posexplode("bands").alias("band", "bucket"))
     wide = postings.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
     return cut(postings.join(wide.select("bucket", "first"), "bucket"), "dup-shared")
 
@@ -160,14 +162,15 @@ def verified_links(classes: DataFrame, shared: DataFrame, sets: DataFrame, thres
     first = components(links)
 
     # buckets that still hold several components
-    placed = shared.select("bucket", "band", "id").join(first, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
-    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main"), F.count("*").alias("parts")).filter("parts > 1")
+    placed = shared.select("bucket", "band", "id", "n_words").join(first, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", "n_words", F.coalesce("component", "id").alias("component"))
+    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
+    largest = F.max(F.struct("n", "component", "words"))
+    main = counts.groupBy("bucket").agg(largest["component"].alias("main"), F.sum("n").alias("n"), F.sum("words").alias("words"), (F.sum("n") - largest["n"]).alias("n_rest"), (F.sum("words") - largest["words"]).alias("words_rest"), F.count("*").alias("parts")).filter("parts > 1")
     open_ = cut(placed.join(main, "bucket"), "dup-open")
     if open_.isEmpty():
         return first
-    tiles = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
-    n_rest, n_all = tiles(F.col("n") - F.col("n_main"), REST_TILE), tiles(F.col("n"), ALL_TILE)
+    tiles = lambda n, most, words, most_words: F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(words) / most_words)).cast("int")
+    n_rest, n_all = tiles("n_rest", REST_TILE, "words_rest", REST_WORDS), tiles("n", ALL_TILE, "words", ALL_WORDS)
     slot = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     rest = open_.filter("component != main").select("*", F.lit(True).alias("in_rest"), slot(n_rest).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"))
     every = open_.select("*", F.lit(False).alias("in_rest"), F.explode(F.sequence(F.lit(0), n_rest - 1)).alias("i"), slot(n_all).alias("j"))
@@ -179,27 +182,45 @@ def verified_links(classes: DataFrame, shared: DataFrame, sets: DataFrame, thres
     return components(links.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = COORDINATES, bands: int = BANDS) -> DataFrame:
-    """(doc_id, class_id, kept) per row of ``docs``; class_id is the smallest doc_id that links reach."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"))
-    signed = cut(signatures(texts, k, bands), "dup-signed")
-    worded = signed.filter("n_words > 0 and id is not null")
-    classes = cut(worded.groupBy("copy_key").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "dup-classes")
-    shared = shared_buckets(classes.select("id", "bands"))
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with a number for every row, written once so that it stays the row's."""
+    return cut(docs.withColumn(row, F.monotonically_increasing_id()), "dup-rows")
+
+
+def classes_of_rows(rows: DataFrame, threshold: float, k: int, bands: int) -> DataFrame:
+    """(row, doc_id, text) -> (row, doc_id, class_id, kept); one row of each class is kept."""
+    signed = cut(signatures(rows, k, bands), "dup-signed")
+    # without words, only rows of one doc_id are copies
+    signed = signed.withColumn("copy_key", F.when(F.col("n_words") > 0, F.col("copy_key")).otherwise(F.concat(F.lit("doc "), "doc_id")))
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
+    grouped = signed.filter("copy_key is not null").groupBy("copy_key").agg(F.min(order).alias("head"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words"))
+    classes = cut(grouped.select("copy_key", F.col("head.row").alias("id"), "head", "n_words", "bands"), "dup-classes")
+    shared = shared_buckets(classes.filter("n_words > 0").select("id", "n_words", "bands"))
     ids = shared.select("id").distinct()
-    # repeated doc_ids with other texts: a class is its representative's id and text together
-    sets = cut(shingles_of(texts.join(ids, "id", "left_semi").select("id", "text")).dropDuplicates(["id"]), "dup-sets")
+    sets = cut(shingles_of(rows.join(ids, rows["row"] == ids["id"], "left_semi").select("row", "text")), "dup-sets")
     found = verified_links(classes.select("id", "bands"), shared, sets, threshold)
-    heads = classes.join(found, classes["id"] == found["node"], "left").select("copy_key", F.coalesce("component", "id").alias("class_id"))
-    rows = signed.select("id", F.when(F.col("n_words") > 0, F.col("copy_key")).alias("copy_key")).join(heads, "copy_key", "left")
-    return rows.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce(F.coalesce("class_id", "id") == F.col("id"), F.lit(True)).alias("kept"))
+    placed = classes.join(found, classes["id"] == found["node"], "left").select("copy_key", "head", F.coalesce("component", "id").alias("component"))
+    heads = placed.groupBy("component").agg(F.min("head").alias("best"))
+    of_key = cut(placed.join(heads, "component").select("copy_key", "best"), "dup-heads")
+    alone = signed.filter("copy_key is null").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    return signed.join(of_key, "copy_key").select("row", "doc_id", F.col("best.doc_id").alias("class_id"), (F.col("best.row") == F.col("row")).alias("kept")).unionByName(alone)
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class: the one whose doc_id is the class's."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    first = docs.filter("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    return first.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = COORDINATES, bands: int = BANDS) -> DataFrame:
+    """(doc_id, class_id, kept) per row of ``docs``; class_id is the smallest doc_id that links reach."""
+    with scratch(docs.sparkSession):
+        rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), "row").select("row", "doc_id", "text")
+        return finish(classes_of_rows(rows, threshold, k, bands).drop("row"), "near-duplicates")
+
+
+def keep_first(docs: DataFrame, threshold: float = THRESHOLD, k: int = COORDINATES, bands: int = BANDS) -> DataFrame:
+    """``docs`` with one row of each class."""
+    row = free_name(docs.columns, "row")
+    rows = numbered(docs, row)
+    with scratch(docs.sparkSession):
+        found = classes_of_rows(rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), threshold, k, bands)
+        gone = finish(found.filter("not kept").select(F.col("row").alias(row)), "dup-gone")
+    return rows.join(gone, row, "left_anti").select(*[rows[f"`{c}`"] for c in docs.columns])
 
 
 def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Substring dedup by paragraphs: MinHash banding, exact Jaccard verification, removal by components.
 
-Paragraphs are of two kinds. Lines with at least ``LEAST_WORDS`` words go through the same banded join
-as documents do, with bands tuned for recall (a pair at similarity 0.8 is missed with a chance of about
-4 in 100,000), and are linked at an exact Jaccard similarity of five-word shingles of 0.8 or more. As
-repeated passages also stand inside longer lines, every line is cut further, after sentences of some
-words; such segments are classes of equal words. And of every ``SPACING`` neighbouring runs of
-``ANCHOR`` words the one with the smallest hash is an anchor (winnowing), so that any ``LEAST_WORDS``
-equal words hold an equal anchor, wherever they stand and whatever their marks, and the anchors inside
-a passage touch. Where a passage's anchors end, its words are compared with those of the first place, one by
-one, for ``REACH`` words to both sides.
+Paragraphs are lines and, as repeated passages also stand inside longer lines, the parts of lines: they are
+cut after sentences of some words, and parts of over ``LONG`` words without sentence marks at places that
+their own words choose. Paragraphs with at least ``LEAST_WORDS`` words, lines and parts alike, go through
+the same banded join as documents do, as bags of five-word shingles with bands tuned for recall (a pair
+at similarity 0.8 is missed with a chance of about 4 in 100,000), and are linked at an exact weighted
+Jaccard similarity of 0.8 or more. Shorter parts are classes of equal words. And of every ``SPACING``
+neighbouring runs of ``ANCHOR`` words the one with the smallest hash is an anchor (winnowing), so that any
+``LEAST_WORDS`` equal words hold an equal anchor, wherever they stand and whatever their marks, and the
+anchors inside a passage touch; runs that short are similar at 0.8 only if they are equal, so they have no
+bands. Where a passage's anchors end, its words are compared with those of the first place, one by one, for
+``REACH`` words to both sides.
 
 Classes that are linked are one component, whose first place, by doc_id and word, stays. Repeated places
 of a document that lie at most ``GAP_WORDS`` apart make one run; the places of runs that reach over at
@@ -16,17 +18,19 @@ least ``LEAST_WORDS`` words are reported, joined where they touch, and removed b
 between them that were not found again are neither. Places are counted in words (runs of anything but ASCII
 white space), so spans hold for the original text.
 
-Defined cases: null and empty texts have no paragraphs; a paragraph repeated within one text is
-removed there too; repeated rows of one document are one document; ties go to the smaller doc_id and then
-the earlier word; documents with a null doc_id are neither compared nor changed; a document that loses
-all it has is dropped by :func:`remove_repeats`, one that was empty before stays; an empty table gives
-an empty result; extra columns are kept.
+Defined cases: a document is a doc_id together with its text, so rows that share a doc_id but not the
+text never meet each other's places, and rows that repeat both are one document; null and empty texts have
+no paragraphs; a paragraph repeated within one text is removed there too; ties go to the smaller
+doc_id and then the earlier word; documents with a null doc_id are neither compared nor changed; a document
+that loses all it has is dropped by :func:`remove_repeats`, one that was empty before stays; an empty
+table gives an empty result; extra columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,23 +39,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop_tables, table, text_of
+from .common import cut, drop_tables, finish, free_name, scratch, table, text_of
 from .neardup import THRESHOLD, shared_buckets, verified_links
-from .shingles import WORDS, band_keys, dart_signatures, grouped, mix, sequence_hash, shingle_sets, shingles_in_order, words_in
+from .shingles import WORDS, band_keys, dart_signatures, grouped, mix, occurrences, sequence_hash, shingles_in_order, words_in
 
 COORDINATES, BANDS = 42, 14
 LEAST_WORDS = 20
 SENTENCE_WORDS, SEGMENT_WORDS = 6, 4
+LONG, APART = 64, 16
 SPACING, REACH = 10, 16
 ANCHOR = LEAST_WORDS - SPACING + 1
 GAP_WORDS = 4
 DARTS_AT_ONCE = 100_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SPAN = "doc_id long, word int, n_words int, line int, key1 long, key2 long, bands array<long>"
+DOC = ["doc_id", "text_hash"]
+SPAN = "doc_id long, text_hash long, word int, n_words int, key1 long, key2 long, bands array<long>"
 
 
-def edges(h: np.ndarray, at: np.ndarray, b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every word: is it the last one of its line, is it the last one of its segment, and line breaks before it."""
+def edges(h: np.ndarray, at: np.ndarray, b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every word: is it the last one of its line, and is it the last one of its part of the line."""
     broken = np.concatenate([[0], np.cumsum(b == 10)])
     line_end = np.ones(len(h), bool)
     line_end[:-1] = broken[start[1:]] > broken[stop[:-1]]
@@ -65,7 +71,28 @@ def edges(h: np.ndarray, at: np.ndarray, b: np.ndarray, start: np.ndarray, stop:
     sentence = mark(last) | (closing & mark(before)) | wide
     here = np.arange(len(h))
     past = np.concatenate([[-1], np.maximum.accumulate(np.where(sentence | line_end, here, -1))[:-1]])
-    return line_end, line_end | (sentence & (here - past >= SENTENCE_WORDS)), broken[start]
+    ends = line_end | (sentence & (here - past >= SENTENCE_WORDS))
+    return line_end, chosen_cuts(h, ends)
+
+
+def chosen_cuts(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``ends``, with parts of over ``LONG`` words cut before runs of three words whose hash is the least of all within ``APART`` words."""
+    n = len(h) - 2
+    stops = np.flatnonzero(ends)
+    sizes = np.diff(np.concatenate([[-1], stops]))
+    wide = np.repeat(sizes > LONG, sizes)
+    if n <= 2 * APART or not wide.any():
+        return ends
+    key = shingles_in_order(h, 3)
+    least = np.ones(n, bool)
+    least[:APART] = least[n - APART :] = False
+    for j in range(1, APART + 1):
+        least[j:] &= key[j:] < key[:-j]
+        least[:-j] &= key[:-j] <= key[j:]
+    cuts = np.flatnonzero(least & wide[:n] & (np.arange(n) > 0)) - 1
+    out = ends.copy()
+    out[cuts[wide[cuts]]] = True
+    return out
 
 
 def anchors(h: np.ndarray, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,173 +111,180 @@ def anchors(h: np.ndarray, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarra
     return chosen, key[chosen]
 
 
-def _signed(sets: list[np.ndarray], k: int, bands: int) -> np.ndarray:
-    """Band keys of all sets, so many shingles at once."""
+def _signed(sets: list[tuple[np.ndarray, np.ndarray]], k: int, bands: int) -> np.ndarray:
+    """Band keys of all bags (elements, counts), so many shingles at once."""
     out, first, size = [np.zeros((0, bands), np.int64)], 0, 0
-    for i, s in enumerate(sets):
+    for i, (s, _) in enumerate(sets):
         size += len(s)
         if size >= DARTS_AT_ONCE or i + 1 == len(sets):
-            out.append(band_keys(dart_signatures(sets[first : i + 1], k), bands))
+            out.append(band_keys(dart_signatures([x for x, _ in sets[first : i + 1]], k, [n for _, n in sets[first : i + 1]]), bands))
             first, size = i + 1, 0
     return np.concatenate(out)
 
 
 def spans(texts: DataFrame, least_words: int, k: int, bands: int) -> DataFrame:
-    """(doc_id, text) -> paragraphs as ``SPAN``; ``bands`` are empty for those that only equal words link.
+    """(doc_id, text_hash, text) -> paragraphs as ``SPAN``; ``bands`` are empty for those that only equal words link.
 
     Anchors have one key of 64 bits, and 0 as the other.
     """
-    names = ["doc_id", "word", "n_words", "line", "key1", "key2", "bands"]
+    names = [f.split()[0] for f in SPAN.split(", ")]
 
-    def of_group(ids: np.ndarray, texts: list[str]) -> Iterator[pa.RecordBatch]:
+    def of_group(docs: list[np.ndarray], texts: list[str]) -> Iterator[pa.RecordBatch]:
         h, at, b, start, stop = words_in(texts)
         if not len(h):
             return
         owner = np.repeat(np.arange(len(texts)), np.diff(at))
-        line_end, segment_end, breaks = edges(h, at, b, start, stop)
-        text_at = np.concatenate([[0], np.cumsum([len(t.lower().encode("utf-8", "replace")) + 1 for t in texts])])
-        breaks_before = np.concatenate([[0], np.cumsum(b == 10)])[text_at[:-1]]
+        line_end, part_end = edges(h, at, b, start, stop)
         again = mix(h ^ np.uint64(0x94D049BB133111EB))
+        s = shingles_in_order(h)
 
         def ends(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             hi = np.flatnonzero(flag) + 1
             return np.concatenate([[0], hi[:-1]]), hi
 
-        lo, hi = ends(line_end)
-        long = hi - lo >= least_words
-        lines = lo[long], hi[long]
-        s = shingles_in_order(h)
-        signed = _signed([np.unique(s[x : y - WORDS + 1]) for x, y in zip(*lines, strict=True)], k, bands)
-        lo, hi = ends(segment_end)
-        whole = np.isin(lo, lines[0]) & np.isin(hi, lines[1])  # told already, as a line
-        other = (hi - lo >= SEGMENT_WORDS) & ~whole
-        for (lo, hi), keys in ((lines, signed), ((lo[other], hi[other]), np.zeros((other.sum(), 0), np.int64))):
-            doc = owner[lo]
+        def batch(lo: np.ndarray, size: np.ndarray, key1: np.ndarray, key2: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
             held = pa.ListArray.from_arrays(pa.array(np.arange(len(lo) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel(), pa.int64()))
-            columns = [pa.array(ids[doc], pa.int64()), pa.array(lo - at[doc], pa.int32()), pa.array(hi - lo, pa.int32()), pa.array(breaks[lo] - breaks_before[doc], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(sequence_hash(x, lo, hi).view(np.int64)) for x in (h, again)], held], names)
+            columns = [*[pa.array(d[owner[lo]], pa.int64()) for d in docs], pa.array(lo - at[owner[lo]], pa.int32()), pa.array(size, pa.int32()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), held]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        (lo, hi), (plo, phi) = ends(line_end), ends(part_end)
+        inner = (phi - plo >= SEGMENT_WORDS) & ~(np.isin(plo, lo) & np.isin(phi, hi) & (phi - plo >= least_words))  # the others are told as lines
+        lines = hi - lo >= least_words
+        lo, hi = np.concatenate([lo[lines], plo[inner]]), np.concatenate([hi[lines], phi[inner]])
+        long = hi - lo >= least_words
+        signed = _signed([np.unique(s[x : y - WORDS + 1], return_counts=True) for x, y in zip(lo[long], hi[long], strict=True)], k, bands)
+        for some, keys in ((long, signed), (~long, np.zeros(((~long).sum(), 0), np.int64))):
+            x, y = lo[some], hi[some]
+            yield batch(x, y - x, sequence_hash(h, x, y).view(np.int64), sequence_hash(again, x, y).view(np.int64), keys)
         lo, key = anchors(h, at, owner)
-        none = np.zeros(len(lo) + 1, np.int32)
-        held = pa.ListArray.from_arrays(pa.array(none), pa.array([], pa.int64()))
-        columns = [pa.array(ids[owner[lo]], pa.int64()), pa.array(lo - at[owner[lo]], pa.int32()), pa.array(none[1:] + ANCHOR, pa.int32()), pa.array(none[1:])]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(key.view(np.int64)), pa.array(none[1:], pa.int64()), held], names)
+        yield batch(lo, np.full(len(lo), ANCHOR), key.view(np.int64), np.zeros(len(lo), np.int64), np.zeros((len(lo), 0), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
+            docs = [b.column(c).to_numpy() for c in range(2)]
             with np.errstate(over="ignore"):
-                for first, some in grouped(b.column(1).to_pylist()):
-                    yield from of_group(ids[first : first + len(some)], some)
+                for first, some in grouped(b.column(2).to_pylist()):
+                    yield from of_group([d[first : first + len(some)] for d in docs], some)
 
     return texts.mapInArrow(run, SPAN)
 
 
-def shingles_of_lines(texts: DataFrame) -> DataFrame:
-    """(text, wanted: array of (line, id)) -> (id, shingles)."""
+def shingles_of_spans(texts: DataFrame) -> DataFrame:
+    """(text, wanted: array of (word, n_words, id)) -> (id, shingles), every occurrence as an element of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines = text.split("\n")
-                # rows that repeat a doc_id with another text may have fewer lines
-                ids = [w["id"] for w in wanted if w["line"] < len(lines)]
-                sets = [s.view(np.int64) for s, _, _ in shingle_sets([lines[w["line"]] for w in wanted if w["line"] < len(lines)])]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(s) for s in sets]]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["id", "shingles"])
+                with np.errstate(over="ignore"):
+                    s = shingles_in_order(words_in([text])[0])
+                    sets = [occurrences(*np.unique(s[w["word"] : w["word"] + w["n_words"] - WORDS + 1], return_counts=True)).view(np.int64) for w in wanted]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x) for x in sets]]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+                yield pa.RecordBatch.from_arrays([pa.array([w["id"] for w in wanted], pa.int64()), lists], ["id", "shingles"])
 
     return texts.mapInArrow(run, "id long, shingles array<long>")
 
 
-def linked_lines(texts: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Lines as ``SPAN`` -> (key1, key2, c1, c2): classes that are linked with others, and their component's own class."""
-    spot = F.struct("doc_id", "line")
-    classes = cut(lines.groupBy("key1", "key2").agg(F.min(spot).alias("spot"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "par-classes")
-    shared = shared_buckets(classes.select("id", "bands"))
+def linked_paragraphs(texts: DataFrame, banded: DataFrame, threshold: float) -> DataFrame:
+    """Paragraphs with bands -> (key1, key2, c1, c2): classes that are linked with others, and their component's own class."""
+    spot = F.struct(*DOC, "word", "n_words")
+    classes = cut(banded.groupBy("key1", "key2").agg(F.min(spot).alias("spot"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "par-classes")
+    shared = shared_buckets(classes.select("id", F.col("spot.n_words").alias("n_words"), "bands"))
     ids = shared.select("id").distinct()
-    wanted = classes.join(ids, "id", "left_semi").groupBy("spot.doc_id").agg(F.collect_list(F.struct("spot.line", "id")).alias("wanted"))
-    sets = cut(shingles_of_lines(texts.join(wanted, "doc_id").select("text", "wanted")).dropDuplicates(["id"]), "par-sets")
+    wanted = classes.join(ids, "id", "left_semi").groupBy("spot.doc_id", "spot.text_hash").agg(F.collect_list(F.struct("spot.word", "spot.n_words", "id")).alias("wanted"))
+    sets = cut(shingles_of_spans(texts.join(wanted, DOC).select("text", "wanted")).dropDuplicates(["id"]), "par-sets")
     found = verified_links(classes.select("id", "bands"), shared, sets, threshold)
     heads = classes.select(F.col("id").alias("component"), F.col("key1").alias("c1"), F.col("key2").alias("c2"))
     return cut(found.join(classes.select(F.col("id").alias("node"), "key1", "key2"), "node").join(heads, "component").select("key1", "key2", "c1", "c2"), "par-linked")
 
 
 def words_around(texts: DataFrame) -> DataFrame:
-    """(doc_id, text, wanted: words at which anchors begin) -> (doc_id, word, before, after): hashes of the words next to each anchor, the nearest first."""
+    """(doc_id, text_hash, text, wanted: words at which anchors begin) -> (doc_id, text_hash, word, before, after): hashes of the words next to each anchor, the nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, text, wanted in zip(*[b.column(c).to_pylist() for c in range(3)], strict=True):
+            for doc, text_hash, text, wanted in zip(*[b.column(c).to_pylist() for c in range(4)], strict=True):
                 with np.errstate(over="ignore"):
                     h = words_in([text])[0].astype(np.uint32).view(np.int32)
-                out += [(doc, w, h[max(0, w - REACH) : w][::-1], h[w + ANCHOR : w + ANCHOR + REACH]) for w in wanted]
-            columns = zip(*out, strict=True) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], ["doc_id", "word", "before", "after"])
+                out += [(doc, text_hash, w, h[max(0, w - REACH) : w][::-1], h[w + ANCHOR : w + ANCHOR + REACH]) for w in wanted]
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], [*DOC, "word", "before", "after"])
 
-    return texts.mapInArrow(run, "doc_id long, word int, before array<int>, after array<int>")
+    return texts.mapInArrow(run, "doc_id long, text_hash long, word int, before array<int>, after array<int>")
 
 
 def grown(texts: DataFrame, met: DataFrame) -> DataFrame:
-    """Anchors (doc_id, word, first) that are not first places -> those at the ends of passages, with the equal words
-    before and after them: (doc_id, word, first, left, right)."""
-    along = W.partitionBy("doc_id").orderBy("word", "first")
+    """Anchors (DOC, word, first) that are not first places -> those at the ends of passages, with the equal words
+    before and after them: (DOC, word, first, left, right)."""
+    along = W.partitionBy(*DOC).orderBy("word", "first")
+    same_first = [F.col(f"first.{c}") for c in DOC]
 
     def follows(step) -> Column:
         """The next anchor on one side touches this one, here and at the first place."""
         by = F.abs(F.col("word") - step("word").over(along))
-        return F.coalesce((by <= ANCHOR) & (step("first.doc_id").over(along) == F.col("first.doc_id")) & (F.abs(F.col("first.word") - step("first.word").over(along)) == by), F.lit(False))
+        alike = reduce(lambda x, y: x & y, [step(c).over(along) == c for c in same_first])
+        return F.coalesce((by <= ANCHOR) & alike & (F.abs(F.col("first.word") - step("first.word").over(along)) == by), F.lit(False))
 
     ends = cut(met.distinct().withColumn("inner", follows(F.lag) & follows(F.lead)).filter("not inner").drop("inner"), "par-ends")
-    spots = ends.select("doc_id", "word").unionByName(ends.select("first.doc_id", "first.word")).distinct()
-    wanted = spots.groupBy("doc_id").agg(F.collect_list("word").alias("wanted"))
-    around = cut(words_around(texts.join(wanted, "doc_id").select("doc_id", "text", "wanted")).dropDuplicates(["doc_id", "word"]), "par-around")
-    there = around.select(F.struct("doc_id", "word").alias("first"), F.col("before").alias("first_before"), F.col("after").alias("first_after"))
+    spots = ends.select(*DOC, "word").unionByName(ends.select("first.*")).distinct()
+    wanted = spots.groupBy(*DOC).agg(F.collect_list("word").alias("wanted"))
+    around = cut(words_around(texts.join(wanted, DOC).select(*DOC, "text", "wanted")).dropDuplicates([*DOC, "word"]), "par-around")
+    there = around.select(F.struct(*DOC, "word").alias("first"), F.col("before").alias("first_before"), F.col("after").alias("first_after"))
 
     def equal(a: str, b: str) -> Column:
         same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
         end = F.array_position(same, False).cast("int")
         return F.when(end > 0, end - 1).otherwise(F.size(same))
 
-    both = ends.join(around, ["doc_id", "word"]).join(there, "first")
-    return cut(both.select("doc_id", "word", "first", equal("before", "first_before").alias("left"), equal("after", "first_after").alias("right")), "par-grown")
+    both = ends.join(around, [*DOC, "word"]).join(there, "first")
+    return cut(both.select(*DOC, "word", "first", equal("before", "first_before").alias("left"), equal("after", "first_after").alias("right")), "par-grown")
 
 
-def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, threshold: float = THRESHOLD, k: int = COORDINATES, bands: int = BANDS) -> DataFrame:
-    """One row per passage that occurs more than once, copies and near copies alike:
-    (doc_id, word, n_words, first_doc_id, first_word, kept)."""
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+def passages(docs: DataFrame, least_words: int, threshold: float, k: int, bands: int) -> DataFrame:
+    """One row per passage that occurs more than once: (DOC, word, n_words, first, kept)."""
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     held = cut(spans(texts, least_words, k, bands), "par-spans")
-    linked = linked_lines(texts, held.filter(F.size("bands") > 0), threshold)
+    linked = linked_paragraphs(texts, held.filter(F.size("bands") > 0), threshold)
     twice = held.groupBy("key1", "key2").agg(F.count("*").alias("n")).filter("n > 1").select("key1", "key2")
     heads = cut(twice.join(linked, ["key1", "key2"], "full").select("key1", "key2", F.coalesce("c1", "key1").alias("c1"), F.coalesce("c2", "key2").alias("c2")), "par-heads")
-    members = cut(held.join(heads, ["key1", "key2"]).select("doc_id", "word", "n_words", "c1", "c2"), "par-members")
+    members = cut(held.join(heads, ["key1", "key2"]).select(*DOC, "word", "n_words", "c1", "c2"), "par-members")
     drop_tables(held)
-    spot = F.struct("doc_id", "word")
+    spot = F.struct(*DOC, "word")
     # written, so that the join stands on two exchanges and a component with very many places can be split
     first = cut(members.groupBy("c1", "c2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).filter("first != last").select("c1", "c2", "first"), "par-first")
-    placed = members.join(first, ["c1", "c2"]).select("doc_id", "word", (F.col("word") + F.col("n_words")).alias("past"), "first", (spot == F.col("first")).alias("kept"), (F.col("c2") == 0).alias("anchor"))
+    placed = members.join(first, ["c1", "c2"]).select(*DOC, "word", (F.col("word") + F.col("n_words")).alias("past"), "first", (spot == F.col("first")).alias("kept"), (F.col("c2") == 0).alias("anchor"))
     placed = cut(placed, "par-placed")
     drop_tables(members)
-    more = grown(texts, placed.filter("anchor and not kept").select("doc_id", "word", "first"))
+    more = grown(texts, placed.filter("anchor and not kept").select(*DOC, "word", "first"))
     begin = F.col("first.word") - F.col("left")
-    ends = more.select("doc_id", (F.col("word") - F.col("left")).alias("word"), (F.col("word") + ANCHOR + F.col("right")).alias("past"), F.struct(F.col("first.doc_id").alias("doc_id"), begin.alias("word")).alias("first"), F.lit(False).alias("kept"), F.col("first.word").alias("guard"))
+    grown_first = F.struct(*[F.col(f"first.{c}").alias(c) for c in DOC], begin.alias("word"))
+    ends = more.select(*DOC, (F.col("word") - F.col("left")).alias("word"), (F.col("word") + ANCHOR + F.col("right")).alias("past"), grown_first.alias("first"), F.lit(False).alias("kept"), F.col("first.word").alias("guard"))
     heads_grown = more.groupBy("first").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    heads_grown = heads_grown.select("first.doc_id", begin.alias("word"), (F.col("first.word") + ANCHOR + F.col("right")).alias("past"), F.struct("first.doc_id", begin.alias("word")).alias("first"), F.lit(True).alias("kept"), F.lit(None).cast("int").alias("guard"))
-    placed = placed.select("doc_id", "word", "past", "first", "kept", F.when(F.col("anchor") & ~F.col("kept"), F.col("first.word")).alias("guard")).unionByName(ends).unionByName(heads_grown)
+    heads_grown = heads_grown.select(*[F.col(f"first.{c}").alias(c) for c in DOC], begin.alias("word"), (F.col("first.word") + ANCHOR + F.col("right")).alias("past"), grown_first.alias("first"), F.lit(True).alias("kept"), F.lit(None).cast("int").alias("guard"))
+    placed = placed.select(*DOC, "word", "past", "first", "kept", F.when(F.col("anchor") & ~F.col("kept"), F.col("first.word")).alias("guard")).unionByName(ends).unionByName(heads_grown)
     # a place that overlaps its own first place (a text that repeats a few words) begins after it
-    own = (F.col("doc_id") == F.col("first.doc_id")) & F.col("guard").isNotNull()
+    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & F.col("guard").isNotNull()
     placed = placed.withColumn("word", F.when(own, F.greatest("word", F.col("guard") + ANCHOR)).otherwise(F.col("word"))).filter("word < past")
-    along = W.partitionBy("doc_id", "kept").orderBy("word", "past")
+    along = W.partitionBy(*DOC, "kept").orderBy("word", "past")
     reach = F.max("past").over(along.rowsBetween(W.unboundedPreceding, -1))
     opens = placed.withColumn("opens", F.coalesce(F.col("word") > reach + GAP_WORDS, F.lit(True)).cast("int"))
     opens = opens.withColumn("parts", F.coalesce(F.col("word") > reach, F.lit(True)).cast("int"))
     so_far = along.rowsBetween(W.unboundedPreceding, 0)
-    pieces = opens.withColumns({"run": F.sum("opens").over(so_far), "piece": F.sum("parts").over(so_far)}).groupBy("doc_id", "kept", "run", "piece")
+    pieces = opens.withColumns({"run": F.sum("opens").over(so_far), "piece": F.sum("parts").over(so_far)}).groupBy(*DOC, "kept", "run", "piece")
     out = pieces.agg(F.min("word").alias("word"), F.max("past").alias("past"), F.min("first").alias("first"))
     # the words between the pieces of a run were not compared: they count for its length and stay
-    run = W.partitionBy("doc_id", "kept", "run")
+    run = W.partitionBy(*DOC, "kept", "run")
     out = out.withColumn("reach", F.max("past").over(run) - F.min("word").over(run)).filter(F.col("reach") >= least_words).withColumn("n_words", F.col("past") - F.col("word"))
-    return out.select("doc_id", "word", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.word").alias("first_word"), "kept")
+    return out.select(*DOC, "word", "n_words", "first", "kept")
+
+
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, threshold: float = THRESHOLD, k: int = COORDINATES, bands: int = BANDS) -> DataFrame:
+    """One row per passage that occurs more than once, copies and near copies alike:
+    (doc_id, word, n_words, first_doc_id, first_word, kept)."""
+    with scratch(docs.sparkSession):
+        found = passages(docs, least_words, threshold, k, bands)
+        return finish(found.select("doc_id", "word", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.word").alias("first_word"), "kept"), "repeated-passages")
 
 
 def without(text: str, gone: list[tuple[int, int]]) -> str:
@@ -272,10 +306,13 @@ def without(text: str, gone: list[tuple[int, int]]) -> str:
     return "".join(out) + text[done:]
 
 
-def remove_repeats(docs: DataFrame, **options) -> DataFrame:
+def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, threshold: float = THRESHOLD, k: int = COORDINATES, bands: int = BANDS) -> DataFrame:
     """``docs`` without the repeated passages but their first occurrence; ``n_chars`` follows the text where there is one."""
-    found = repeated_passages(docs, **options).filter("not kept").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list(F.struct("word", "n_words")).alias("gone_spans"))
     names = docs.columns
+    gone_id, gone_hash, gone_spans = (free_name(names, n) for n in ("gone_id", "gone_hash", "gone_spans"))
+    with scratch(docs.sparkSession):
+        found = passages(docs, least_words, threshold, k, bands).filter("not kept").groupBy(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).agg(F.collect_list(F.struct("word", "n_words")).alias(gone_spans))
+        found = finish(found, "par-gone")
     text, count = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +330,8 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
                 columns[count] = pa.array(sizes, b.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).filter(pa.array(kept))
 
-    rows = docs.join(found, F.col("doc_id").cast("long") == F.col("gone_id"), "left").select(*[docs[f"`{c}`"] for c in names], "gone_spans")
+    here = (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.xxhash64(text_of()) == F.col(gone_hash))
+    rows = docs.join(found, here, "left").select(*[docs[f"`{c}`"] for c in names], gone_spans)
     return rows.mapInArrow(run, T.StructType(docs.schema.fields))
 
 

@@ -74,8 +74,8 @@ def sequence_hash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix((order[hi] - order[lo]) * down[lo] + (hi - lo).astype(np.uint64))
 
 
-def shingle_sets(texts: list[str], words: int = WORDS) -> Iterator[tuple[np.ndarray, int, int]]:
-    """Per text: its distinct shingle hashes in order, a hash of its word sequence, and its number of words.
+def shingle_bags(texts: list[str], words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """Per text: its distinct shingle hashes in order, how often each occurs, a hash of its word sequence, and its number of words.
 
     A text of fewer words than a shingle has one shingle, of all its words; one without words has none.
     """
@@ -86,12 +86,25 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> Iterator[tuple[np.ndar
             for lo, hi, whole in zip(at[:-1].tolist(), at[1:].tolist(), sequence_hash(h, at[:-1], at[1:]).tolist(), strict=True):
                 n = hi - lo
                 if n >= words:
-                    yield np.unique(s[lo : hi - words + 1]), whole, n
+                    yield *np.unique(s[lo : hi - words + 1], return_counts=True), whole, n
                 else:
-                    yield np.full(min(n, 1), whole, np.uint64), whole, n
+                    yield np.full(min(n, 1), whole, np.uint64), np.ones(min(n, 1), np.int64), whole, n
 
 
-def dart_signatures(sets: list[np.ndarray], k: int, weights: list[np.ndarray] | None = None, seed: int = 0) -> np.ndarray:
+def occurrences(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A bag as a set: the k-th occurrence of a shingle is an element of its own.
+
+    The Jaccard similarity of two such sets is the weighted Jaccard similarity of the bags.
+    """
+    if len(elements) == counts.sum():
+        return elements
+    k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    flat = np.repeat(elements, counts)
+    with np.errstate(over="ignore"):
+        return np.unique(np.where(k > 0, mix(flat + k.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), flat))
+
+
+def dart_signatures(sets: list[np.ndarray], k: int, weights: list[np.ndarray], seed: int = 0) -> np.ndarray:
     """DartMinHash: one row of ``k`` darts per weighted set.
 
     Darts fall on (element, weight, rank) as a Poisson process that depends on the element alone: in each
@@ -103,7 +116,7 @@ def dart_signatures(sets: list[np.ndarray], k: int, weights: list[np.ndarray] |
     """
     out = np.zeros((len(sets), k), np.uint64)
     todo = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
-    mass = np.array([float(len(s)) if weights is None else float(weights[i].sum()) for i, s in enumerate(sets)])
+    mass = np.array([float(w.sum()) for w in weights])
     reach = k * (np.log(k) + 3.0)
     with np.errstate(over="ignore"):
         while len(todo):
@@ -111,7 +124,7 @@ def dart_signatures(sets: list[np.ndarray], k: int, weights: list[np.ndarray] |
             element = np.concatenate([sets[i] for i in todo])
             row = np.repeat(np.arange(len(todo)), size)
             limit = np.repeat(reach / mass[todo], size)
-            weight = np.ones(len(element)) if weights is None else np.concatenate([weights[i] for i in todo])
+            weight = np.concatenate([weights[i] for i in todo]).astype(np.float64)
             best = np.full(len(todo) * k, np.uint64(0xFFFFFFFFFFFFFFFF))
             low, band = 0.0, 0
             while len(element):
@@ -126,7 +139,7 @@ def dart_signatures(sets: list[np.ndarray], k: int, weights: list[np.ndarray] |
                     v = mix(u ^ np.uint64(0x5851F42D4C957F2D))
                     dart = (rank.view(np.uint64) & ~np.uint64(0xFFFFFF)) | (v & np.uint64(0xFFFFFF))
                     cell = r * k + ((v >> np.uint64(24)) % np.uint64(k)).astype(np.int64)
-                    if weights is not None:
+                    if band or (weight < 1).any():  # else every dart of the band lies under its element's weight
                         place = low + width * (mix(v) >> np.uint64(11)).astype(np.float64) * 2.0**-53
                         cell, dart = cell[place < w], dart[place < w]
                     np.minimum.at(best, cell, dart)

@@ -175,7 +175,8 @@ def score(docs: DataFrame, model: Model, columns: list[str], name: str = "score"
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p)], [*b.schema.names[:-1], name])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], text_of().alias("scored_text_"))
+    # columns come back by place, so names may clash
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], text_of())
     out = T.StructType([*rows.schema.fields[:-1], T.StructField(name, T.DoubleType())])
     return rows.mapInArrow(run, out)
 
