@@ -221,6 +221,37 @@ def test_tiles_count_each_pair_once(spark, monkeypatch):
     assert sorted(pivots.near_vectors(df).collect()) == want
 
 
+def test_every_length_is_compared(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0, 0.0, 0.1]), (4, [1.0, 0.0]), (5, [2.0, 0.0]), (6, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [0.0, 1.0]), (None, [1.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 4, True), (5, 2, 4, False), (6, 2, 4, False), (7, 1, 7, True), (7, 1, 7, True)]
+
+
+@pytest.mark.parametrize("dim", [64, 256])
+def test_pairs_at_the_threshold_share_points(dim):
+    """Recall of the index at a cosine just over 0.9, also where points are many and searched by cells."""
+    rng = np.random.default_rng(dim)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(6000, dim)))
+    side = rng.normal(size=(1000, dim))
+    side = unit(side - (side * x[:1000]).sum(axis=1, keepdims=True) * x[:1000])
+    near = 0.902 * x[:1000] + np.sqrt(1 - 0.902**2) * side
+    for n in (10_000, 250_000):
+        index = pivots.build({dim: x}, {dim: 1.0}, n, 0.9, 1)
+        count, weight = pivots._shared(index.describe(x[:1000]), index.describe(near))
+        assert ((count >= pivots.SHARED) & (weight >= index.least[dim] - 1e-4)).mean() >= 0.95, n
+
+
+def test_pairs_of_points_name_lists_where_there_are_too_many(spark, monkeypatch):
+    _, df = cloud(spark)
+    want = sorted(pivots.near_vectors(df).collect())
+    monkeypatch.setattr(pivots, "LIST", 10**9)  # few points
+    few = sorted(pivots.near_vectors(df).collect())
+    monkeypatch.setattr(pivots, "tile_links", lambda d, n, index, t, real=pivots.tile_links: real(d, 10**15, index, t))
+    assert sorted(pivots.near_vectors(df).collect()) == few
+    assert sum(r.n_links for r in few) >= 0.97 * sum(r.n_links for r in want)
+
+
 def test_tree_search(spark):
     x, df = cloud(spark, 600)
     rows = kmtree.search(df, F.col("vec_id") % 50 == 0, most_sampled=400).collect()

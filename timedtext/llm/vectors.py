@@ -17,10 +17,7 @@ def matrix(column) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 0))
 
 
-def sample(vectors: DataFrame, most: int, seed: int) -> np.ndarray:
-    """At most ``most`` vectors of the commonest length, the same ones at every run."""
+def sample(vectors: DataFrame, most: int, seed: int) -> dict[int, np.ndarray]:
+    """At most ``most`` vectors, the same ones at every run, as one matrix per length."""
     rows = vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(most).toPandas()
-    if not len(rows):
-        return np.zeros((0, 0))
-    sizes = rows["embedding"].map(len)
-    return matrix(rows["embedding"][sizes == sizes.mode().iloc[0]].tolist())
+    return {int(n): matrix(some.tolist()) for n, some in rows["embedding"].groupby(rows["embedding"].map(len))} if len(rows) else {}
