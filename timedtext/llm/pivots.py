@@ -148,48 +148,6 @@ def build(points: dict[int, np.ndarray], share: dict[int, float], n: int, thresh
     return index
 
 
-def describe(self, x: np.ndarray) -> np.ndarray:
-        """Names of the nearest points of unit vectors, nearest first; points of different lengths have different names."""
-        return self.of_length(x.shape[1]).nearest(x, self.nearest) + (x.shape[1] << LENGTH_SHIFT)
-
-
-def weights(n: int) -> np.ndarray:
-    """Of ranks 0 to n - 1: nearer points count more; all together, squared, are 1."""
-    w = np.arange(n, 0, -1, dtype=np.float64)
-    return w / np.sqrt((w * w).sum())
-
-
-def _shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row by row: how many points two descriptions share, and the weight of those."""
-    same = a[:, :, None] == b[:, None, :]
-    w = weights(a.shape[1])
-    return same.sum(axis=(1, 2)), (same * w[:, None] * w[None, :]).sum(axis=(1, 2))
-
-
-def build(points: dict[int, np.ndarray], share: dict[int, float], n: int, threshold: float, seed: int) -> Index:
-    """Points for ``n`` vectors of which each length has its share, and how many of them describe a vector."""
-    rng = np.random.default_rng(seed)
-    index = Index({})
-    for dim, x in points.items():
-        wanted = min(MOST_POINTS, MOST_BYTES // (8 * dim), max(32, int(n * share[dim] * NEAREST[2] / LIST)))
-        index.points[dim] = Points.of(x[:wanted])
-    dim = max(share, key=share.get)
-    x = points[dim][-TURNED:]
-    side = rng.normal(size=x.shape)
-    side -= (side * x).sum(axis=1, keepdims=True) * x
-    size = np.linalg.norm(side, axis=1, keepdims=True)
-    turned = np.where(size > 1e-9, threshold * x + np.sqrt(1 - threshold**2) * side / np.maximum(size, 1e-9), x)
-    near = np.argwhere(np.triu(points[dim][-2 * TURNED :] @ points[dim][-2 * TURNED :].T >= threshold, 1))
-    near = near[rng.permutation(len(near))[: 4 * TURNED]]
-    pairs = [(x, turned), *([tuple(points[dim][-2 * TURNED :][near.T])] if len(near) else [])]
-    for index.nearest in NEAREST:
-        found = [_shared(index.describe(a), index.describe(b)) for a, b in pairs]
-        if all((count >= SHARED).mean() >= RECALL for count, _ in found):
-            break
-    index.least = min((float(np.quantile(weight[count >= SHARED], 0.002)) for count, weight in found if (count >= SHARED).any()), default=0.0)
-    return index
-
-
 def describe(classes: DataFrame, index: Index) -> DataFrame:
     """Adds ``pivots``: the ordered nearest reference points."""
     held = classes.sparkSession.sparkContext.broadcast(index)
