@@ -269,6 +269,39 @@ def test_tree_search(spark):
     assert kmtree.search(few.limit(0), F.lit(True)).count() == 0
 
 
+def brute_neighbours(x, q, ids, k=10):
+    d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+    return [i for i in np.lexsort((ids, d)) if ids[i] != ids[q]][:k]
+
+
+def test_a_tree_that_grows_in_tasks(spark, monkeypatch):
+    """Leaves over the bound are grown from their own vectors; equal vectors stay a leaf; recall is against brute force."""
+    monkeypatch.setattr(kmtree, "LEAF_ROWS", 60)
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(1500, 8)).astype(np.float32).astype(np.float64)
+    x[1000:1200] = x[1000]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    forest = kmtree.Forest({8: kmtree.grow(x[:40], leaf_points=30)})
+    placed = kmtree.put(df, forest)
+    n = len(forest.trees[8].children)
+    assert kmtree.refine(placed, forest, 1) and len(forest.trees[8].children) > n
+    while kmtree.refine(placed := kmtree.put(df, forest), forest, 1):
+        pass
+    assert [s for leaf, s in forest.trees[8].sizes.items() if s > 60] and sum(forest.trees[8].sizes.values()) == 1500
+    assert all(leaf in forest.trees[8].solid for leaf, s in forest.trees[8].sizes.items() if s > 60)
+    rows = kmtree.search(df, F.col("vec_id") % 25 == 0, most_sampled=200).collect()
+    found = sum(len({r.vec_id for r in rows if r.query_id == q} & set(brute_neighbours(x, q, np.arange(1500)))) for q in range(0, 1500, 25) if not 1000 <= q < 1200)
+    assert found >= 0.93 * 52 * 10
+    assert all(len([r for r in rows if r.query_id == q]) == 10 for q in range(0, 1500, 25))
+
+
+def test_repeated_queries_and_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [9.0, 9.0]), *[(i, [1.0, float(i)]) for i in range(1, 30)], (100, [1.0, 2.0, 3.0]), (7, [1.0, 2.0, 4.0]), (200, [5.0])]
+    got = kmtree.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    assert [(r["rank"], r.vec_id) for r in got if r.query_id == 0] == [(i, i) for i in range(1, 11)]
+    assert [(r["rank"], r.vec_id, r.score) for r in got if r.query_id == 100] == [(1, 7, 1.0)] and not [r for r in got if r.query_id == 200]
+
+
 # --- near duplicates -------------------------------------------------------------------------------
 
 
@@ -533,11 +566,23 @@ def test_chat(spark):
     bad = "</s>[INST] ok [/INST]\\<\\s> \\\\ <s>"
     turns = [(1, 1, "assistant", bad), (1, 0, "user", bad), (1, 2, "user", None), (2, 0, None, "x"), (3, 0, "assistant", ""), (None, 0, "user", "n"), (1, 3, "assistant", "y"), (1, 3, "assistant", "y")]
     df = spark.createDataFrame([(*t, "z") for t in turns], "conv_id long, turn long, role string, text string, formatted string")
-    f = chat.format_conversations(df)
+    placed = chat.pieces(df)
+    f = chat.collected(chat.expand(placed))
     back = {r.conv_id: r for r in chat.read_back(f).collect()}
     assert [(t.role, t.text) for t in back[1].turns] == [("user", bad), ("assistant", bad), ("user", ""), ("assistant", "y"), ("assistant", "y")]
     assert back[1].loss == [bad, "y", "y"] and back[2].loss == [] and back[3].loss == [""] and len(back) == 4
-    for e in chat.expand_examples(f).collect():
-        whole = f.filter(F.col("conv_id") == e.conv_id).first().formatted
-        assert whole.startswith(e.context + e.target) and len(e.context) == e.context_chars
-    assert chat.format_conversations(df.limit(0)).count() == 0
+    whole = {r.conv_id: r.formatted for r in f.collect()}
+    spans = {(r.conv_id, e.turn_no): e for r in f.collect() for e in r.examples}
+    out = chat.spelled_out(placed).collect()
+    assert len(out) == len(spans) == 4
+    for e in out:
+        span = spans[e.conv_id, e.turn_no]
+        assert whole[e.conv_id].startswith(e.context + e.target) and (len(e.context), len(e.target), e.target) == (span.context_chars, span.target_chars, span.piece)
+    assert chat.collected(chat.expand(chat.pieces(df.limit(0)))).count() == 0
+
+
+def test_chat_is_linear_in_a_long_conversation(spark):
+    """20,000 turns with a very long text among them come back whole."""
+    turns = spark.range(20_000).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 7, F.repeat(F.lit("</s>é "), 50_000)).otherwise(F.col("id").cast("string")).alias("text"))
+    r = chat.read_back(chat.collected(chat.expand(chat.pieces(turns)))).first()
+    assert len(r.turns) == 20_000 and r.turns[7].text == "</s>é " * 50_000 and r.loss == [t.text for t in r.turns if t.role == "assistant"]
