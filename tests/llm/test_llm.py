@@ -102,13 +102,43 @@ def test_token_files(spark):
     root, manifest, index = token_files(spark, docs)
     keys = spark.createDataFrame([(k,) for k in (0, 1, 2, 3, 99, -5)], "key long")
     found = tokenfiles.lookup(keys, index, root, 3)
-    assert sorted((r.key, r["count"]) for r in found.collect()) == [(0, 1), (1, 1), (2, 3), (3, 1)]
+    # a key's records may go on in the next shard, as another run
+    assert sorted((r.key, r["n"]) for r in found.groupBy("key").agg(F.sum("count").alias("n")).collect()) == [(0, 1), (1, 1), (2, 3), (3, 1)]
     rows = tokenfiles.read_records(found, manifest.select("shard", "file").distinct(), root, 3).collect()
     want = sorted(zlib.crc32(x + np.array([1], "<u4").tobytes()) for x in tokens.ChunkEncoder(tokens.vocabulary(tokens.WORD_LEVEL), False).encode(["", "", "Hello, World", "again", "more", "a b"]))
     assert sorted(r.ids_crc32 for r in rows) == want
     assert token_files(spark, docs.limit(0))[1].count() == 0
 
 
+def test_one_key_over_many_shards(spark):
+    """Null doc_ids and one id for many rows spread over shards, and every record is found again."""
+    docs = spark.range(400).select(F.when(F.col("id") < 150, F.lit(7)).when(F.col("id") < 300, F.lit(None)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    root = tokenfiles.shared_path(spark, "t")
+    tokenfiles.store(root)[0].create_dir(tokenfiles.store(root)[1])
+    manifest = tokenfiles.cut(tokenfiles.write_shards(docs, root, tokens.vocabulary(tokens.WORD_LEVEL), 8), "m")
+    held = manifest.groupBy("key").agg(F.countDistinct("shard").alias("n")).filter("n > 1").collect()
+    assert {r.key for r in held} >= {7, tokenfiles.NULL_KEY}
+    rows = tokenfiles._written_and_read(docs, root, 8, 3).collect()
+    encoder = tokens.ChunkEncoder(tokens.vocabulary(tokens.WORD_LEVEL), False)
+    want = sorted(zlib.crc32(x + np.array([1], "<u4").tobytes()) for x in encoder.encode([r.text for r in docs.collect()]))
+    assert sorted(r.ids_crc32 for r in rows) == want
+    at = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    order = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
+    assert order == [None] * 150 + [7] * 150 + list(range(300, 400))
+
+
+def test_long_chunks_are_not_kept():
+    encoder = tokens.ChunkEncoder(tokens.vocabulary(tokens.BYTE_LEVEL), True, memory=4000)
+    texts = ["x " + "漢字" * 5000, *[f"word{i} other{i}" for i in range(200)]]
+    plain = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts, at_once=100) == plain and encoder.encode(texts) == plain
+    encoder.encode(["a b"])
+    assert max(map(len, encoder.known)) <= tokens.LONG_CHUNK and len(encoder.known) < 450
+
+
 def test_token_file_query_against_the_library(spark):
     got = {r.doc_id: r for r in tokenfiles.op3_perfect_hash_ids(spark, D).collect()}
     t, at = tokens.ChunkEncoder(tokens.vocabulary(tokens.WORD_LEVEL), False).tokenizer, 0

@@ -5,14 +5,14 @@ copies, proportional to ``size ** exponent`` and never above ``max_copies``. The
 number is taken for certain. The rest is an inclusion probability p; documents are ranked by their
 random odds over their inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``, and the lowest ranks are
 taken until the words still missing from the target are reached (the last one only where that comes
-nearer). ``u`` is a hash of ``doc_id`` and the seed, so reruns agree.
+nearer). ``u`` is a hash of ``doc_id``, text and the seed, so reruns agree.
 
 No source is ever gathered in one task: ranks are first counted in ``RANGES`` ranges of the rank's
 value per source, and only the range in which a source's sample ends is looked at row by row.
 
 Defined cases: a null text has size 0; a null source is a source of its own, after all others;
-documents of size 0 are never taken; rows that repeat a doc_id share its rank, and are taken or left
-together; an empty table gives an empty result; columns that are not needed are left alone.
+documents of size 0 are never taken; rows that share a doc_id, or have none, are drawn each for itself
+unless their texts are equal too, then they are taken or left together; an empty table gives an empty result; columns that are not needed are left alone.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, finish, scratch, table
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -76,7 +76,7 @@ def _drawn(df: DataFrame, exponent: float, max_copies: int, seed: int) -> DataFr
     """Adds ``whole`` (certain copies), ``rank`` (null where nothing is left to draw) and ``span`` (range of ranks)."""
     copies = F.when(F.col("size") > 0, F.least(F.lit(float(max_copies)), F.coalesce(F.col("rate") * F.pow(F.col("size").cast("double"), F.lit(exponent)), F.lit(float(max_copies))))).otherwise(0.0)
     df = df.withColumn("whole", F.floor(copies + 1e-9).cast("long")).withColumn("p", copies - F.col("whole"))
-    u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 48)) + 0.5) / float(1 << 48)
+    u = (F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(1 << 48)) + 0.5) / float(1 << 48)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     df = df.withColumn("rank", F.when(F.col("p") > 1e-9, odds / (1 + odds)))
     return df.withColumn("span", F.floor(F.col("rank") * RANGES))
@@ -88,7 +88,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies:
     A document's copies then follow from its own row and its source's row, see :func:`copies`.
     """
     key = [F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source"), F.lit("")).alias("src")]
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, size_of(F.col("text")).alias("size")), "mix-sizes")
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "mix-sizes")
     sources = cut(targets(sized.groupBy("no_source", "src").agg(F.sum("size").alias("source_size")), weights, max_copies), "mix-targets")
     rates = sources.join(_rates(sized, sources, exponent, max_copies).select("no_source", "src", "rate"), ["no_source", "src"], "left")
     rates = cut(rates, "mix-rates")
@@ -105,9 +105,9 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies:
 
     # the range where the sample ends, row by row
     edge = drawn.join(ends, ["no_source", "src"]).filter("span = end_span")
-    along = W.partitionBy("no_source", "src").orderBy("rank", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    along = W.partitionBy("no_source", "src").orderBy("rank", "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, 0)
     edge = edge.withColumn("run", F.sum("size").over(along) + F.col("before"))
-    last = edge.filter(F.col("run") - F.col("size") / 2 <= F.col("missing")).groupBy("no_source", "src").agg(F.max(F.struct("rank", "doc_id")).alias("last"))
+    last = edge.filter(F.col("run") - F.col("size") / 2 <= F.col("missing")).groupBy("no_source", "src").agg(F.max(F.struct("rank", "doc_id", "text_hash")).alias("last"))
     plan = (
         rates.join(counted.groupBy("no_source", "src").agg(F.max("missing").alias("missing"), F.max("up_to").alias("open_words")), ["no_source", "src"], "left")
         .join(ends.select("no_source", "src", "end_span"), ["no_source", "src"], "left")
@@ -117,23 +117,25 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies:
 
 
 def copies(rows: DataFrame, plan: DataFrame, max_copies: int = MAX_COPIES, exponent: float = 0.25, seed: int = 17) -> DataFrame:
-    """Join ``rows`` (doc_id, no_source, src, size and anything else) with their source's plan; adds ``n_copies``."""
+    """Join ``rows`` (doc_id, no_source, src, size, text_hash and anything else) with their source's plan; adds ``n_copies``."""
     df = _drawn(rows.join(plan, ["no_source", "src"]), exponent, max_copies, seed)
-    here = F.struct("rank", F.col("doc_id").alias("doc_id"))
+    here = F.struct("rank", "doc_id", "text_hash")
     picked = F.when(F.col("rank").isNull(), False).when(F.col("end_span").isNull(), F.col("open_words") <= F.col("missing")).when(F.col("span") != F.col("end_span"), F.col("span") < F.col("end_span")).otherwise(F.coalesce(here <= F.col("last"), F.lit(False)))
     return df.withColumn("n_copies", F.col("whole") + F.coalesce(picked, F.lit(False)).cast("long"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as it is taken, with its own columns."""
-    _, plan = plan_mix(docs, **options)
+    with scratch(docs.sparkSession):
+        plan = finish(plan_mix(docs, **options)[1], "mix-plan")
     rest = {k: v for k, v in options.items() if k != "weights"}
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source"), F.lit("")).alias("src"), size_of(F.col("text")).alias("size"))
+    keyed = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source"), F.lit("")).alias("src"), size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     taken = copies(keyed, plan, **rest).filter("n_copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select("row.*")
 
 
 def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized, plan = plan_mix(table(spark, sf_dir, "documents"))
-    return copies(sized, plan).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("n_copies") * F.col("size")).alias("taken"))
+    with scratch(spark):
+        sized, plan = plan_mix(table(spark, sf_dir, "documents"))
+        return finish(copies(sized, plan).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("n_copies") * F.col("size")).alias("taken")), "mix-taken")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of
+from .common import cut, finish, scratch, table, text_of
 from .tokens import BYTE_LEVEL, ChunkEncoder, crc32, vocabulary
 
 CAPACITY = 2048
@@ -212,4 +212,5 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block_items: int = 8000, is
 
 
 def op2_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(pieces(table(spark, sf_dir, "documents")))
+    with scratch(spark):
+        return finish(pack(pieces(table(spark, sf_dir, "documents"))), "packed")

@@ -14,8 +14,12 @@ are cleared, and their keys go on to the next level; a key's slot is the rank of
 levels. Slots hold (fingerprint, shard, record, records with this key), so a lookup is a few bit
 probes and one slot, and unknown keys are told by their fingerprint.
 
+Shards are ranges of (key, hash of the text), so one key may hold any share of all rows: its records then go
+on from shard to shard, each shard's run of them is an entry of the index under the key and the run's number,
+and the first entry tells how many runs there are.
+
 Defined cases: a null or empty text is only the end id; rows with a null doc_id come first, under a
-key of their own; repeated doc_ids are neighbouring records of one index entry, ordered by text; an
+key of their own; repeated doc_ids are neighbouring records, ordered by a hash of their text; an
 empty table makes no files and an empty result; extra columns are ignored.
 """
 
@@ -30,12 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, shared_path, table, text_of
+from .common import cut, finish, partitions, scratch, shared_path, table, text_of
 from .tokens import WORD_LEVEL, crc32, vocabulary, worker_encoder
 
 MAGIC = b"TTIDS001"
 NULL_KEY = -(1 << 63)
-SLOT = np.dtype([("mark", "<u4"), ("shard", "<u4"), ("record", "<u4"), ("count", "<u4")])
+SLOT = np.dtype([("mark", "<u4"), ("shard", "<u4"), ("record", "<u4"), ("count", "<u4"), ("runs", "<u4")])
+SHARD_BYTES = 64 << 20
 LEVELS, SPREAD = 40, 2.0
 
 
@@ -145,8 +150,8 @@ def write_shards(docs: DataFrame, root: str, path: str, shards: int, end_id: int
         sizes = np.diff(np.array(ends)) // width
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([task.partitionId()] * n, pa.int32()), pa.array([name] * n), pa.array(range(n), pa.int32()), pa.array(sizes, pa.int64())], [f for f, _ in fields])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), text_of().alias("text"))
-    rows = rows.repartitionByRange(shards, "key").sortWithinPartitions("key", "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), text_of().alias("text"), F.xxhash64("text").alias("mix"))
+    rows = rows.repartitionByRange(shards, "key", "mix").sortWithinPartitions("key", "mix", "text").select("key", "text")
     return rows.mapInArrow(run, "key long, shard int, file string, record int, n_tokens long")
 
 
@@ -180,12 +185,12 @@ def build_index(manifest: DataFrame, root: str, parts: int) -> DataFrame:
         where, base = store(root)
         out = []
         for part, pdf in pd.concat(held).groupby("part"):
-            keys = pdf["key"].to_numpy(np.int64).view(np.uint64)
+            keys = run_keys(pdf["key"].to_numpy(np.int64), pdf["run"].to_numpy(np.int64))
             tree = PerfectHash.of(keys)
             slots = np.zeros(len(keys), SLOT)
             at = tree.slots(keys)
             slots["mark"][at] = fingerprint(keys)
-            for name in ("shard", "record", "count"):
+            for name in ("shard", "record", "count", "runs"):
                 slots[name][at] = pdf[name].to_numpy()
             name = f"index-{part:06d}-{TaskContext.get().taskAttemptId()}.mph"
             with where.open_output_stream(f"{base}/{name}") as f:
@@ -194,16 +199,24 @@ def build_index(manifest: DataFrame, root: str, parts: int) -> DataFrame:
         yield pd.DataFrame(out, columns=["part", "file", "keys"])
 
     entries = manifest.groupBy("key", "shard").agg(F.min("record").alias("record"), F.count("*").cast("int").alias("count"))
+    along = W.partitionBy("key")  # a row per shard that holds the key
+    entries = entries.withColumn("run", F.row_number().over(along.orderBy("shard")) - 1).withColumn("runs", F.count("*").over(along).cast("int"))
     entries = entries.withColumn("part", part_of(F.col("key"), parts))
     return entries.repartition(parts, "part").mapInPandas(run, "part int, file string, keys long")
 
 
+def run_keys(keys: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """64-bit keys of (key, run); the first run's is the key itself."""
+    with np.errstate(over="ignore"):
+        return np.where(runs == 0, keys.view(np.uint64), mixed(keys.view(np.uint64) + runs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 77))
+
+
 def part_of(key, parts: int):
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
 
 def lookup(keys: DataFrame, index: DataFrame, root: str, parts: int) -> DataFrame:
-    """``keys`` (key) -> (key, shard, record, count) of those that the index knows, once each."""
+    """``keys`` (key) -> (key, shard, record, count) of those that the index knows: once each, or once per run."""
 
     def run(frames):
         import pandas as pd
@@ -219,12 +232,15 @@ def lookup(keys: DataFrame, index: DataFrame, root: str, parts: int) -> DataFram
                     tree, at = PerfectHash.load(raw)
                     loaded[name] = tree, np.frombuffer(raw, SLOT, offset=at)
                 tree, slots = loaded[name]
-                wanted = some["key"].to_numpy(np.int64).view(np.uint64)
-                at = tree.slots(wanted)
-                good = at >= 0
-                good[good] = slots["mark"][at[good]] == fingerprint(wanted[good])
-                hit = slots[at[good]]
-                yield pd.DataFrame({"key": wanted[good].view(np.int64), "shard": hit["shard"].astype(np.int32), "record": hit["record"].astype(np.int32), "count": hit["count"].astype(np.int32)})
+                keys, run = some["key"].to_numpy(np.int64), 0
+                while len(keys):
+                    wanted = run_keys(keys, np.full(len(keys), run))
+                    at = tree.slots(wanted)
+                    good = at >= 0
+                    good[good] = slots["mark"][at[good]] == fingerprint(wanted[good])
+                    keys, hit, run = keys[good], slots[at[good]], run + 1
+                    yield pd.DataFrame({"key": keys, **{c: hit[c].astype(np.int32) for c in ("shard", "record", "count")}})
+                    keys = keys[hit["runs"] > run]
 
     rows = keys.select("key").distinct().withColumn("part", part_of(F.col("key"), parts)).join(index, "part")
     return rows.repartition(parts, "part").sortWithinPartitions("part").select("key", "file").mapInPandas(run, "key long, shard int, record int, count int")
@@ -254,10 +270,17 @@ def read_records(found: DataFrame, files: DataFrame, root: str, shards: int) ->
 
 def op3_perfect_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    shards = parts = partitions(spark)
+    parts = partitions(spark)
+    # from the size of the files that the scan will read
+    shards = max(parts, -(-int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // SHARD_BYTES))
     root = shared_path(spark, "token-ids")
     where, base = store(root)
     where.create_dir(base)
+    with scratch(spark):
+        return finish(_written_and_read(docs, root, shards, parts), "ids-read")
+
+
+def _written_and_read(docs: DataFrame, root: str, shards: int, parts: int) -> DataFrame:
     manifest = cut(write_shards(docs, root, vocabulary(WORD_LEVEL), shards), "ids-manifest")
     index = cut(build_index(manifest, root, parts), "ids-index")
     # one row per shard: its file, and the ids in all shards before it

@@ -7,8 +7,9 @@ encoded once by the ``tokenizers`` library. A chunk that is only letters and the
 punctuation is two words to either vocabulary; its letters are given to the library's merge model by
 themselves, so ``word``, ``word,`` and ``word.`` merge once. Texts where a cut could matter, those
 with a space between two other white-space characters or at the end after one, or with a control
-token in the byte-level vocabulary, go to the library whole. The memory of chunks is bounded: when
-it is full, only the chunks of the texts at hand stay.
+token in the byte-level vocabulary, go to the library whole. The memory of chunks is bounded
+in bytes: when it is full, only the chunks of the texts at hand stay, and chunks of over ``LONG_CHUNK``
+characters (texts without spaces) are not remembered at all.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from functools import lru_cache
 
 ODD_SPACE = re.compile(r"\s \s|\s \Z")
 TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"  # ASCII punctuation but ', which starts contractions, and <, >, which may start control tokens
+MEMORY, LONG_CHUNK, ENTRY_BYTES = 96 << 20, 64, 200
 BYTE_LEVEL, WORD_LEVEL = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
@@ -42,7 +44,7 @@ def _byte_names() -> dict[int, str]:
 class ChunkEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, leading_space: bool, memory: int = 600_000):
+    def __init__(self, path: str, leading_space: bool, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,7 +53,7 @@ class ChunkEncoder:
         self.names = _byte_names()
         self.leading_space = leading_space
         self.controls = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory = memory
+        self.memory, self.used = memory, 0
         self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {"": self._ids([" "])[0] if leading_space else b""}
 
@@ -62,15 +64,23 @@ class ChunkEncoder:
         found = self.words.get(word)
         if found is None:
             named = word if word.isascii() and " " not in word else word.encode().decode("latin-1").translate(self.names)
-            found = self.words[word] = array("I", [t.id for t in self.merge(named)]).tobytes()
+            found = array("I", [t.id for t in self.merge(named)]).tobytes()
+            if len(word) <= LONG_CHUNK:
+                self.words[word] = found
+                self.used += self._cost(word, found)
         return found
 
-    def _learn(self, chunks: set[str]) -> None:
+    @staticmethod
+    def _cost(chunk: str, ids: bytes) -> int:
+        return 2 * len(chunk) + len(ids) + ENTRY_BYTES
+
+    def _learn(self, chunks: set[str]) -> list[str]:
+        """Afterwards all ``chunks`` are known; those that must be forgotten again come back."""
         new = chunks - self.known.keys()
-        if len(self.known) + len(new) > self.memory:
+        if self.used > self.memory:
             self.known = {c: self.known[c] for c in chunks - new} | {"": self.known[""]}
-        if len(self.words) > self.memory // 2:
             self.words = {}
+            self.used = sum(map(self._cost, self.known, self.known.values()))
         odd = []
         for c in new:
             letters = c.rstrip(TAIL)
@@ -87,6 +97,8 @@ class ChunkEncoder:
                 odd.append(c)
         if odd:
             self.known.update(zip(odd, self._ids([" " + c for c in odd] if self.leading_space else odd), strict=True))
+        self.used += sum(2 * len(c) + len(self.known[c]) + ENTRY_BYTES for c in new if len(c) <= LONG_CHUNK)
+        return [c for c in new if len(c) > LONG_CHUNK]
 
     def _whole(self, text: str) -> bool:
         return self.leading_space and (ODD_SPACE.search(text) is not None or any(c in text for c in self.controls))
@@ -109,7 +121,7 @@ class ChunkEncoder:
         for p in parts:
             if p is not None:
                 seen.update(p[1:] if self.leading_space else p)
-        self._learn(seen)
+        long = self._learn(seen)
         get, out = self.known.__getitem__, []
         heads = self._ids([p[0] if p is not None else t for p, t in zip(parts, texts, strict=True)]) if self.leading_space else []
         for i, p in enumerate(parts):
@@ -119,6 +131,8 @@ class ChunkEncoder:
                 out.append(heads[i] + b"".join(map(get, p[1:])))
             else:
                 out.append(b"".join(map(get, p)))
+        for c in long:
+            del self.known[c]
         return out
 
 

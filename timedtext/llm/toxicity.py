@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table, text_of
+from .common import bounded_batches, cut, finish, scratch, table, text_of
 
 BITS = 20
 SIZES = (3, 4, 5, 6)
@@ -151,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column | None = None, max_labe
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(y[first : first + len(texts)], pa.int32()), lists], ["toxic", "features"])
 
-    found = rows.mapInArrow(run, "toxic int, features array<int>").toArrow()  # one row per labelled row of the bounded sample
+    with bounded_batches(docs.sparkSession):
+        found = rows.mapInArrow(run, "toxic int, features array<int>").toArrow()  # one row per labelled row of the bounded sample
     lists = found.column("features").combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy())
     y = found.column("toxic").to_numpy().astype(np.float64)
@@ -188,6 +189,7 @@ def outside_fold(fold: int = 0, folds: int = 5) -> Column:
 
 def op5_nbsvm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"), outside_fold())
-    out = score(docs, model, ["doc_id"])
-    return out.select("doc_id", F.coalesce(~outside_fold(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    with scratch(spark):
+        model = fit(docs, table(spark, sf_dir, "labels"), outside_fold())
+        out = score(docs, model, ["doc_id"])
+        return finish(out.select("doc_id", F.coalesce(~outside_fold(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")), "tox-scores")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_tables, table
+from .common import cut, drop_tables, finish, scratch, table
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MOST_RULES = 2000
@@ -56,11 +56,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return ends.filter("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, steps: int = 20, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, steps: int = 200, damping: float = 0.85, cut_every: int = 5, settled: float = 1e-9) -> DataFrame:
     """``seeds`` (kind, host, weight) and ``edges`` (src, dst, weight) -> (kind, host, rank).
 
     rank = (1 - damping) * seed + damping * what the neighbours pass on, by weight; kind ``trust`` goes
-    along the edges and ``distrust`` against them.
+    along the edges and ``distrust`` against them. Steps end when no rank moved by more than ``settled``
+    over ``cut_every`` of them.
     """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = both.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
@@ -74,14 +75,18 @@ def propagate(seeds: DataFrame, edges: DataFrame, steps: int = 20, damping: floa
         new = base.unionByName(passed).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if k % cut_every == 0 or k == steps:
             rank = cut(new, "url-rank")
+            old = held.select("kind", "host", F.col("rank").alias("old"))
+            moved = rank.join(old, ["kind", "host"], "left").agg(F.max(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))))).first()[0]
             drop_tables(held)
             held = rank
+            if moved is None or moved <= settled:
+                break
         else:
             rank = new
     return rank
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float = 0.85, steps: int = 20) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float = 0.85, steps: int = 200) -> DataFrame:
     """(page_id, host, path, rule, verdict) per page, and its host's trust and distrust."""
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = cut(urls.withColumn("r", rule_for(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled")), "url-pages")
@@ -92,8 +97,11 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float
     hosts = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
     hosts = cut(hosts.withColumn("blocked", (F.col("distrust") > F.col("trust")) & (F.col("distrust") > threshold * (1 - damping))), "url-hosts")
     by_host = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
-    return ruled.join(hosts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    # pages without a host, however many, need no join
+    placed = ruled.filter("host != ''").join(hosts, "host", "left").unionByName(ruled.filter("host = ''"), allowMissingColumns=True)
+    return placed.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
 def op4_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    with scratch(spark):
+        return finish(judge(table(spark, sf_dir, "pages")), "url-judged")
