@@ -24,7 +24,7 @@ def test_bucketed_overlap_join_is_the_nested_loop(spark, left, right):
     want = sorted((i, j) for i, (s, e) in enumerate(left) for j, (t, u) in enumerate(right) if s < u and e > t)
     assert rows(intervals.overlap_join(a, b, ["k"], bucket=50), "l_id", "r_id") == want
     lost = sorted((i,) for i in range(len(left)) if i not in {x for x, _ in want})
-    assert rows(intervals.uncovered(a, b, ["k"], "id", bucket=50), "id") == lost
+    assert rows(intervals.uncovered(a, b, ["k"]), "id") == lost
 
 
 def test_holes_merge_and_complement(spark):

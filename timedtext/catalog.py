@@ -85,7 +85,7 @@ def _values(rows: list, names: str) -> str:
 
 def coverage_report(spark, d):
     e = events(spark, d).withColumn("chars", F.length("kind"))
-    return metrics.coverage(kind(e, "click"), kind(e, "view"), ["user_id"], "event_id", BUCKET)
+    return metrics.coverage(kind(e, "click"), kind(e, "view"), ["user_id"])
 
 
 COVERAGE_SQL = f"""WITH {EV}, r AS (SELECT * FROM ev WHERE kind = 'click'), c AS (SELECT * FROM ev WHERE kind = 'view'),
@@ -97,12 +97,12 @@ SELECT (SELECT count(*) FROM r) AS n_reference, (SELECT coalesce(sum(length(kind
 
 def coverage_missed(spark, d):
     e = events(spark, d)
-    return intervals.uncovered(kind(e, "click"), kind(e, "view"), ["user_id"], "event_id", bucket=BUCKET).select("event_id", "user_id", "s", "e")
+    return intervals.uncovered(kind(e, "click"), kind(e, "view"), ["user_id"]).select("event_id", "user_id", "s", "e")
 
 
 def coverage_extra(spark, d):
     e = events(spark, d)
-    return intervals.uncovered(kind(e, "view"), kind(e, "click"), ["user_id"], "event_id", bucket=BUCKET).select("event_id", "user_id", "s", "e")
+    return intervals.uncovered(kind(e, "view"), kind(e, "click"), ["user_id"]).select("event_id", "user_id", "s", "e")
 
 
 def overlap_pairs(spark, d):
@@ -113,7 +113,7 @@ def overlap_pairs(spark, d):
 def points_in_spans(spark, d):
     e = events(spark, d)
     spans = kind(e, "view").select("user_id", "s", F.col("e").alias("e"))
-    return intervals.points_inside(kind(e, "click").select("event_id", "user_id", F.col("s").alias("at")), spans, ["user_id"], "at", "event_id", bucket=BUCKET)
+    return intervals.points_inside(kind(e, "click").select("event_id", "user_id", F.col("s").alias("at")), spans, ["user_id"], "at")
 
 
 # --- islands -------------------------------------------------------------------------------------
@@ -334,7 +334,7 @@ def reference_report(spark, d):
     r = _ranked(spark, d)
     shown = kind(r, "view").select(F.col("user_id").cast("string").alias("file_id"), "idx", F.col("s").alias("start"), F.col("e").alias("end"))
     reference = kind(r, "click").select(F.col("user_id").cast("string").alias("file_id"), F.col("event_id").alias("ref_id"), "s", "e")
-    return metrics.against_reference(shown, reference, bucket=DAY).select("file_id", "n_reference", "n_missed", "stranded_ms")
+    return metrics.against_reference(shown, reference)
 
 
 REFERENCE_SQL = f"""WITH {RANKED}, c AS (SELECT * FROM rk WHERE kind = 'view'), r AS (SELECT * FROM rk WHERE kind = 'click' ),

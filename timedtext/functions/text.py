@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from pyspark.sql import functions as F
 SENTENCE_MARKS = "。．！？!?"
 CLOSERS = "\"'」』）)】〉》"
 PHANTOM_STRIP = r"(?U)[\s、。，．！？!?・「」『』…ー〜~]"
-ECHO_STRIP = r"(?U)[\s、。，．！？!?「」『』…・〜ー~]"
 CLAUSE_END = r"[ぁ-ゟ、。，．！？!?…」』)]"
 NO_CLAUSE_START = r"[ぁぃぅぇぉゃゅょっゎァィゥェォャュョッヮーゝゞ々]"
 # Phrases that recognisers make from silence or music, matched against whole segments.
@@ -37,6 +34,23 @@ def round_half_up(x: Column) -> Column:
     return (F.floor(x) + F.when(x - F.floor(x) >= 0.5, 1).otherwise(0)).cast("bigint")
 
 
+def round_decimals(x: Column, digits: int = 3) -> Column:
+    """Round the binary value of ``x`` to decimals, exact halves to even, as a decimal printout of it would be.
+
+    ``x`` times a power of ten has too many bits for a double, so the product is kept as two exact parts.
+    """
+    scale, fine = float(10**digits), float(1 << 26)
+    whole = F.floor(F.abs(x))
+    part = F.abs(x) - whole
+    high = F.floor(part * fine) / fine * scale
+    low = (part - F.floor(part * fine) / fine) * scale
+    n = F.floor(high)
+    over = high - n - 0.5 + F.lit(0.0)
+    up = (over > -low) | ((over == -low) & (n % 2 == 1))
+    out = (whole * scale + n + F.when(up, 1).otherwise(0)) / scale
+    return F.when(x < 0, -out).otherwise(out)
+
+
 def to_ms(seconds: Column) -> Column:
     return F.bround(seconds * 1000).cast("bigint")
 
@@ -93,11 +107,13 @@ def is_gap_fragment(text: Column, gap_fill: Column) -> Column:
 
 
 def split_sentences(s: Column) -> Column:
-    """Cut after every place where the text so far ends in sentence marks and closers.
+    """Cut after every sentence mark, and after every closer that follows a mark directly or through other closers."""
+    return F.split(F.regexp_replace(s, rf"([{SENTENCE_MARKS}]|(?!\A)\G[{CLOSERS}])", f"$1{CUT}"), CUT)
 
-    Java wants a bounded look-behind; runs of up to 8 marks and 8 closers are told.
-    """
-    return F.split(s, rf"(?<=[{SENTENCE_MARKS}]{{1,8}}[{CLOSERS}]{{0,8}})")
+
+def split_marks(s: Column) -> Column:
+    """Cut after every sentence mark."""
+    return F.split(F.regexp_replace(s, f"([{SENTENCE_MARKS}])", f"$1{CUT}"), CUT)
 
 
 def wrap(text: Column, most_chars: int = 42, most_lines: int = 3) -> Column:
@@ -138,9 +154,11 @@ def key_of(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-# File suffixes by kind.
-VIDEO = ("mp4", "mkv", "webm", "mov", "avi", "m4v", "ts", "flv")
-AUDIO = ("mp3", "wav", "m4a", "flac", "ogg", "opus", "aac")
+# File suffixes by kind, in alphabetical order.
+VIDEO = ("avi", "flv", "m4v", "mkv", "mov", "mp4", "ts", "webm")
+AUDIO = ("aac", "flac", "m4a", "mp3", "ogg", "opus", "wav")
+# No text holds this code point: Unicode keeps it from being a character.
+CUT = "\ufdd0"
 
 
 def media_kind(path: Column) -> Column:
@@ -165,5 +183,36 @@ def source_preset(source: Column, gap_ms: Column | None = None) -> Column:
     return F.struct((gap if gap_ms is None else F.coalesce(gap_ms, gap)).alias("gap_ms"), F.when(own, 8).alias("cue_end_min_chars"))
 
 
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def iso_time(at: Column) -> Column:
+    """``YYYY-MM-DDTHH:MM:SSZ`` of a time stamp, in UTC."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def json_text(s: Column) -> Column:
+    """One string as JSON writes it, quotes and all; characters beyond ASCII stay."""
+    return F.regexp_extract(F.to_json(F.struct(s.alias("s")), {"ignoreNullFields": "false"}), r"(?s)^\{\"s\":(.*)\}$", 1)
+
+
+def json_pretty(value: Column) -> Column:
+    """A struct, map or array as indented JSON."""
+    return F.to_json(value, {"pretty": "true", "ignoreNullFields": "false"})
+
+
+def valid_name(name: Column) -> Column:
+    """May a stored glossary have this name? Letters, digits, - _ . and spaces, with no dot or space at either end."""
+    return name.rlike(r"(?U)^[\w\-. ]+$") & ~name.rlike(r"^[. ]|[. ]$")
+
+
+def stage_fraction(stage: Column, percent: Column) -> Column:
+    """How far a job of two stages is: 0 to 1."""
+    return F.greatest(F.lit(0.0), (stage + F.coalesce(percent, F.lit(0.0)) / 100) / 2)
+
+
+def percent_done(done: Column, total: Column) -> Column:
+    """Null where nothing is known of the total."""
+    return F.when(total > 0, 100.0 * done / total)
+
+
+def real_time_factor(seconds: Column, elapsed: Column) -> Column:
+    """Seconds of sound per second of work; null where no time went by."""
+    return F.when(elapsed > 0, seconds / elapsed)

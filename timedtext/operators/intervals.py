@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.cuts import may_cut, pause_point
 from .islands import islands
 
 
@@ -29,17 +30,31 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], start: str
     return both.filter(meets & once).drop("bucket", "l_first", "r_first", *keys)
 
 
-def uncovered(left: DataFrame, right: DataFrame, keys: list[str], row_id: str, **options) -> DataFrame:
-    """Rows of ``left`` that no row of ``right`` overlaps (anti join)."""
-    met = overlap_join(left.select(*keys, row_id, options.get("start", "s"), options.get("end", "e")), right.select(*keys, options.get("start", "s"), options.get("end", "e")), keys, **options)
-    return left.join(met.select(F.col(f"l_{row_id}").alias(row_id)).distinct(), row_id, "left_anti")
+def _latest_end(left: DataFrame, at: Column, right: DataFrame, keys: list[str], start: str, end: str, equal: bool) -> DataFrame:
+    """``left`` with ``_latest``: the largest end of the key's right rows that start before ``at`` (or, with ``equal``, at it).
+
+    One sorted sweep per key over both sides; nothing is paired.
+    """
+    rows = left.select("*", at.alias("_at"), F.lit(0 if equal else -1).alias("_side"), F.lit(None).cast(right.schema[end].dataType).alias("_end"))
+    marks = right.select(*keys, F.col(start).cast(rows.schema["_at"].dataType).alias("_at"), F.lit(-1 if equal else 0).alias("_side"), F.col(end).alias("_end"))
+    both = rows.withColumn("_left", F.lit(True)).unionByName(marks.withColumn("_left", F.lit(False)), allowMissingColumns=True)
+    so_far = W.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn("_latest", F.max("_end").over(so_far)).filter("_left").drop("_at", "_side", "_end", "_left")
+
+
+def uncovered(left: DataFrame, right: DataFrame, keys: list[str], start: str = "s", end: str = "e") -> DataFrame:
+    """Rows of ``left`` that no row of ``right`` overlaps (anti join).
+
+    A row is overlapped where, of all that start before its end, the latest end lies behind its start.
+    """
+    swept = _latest_end(left, F.col(end), right, keys, start, end, equal=False)
+    return swept.filter(~F.coalesce(F.col("_latest") > F.col(start), F.lit(False))).drop("_latest")
 
 
-def points_inside(points: DataFrame, spans: DataFrame, keys: list[str], at: str, row_id: str, start: str = "s", end: str = "e", bucket: int = 300_000) -> DataFrame:
+def points_inside(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str = "s", end: str = "e") -> DataFrame:
     """Rows whose ``at`` lies in a span, ``start <= at < end`` (semi join)."""
-    laid = spans.select(*keys, start, end, F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / bucket))).alias("bucket"))
-    found = points.withColumn("bucket", F.floor(F.col(at) / bucket)).join(laid, [*keys, "bucket"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
-    return points.join(found.select(row_id).distinct(), row_id, "left_semi")
+    swept = _latest_end(points, F.col(at), spans, keys, start, end, equal=True)
+    return swept.filter(F.col("_latest") > F.col(at)).drop("_latest")
 
 
 def find_holes(speech: DataFrame, words: DataFrame, keys: list[str], margin: Column | float, bucket: int) -> DataFrame:
@@ -75,9 +90,8 @@ def complement(speech: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame
 def choose_cut(gaps: DataFrame, marks: DataFrame, keys: list[str], search, least_after, margin) -> DataFrame:
     """Per mark (keys, mark, after) the point inside a gap nearest to it, at least ``margin`` from either side; else the mark."""
     met = marks.join(gaps, keys, "left")
-    pad = F.least(F.lit(margin), (F.col("b") - F.col("a")) / 2)
-    t = F.least(F.greatest(F.col("mark"), F.col("a") + pad), F.col("b") - pad)
-    good = (F.abs(t - F.col("mark")) <= search) & (t > F.col("after") + least_after)
+    t = pause_point(F.col("a"), F.col("b"), F.col("mark"), margin)
+    good = may_cut(t, F.col("mark"), F.col("after"), search, least_after)
     near = met.groupBy(*keys, "mark", "after").agg(F.min_by(F.when(good, t), F.when(good, F.struct(F.abs(t - F.col("mark")), F.col("a")))).alias("cut"))
     return near.withColumn("cut", F.coalesce("cut", "mark"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import is_gap_fragment, is_phantom, strip, to_ms
+from ..functions.text import is_gap_fragment, is_phantom, round_decimals, strip, to_ms
 from ..operators.folds import segment, split_long, to_pieces
 from ..operators.islands import clamp_last, gap_groups, repeats
 
@@ -23,8 +23,8 @@ def clean(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def shift(segments: DataFrame, offset: float, low: float | None = None, high: float | None = None, slack: float = 0.2) -> DataFrame:
     """Move segments by ``offset`` seconds and, within [low, high], keep only the words there; times are rounded to ms."""
-    moved = F.transform("words", lambda w: F.struct(F.round(w["start"] + offset, 3).alias("start"), F.round(w["end"] + offset, 3).alias("end"), w["word"].alias("word"), w["p"].alias("p")))
-    rows = segments.withColumn("words", moved).withColumn("start", F.round(F.col("start") + offset, 3)).withColumn("end", F.round(F.col("end") + offset, 3))
+    moved = F.transform("words", lambda w: F.struct(round_decimals(w["start"] + offset).alias("start"), round_decimals(w["end"] + offset).alias("end"), w["word"].alias("word"), w["p"].alias("p")))
+    rows = segments.withColumn("words", moved).withColumn("start", round_decimals(F.col("start") + offset)).withColumn("end", round_decimals(F.col("end") + offset))
     if low is None or high is None:
         return rows
     rows = rows.withColumn("words", F.filter("words", lambda w: (w["end"] > low - slack) & (w["start"] < high + slack))).filter(F.size("words") > 0)

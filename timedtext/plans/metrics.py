@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..operators.intervals import points_inside, uncovered
+from ..operators.islands import runs
 
 FOREVER = 10**12
 
 
-def coverage(reference: DataFrame, candidate: DataFrame, keys: list[str], row_id: str, bucket: int = 300_000) -> DataFrame:
+def coverage(reference: DataFrame, candidate: DataFrame, keys: list[str]) -> DataFrame:
     """One row: how many reference cues (s, e, chars) no candidate overlaps, and the other way round."""
-    missed = uncovered(reference, candidate, keys, row_id, bucket=bucket)
-    extra = uncovered(candidate, reference, keys, row_id, bucket=bucket)
+    missed = uncovered(reference, candidate, keys)
+    extra = uncovered(candidate, reference, keys)
     total = reference.agg(F.count("*").alias("n_reference"), F.coalesce(F.sum("chars"), F.lit(0)).alias("reference_chars"))
     lost = missed.agg(F.count("*").alias("n_missed"), F.coalesce(F.sum("chars"), F.lit(0)).alias("missed_chars"))
     more = extra.agg(F.count("*").alias("n_extra"))
@@ -41,13 +45,11 @@ def silent_gaps(cues: DataFrame, key: str, least_ms: int = 10_000) -> DataFrame:
     return inner.unionByName(last).filter(F.col("e") - F.col("s") >= least_ms)
 
 
-def against_reference(cues: DataFrame, reference: DataFrame, key: str = "file_id", row_id: str = "ref_id", bucket: int = 300_000) -> DataFrame:
+def against_reference(cues: DataFrame, reference: DataFrame, key: str = "file_id") -> DataFrame:
     """Per file: reference cues (s, e) that are not shown, their share as text, and the speech of those in long silences."""
-    shown = cues.select(key, F.col("idx").alias("cue"), F.col("start").alias("s"), F.col("end").alias("e"))
-    missed = uncovered(reference, shown.withColumnRenamed("cue", row_id), [key], row_id, bucket=bucket)
-    latest = reference.agg((F.max("s") + 1).alias("top"))  # gaps past the last reference cue matter to nothing
-    gaps = silent_gaps(cues, key).crossJoin(F.broadcast(latest)).select(key, "s", F.least("e", "top").alias("e")).filter("s < e")
-    stranded = points_inside(missed.withColumn("at", F.col("s")).withColumn("len", F.col("e") - F.col("s")).drop("s", "e"), gaps, [key], "at", row_id, bucket=bucket)
+    shown = cues.select(key, F.col("start").alias("s"), F.col("end").alias("e"))
+    missed = uncovered(reference, shown, [key])
+    stranded = points_inside(missed.withColumn("at", F.col("s")).withColumn("len", F.col("e") - F.col("s")).drop("s", "e"), silent_gaps(cues, key), [key], "at")
     n = reference.groupBy(key).agg(F.count("*").alias("n_reference"))
     m = missed.groupBy(key).agg(F.count("*").alias("n_missed"))
     s = stranded.groupBy(key).agg(F.sum("len").alias("stranded_ms"))
@@ -58,3 +60,29 @@ def against_reference(cues: DataFrame, reference: DataFrame, key: str = "file_id
 
 def verdict_counts(verdicts: DataFrame, keys: list[str]) -> DataFrame:
     return verdicts.groupBy(*keys).pivot("verdict", ["same", "prev", "next", "none", "?"]).count().na.fill(0)
+
+
+def without_noise(reference: DataFrame, text: str) -> DataFrame:
+    """Reference cues of more than one character; the others are stray digits and filler."""
+    return reference.filter(F.length(strip(F.col(text))) > 1)
+
+
+def first_lines(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of every key, for a report."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+
+
+def align_report(units: DataFrame, verdicts: DataFrame, least_run: int = 2) -> DataFrame:
+    """Per file: its lines, how many have each verdict, and its shifted runs (first, last, direction)."""
+    counts = verdict_counts(verdicts, ["file_id"])
+    found = runs(verdicts, ["file_id"], "idx", "verdict", ["prev", "next"], least_run)
+    listed = found.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("first", "last", "direction"))).alias("shifted"))
+    lines = units.groupBy("file_id").agg(F.count("*").alias("lines"))
+    none = F.array().cast("array<struct<first:int,last:int,direction:string>>")
+    return lines.join(counts, "file_id", "left").na.fill(0).join(listed, "file_id", "left").withColumn("shifted", F.coalesce("shifted", none))
+
+
+def joined_reports(*reports: DataFrame) -> DataFrame:
+    """Reports of different columns as one table; what a report lacks is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reports)

@@ -14,23 +14,32 @@ SCHEMA = "file_id string, seen double, a double, b double, total double"
 
 
 def stretches(spark: SparkSession, d: str) -> DataFrame:
-    """Views of each user as stretches of six hours at most; time counts from the user's first event."""
+    """Views of each user as stretches of six hours at most; time counts from the user's first event.
+
+    Only a user's last row, which holds no stretch, tells how long it all is.
+    """
     e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("event_type").alias("kind"), (F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0).alias("t"))
     w = W.partitionBy("user_id")
     e = e.withColumn("a", F.col("t") - F.min("t").over(w)).withColumn("total", F.max("t").over(w) - F.min("t").over(w)).filter("kind = 'view' and total > 0")
     nxt = F.lead("a").over(w.orderBy("a"))
     e = e.withColumn("b", F.least(F.col("a") + 21_600, F.coalesce(nxt, F.col("total"))))
     rows = e.filter("b > a").select(F.col("user_id").cast("string").alias("file_id"), F.col("b").alias("seen"), "a", "b", "total")
-    last = rows.groupBy("file_id").agg(F.max("total").alias("total")).select("file_id", F.col("total").alias("seen"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"), "total")
-    return rows.unionByName(last)
+    none = F.lit(None).cast("double")
+    last = rows.groupBy("file_id").agg(F.max("total").alias("total")).select("file_id", F.col("total").alias("seen"), none.alias("a"), none.alias("b"), "total")
+    return rows.withColumn("total", none).unionByName(last)
 
 
-def windows_of_events(spark: SparkSession, d: str) -> DataFrame:
+def windows_of_events(spark: SparkSession, d: str, batches: int = 4) -> DataFrame:
+    """The stretches come in ``batches`` micro-batches in order of time, so state is carried from one to the next."""
     from ..plans.storage import shared_path
 
     root = shared_path(spark, "stream")
-    stretches(spark, d).write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(SCHEMA).parquet(f"{root}/in")
+    parts = stretches(spark, d).repartitionByRange(batches, "seen").withColumn("part", F.spark_partition_id())
+    parts.write.partitionBy("part").parquet(f"{root}/in")
+    names = sorted(r[0] for r in spark.read.parquet(f"{root}/in").select("part").distinct().collect())  # ``batches`` numbers at most
+    for part in names:
+        spark.read.schema(SCHEMA).parquet(f"{root}/in/part={part}").coalesce(1).write.mode("append").parquet(f"{root}/arrived")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/arrived")
     query = stream_windows(stream, 864_000.0, 86_400.0).writeStream.format("parquet").option("checkpointLocation", f"{root}/state-{uuid.uuid4().hex}").option("path", f"{root}/out").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("file_id string, a double, b double").parquet(f"{root}/out")
