@@ -187,8 +187,8 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
     return cut(docs.withColumn(row, F.monotonically_increasing_id()), "dup-rows")
 
 
-def classes_of_rows(rows: DataFrame, threshold: float, k: int, bands: int) -> DataFrame:
-    """(row, doc_id, text) -> (row, doc_id, class_id, kept); one row of each class is kept."""
+def classes_of_rows(rows: DataFrame, threshold: float, k: int, bands: int, spent: DataFrame | None = None) -> DataFrame:
+    """(row, doc_id, text) -> (row, doc_id, class_id, kept); one row of each class is kept. ``spent`` is a table to drop once texts are read."""
     signed = cut(signatures(rows, k, bands), "dup-signed")
     # without words, only rows of one doc_id are copies
     signed = signed.withColumn("copy_key", F.when(F.col("n_words") > 0, F.col("copy_key")).otherwise(F.concat(F.lit("doc "), "doc_id")))
@@ -198,6 +198,8 @@ def classes_of_rows(rows: DataFrame, threshold: float, k: int, bands: int) -> Da
     shared = shared_buckets(classes.filter("n_words > 0").select("id", "n_words", "bands"))
     ids = shared.select("id").distinct()
     sets = cut(shingles_of(rows.join(ids, rows["row"] == ids["id"], "left_semi").select("row", "text")), "dup-sets")
+    if spent is not None:
+        drop_tables(spent)
     found = verified_links(classes.select("id", "bands"), shared, sets, threshold)
     placed = classes.join(found, classes["id"] == found["node"], "left").select("copy_key", "head", F.coalesce("component", "id").alias("component"))
     heads = placed.groupBy("component").agg(F.min("head").alias("best"))
@@ -209,8 +211,8 @@ def classes_of_rows(rows: DataFrame, threshold: float, k: int, bands: int) -> Da
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = COORDINATES, bands: int = BANDS) -> DataFrame:
     """(doc_id, class_id, kept) per row of ``docs``; class_id is the smallest doc_id that links reach."""
     with scratch(docs.sparkSession):
-        rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), "row").select("row", "doc_id", "text")
-        return finish(classes_of_rows(rows, threshold, k, bands).drop("row"), "near-duplicates")
+        rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), "row")
+        return finish(classes_of_rows(rows.select("row", "doc_id", "text"), threshold, k, bands, spent=rows).drop("row"), "near-duplicates")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, k: int = COORDINATES, bands: int = BANDS) -> DataFrame:

@@ -32,7 +32,7 @@ from .common import bounded_batches, cut, finish, scratch, table, text_of
 BITS = 20
 SIZES = (3, 4, 5, 6)
 MAX_LABELLED = 12_000
-KEEP = 2048
+KEEP = 512
 LEAN = 0.5
 AT_ONCE = 500_000
 AS_SPACE = np.arange(256, dtype=np.uint8)
