@@ -120,6 +120,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over: it does when the driver collects their plans."""
+    spark._jvm.System.gc()
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, or it with underscores, so that no column of ``columns`` has it."""
     taken = {c.lower() for c in columns}

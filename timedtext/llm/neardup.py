@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop_tables, finish, free_name, partitions, scratch, table, text_of
+from .common import cut, drop_tables, finish, forget_shuffles, free_name, partitions, scratch, table, text_of
 from .components import components
 from .shingles import band_keys, dart_signatures, occurrences, shingle_bags
 
@@ -148,7 +148,9 @@ def shared_buckets(classes: DataFrame) -> DataFrame:
     """``classes`` (id, n_words, bands) -> (bucket, band, id, n_words, first) of the buckets that hold several; ``first`` is their smallest id."""
     postings = classes.select("id", "n_words", F.posexplode("bands").alias("band", "bucket"))
     wide = postings.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
-    return cut(postings.join(wide.select("bucket", "first"), "bucket"), "dup-shared")
+    out = cut(postings.join(wide.select("bucket", "first"), "bucket"), "dup-shared")
+    forget_shuffles(classes.sparkSession)
+    return out
 
 
 def verified_links(classes: DataFrame, shared: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -159,6 +161,7 @@ def verified_links(classes: DataFrame, shared: DataFrame, sets: DataFrame, thres
     both = F.size(F.array_intersect("sa", "sb"))
     similar = both >= threshold * (F.size("sa") + F.size("sb") - both) - 1e-6
     links = cut(star.join(a, "a").join(b, "b").filter(similar).select("a", "b"), "dup-links")
+    forget_shuffles(spark)
     first = components(links)
 
     # buckets that still hold several components

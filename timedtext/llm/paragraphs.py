@@ -2,10 +2,10 @@
 
 Paragraphs are lines and, as repeated passages also stand inside longer lines, the parts of lines: they are
 cut after sentences of some words, and parts of over ``LONG`` words without sentence marks at places that
-their own words choose. Paragraphs with at least ``LEAST_WORDS`` words, lines and parts alike, go through
+their own words choose. Lines with at least ``LEAST_WORDS`` words, and such parts of lines of over ``LONG`` words, go through
 the same banded join as documents do, as bags of five-word shingles with bands tuned for recall (a pair
-at similarity 0.8 is missed with a chance of about 4 in 100,000), and are linked at an exact weighted
-Jaccard similarity of 0.8 or more. Shorter parts are classes of equal words. And of every ``SPACING``
+at similarity 0.8 is missed with a chance of about 1 in 10,000), and are linked at an exact weighted
+Jaccard similarity of 0.8 or more. The other parts are classes of equal words. And of every ``SPACING``
 neighbouring runs of ``ANCHOR`` words the one with the smallest hash is an anchor (winnowing), so that any
 ``LEAST_WORDS`` equal words hold an equal anchor, wherever they stand and whatever their marks, and the
 anchors inside a passage touch; runs that short are similar at 0.8 only if they are equal, so they have no
@@ -39,11 +39,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop_tables, finish, free_name, scratch, table, text_of
+from .common import cut, drop_tables, finish, forget_shuffles, free_name, scratch, table, text_of
 from .neardup import THRESHOLD, shared_buckets, verified_links
 from .shingles import WORDS, band_keys, dart_signatures, grouped, mix, occurrences, sequence_hash, shingles_in_order, words_in
 
-COORDINATES, BANDS = 42, 14
+COORDINATES, BANDS = 18, 9
 LEAST_WORDS = 20
 SENTENCE_WORDS, SEGMENT_WORDS = 6, 4
 LONG, APART = 64, 16
@@ -150,8 +150,9 @@ def spans(texts: DataFrame, least_words: int, k: int, bands: int) -> DataFrame:
         (lo, hi), (plo, phi) = ends(line_end), ends(part_end)
         inner = (phi - plo >= SEGMENT_WORDS) & ~(np.isin(plo, lo) & np.isin(phi, hi) & (phi - plo >= least_words))  # the others are told as lines
         lines = hi - lo >= least_words
+        wide = np.repeat(hi - lo > LONG, hi - lo)[plo[inner]]  # parts of lines that say much else
+        long = np.concatenate([np.ones(lines.sum(), bool), wide & (phi - plo >= least_words)[inner]])
         lo, hi = np.concatenate([lo[lines], plo[inner]]), np.concatenate([hi[lines], phi[inner]])
-        long = hi - lo >= least_words
         signed = _signed([np.unique(s[x : y - WORDS + 1], return_counts=True) for x, y in zip(lo[long], hi[long], strict=True)], k, bands)
         for some, keys in ((long, signed), (~long, np.zeros(((~long).sum(), 0), np.int64))):
             x, y = lo[some], hi[some]
@@ -246,16 +247,24 @@ def passages(docs: DataFrame, least_words: int, threshold: float, k: int, bands:
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     held = cut(spans(texts, least_words, k, bands), "par-spans")
     linked = linked_paragraphs(texts, held.filter(F.size("bands") > 0), threshold)
-    twice = held.groupBy("key1", "key2").agg(F.count("*").alias("n")).filter("n > 1").select("key1", "key2")
-    heads = cut(twice.join(linked, ["key1", "key2"], "full").select("key1", "key2", F.coalesce("c1", "key1").alias("c1"), F.coalesce("c2", "key2").alias("c2")), "par-heads")
-    members = cut(held.join(heads, ["key1", "key2"]).select(*DOC, "word", "n_words", "c1", "c2"), "par-members")
+    forget_shuffles(docs.sparkSession)
+    # anchors have the short key alone
+    anchor, other = held.filter("key2 = 0").select(*DOC, "word", "key1"), held.filter("key2 != 0").select(*DOC, "word", "n_words", "key1", "key2")
+    twice = other.groupBy("key1", "key2").agg(F.count("*").alias("n")).filter("n > 1").select("key1", "key2")
+    heads = twice.join(linked, ["key1", "key2"], "full").select("key1", "key2", F.coalesce("c1", "key1").alias("c1"), F.coalesce("c2", "key2").alias("c2"))
+    parts = other.join(heads, ["key1", "key2"]).select(*DOC, "word", "n_words", "c1", "c2")
+    again = cut(anchor.groupBy("key1").agg(F.count("*").alias("n")).filter("n > 1").select("key1"), "par-again")
+    met = anchor.join(again, "key1").select(*DOC, "word", F.lit(ANCHOR).alias("n_words"), F.col("key1").alias("c1"), F.lit(0).cast("long").alias("c2"))
+    members = cut(parts.unionByName(met), "par-members")
     drop_tables(held)
+    forget_shuffles(docs.sparkSession)
     spot = F.struct(*DOC, "word")
     # written, so that the join stands on two exchanges and a component with very many places can be split
     first = cut(members.groupBy("c1", "c2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).filter("first != last").select("c1", "c2", "first"), "par-first")
     placed = members.join(first, ["c1", "c2"]).select(*DOC, "word", (F.col("word") + F.col("n_words")).alias("past"), "first", (spot == F.col("first")).alias("kept"), (F.col("c2") == 0).alias("anchor"))
     placed = cut(placed, "par-placed")
     drop_tables(members)
+    forget_shuffles(docs.sparkSession)
     more = grown(texts, placed.filter("anchor and not kept").select(*DOC, "word", "first"))
     begin = F.col("first.word") - F.col("left")
     grown_first = F.struct(*[F.col(f"first.{c}").alias(c) for c in DOC], begin.alias("word"))
