@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from timedtext import catalog
+from timedtext import catalog, catalog_jobs
 
 D = "/root/testdata/sf0.001"
-Q, SQL = catalog.queries(), catalog.oracle_sql()
+Q, SQL = catalog.queries() | catalog_jobs.queries(), catalog.oracle_sql() | catalog_jobs.oracle_sql()
 
 
 def canon(rows):
@@ -23,7 +23,7 @@ def canon(rows):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("events", "documents", "conversations", "embeddings"):
+    for t in ("events", "documents", "conversations", "embeddings", "orders"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     got = Q[name](spark, D)
     columns = sorted(got.columns)

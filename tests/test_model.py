@@ -1,4 +1,8 @@
-from timedtext.plans import model
+import pytest
+from pyspark.errors import PySparkException
+
+from timedtext.catalog_jobs import Translator
+from timedtext.plans import glossary, job, model, storage
 from timedtext.streaming import demo, windows
 
 
@@ -11,14 +15,14 @@ def rows(df, *names):
 
 
 def test_only_outstanding_lines_are_asked_again(spark):
-    out, failures = model.translate(units(spark), model.UpperBackend())
-    assert rows(out, "idx", "en") == [(i, f"EN {i + 1}") for i in range(23)] and failures.count() == 0
+    out, failures = model.translate(units(spark), Translator())
+    assert rows(out, "idx", "en") == [(i, f"EN 行{i}") for i in range(23)] and failures.count() == 0
 
 
 def test_echo_and_initial(spark):
     initial = spark.createDataFrame([("f", 0, "kept"), ("f", 1, " ")], "file_id string, idx int, en string")
-    out, _ = model.translate(units(spark, 5), model.UpperBackend(echo=True), echo=True, initial=initial)
-    assert rows(out, "idx", "en") == [(0, "kept"), *[(i, f"EN {i + 1}") for i in range(1, 5)]]
+    out, _ = model.translate(units(spark, 5), Translator(echo=True), echo=True, initial=initial)
+    assert rows(out, "idx", "en") == [(0, "kept"), *[(i, f"EN 行{i}") for i in range(1, 5)]]
 
 
 def dead(prompt):
@@ -53,10 +57,10 @@ class Judge:
 
 def test_shifted_runs_are_repaired(spark):
     start = spark.createDataFrame([("f", i, f"行{i}", ("old" if 3 <= i <= 5 else "fine") + f" {i}") for i in range(12)], "file_id string, idx int, ja string, en string")
-    out, found, left = model.check_and_repair(start, model.UpperBackend(echo=True), Judge())
+    out, found, left = model.check_and_repair(start, Translator(echo=True), Judge())
     assert rows(found, "first", "last", "direction") == [(3, 5, "prev")] and left.count() == 0
     got = dict(rows(out, "idx", "en"))
-    assert got[0] == "fine 0" and got[4] == "EN 5" and got[9] == "fine 9"
+    assert got[0] == "fine 0" and got[4] == "EN 行4" and got[9] == "fine 9"
 
 
 def test_streamed_windows_are_the_planned_ones(spark):
@@ -73,3 +77,35 @@ def test_resume_lends_the_equal_prefix(spark):
     plan = spark.createDataFrame([("f", i, float(i), float(i + 1)) for i in range(4)], "file_id string, idx int, a double, b double")
     saved = spark.createDataFrame([("f", 0, 0.0, 1.0, True), ("f", 1, 1.0, 2.0, False), ("f", 2, 2.0, 3.5, True), ("f", 3, 3.0, 4.0, True)], "file_id string, idx int, a double, b double, has_result boolean")
     assert rows(windows.reusable_windows(plan, saved), "idx") == [(0,)]
+
+
+def test_a_stored_glossary(spark):
+    entries = spark.createDataFrame([("s", "names", "あ", "A", 0)], "name string, category string, term string, rendering string, pos int")
+    totals = spark.createDataFrame([("s", 2)], "name string, files long")
+    found = spark.createDataFrame([("s", '{"names":{"あ":"B","い":"I","":"x"},"terms":[1]}'), ("new", '{"names":{},"terms":{"t":"T"}}')], "name string, glossary string")
+    merged, after = glossary.remember(entries, totals, found)
+    assert rows(merged, "name", "category", "term", "rendering") == [("new", "terms", "t", "T"), ("s", "names", "あ", "A"), ("s", "names", "い", "I")]
+    assert rows(after, "name", "files", "new") == [("new", 1, 1), ("s", 3, 1)]
+    loaded = glossary.load(after.select("name").union(spark.createDataFrame([("none",)], "name string")), merged, after)
+    assert rows(loaded, "name", "files") == [("new", 1), ("none", 0), ("s", 3)]
+    assert rows(glossary.seeds(loaded), "name") == [("new",), ("s",)]
+    with pytest.raises(PySparkException, match="not a glossary name"):
+        glossary.load(spark.createDataFrame([("../x",)], "name string"), merged, after).collect()
+
+
+def test_lists_of_unequal_length_raise(spark):
+    a = spark.createDataFrame([("f", 0), ("f", 1)], "file_id string, idx int")
+    b = spark.createDataFrame([("f", 0, "x")], "file_id string, idx int, en string")
+    assert rows(storage.with_positions(a.filter("idx = 0"), b, ["file_id", "idx"], "en"), "en") == [("x",)]
+    with pytest.raises(PySparkException, match="unequal length"):
+        storage.with_positions(a, b, ["file_id", "idx"], "en").collect()
+
+
+def test_job_outputs_are_written(spark, tmp_path):
+    cues = spark.createDataFrame([("f", 0, 0, 1000, "一。二", None), ("f", 1, 9000, 500, "三", None)], "file_id string, idx int, t_ms bigint, dur_ms bigint, ja string, segs array<struct<text:string,t_ms:bigint>>")
+    done, found = job.subtitle_job(cues, Translator(echo=True), analyst, bilingual=True)
+    job.write_outputs(found, str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["en.json", "en.srt", "ja-en.srt", "ja.srt"]
+    text = spark.read.parquet(str(tmp_path / "ja-en.srt")).first().srt
+    assert text == "1\n00:00:00,000 --> 00:00:00,917\n一。\nEN 一。\n\n2\n00:00:00,500 --> 00:00:01,500\n二\nEN 二\n\n3\n00:00:09,000 --> 00:00:10,000\n三\nEN 三\n" or text.count("EN ") == 3
+    assert rows(done.counts(), "units", "translated", "missing", "failed_chunks") == [(3, 3, 0, 0)]

@@ -129,3 +129,36 @@ def test_score(spark):
     df = spark.createDataFrame([("f", 0, 0, 500, "ab"), ("f", 1, 400, 9000, "c"), ("f", 2, 9000, 10000, "d" * 30)], "file_id string, idx int, start bigint, end bigint, text string")
     r = metrics.score(df).first()
     assert (r.cues, r.under_1s, r.over_7s, r.overlaps, r.cps_over_20) == (3, 1, 1, 1, 1)
+
+
+def test_long_groups_by_brute_force(spark):
+    """Against a plain search for the widest pause, over and over, on words of a line."""
+    from timedtext import catalog_jobs
+
+    def may_end(before, after):
+        return bool(before.strip() and after.strip()) and (("ぁ" <= before.strip()[-1] <= "ゟ") or before.strip()[-1] in "、。，．！？!?…」』)") and after.strip()[0] not in "ぁぃぅぇぉゃゅょっゎァィゥェォャュョッヮーゝゞ々"
+
+    def places(ws, lo, hi):
+        if hi - lo < 2 or ws[hi - 1].end - ws[lo].start <= 8.0:
+            return []
+        size = lambda a, b: len("".join(w.word for w in ws[a:b]).strip())
+        ok = [(ws[k].start - ws[k - 1].end, k) for k in range(lo + 1, hi) if ws[k].start - ws[k - 1].end >= 0.15 and may_end(ws[k - 1].word, ws[k].word) and size(lo, k) >= 6 and size(k, hi) >= 6]
+        return [] if not ok else [*places(ws, lo, max(ok)[1]), max(ok)[1], *places(ws, max(ok)[1], hi)]
+
+    got = {}
+    for r in catalog_jobs.split_cues(spark, "/root/testdata/sf0.001").collect():
+        got.setdefault((r.file_id, r.turn), []).append(r)
+    assert any(len({r.part for r in ws}) > 3 for ws in got.values())
+    for ws in got.values():
+        ws.sort(key=lambda r: r.w)
+        cuts = places(ws, 0, len(ws))
+        assert [r.part for r in ws] == [sum(c <= i for c in cuts) for i in range(len(ws))]
+
+
+def test_sweeps_are_the_nested_loops(spark):
+    rng = random.Random(9)
+    spans_of = lambda n: [(i, s, s + rng.randrange(0, 9)) for i in range(n) for s in (rng.randrange(60),)]
+    left, right = spans_of(60), spans_of(12)
+    a, b = (spark.createDataFrame([("k", *r) for r in x], "k string, id int, s bigint, e bigint") for x in (left, right))
+    assert rows(intervals.uncovered(a, b, ["k"]), "id") == [(i,) for i, s, e in left if not any(s < v and e > u for _, u, v in right)]
+    assert rows(intervals.points_inside(a.select("k", "id", F.col("s").alias("at")), b, ["k"], "at"), "id") == [(i,) for i, s, _ in left if any(u <= s < v for _, u, v in right)]

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,36 @@ def test_media_kinds(spark):
     rows = spark.createDataFrame([("/a/B.MP4",), ("b.ja.json",), ("c.JA.JSON",), ("d.flac",), ("e",)], "p string")
     got = rows.select(text.media_kind(F.col("p")).alias("k"), text.stem(F.col("p")).alias("s")).collect()
     assert [(r.k, r.s) for r in got] == [("video", "B"), ("transcript", "b"), (None, "c.JA"), ("audio", "d"), (None, "e")]
+
+
+def test_decimals_round_as_a_printout_does(spark):
+    rng = random.Random(3)
+    xs = [0.0625, 0.1875, 2.0005, 2.675, 1.0005, -0.0625, 12.3455, 0.0, 7.0, 1e6 + 0.0015, *[rng.random() * 10**k for k in range(6) for _ in range(80)], *[k / 2000 for k in range(300)], *[k / 1024 for k in range(300)]]
+    got = [r.y for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", text.round_decimals(F.col("x")).alias("y")).orderBy("i").collect()]
+    assert got == [round(x, 3) for x in xs]
+
+
+def test_long_runs_of_marks_and_closers(spark):
+    s = "あ" + "！" * 20 + "」" * 30 + "い。」「う」」。"
+    assert one(spark, text.split_sentences(F.col("s")), s=s) == ["あ！", *["！"] * 19, *["」"] * 30, "い。", "」", "「う」」。", ""]
+    assert one(spark, text.split_sentences(F.col("s")), s="」あ") == ["」あ"]
+
+
+def test_normalising_and_echo_by_brute_force(spark):
+    import difflib
+    import unicodedata
+
+    rng = random.Random(4)
+    rows = [("".join(rng.choice("あいうえＡb、 。") for _ in range(rng.randrange(9))), "".join(rng.choice("あいうえAb、 。") for _ in range(rng.randrange(9)))) for _ in range(200)]
+    bare = lambda s: "".join(c for c in unicodedata.normalize("NFKC", s) if not c.isspace() and c not in "、。，．！？!?「」『』…・〜ー~")
+    want = [bare(a) == bare(b) or bool(bare(a) and bare(b) and difflib.SequenceMatcher(None, bare(a), bare(b)).ratio() >= 0.7) for a, b in rows]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string")
+    assert [r.ok for r in df.select("i", matching.echo_matches(F.col("a"), F.col("b")).alias("ok")).orderBy("i").collect()] == want
+
+
+def test_small_rules(spark):
+    assert one(spark, text.valid_name(F.col("s")), s="série 1.b-c_") is True and one(spark, text.valid_name(F.col("s")), s="../x") is False
+    assert one(spark, text.json_text(F.col("s")), s='a"é\n') == '"a\\"é\\n"'
+    assert one(spark, text.json_pretty(F.array("a")), a=1) == "[ 1 ]" or "1" in one(spark, text.json_pretty(F.array("a")), a=1)
+    assert one(spark, text.percent_done(F.col("a"), F.col("b")), a=1, b=0) is None
+    assert one(spark, text.iso_time(F.col("t").cast("timestamp")), t="2024-05-01 10:00:00") == "2024-05-01T10:00:00Z"

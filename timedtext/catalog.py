@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import matching, text
+from .functions import text
 from .operators import chunks, folds, intervals, islands, timing
-from .plans import cues, metrics, model
+from .plans import cues, metrics
 from .sources import srt, transcripts
 
 GAP_MS = 21_600_000
@@ -341,7 +341,7 @@ REFERENCE_SQL = f"""WITH {RANKED}, c AS (SELECT * FROM rk WHERE kind = 'view'),
 g AS (SELECT user_id, coalesce(lag(e) OVER (PARTITION BY user_id ORDER BY idx), 0) AS a, s AS b FROM c UNION ALL SELECT user_id, arg_max(e, idx), {metrics.FOREVER} FROM c GROUP BY user_id),
 m AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = r.user_id AND c.s < r.e AND c.e > r.s)),
 t AS (SELECT * FROM m WHERE EXISTS (SELECT 1 FROM g WHERE g.user_id = m.user_id AND g.b - g.a >= 10000 AND g.a <= m.s AND m.s < g.b))
-SELECT n.user_id::VARCHAR AS file_id, n.n AS n_reference, coalesce(k.n, 0) AS n_missed, coalesce(z.n, 0)::BIGINT AS stranded_ms FROM (SELECT user_id, count(*) n FROM r GROUP BY 1) n
+SELECT n.user_id::VARCHAR AS file_id, n.n AS n_reference, coalesce(k.n, 0) AS n_missed, coalesce(z.n, 0)::BIGINT AS stranded_ms, printf('%d/%d (%d%%)', coalesce(k.n, 0), n.n, round_even(coalesce(k.n, 0) * 100 / n.n, 0)::INT) AS missed FROM (SELECT user_id, count(*) n FROM r GROUP BY 1) n
 LEFT JOIN (SELECT user_id, count(*) n FROM m GROUP BY 1) k USING (user_id) LEFT JOIN (SELECT user_id, sum(e - s) n FROM t GROUP BY 1) z USING (user_id)"""
 
 
@@ -439,6 +439,37 @@ def plan_windows(spark, d):
     return folds.plan_windows(spans, ends, 864_000.0, 86_400.0)
 
 
+def _windows_sql(stretches: str, columns: str) -> str:
+    """``stretches``: CTEs that end in sp (file_id, a, b) and fin (file_id, fin)."""
+    t = "least(greatest(edge + 864000, g.a + least(0.25, (g.b - g.a) / 2)), g.b - least(0.25, (g.b - g.a) / 2))"
+    return f"""WITH RECURSIVE {stretches},
+g AS (SELECT file_id, coalesce(lag(b) OVER (PARTITION BY file_id ORDER BY a, b), 0.0::DOUBLE) AS a, a AS b FROM sp
+UNION ALL SELECT file_id, last(b ORDER BY a, b), any_value(fin) FROM sp JOIN fin USING (file_id) GROUP BY file_id),
+gl AS (SELECT file_id, list({{'a': a, 'b': b}} ORDER BY a) FILTER (b > a) AS gs FROM g GROUP BY file_id),
+fl AS (SELECT fin.file_id, fin, CASE WHEN gl.file_id IS NULL THEN [{{'a': 0.0::DOUBLE, 'b': fin}}] ELSE coalesce(gs, []) END AS gs FROM fin LEFT JOIN gl USING (file_id)),
+r AS (SELECT file_id, fin, gs, 0 AS idx, 0.0::DOUBLE AS edge FROM fl UNION ALL
+SELECT file_id, fin, gs, idx + 1, round_even(coalesce(list_aggregate(list_transform(list_filter(gs, lambda g: abs({t} - edge - 864000) <= 86400 AND {t} > edge + 1), lambda g: {{'far': abs({t} - edge - 864000), 'a': g.a, 't': {t}}}), 'min').t, edge + 864000) * 1000, 0) / 1000.0::DOUBLE
+FROM r WHERE edge + 864000 < fin - 216000),
+w AS (SELECT file_id, idx, edge AS a, coalesce(lead(edge) OVER (PARTITION BY file_id ORDER BY idx), round_even(fin * 1000, 0) / 1000.0::DOUBLE) AS b FROM r)
+SELECT {columns} FROM w"""
+
+
+PLAN_SQL = _windows_sql(
+    SPEECH
+    + """, base AS (SELECT user_id, min(s) AS t0, max(e) AS t1 FROM ev GROUP BY user_id),
+sp AS (SELECT * FROM (SELECT user_id::VARCHAR AS file_id, (a - t0) / 1000.0::DOUBLE AS a, least(b, t1) / 1000.0::DOUBLE - t0 / 1000.0::DOUBLE AS b FROM speech JOIN base USING (user_id)) WHERE a < b),
+fin AS (SELECT user_id::VARCHAR AS file_id, (t1 - t0) / 1000.0::DOUBLE AS fin FROM base)""",
+    "file_id, idx, a, b",
+)
+STREAM_SQL = _windows_sql(
+    """t AS (SELECT user_id, event_type, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS t FROM events),
+v AS (SELECT user_id, event_type, t - min(t) OVER (PARTITION BY user_id) AS a, max(t) OVER (PARTITION BY user_id) - min(t) OVER (PARTITION BY user_id) AS total FROM t),
+x AS (SELECT user_id::VARCHAR AS file_id, a, total, least(a + 21600, coalesce(lead(a) OVER (PARTITION BY user_id ORDER BY a), total)) AS b FROM v WHERE event_type = 'view' AND total > 0),
+sp AS (SELECT file_id, a, b FROM x WHERE b > a), fin AS (SELECT file_id, max(total) AS fin FROM x WHERE b > a GROUP BY file_id)""",
+    "file_id, a, b",
+)
+
+
 # --- scalars -------------------------------------------------------------------------------------------
 
 
@@ -492,23 +523,14 @@ n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY vec_id, p) - 1
 SELECT file_id, n // 1000 AS block_no, (n // 1000)::DOUBLE AS t0, count(*)::INT AS n, first(x ORDER BY n)::DOUBLE AS first, last(x ORDER BY n)::DOUBLE AS last FROM n GROUP BY file_id, n // 1000"""
 
 
-def echo_match(spark, d):
-    rows = [("今日は、いい天気", "今日はいい天気。"), ("ＡＢＣ", "abc"), ("あ", None), ("。", "、"), ("長い文章です", "まったく別のこと")]
-    return spark.createDataFrame(rows, "source string, copied string").select("source", "copied", matching.echo_matches(F.col("source"), F.col("copied")).alias("ok"), matching.normalise(F.col("source")).alias("norm"))
-
-
-def translate_retry(spark, d):
-    out, _ = model.translate(_lines(spark, d).drop("en"), model.UpperBackend())
-    return out.select("file_id", "idx", "en")
-
-
-TRANSLATE_SQL = f"WITH {LINES} SELECT file_id, idx, 'EN ' || (idx + 1) AS en FROM un"
-
-
 def result_documents(spark, d):
     return transcripts.result_document(_lines(spark, d)).select("file_id", F.sha2("document", 256).alias("digest"), F.length("document").alias("n"))
 
 
+DOCUMENTS_SQL = f"""WITH {LINES}, t AS (SELECT file_id, to_json({{'title': file_id, 'units': list({{'t_ms': start_ms, 'end_ms': end_ms, 'ja': ja, 'en': nullif(en, '')}} ORDER BY idx)}})::VARCHAR AS doc FROM un GROUP BY file_id)
+SELECT file_id, sha256(doc) AS digest, length(doc)::INT AS n FROM t"""
+
+
 def stream_windows(spark, d):
     from .streaming.demo import windows_of_events
 
@@ -519,7 +541,7 @@ def queries():
     names = """coverage_report coverage_missed coverage_extra overlap_pairs points_in_spans cue_gap_groups verdict_runs flag_margin repeat_collapse clamp_last_word
     stitch_speech find_holes merge_holes complement_gaps choose_cut pad_and_clip display_times jp_cue_stretch wrap_lines srt_render srt_parse score_report reference_report
     verdict_histogram segment_units sentence_units chunks_context budget_sample glossary_merge plan_windows utf16_len js_round srt_timestamp json_recover phantom_filter
-    media_kinds sample_blocks echo_match translate_retry result_documents stream_windows"""
+    media_kinds sample_blocks result_documents stream_windows"""
     return {n: globals()[n] for n in names.split()}
 
 
@@ -564,5 +586,7 @@ def oracle_sql():
         "phantom_filter": f"SELECT idx::INT AS idx, reason FROM {_values([(r[1], PHANTOM_BY_HAND.get(r[1], 'kept')) for r in JA_LINES], 'idx, reason')}",
         "media_kinds": MEDIA_SQL,
         "sample_blocks": BLOCK_SQL,
-        "translate_retry": TRANSLATE_SQL,
+        "result_documents": DOCUMENTS_SQL,
+        "plan_windows": PLAN_SQL,
+        "stream_windows": STREAM_SQL,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,8 +21,9 @@ def clean(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, marked.filter("reason is not null").unionByName(looped)
 
 
-def shift(segments: DataFrame, offset: float, low: float | None = None, high: float | None = None, slack: float = 0.2) -> DataFrame:
+def shift(segments: DataFrame, offset: Column | float, low: Column | float | None = None, high: Column | float | None = None, slack: float = 0.2) -> DataFrame:
     """Move segments by ``offset`` seconds and, within [low, high], keep only the words there; times are rounded to ms."""
+    offset = offset if isinstance(offset, Column) else F.lit(float(offset))
     moved = F.transform("words", lambda w: F.struct(round_decimals(w["start"] + offset).alias("start"), round_decimals(w["end"] + offset).alias("end"), w["word"].alias("word"), w["p"].alias("p")))
     rows = segments.withColumn("words", moved).withColumn("start", round_decimals(F.col("start") + offset)).withColumn("end", round_decimals(F.col("end") + offset))
     if low is None or high is None:

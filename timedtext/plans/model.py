@@ -2,15 +2,13 @@
 
 A backend is any picklable ``prompt -> reply``; recognition and translation models are injected. Calls run
 in partitions, one per request row; everything around them is DataFrame work. Rounds ask only for what
-is outstanding, and their answers are cut to tables where the session has a checkpoint folder.
+is outstanding, and every round's answers are written to the shared folder, so none is asked for twice.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +17,7 @@ from ..functions.text import fill, recover_json, strip
 from ..operators.chunks import chunk
 from ..operators.folds import budget_sample
 from ..operators.islands import flag_margin, runs
+from .storage import kept, with_positions
 
 Backend = Callable[[str], str]
 TRIES = 3
@@ -63,7 +62,8 @@ def analyse(units: DataFrame, backend: Backend, known: DataFrame | None = None,
     useful = (strip(F.coalesce(F.get_json_object("glossary", "$.setting"), F.lit(""))) != "") | (count("names") + count("terms") + count("asr_corrections") > 0)
     done, left = None, asked
     for _ in range(TRIES):
-        got = call(left, backend, ["file_id"]).select("file_id", F.to_json(recover_json(F.col("reply"))).alias("glossary")).filter(useful).persist()
+        got = call(left, backend, ["file_id"]).select("file_id", F.to_json(recover_json(F.col("reply"))).alias("glossary")).filter(useful)
+        got = kept(got, "model-analysis")
         left = left.join(got, "file_id", "left_anti")
         done = got if done is None else done.unionByName(got)
     return units.select("file_id").distinct().join(done, "file_id", "left")
@@ -105,11 +105,11 @@ def translate(units: DataFrame, backend: Backend, glossary: DataFrame | None = N
     glossary = glossary if glossary is not None else spark.createDataFrame([], "file_id string, glossary string")
     done = (initial if initial is not None else spark.createDataFrame([], "file_id string, idx int, en string")).select("file_id", "idx", "en").filter("en is not null and trim(en) != ''")
     for k in range(TRIES):
-        left = units.join(done, ["file_id", "idx"], "left_anti").persist()
+        left = kept(units.join(done, ["file_id", "idx"], "left_anti"), "model-left")
         if left.isEmpty():
             break
         replies = call(_requests(units, left, glossary, echo, size), backend, ["file_id", "chunk"])
-        done = done.unionByName(accept(left, replies, echo, k == TRIES - 1, size)).persist()
+        done = done.unionByName(kept(accept(left, replies, echo, k == TRIES - 1, size), "model-lines"))
     out = units.join(done, ["file_id", "idx"], "left").withColumn("en", F.coalesce("en", F.lit("")))
     missing = out.filter("en = ''").groupBy("file_id", F.floor(F.col("idx") / size).cast("int").alias("chunk"))
     failures = missing.agg(F.array_sort(F.collect_list(F.col("idx") + 1)).alias("lines")).select("file_id", "chunk", F.concat(F.lit("chunk "), F.col("chunk") + 1, F.lit(": missing lines "), F.array_join(F.transform("lines", lambda n: n.cast("string")), ", ")).alias("message"))
@@ -138,44 +138,13 @@ def judge(units: DataFrame, backend: Backend, only: DataFrame | None = None) ->
 
 def check_and_repair(units: DataFrame, translator: Backend, judging: Backend, size: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(units, runs found, runs left): shifted runs and two lines around them are translated anew, with echo."""
-    found = runs(judge(units, judging), ["file_id"], "idx", "verdict", ["prev", "next"]).persist()
+    found = runs(kept(judge(units, judging), "model-verdicts"), ["file_id"], "idx", "verdict", ["prev", "next"])
     n = units.groupBy("file_id").agg(F.count("*").cast("int").alias("n"))
-    flagged = flag_margin(found.join(n, "file_id"), ["file_id"], "n", 2).persist()
-    kept = units.select("file_id", "idx", "en").join(flagged, ["file_id", "idx"], "left_anti")
-    new, _ = translate(units.drop("en"), translator, echo=True, size=size, initial=kept)
+    flagged = flag_margin(found.join(n, "file_id"), ["file_id"], "n", 2)
+    sound = units.select("file_id", "idx", "en").join(flagged, ["file_id", "idx"], "left_anti")
+    new, _ = translate(units.drop("en"), translator, echo=True, size=size, initial=sound)
     old = units.select("file_id", "idx", F.col("en").alias("old"))
-    out = new.join(old, ["file_id", "idx"]).withColumn("en", F.coalesce(F.when(F.col("en") != "", F.col("en")), "old")).drop("old")
+    out = with_positions(new, old, ["file_id", "idx"], "old").withColumn("en", F.coalesce(F.when(F.col("en") != "", F.col("en")), "old")).drop("old")
     near = flag_margin(flagged.select("file_id", F.col("idx").alias("first"), F.col("idx").alias("last")).join(n, "file_id"), ["file_id"], "n", 1)
     left = runs(judge(out, judging, near), ["file_id"], "idx", "verdict", ["prev", "next"])
     return out, found, left
-
-
-class UpperBackend:
-    """A deterministic stand-in for tests and queries: "translates" a line to ``EN <line>``.
-
-    It leaves out lines whose number is a multiple of ``drop`` when a request has more than three lines.
-    """
-
-    def __init__(self, echo: bool = False, drop: int = 7):
-        self.echo, self.drop = echo, drop
-
-    def __call__(self, prompt: str) -> str:
-        lines = prompt.split("Lines:\n", 1)[1].rsplit("\nExample: ", 1)[0]
-        rows, out = [], {}
-        for line in lines.split("\n"):
-            n, sep, text = line.partition(": ")
-            if sep and n.isdigit():
-                rows.append([n, text])
-            elif rows:
-                rows[-1][1] += "\n" + line
-        for n, text in rows:
-            if len(rows) > 3 and int(n) % self.drop == 0:
-                continue
-            en = "EN " + n
-            out[n] = {"ja": text, "en": en} if self.echo else en
-        return "```json\n" + json.dumps(out, ensure_ascii=False) + "\n```"
-
-
-def sequential(prompts: pd.Series, backend: Backend) -> list[str]:
-    """Replies one after another; what :func:`call` gives in any partitioning."""
-    return [backend(p) for p in prompts]

@@ -1,17 +1,46 @@
-"""Where intermediate tables go: the folder that driver and executors share."""
+"""Intermediate and kept tables, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; where that is not set (local runs), one is made and set."""
+    """A new path under ``spark.checkpoint.dir``. A local session without one gets a temporary folder; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="timedtext-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read back: a model's answers are asked for once, whatever executor is lost later."""
+    path = shared_path(df.sparkSession, name)
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def with_positions(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Join lists by position; a position that one side lacks is an error, not a dropped row."""
+    both = left.withColumn("_left", F.lit(True)).join(right.select(*keys, value, F.lit(True).alias("_right")), keys, "full")
+    whole = F.col("_left").isNotNull() & F.col("_right").isNotNull()
+    checked = F.when(whole, F.col(value)).otherwise(F.raise_error(F.lit("lists of unequal length")).cast(right.schema[value].dataType))
+    return both.withColumn(value, checked).drop("_left", "_right")
+
+
+def new_in_queue(added: DataFrame, known: DataFrame, path: str = "path", order: str = "pos") -> DataFrame:
+    """Added rows whose path is not known yet, each path once, in the order in which it was added first."""
+    first = added.groupBy(path).agg(F.min_by(F.struct(*added.columns), order).alias("_row")).select("_row.*")
+    return first.join(known.select(path), path, "left_anti").orderBy(order)
+
+
+def status_counts(queue: DataFrame, status: str = "status") -> DataFrame:
+    return queue.groupBy(status).agg(F.count("*").alias("n"))
