@@ -36,6 +36,13 @@ def bounded_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(ARROW_BYTES, own)
 
 
+def bound_session(spark: SparkSession) -> None:
+    """The same for a whole session, for a job that owns it and hands on frames that run later."""
+    now = (spark.conf.get(ARROW_BYTES, None) or "67108864").rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -185,13 +185,14 @@ def verified_links(classes: DataFrame, shared: DataFrame, sets: DataFrame, thres
     return components(links.unionByName(more))
 
 
-def numbered(docs: DataFrame, row: str) -> DataFrame:
-    """``docs`` with a number for every row, written once so that it stays the row's."""
-    return cut(docs.withColumn(row, F.monotonically_increasing_id()), "dup-rows")
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text_hash, text): a number for every row, written once so that it stays the row's."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
+    return cut(rows, "dup-rows")
 
 
 def classes_of_rows(rows: DataFrame, threshold: float, k: int, bands: int, spent: DataFrame | None = None) -> DataFrame:
-    """(row, doc_id, text) -> (row, doc_id, class_id, kept); one row of each class is kept. ``spent`` is a table to drop once texts are read."""
+    """(row, doc_id, text_hash, text) -> (row, doc_id, text_hash, class_id, kept); one row of each class is kept. ``spent`` is a table to drop once texts are read."""
     signed = cut(signatures(rows, k, bands), "dup-signed")
     # without words, only rows of one doc_id are copies
     signed = signed.withColumn("copy_key", F.when(F.col("n_words") > 0, F.col("copy_key")).otherwise(F.concat(F.lit("doc "), "doc_id")))
@@ -207,25 +208,38 @@ def classes_of_rows(rows: DataFrame, threshold: float, k: int, bands: int, spent
     placed = classes.join(found, classes["id"] == found["node"], "left").select("copy_key", "head", F.coalesce("component", "id").alias("component"))
     heads = placed.groupBy("component").agg(F.min("head").alias("best"))
     of_key = cut(placed.join(heads, "component").select("copy_key", "best"), "dup-heads")
-    alone = signed.filter("copy_key is null").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
-    return signed.join(of_key, "copy_key").select("row", "doc_id", F.col("best.doc_id").alias("class_id"), (F.col("best.row") == F.col("row")).alias("kept")).unionByName(alone)
+    alone = signed.filter("copy_key is null").select("row", "doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    return signed.join(of_key, "copy_key").select("row", "doc_id", "text_hash", F.col("best.doc_id").alias("class_id"), (F.col("best.row") == F.col("row")).alias("kept")).unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = COORDINATES, bands: int = BANDS) -> DataFrame:
     """(doc_id, class_id, kept) per row of ``docs``; class_id is the smallest doc_id that links reach."""
     with scratch(docs.sparkSession):
-        rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), "row")
-        return finish(classes_of_rows(rows.select("row", "doc_id", "text"), threshold, k, bands, spent=rows).drop("row"), "near-duplicates")
+        rows = numbered(docs)
+        return finish(classes_of_rows(rows, threshold, k, bands, spent=rows).select("doc_id", "class_id", "kept"), "near-duplicates")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, k: int = COORDINATES, bands: int = BANDS) -> DataFrame:
-    """``docs`` with one row of each class."""
-    row = free_name(docs.columns, "row")
-    rows = numbered(docs, row)
+    """``docs`` with one row of each class.
+
+    Only what must go or is repeated is joined with the documents: doc_ids with the hash of a text, which
+    also name the rows to keep one of.
+    """
     with scratch(docs.sparkSession):
-        found = classes_of_rows(rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), threshold, k, bands)
-        gone = finish(found.filter("not kept").select(F.col("row").alias(row)), "dup-gone")
-    return rows.join(gone, row, "left_anti").select(*[rows[f"`{c}`"] for c in docs.columns])
+        rows = numbered(docs)
+        found = classes_of_rows(rows, threshold, k, bands, spent=rows)
+        named = found.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+        marked = finish(named.filter("not kept or n > 1"), "dup-marked")
+    held_id, held_hash = (free_name(docs.columns, n) for n in ("held_id", "held_hash"))
+    keyed = docs.withColumns({held_id: F.col("doc_id").cast("long"), held_hash: F.xxhash64(text_of())})
+
+    def met(some: DataFrame, how: str) -> DataFrame:
+        names = some.select(F.col("doc_id").alias("marked_id"), F.col("text_hash").alias("marked_hash"))
+        return keyed.join(names, keyed[held_id].eqNullSafe(names["marked_id"]) & (keyed[held_hash] == names["marked_hash"]), how)
+
+    once = met(marked, "left_anti")
+    again = met(marked.filter("kept"), "left_semi").dropDuplicates([held_id, held_hash])
+    return once.unionByName(again).drop(held_id, held_hash)
 
 
 def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
