@@ -475,6 +475,18 @@ def test_near_copies_inside_lines(spark):
     assert all("other" not in left[i] and len(left[i]) == 39 for i in range(8, 16)), {i: len(left[i]) for i in range(8, 16)}
 
 
+def test_a_part_is_no_copy_of_its_own_line(spark):
+    """Clean texts of one long line each, with and without marks, stay as they are."""
+    rng = random.Random(26)
+    texts = [" ".join(words(rng, rng.randrange(5, 60), 10**9) + "." * (i % 2) for _ in range(1 + i % 3)) for i in range(60)] + [words(rng, n, 10**9) for n in range(60, 140, 2)]
+    assert paragraphs.repeated_passages(docs_of(spark, texts)).count() == 0
+    # a chain of near copies from a part to its line: the line is the first place, and stays whole
+    w = words(rng, 100, 10**9).split()
+    chain = [" ".join(w[10:92]), " ".join(w)]
+    left = {x.doc_id: x.text for x in paragraphs.remove_repeats(docs_of(spark, [chain[1], f"{chain[0]}\nend"])).collect()}
+    assert left == {0: chain[1], 1: "end"}
+
+
 def test_paragraph_pairs_by_brute_force(spark):
     """Whole lines against all pairs of lines: every similar pair is in one component, and only the first of each stays."""
     rng = random.Random(25)

@@ -46,7 +46,7 @@ from .shingles import WORDS, band_keys, dart_signatures, grouped, mix, occurrenc
 COORDINATES, BANDS = 18, 9
 LEAST_WORDS = 20
 SENTENCE_WORDS, SEGMENT_WORDS = 6, 4
-LONG, APART = 64, 16
+LONG, APART, NESTED = 64, 16, 0.6
 SPACING, REACH = 10, 16
 ANCHOR = LEAST_WORDS - SPACING + 1
 GAP_WORDS = 4
@@ -150,7 +150,9 @@ def spans(texts: DataFrame, least_words: int, k: int, bands: int) -> DataFrame:
         (lo, hi), (plo, phi) = ends(line_end), ends(part_end)
         inner = (phi - plo >= SEGMENT_WORDS) & ~(np.isin(plo, lo) & np.isin(phi, hi) & (phi - plo >= least_words))  # the others are told as lines
         lines = hi - lo >= least_words
-        wide = np.repeat(hi - lo > LONG, hi - lo)[plo[inner]]  # parts of lines that say much else
+        # parts of lines that say much else; a part that is nearly its line would be linked with it
+        room = np.repeat(hi - lo, hi - lo)[plo[inner]]
+        wide = (room > LONG) & ((phi - plo)[inner] - WORDS + 1 < NESTED * (room - WORDS + 1))
         long = np.concatenate([np.ones(lines.sum(), bool), wide & (phi - plo >= least_words)[inner]])
         lo, hi = np.concatenate([lo[lines], plo[inner]]), np.concatenate([hi[lines], phi[inner]])
         signed = _signed([np.unique(s[x : y - WORDS + 1], return_counts=True) for x, y in zip(lo[long], hi[long], strict=True)], k, bands)
@@ -260,21 +262,23 @@ def passages(docs: DataFrame, least_words: int, threshold: float, k: int, bands:
     forget_shuffles(docs.sparkSession)
     spot = F.struct(*DOC, "word")
     # written, so that the join stands on two exchanges and a component with very many places can be split
-    first = cut(members.groupBy("c1", "c2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).filter("first != last").select("c1", "c2", "first"), "par-first")
-    placed = members.join(first, ["c1", "c2"]).select(*DOC, "word", (F.col("word") + F.col("n_words")).alias("past"), "first", (spot == F.col("first")).alias("kept"), (F.col("c2") == 0).alias("anchor"))
+    whole = F.struct(*DOC, "word", (-F.col("n_words")).alias("less"))
+    first = members.groupBy("c1", "c2").agg(F.min(whole).alias("first"), F.max(spot).alias("last")).select("c1", "c2", F.struct(*[F.col(f"first.{c}").alias(c) for c in [*DOC, "word"]]).alias("first"), (F.col("first.word") - F.col("first.less")).alias("first_past"), "last")
+    first = cut(first.filter("first != last").drop("last"), "par-first")
+    placed = members.join(first, ["c1", "c2"]).select(*DOC, "word", (F.col("word") + F.col("n_words")).alias("past"), "first", "first_past", (spot == F.col("first")).alias("kept"), (F.col("c2") == 0).alias("anchor"))
     placed = cut(placed, "par-placed")
     drop_tables(members)
     forget_shuffles(docs.sparkSession)
     more = grown(texts, placed.filter("anchor and not kept").select(*DOC, "word", "first"))
     begin = F.col("first.word") - F.col("left")
     grown_first = F.struct(*[F.col(f"first.{c}").alias(c) for c in DOC], begin.alias("word"))
-    ends = more.select(*DOC, (F.col("word") - F.col("left")).alias("word"), (F.col("word") + ANCHOR + F.col("right")).alias("past"), grown_first.alias("first"), F.lit(False).alias("kept"), F.col("first.word").alias("guard"))
+    ends = more.select(*DOC, (F.col("word") - F.col("left")).alias("word"), (F.col("word") + ANCHOR + F.col("right")).alias("past"), grown_first.alias("first"), F.lit(False).alias("kept"), (F.col("first.word") + ANCHOR).alias("guard"))
     heads_grown = more.groupBy("first").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     heads_grown = heads_grown.select(*[F.col(f"first.{c}").alias(c) for c in DOC], begin.alias("word"), (F.col("first.word") + ANCHOR + F.col("right")).alias("past"), grown_first.alias("first"), F.lit(True).alias("kept"), F.lit(None).cast("int").alias("guard"))
-    placed = placed.select(*DOC, "word", "past", "first", "kept", F.when(F.col("anchor") & ~F.col("kept"), F.col("first.word")).alias("guard")).unionByName(ends).unionByName(heads_grown)
-    # a place that overlaps its own first place (a text that repeats a few words) begins after it
+    placed = placed.select(*DOC, "word", "past", "first", "kept", F.when(~F.col("kept"), F.col("first_past")).alias("guard")).unionByName(ends).unionByName(heads_grown)
+    # a place that overlaps its own first place (a text that repeats a few words, a part of a line) begins after it
     own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & F.col("guard").isNotNull()
-    placed = placed.withColumn("word", F.when(own, F.greatest("word", F.col("guard") + ANCHOR)).otherwise(F.col("word"))).filter("word < past")
+    placed = placed.withColumn("word", F.when(own, F.greatest("word", "guard")).otherwise(F.col("word"))).filter("word < past")
     along = W.partitionBy(*DOC, "kept").orderBy("word", "past")
     reach = F.max("past").over(along.rowsBetween(W.unboundedPreceding, -1))
     opens = placed.withColumn("opens", F.coalesce(F.col("word") > reach + GAP_WORDS, F.lit(True)).cast("int"))
