@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, finish, scratch, table, text_of
-from .tokens import BYTE_LEVEL, ChunkEncoder, crc32, vocabulary
+from .tokens import BYTE_LEVEL, crc32, vocabulary, worker_encoder
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     path = path or vocabulary(BYTE_LEVEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path, leading_space=True)
+        encoder = worker_encoder(path, leading_space=True)
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
