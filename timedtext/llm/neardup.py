@@ -182,6 +182,7 @@ def verified_links(classes: DataFrame, shared: DataFrame, sets: DataFrame, thres
     cells = cells.repartition(partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = cut(_verify_blocks(cells, threshold), "dup-more")
     drop_tables(open_)
+    forget_shuffles(spark)
     return components(links.unionByName(more))
 
 
@@ -204,6 +205,7 @@ def classes_of_rows(rows: DataFrame, threshold: float, k: int, bands: int, spent
     sets = cut(shingles_of(rows.join(ids, rows["row"] == ids["id"], "left_semi").select("row", "text")), "dup-sets")
     if spent is not None:
         drop_tables(spent)
+    forget_shuffles(rows.sparkSession)
     found = verified_links(classes.select("id", "bands"), shared, sets, threshold)
     placed = classes.join(found, classes["id"] == found["node"], "left").select("copy_key", "head", F.coalesce("component", "id").alias("component"))
     heads = placed.groupBy("component").agg(F.min("head").alias("best"))

@@ -194,10 +194,13 @@ def linked_paragraphs(texts: DataFrame, banded: DataFrame, threshold: float) ->
     shared = shared_buckets(classes.select("id", F.col("spot.n_words").alias("n_words"), "bands"))
     ids = shared.select("id").distinct()
     wanted = classes.join(ids, "id", "left_semi").groupBy("spot.doc_id", "spot.text_hash").agg(F.collect_list(F.struct("spot.word", "spot.n_words", "id")).alias("wanted"))
-    sets = cut(shingles_of_spans(texts.join(wanted, DOC).select("text", "wanted")).dropDuplicates(["id"]), "par-sets")
+    forget_shuffles(texts.sparkSession)
+    # one text of each document, which the join has dealt by document already
+    sets = cut(shingles_of_spans(texts.join(wanted, DOC).dropDuplicates(DOC).select("text", "wanted")), "par-sets")
+    forget_shuffles(texts.sparkSession)
     found = verified_links(classes.select("id", "bands"), shared, sets, threshold)
     heads = classes.select(F.col("id").alias("component"), F.col("key1").alias("c1"), F.col("key2").alias("c2"))
-    return cut(found.join(classes.select(F.col("id").alias("node"), "key1", "key2"), "node").join(heads, "component").select("key1", "key2", "c1", "c2"), "par-linked")
+    return found.join(classes.select(F.col("id").alias("node"), "key1", "key2"), "node").join(heads, "component").select("key1", "key2", "c1", "c2")
 
 
 def words_around(texts: DataFrame) -> DataFrame:
@@ -232,7 +235,8 @@ def grown(texts: DataFrame, met: DataFrame) -> DataFrame:
     ends = cut(met.distinct().withColumn("inner", follows(F.lag) & follows(F.lead)).filter("not inner").drop("inner"), "par-ends")
     spots = ends.select(*DOC, "word").unionByName(ends.select("first.*")).distinct()
     wanted = spots.groupBy(*DOC).agg(F.collect_list("word").alias("wanted"))
-    around = cut(words_around(texts.join(wanted, DOC).select(*DOC, "text", "wanted")).dropDuplicates([*DOC, "word"]), "par-around")
+    around = cut(words_around(texts.join(wanted, DOC).dropDuplicates(DOC).select(*DOC, "text", "wanted")), "par-around")
+    forget_shuffles(texts.sparkSession)
     there = around.select(F.struct(*DOC, "word").alias("first"), F.col("before").alias("first_before"), F.col("after").alias("first_after"))
 
     def equal(a: str, b: str) -> Column:
@@ -241,6 +245,7 @@ def grown(texts: DataFrame, met: DataFrame) -> DataFrame:
         return F.when(end > 0, end - 1).otherwise(F.size(same))
 
     both = ends.join(around, [*DOC, "word"]).join(there, "first")
+    forget_shuffles(texts.sparkSession)
     return cut(both.select(*DOC, "word", "first", equal("before", "first_before").alias("left"), equal("after", "first_after").alias("right")), "par-grown")
 
 
@@ -248,23 +253,28 @@ def passages(docs: DataFrame, least_words: int, threshold: float, k: int, bands:
     """One row per passage that occurs more than once: (DOC, word, n_words, first, kept)."""
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     held = cut(spans(texts, least_words, k, bands), "par-spans")
-    linked = linked_paragraphs(texts, held.filter(F.size("bands") > 0), threshold)
+    with scratch(docs.sparkSession):
+        linked = finish(linked_paragraphs(texts, held.filter(F.size("bands") > 0), threshold), "par-linked")
     forget_shuffles(docs.sparkSession)
     # anchors have the short key alone
     anchor, other = held.filter("key2 = 0").select(*DOC, "word", "key1"), held.filter("key2 != 0").select(*DOC, "word", "n_words", "key1", "key2")
     twice = other.groupBy("key1", "key2").agg(F.count("*").alias("n")).filter("n > 1").select("key1", "key2")
     heads = twice.join(linked, ["key1", "key2"], "full").select("key1", "key2", F.coalesce("c1", "key1").alias("c1"), F.coalesce("c2", "key2").alias("c2"))
     parts = other.join(heads, ["key1", "key2"]).select(*DOC, "word", "n_words", "c1", "c2")
+    parts = cut(parts, "par-parts")
+    forget_shuffles(docs.sparkSession)
     again = cut(anchor.groupBy("key1").agg(F.count("*").alias("n")).filter("n > 1").select("key1"), "par-again")
     met = anchor.join(again, "key1").select(*DOC, "word", F.lit(ANCHOR).alias("n_words"), F.col("key1").alias("c1"), F.lit(0).cast("long").alias("c2"))
+    forget_shuffles(docs.sparkSession)
     members = cut(parts.unionByName(met), "par-members")
-    drop_tables(held)
+    drop_tables(held, parts, again)
     forget_shuffles(docs.sparkSession)
     spot = F.struct(*DOC, "word")
     # written, so that the join stands on two exchanges and a component with very many places can be split
     whole = F.struct(*DOC, "word", (-F.col("n_words")).alias("less"))
     first = members.groupBy("c1", "c2").agg(F.min(whole).alias("first"), F.max(spot).alias("last")).select("c1", "c2", F.struct(*[F.col(f"first.{c}").alias(c) for c in [*DOC, "word"]]).alias("first"), (F.col("first.word") - F.col("first.less")).alias("first_past"), "last")
     first = cut(first.filter("first != last").drop("last"), "par-first")
+    forget_shuffles(docs.sparkSession)
     placed = members.join(first, ["c1", "c2"]).select(*DOC, "word", (F.col("word") + F.col("n_words")).alias("past"), "first", "first_past", (spot == F.col("first")).alias("kept"), (F.col("c2") == 0).alias("anchor"))
     placed = cut(placed, "par-placed")
     drop_tables(members)
