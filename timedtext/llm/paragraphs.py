@@ -193,7 +193,7 @@ def linked_paragraphs(texts: DataFrame, banded: DataFrame, threshold: float) ->
     classes = cut(banded.groupBy("key1", "key2").agg(F.min(spot).alias("spot"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "par-classes")
     shared = shared_buckets(classes.select("id", F.col("spot.n_words").alias("n_words"), "bands"))
     ids = shared.select("id").distinct()
-    wanted = classes.join(ids, "id", "left_semi").groupBy("spot.doc_id", "spot.text_hash").agg(F.collect_list(F.struct("spot.word", "spot.n_words", "id")).alias("wanted"))
+    wanted = cut(classes.join(ids, "id", "left_semi").groupBy("spot.doc_id", "spot.text_hash").agg(F.collect_list(F.struct("spot.word", "spot.n_words", "id")).alias("wanted")), "par-asked")
     forget_shuffles(texts.sparkSession)
     # one text of each document, which the join has dealt by document already
     sets = cut(shingles_of_spans(texts.join(wanted, DOC).dropDuplicates(DOC).select("text", "wanted")), "par-sets")
@@ -233,8 +233,10 @@ def grown(texts: DataFrame, met: DataFrame) -> DataFrame:
         return F.coalesce((by <= ANCHOR) & alike & (F.abs(F.col("first.word") - step("first.word").over(along)) == by), F.lit(False))
 
     ends = cut(met.distinct().withColumn("inner", follows(F.lag) & follows(F.lead)).filter("not inner").drop("inner"), "par-ends")
+    forget_shuffles(texts.sparkSession)
     spots = ends.select(*DOC, "word").unionByName(ends.select("first.*")).distinct()
-    wanted = spots.groupBy(*DOC).agg(F.collect_list("word").alias("wanted"))
+    wanted = cut(spots.groupBy(*DOC).agg(F.collect_list("word").alias("wanted")), "par-wanted")
+    forget_shuffles(texts.sparkSession)
     around = cut(words_around(texts.join(wanted, DOC).dropDuplicates(DOC).select(*DOC, "text", "wanted")), "par-around")
     forget_shuffles(texts.sparkSession)
     there = around.select(F.struct(*DOC, "word").alias("first"), F.col("before").alias("first_before"), F.col("after").alias("first_after"))
@@ -277,7 +279,7 @@ def passages(docs: DataFrame, least_words: int, threshold: float, k: int, bands:
     forget_shuffles(docs.sparkSession)
     placed = members.join(first, ["c1", "c2"]).select(*DOC, "word", (F.col("word") + F.col("n_words")).alias("past"), "first", "first_past", (spot == F.col("first")).alias("kept"), (F.col("c2") == 0).alias("anchor"))
     placed = cut(placed, "par-placed")
-    drop_tables(members)
+    drop_tables(members, first)
     forget_shuffles(docs.sparkSession)
     more = grown(texts, placed.filter("anchor and not kept").select(*DOC, "word", "first"))
     begin = F.col("first.word") - F.col("left")
