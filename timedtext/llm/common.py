@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -128,7 +129,8 @@ def text_of(name: str = "text") -> Column:
 
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that are over: it does when the driver collects their plans."""
+    """Let Spark delete the shuffle files of jobs that are over: it does when the driver collects their plans, which listeners hold a moment longer."""
+    time.sleep(0.1)
     spark._jvm.System.gc()
 
 
