@@ -24,7 +24,7 @@ from functools import lru_cache
 
 ODD_SPACE = re.compile(r"\s \s|\s \Z")
 TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"  # ASCII punctuation but ', which starts contractions, and <, >, which may start control tokens
-MEMORY, LONG_CHUNK, ENTRY_BYTES = 96 << 20, 64, 200
+MEMORY, LONG_CHUNK, ENTRY_BYTES = 160 << 20, 64, 200
 BYTE_LEVEL, WORD_LEVEL = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
