@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, kmtree, mixing, neardup, packing, paragraphs, pivots, tokenfiles, toxicity, urls
+from . import chat, fim, kmtree, lexical, licences, mixing, neardup, packing, paragraphs, pivots, tokenfiles, toxicity, urls
 
 QUERIES = {
     "op1_pivot_permutation": pivots.op1_pivot_permutation,
@@ -15,8 +15,14 @@ QUERIES = {
     "op8_pareto_mixing": mixing.op8_pareto_mixing,
     "op10_prefix_target_chat": chat.op10_prefix_target_chat,
     "op9_dart_minhash": neardup.op9_dart_minhash,
+    "op11_marker_injection_fim": fim.op11_marker_injection_fim,
+    "op12_rare_token_licences": licences.op12_rare_token_licences,
+    "op13_wavelet_search": lexical.op13_wavelet_search,
 }
 
 ORACLE_SQL = {
     "op10_prefix_target_chat": chat.ORACLE_SQL,
+    "op11_marker_injection_fim": fim.ORACLE_SQL,
+    "op12_rare_token_licences": licences.ORACLE_SQL,
+    "op13_wavelet_search": lexical.ORACLE_SQL,
 }
