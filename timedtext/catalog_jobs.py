@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import catalog as c
 from .functions import matching, text
 from .operators import folds
-from .plans import cues, gaps, glossary, job, metrics, model, storage
+from .plans import cues, gaps, glossary, job, metrics, model, resume, storage
 from .sources import srt, transcripts
 from .streaming import windows
 
@@ -193,6 +193,30 @@ def analysis(spark, d):
 ANALYSIS_SQL = f"WITH {TALK} SELECT file_id, CASE WHEN count(*) % 2 = 0 THEN (sum(length(ja)) + count(*) - 1)::BIGINT || ' characters' END AS setting FROM un GROUP BY file_id"
 
 
+def resumed_translation(spark, d):
+    """Every conversation is translated by a job that stops after two batches of four; a second one asks for what is left."""
+    units = lines_of(spark, d, F.lit("")).drop("en")
+    table = resume.checkpoint_table(spark, storage.shared_path(spark, "checkpoint"))
+    seen: list[int] = []
+    options = {"model": "m", "size": 4, "batches": 4}
+    first = resume.translate_kept(units, Translator(echo=True), analyst, table, should_stop=lambda: len(seen) >= 2, on_progress=lambda stage, done, total: seen.append(done), **options)
+    # files that the first job finished left the table, as their subtitles are there
+    open_files = first.units.filter("en = ''").select("file_id").distinct()
+    held = storage.kept(table.read().groupBy("file_id").agg(F.count_if(F.col("idx") == resume.GLOSSARY).alias("analysed")), "checkpoint-held")
+    second = resume.translate_kept(units.join(open_files, "file_id", "left_semi"), Translator(echo=True), analyst, table, **options)
+    ended = second.units.unionByName(first.units.join(open_files, "file_id", "left_anti"))
+    asked = first.asked.withColumn("job", F.lit(1)).unionByName(second.asked.withColumn("job", F.lit(2))).groupBy("file_id", "idx").agg(F.count("*").alias("asked"), F.max("job").alias("job"))
+    lines = ended.join(asked, ["file_id", "idx"], "left").join(held, "file_id", "left").na.fill(0, ["asked"])
+    counts = lines.groupBy("file_id").agg(F.count("*").alias("lines"), F.sum("asked").alias("asked"), F.count_if(F.col("en") == F.concat(F.lit("EN "), "ja")).alias("right"), F.coalesce(F.max("analysed"), F.lit(1)).alias("analysed"))
+    left = table.read().groupBy("file_id").agg(F.count("*").alias("rows_left"))
+    # some were asked by the first job and some by the second
+    both = asked.agg((F.min("job") == 1).alias("some_before"), (F.max("job") == 2).alias("some_after"))
+    return counts.join(left, "file_id", "left").na.fill(0, ["rows_left"]).crossJoin(both)
+
+
+RESUMED_SQL = f"WITH {TALK} SELECT file_id, count(*) AS lines, count(*) AS asked, count(*) AS \"right\", 1::BIGINT AS analysed, 0::BIGINT AS rows_left, true AS some_before, true AS some_after FROM un GROUP BY file_id"
+
+
 def judged_lines(spark, d):
     kind = F.element_at(F.array(*[F.lit(x) for x in ("EN ", "late ", "old ", "none ", "skip ")]), F.col("idx") % 5 + 1)
     return model.judge(lines_of(spark, d, F.when(F.col("idx") % 7 == 6, "").otherwise(F.concat(kind, "ja"))), judge)
@@ -228,7 +252,7 @@ SELECT file_id, n AS lines, n - greatest(0, least(n, 4) - 2) AS same, greatest(0
 def prompt_frames(spark, d):
     """What a request for outstanding lines holds: context that is there, the lines, and an example of the first two."""
     units = kept_units(spark, d)
-    asked = model._requests(units, units.filter("idx % 2 = 1"), units.select("file_id", F.lit(None).cast("string").alias("glossary")).distinct(), False, 4)
+    asked = model.requests_for(units.filter("idx % 2 = 1"), model.frames_of(units, 4), units.select("file_id", F.lit(None).cast("string").alias("glossary")).distinct(), False, 4)
     lines = F.regexp_extract("prompt", r"(?s)\nLines:\n(.*)\nExample: ", 1)
     return asked.select("file_id", "chunk", F.col("prompt").contains("\nBefore:\n").alias("has_before"), F.col("prompt").contains("\nAfter:\n").alias("has_after"), F.col("prompt").contains("Glossary:").alias("has_glossary"), lines.alias("lines"), F.regexp_extract("prompt", r"Example: (.*)$", 1).alias("example"))
 
@@ -521,7 +545,7 @@ def zipped_lines(spark, d):
 
 
 def queries():
-    names = """job_lines job_counts job_srt job_documents job_from_recogniser translate_retry translate_echo analysis judged_lines repaired_lines align_report prompt_frames
+    names = """job_lines job_counts job_srt job_documents job_from_recogniser translate_retry translate_echo analysis resumed_translation judged_lines repaired_lines align_report prompt_frames
     gap_fill_segments gap_fill_stats cues_from_words split_cues timed_sentences shifted_segments clipped_speech bilingual_srt transcripts_read glossary_store result_cache resumed_windows
     progress_table queue_state folder_listing report_lines job_figures marked_sentences float_samples echo_match zipped_lines"""
     return {n: globals()[n] for n in names.split()}
@@ -537,6 +561,7 @@ def oracle_sql():
         "translate_retry": TRANSLATE_SQL,
         "translate_echo": ECHO_SQL,
         "analysis": ANALYSIS_SQL,
+        "resumed_translation": RESUMED_SQL,
         "judged_lines": JUDGED_SQL,
         "repaired_lines": REPAIRED_SQL,
         "align_report": ALIGN_SQL,

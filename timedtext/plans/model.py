@@ -8,8 +8,9 @@ is outstanding, and every round's answers are written to the shared folder, so n
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.matching import echo_matches
@@ -34,26 +35,29 @@ JUDGING = """For each numbered English line say which source line it translates:
 ${items}"""
 
 
-def call(requests: DataFrame, backend: Backend, key_columns: list[str]) -> DataFrame:
-    """(keys, prompt) -> (keys, reply); a failed call gives a null reply and its error."""
+def call(requests: DataFrame, backend: Backend, key_columns: list[str], in_flight: int = 1) -> DataFrame:
+    """(keys, prompt) -> (keys, reply); a failed call gives a null reply and its error.
+
+    Each task has up to ``in_flight`` requests under way at once; replies stay with their requests.
+    """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.select(*key_columns).schema.fields)
 
+    def ask(prompt: str) -> tuple[str | None, str | None]:
+        try:
+            return backend(prompt), None
+        except Exception as e:  # one bad request must not end the others
+            return None, str(e)[:200]
+
     def run(frames):
-        for pdf in frames:
-            replies, errors = [], []
-            for prompt in pdf["prompt"]:
-                try:
-                    replies.append(backend(prompt))
-                    errors.append(None)
-                except Exception as e:  # one bad request must not end the others
-                    replies.append(None)
-                    errors.append(str(e)[:200])
-            yield pdf[key_columns].assign(reply=replies, error=errors)
+        with ThreadPoolExecutor(max(1, in_flight)) as pool:
+            for pdf in frames:
+                answers = list(pool.map(ask, pdf["prompt"]))
+                yield pdf[key_columns].assign(reply=[a for a, _ in answers], error=[e for _, e in answers])
 
     return requests.select(*key_columns, "prompt").mapInPandas(run, fields + ", reply string, error string")
 
 
-def analyse(units: DataFrame, backend: Backend, known: DataFrame | None = None, budget: int = 6000) -> DataFrame:
+def analyse(units: DataFrame, backend: Backend, known: DataFrame | None = None, budget: int = 6000, in_flight: int = 1) -> DataFrame:
     """(file_id, glossary JSON or null): up to three tries per file, the first useful reply counts."""
     text = budget_sample(units, ["file_id"], "idx", "ja", budget).groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ja"))), lambda x: x["ja"]), "\n").alias("text"))
     text = text.join(known, "file_id", "left") if known is not None else text.withColumn("known", F.lit(None).cast("string"))
@@ -62,16 +66,20 @@ def analyse(units: DataFrame, backend: Backend, known: DataFrame | None = None,
     useful = (strip(F.coalesce(F.get_json_object("glossary", "$.setting"), F.lit(""))) != "") | (count("names") + count("terms") + count("asr_corrections") > 0)
     done, left = None, asked
     for _ in range(TRIES):
-        got = call(left, backend, ["file_id"]).select("file_id", F.to_json(recover_json(F.col("reply"))).alias("glossary")).filter(useful)
+        got = call(left, backend, ["file_id"], in_flight).select("file_id", F.to_json(recover_json(F.col("reply"))).alias("glossary")).filter(useful)
         got = kept(got, "model-analysis")
         left = left.join(got, "file_id", "left_anti")
         done = got if done is None else done.unionByName(got)
     return units.select("file_id").distinct().join(done, "file_id", "left")
 
 
-def _requests(units: DataFrame, outstanding: DataFrame, glossary: DataFrame, echo: bool, size: int) -> DataFrame:
-    """One prompt per chunk with outstanding lines; the context is source text, so chunks do not depend on one another."""
-    frames = chunk(units, size).select("file_id", "chunk", "before", "after")
+def frames_of(units: DataFrame, size: int) -> DataFrame:
+    """(file_id, chunk, before, after): what is shown around each chunk. It is source text, so chunks do not depend on one another."""
+    return chunk(units, size).select("file_id", "chunk", "before", "after")
+
+
+def requests_for(outstanding: DataFrame, frames: DataFrame, glossary: DataFrame, echo: bool, size: int) -> DataFrame:
+    """One prompt per chunk with outstanding lines (file_id, idx, ja)."""
     line = F.struct("idx", F.concat((F.col("idx") + 1).cast("string"), F.lit(": "), F.col("ja")).alias("line"), "ja")
     wanted = outstanding.withColumn("chunk", F.floor(F.col("idx") / size).cast("int")).groupBy("file_id", "chunk").agg(F.array_sort(F.collect_list(line)).alias("rows"))
     rows = wanted.join(frames, ["file_id", "chunk"]).join(glossary, "file_id", "left")
@@ -96,26 +104,40 @@ def accept(asked: DataFrame, replies: DataFrame, echo: bool, last_try: bool, siz
     return rows.select("file_id", "idx", strip(text).alias("en")).filter("en is not null and en != ''")
 
 
-def translate(units: DataFrame, backend: Backend, glossary: DataFrame | None = None, echo: bool = False, size: int = 20, initial: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(units with en, failures): each chunk is asked once and twice more for lines still missing.
+def no_lines(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "file_id string, idx int, en string")
 
-    ``initial`` (file_id, idx, en) is kept, and only what it lacks is asked.
-    """
-    spark = units.sparkSession
-    glossary = glossary if glossary is not None else spark.createDataFrame([], "file_id string, glossary string")
-    done = (initial if initial is not None else spark.createDataFrame([], "file_id string, idx int, en string")).select("file_id", "idx", "en").filter("en is not null and trim(en) != ''")
+
+def answers(wanted: DataFrame, frames: DataFrame, backend: Backend, glossary: DataFrame, echo: bool, size: int, in_flight: int = 1) -> DataFrame:
+    """(file_id, idx, en) of the lines in ``wanted`` (file_id, idx, ja) that got an answer: each chunk is asked once and twice more for lines still missing."""
+    done, left = no_lines(wanted.sparkSession), kept(wanted.select("file_id", "idx", "ja"), "model-left")
     for k in range(TRIES):
-        left = kept(units.join(done, ["file_id", "idx"], "left_anti"), "model-left")
         if left.isEmpty():
             break
-        replies = call(_requests(units, left, glossary, echo, size), backend, ["file_id", "chunk"])
-        done = done.unionByName(kept(accept(left, replies, echo, k == TRIES - 1, size), "model-lines"))
-    out = units.join(done, ["file_id", "idx"], "left").withColumn("en", F.coalesce("en", F.lit("")))
+        replies = call(requests_for(left, frames, glossary, echo, size), backend, ["file_id", "chunk"], in_flight)
+        got = kept(accept(left, replies, echo, k == TRIES - 1, size), "model-lines")
+        done = done.unionByName(got)
+        left = kept(left.join(got, ["file_id", "idx"], "left_anti"), "model-left")
+    return done
+
+
+def with_lines(units: DataFrame, lines: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(units with en, failures): a message for every chunk with missing lines."""
+    out = units.join(lines, ["file_id", "idx"], "left").withColumn("en", F.coalesce("en", F.lit("")))
     missing = out.filter("en = ''").groupBy("file_id", F.floor(F.col("idx") / size).cast("int").alias("chunk"))
     failures = missing.agg(F.array_sort(F.collect_list(F.col("idx") + 1)).alias("lines")).select("file_id", "chunk", F.concat(F.lit("chunk "), F.col("chunk") + 1, F.lit(": missing lines "), F.array_join(F.transform("lines", lambda n: n.cast("string")), ", ")).alias("message"))
     return out, failures
 
 
+def translate(units: DataFrame, backend: Backend, glossary: DataFrame | None = None, echo: bool = False, size: int = 20, initial: DataFrame | None = None, in_flight: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(units with en, failures). ``initial`` (file_id, idx, en) is kept, and only what it lacks is asked."""
+    spark = units.sparkSession
+    glossary = glossary if glossary is not None else spark.createDataFrame([], "file_id string, glossary string")
+    done = (initial if initial is not None else no_lines(spark)).select("file_id", "idx", "en").filter("en is not null and trim(en) != ''")
+    got = answers(units.join(done, ["file_id", "idx"], "left_anti"), frames_of(units, size), backend, glossary, echo, size, in_flight)
+    return with_lines(units, done.unionByName(got), size)
+
+
 def judge(units: DataFrame, backend: Backend, only: DataFrame | None = None) -> DataFrame:
     """(file_id, idx, verdict): which source line each translation belongs to; ``?`` where no answer came."""
     from pyspark.sql import Window as W
