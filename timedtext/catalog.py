@@ -461,13 +461,13 @@ sp AS (SELECT * FROM (SELECT user_id::VARCHAR AS file_id, (a - t0) / 1000.0::DOU
 fin AS (SELECT user_id::VARCHAR AS file_id, (t1 - t0) / 1000.0::DOUBLE AS fin FROM base)""",
     "file_id, idx, a, b",
 )
-STREAM_SQL = _windows_sql(
+STRETCHES = (
     """t AS (SELECT user_id, event_type, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS t FROM events),
 v AS (SELECT user_id, event_type, t - min(t) OVER (PARTITION BY user_id) AS a, max(t) OVER (PARTITION BY user_id) - min(t) OVER (PARTITION BY user_id) AS total FROM t),
 x AS (SELECT user_id::VARCHAR AS file_id, a, total, least(a + 21600, coalesce(lead(a) OVER (PARTITION BY user_id ORDER BY a), total)) AS b FROM v WHERE event_type = 'view' AND total > 0),
-sp AS (SELECT file_id, a, b FROM x WHERE b > a), fin AS (SELECT file_id, max(total) AS fin FROM x WHERE b > a GROUP BY file_id)""",
-    "file_id, a, b",
+sp AS (SELECT file_id, a, b FROM x WHERE b > a), fin AS (SELECT file_id, max(total) AS fin FROM x WHERE b > a GROUP BY file_id)"""
 )
+STREAM_SQL = _windows_sql(STRETCHES, "file_id, a, b")
 
 
 # --- scalars -------------------------------------------------------------------------------------------
@@ -527,7 +527,7 @@ def result_documents(spark, d):
     return transcripts.result_document(_lines(spark, d)).select("file_id", F.sha2("document", 256).alias("digest"), F.length("document").alias("n"))
 
 
-DOCUMENTS_SQL = f"""WITH {LINES}, t AS (SELECT file_id, to_json({{'title': file_id, 'units': list({{'t_ms': start_ms, 'end_ms': end_ms, 'ja': ja, 'en': nullif(en, '')}} ORDER BY idx)}})::VARCHAR AS doc FROM un GROUP BY file_id)
+DOCUMENTS_SQL = f"""WITH {LINES}, t AS (SELECT file_id, to_json({{'title': file_id, 'source': NULL, 'backend': NULL, 'model': NULL, 'gap_ms': NULL, 'generated_at': NULL, 'glossary': NULL, 'units': list({{'t_ms': start_ms, 'end_ms': end_ms, 'ja': ja, 'en': nullif(en, '')}} ORDER BY idx)}})::VARCHAR AS doc FROM un GROUP BY file_id)
 SELECT file_id, sha256(doc) AS digest, length(doc)::INT AS n FROM t"""
 
 

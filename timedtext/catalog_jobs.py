@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from . import catalog as c
 from .functions import matching, text
 from .operators import folds
-from .plans import cues, gaps, glossary, job, metrics, model, resume, storage
+from .plans import cues, gaps, glossary, job, metrics, model, recognition, resume, storage
 from .sources import srt, transcripts
-from .streaming import windows
+from .streaming import demo, windows
 
 # --- stand-ins for models -------------------------------------------------------------------------------
 
@@ -87,8 +87,12 @@ un AS (SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY turn) -
 JOB = TALK + c.SHOWN[len(c.LINES) :]
 
 
+NOON = "2024-01-01T12:00:00Z"
+
+
 def _job(spark, d, **options):
-    return job.subtitle_job(cues_of(spark, d), Translator(echo=True), analyst, bilingual=True, **options)
+    cues = cues_of(spark, d).withColumn("source", F.concat(F.lit("talk "), "file_id"))
+    return job.subtitle_job(cues, Translator(echo=True), analyst, bilingual=True, about=job.About("test", "m:8b", NOON), **options)
 
 
 def job_lines(spark, d):
@@ -144,8 +148,9 @@ def job_documents(spark, d):
     return found["en.json"].select("file_id", F.sha2("document", 256).alias("digest"))
 
 
-_DOCUMENT = "sha256(to_json({{'title': file_id, 'units': list({{'t_ms': start_ms, 'end_ms': end_ms, 'ja': ja, 'en': {en}}} ORDER BY idx)}})) AS digest"
-JOB_DOCUMENTS_SQL = f"WITH {TALK} SELECT file_id, {_DOCUMENT.format(en='en')} FROM un GROUP BY file_id"
+JOB_DOCUMENTS_SQL = f"""WITH {TALK}, g AS (SELECT *, CASE WHEN n % 2 = 0 THEN json_object('names', json('{{}}'), 'setting', chars || ' characters') END AS found FROM
+(SELECT file_id, count(*) AS n, (sum(length(ja)) + count(*) - 1)::BIGINT AS chars, list({{'t_ms': start_ms, 'end_ms': end_ms, 'ja': ja, 'en': en}} ORDER BY idx) AS us FROM un GROUP BY file_id))
+SELECT file_id, sha256(to_json({{'title': file_id, 'source': 'talk ' || file_id, 'backend': 'test', 'model': 'm:8b', 'gap_ms': 2000, 'generated_at': '{NOON}', 'glossary': found, 'units': us}})::VARCHAR) AS digest FROM g"""
 
 
 def job_from_recogniser(spark, d):
@@ -305,6 +310,80 @@ SELECT user_id::VARCHAR AS file_id, (row_number() OVER (PARTITION BY user_id ORD
 FILL_STATS_SQL = f"WITH {MERGED} SELECT user_id::VARCHAR AS file_id, count(*) AS holes, sum(b - a)::BIGINT AS ms, count(*) AS recovered FROM cl GROUP BY user_id"
 
 
+class Hearer:
+    """Two words in every clip, a second and two after its start: a letter, and the clip's start in milliseconds."""
+
+    def __init__(self, letter: str):
+        self.letter = letter
+
+    def __call__(self, clips: DataFrame) -> DataFrame:
+        at = F.lpad(F.bround(F.col("a") * 1000).cast("long").cast("string"), 12, "0")
+        word = lambda start, said: F.struct(F.lit(start).alias("start"), F.lit(start + 0.5).alias("end"), said.alias("word"), F.lit(1.0).alias("p"))
+        words = F.array(word(1.0, F.lit(self.letter)), word(2.0, at))
+        return clips.select("file_id", "clip", F.lit(0).alias("idx"), F.lit(1.0).alias("start"), F.lit(2.5).alias("end"), F.concat(F.lit(self.letter), at).alias("text"), F.lit(0.1).alias("no_speech_prob"), words.alias("words"))
+
+
+WINDOW = {"window": 864_000.0, "search": 86_400.0, "bucket": 864_000}
+
+
+def _speech_of(spark, d):
+    """(speech, ends, keys) of users, as :mod:`timedtext.streaming.demo` has them."""
+    rows = storage.kept(demo.stretches(spark, d), "stretches")
+    ends = rows.filter("total is not null").select("file_id", F.col("total").alias("end"))
+    return rows.filter("a is not null").select("file_id", "a", "b"), ends, ends.select("file_id", text.key_of(F.col("file_id"), F.col("end")).alias("key"))
+
+
+def recognised_windows(spark, d):
+    """Three windows of every user are heard by a run that then stops; a second run hears the rest and uses the three again."""
+    speech, ends, keys = _speech_of(spark, d)
+    table = recognition.window_table(spark, storage.shared_path(spark, "heard"))
+    rounds: list[int] = []
+    recognition.transcribe(speech, ends, Hearer("w"), table, keys, at_once=3, should_stop=lambda: len(rounds) >= 1, on_progress=lambda stage, done, total: rounds.append(done), **WINDOW)
+    heard = recognition.transcribe(speech, ends, Hearer("x"), table, keys, at_once=20, **WINDOW)
+    return heard.segments.join(heard.stats.select("file_id", "windows", "reused", "holes"), "file_id").select("file_id", "idx", "window", F.bround(F.col("start") * 1000).cast("long").alias("start_ms"), "text", F.coalesce("gap_fill", F.lit(False)).alias("gap_fill"), "windows", "reused", "holes")
+
+
+# a window's two words leave no hole before 3000 ms; a second pass hears a second before each hole
+HEARD = f"""{c.STRETCHES}, wn AS (SELECT file_id, idx, round_even(a * 1000, 0)::BIGINT AS a, round_even(b * 1000, 0)::BIGINT AS b FROM ({c._windows_sql(c.STRETCHES, "file_id, idx, a, b")})),
+ms AS (SELECT file_id, round_even(a * 1000, 0)::BIGINT AS a, round_even(b * 1000, 0)::BIGINT AS b FROM sp),
+h0 AS (SELECT wn.file_id, wn.idx, greatest(ms.a, wn.a + 3000) AS a, least(ms.b, wn.b) AS b FROM wn JOIN ms ON ms.file_id = wn.file_id AND ms.a < wn.b AND ms.b > wn.a),
+h1 AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY file_id, idx ORDER BY a, b) < 2000 THEN 0 ELSE 1 END AS st FROM h0 WHERE b - a >= 1000),
+h2 AS (SELECT *, sum(st) OVER (PARTITION BY file_id, idx ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM h1),
+hl AS (SELECT file_id, idx, min(a) AS a FROM h2 GROUP BY file_id, idx, i),
+sg AS (SELECT file_id, idx AS win, a + 1000 AS start_ms, LETTER || lpad(a::VARCHAR, 12, '0') AS text, false AS gap_fill FROM wn UNION ALL
+SELECT file_id, idx, a, LETTER || lpad((a - 1000)::VARCHAR, 12, '0'), true FROM hl)"""
+RECOGNISED_SQL = f"""WITH {HEARD.replace("LETTER", "CASE WHEN idx < 3 THEN 'w' ELSE 'x' END")}, nw AS (SELECT file_id, count(*) AS windows FROM wn GROUP BY file_id), nh AS (SELECT file_id, count(*) FILTER (idx >= 3) AS holes FROM hl GROUP BY file_id)
+SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY win, start_ms) - 1)::INT AS idx, win::INT AS "window", start_ms, text, gap_fill, windows, least(windows, 3) AS reused, coalesce(holes, 0) AS holes FROM sg JOIN nw USING (file_id) LEFT JOIN nh USING (file_id)"""
+
+
+def media_outputs(spark, d):
+    """From speech to the files of a job, which are read back: subtitles as they are, and of the documents what they list."""
+    speech, ends, keys = _speech_of(spark, d)
+    heard = recognition.transcribe(speech, ends, Hearer("w"), recognition.window_table(spark, storage.shared_path(spark, "heard")), keys, at_once=20, **WINDOW)
+    _, found = job.media_job(heard, ends, Translator(echo=True), analyst, "whisper test", job.About("test", "m:8b", NOON), bilingual=True)
+    path = storage.shared_path(spark, "outputs")
+    job.write_outputs(found, path)
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    files = files.select(F.regexp_extract("name", r"^([^.]*)\.", 1).alias("file_id"), F.regexp_extract("name", r"^[^.]*\.(.*)$", 1).alias("suffix"), "value")
+    listed = lambda path, kind: F.from_json(F.get_json_object("value", path), kind)
+    units = listed("$.units", "array<struct<t_ms:bigint,end_ms:bigint,ja:string,en:string>>")
+    cue = listed("$.cues", "array<struct<t_ms:bigint,dur_ms:bigint,ja:string>>")
+    segs = listed("$.segments", "array<struct<text:string,gap_fill:boolean>>")
+    said = F.when(F.col("suffix") == "en.json", F.concat_ws("|", F.get_json_object("value", "$.model"), F.get_json_object("value", "$.gap_ms"), F.array_join(F.transform(units, lambda u: F.concat(u["t_ms"], F.lit(" "), u["end_ms"], F.lit(" "), u["en"])), "|")))
+    said = said.when(F.col("suffix") == "ja.json", F.concat_ws("|", F.get_json_object("value", "$.source"), F.get_json_object("value", "$.cue_count"), F.array_join(F.transform(cue, lambda x: F.concat(x["t_ms"], F.lit(" "), x["dur_ms"], F.lit(" "), x["ja"])), "|")))
+    said = said.when(F.col("suffix") == "whisper.json", F.array_join(F.transform(segs, lambda x: F.concat(x["text"], F.when(x["gap_fill"], "+").otherwise(""))), "|"))
+    return files.select("file_id", "suffix", said.otherwise(F.col("value")).alias("value"))
+
+
+_MEDIA = HEARD.replace("LETTER", "'w'") + """, un AS (SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY win, start_ms) - 1)::INT AS idx, text AS ja, 'EN ' || text AS en, start_ms, start_ms + 1500 AS end_ms, gap_fill FROM sg)"""
+MEDIA_OUTPUTS_SQL = rf"""WITH {_MEDIA}{c.SHOWN[len(c.LINES):]}, ws AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY idx) AS n, {c.WRAP.format(c="en")} AS ls FROM tm),
+kc AS (SELECT *, idx + 1 AS n, greatest(least(end_ms, coalesce(lead(start_ms) OVER (PARTITION BY file_id ORDER BY idx), end_ms)), start_ms + 1) AS e FROM un)
+SELECT file_id, 'en.srt' AS suffix, {_srt_sql("ws", "se", c.BODY).replace("AS srt", "AS value")} UNION ALL SELECT file_id, 'ja-en.srt', {_srt_sql("ws", "se", "ja || chr(10) || " + c.BODY)} UNION ALL SELECT file_id, 'ja.srt', {_srt_sql("kc", "e", "ja")}
+UNION ALL SELECT file_id, 'en.json', 'm:8b|500|' || string_agg(start_ms || ' ' || end_ms || ' ' || en, '|' ORDER BY idx) FROM un GROUP BY file_id
+UNION ALL SELECT file_id, 'ja.json', 'whisper test|' || count(*) || '|' || string_agg(start_ms || ' 1500 ' || ja, '|' ORDER BY idx) FROM un GROUP BY file_id
+UNION ALL SELECT file_id, 'whisper.json', string_agg(ja || CASE WHEN gap_fill THEN '+' ELSE '' END, '|' ORDER BY idx) FROM un GROUP BY file_id"""
+
+
 def cues_from_words(spark, d):
     """Every user's events as the words of one segment: groups at pauses of half an hour, whose last words are cut short."""
     e = c.events(spark, d)
@@ -546,7 +625,7 @@ def zipped_lines(spark, d):
 
 def queries():
     names = """job_lines job_counts job_srt job_documents job_from_recogniser translate_retry translate_echo analysis resumed_translation judged_lines repaired_lines align_report prompt_frames
-    gap_fill_segments gap_fill_stats cues_from_words split_cues timed_sentences shifted_segments clipped_speech bilingual_srt transcripts_read glossary_store result_cache resumed_windows
+    gap_fill_segments gap_fill_stats recognised_windows media_outputs cues_from_words split_cues timed_sentences shifted_segments clipped_speech bilingual_srt transcripts_read glossary_store result_cache resumed_windows
     progress_table queue_state folder_listing report_lines job_figures marked_sentences float_samples echo_match zipped_lines"""
     return {n: globals()[n] for n in names.split()}
 
@@ -568,6 +647,8 @@ def oracle_sql():
         "prompt_frames": PROMPT_SQL,
         "gap_fill_segments": FILL_SQL,
         "gap_fill_stats": FILL_STATS_SQL,
+        "recognised_windows": RECOGNISED_SQL,
+        "media_outputs": MEDIA_OUTPUTS_SQL,
         "cues_from_words": CUES_SQL,
         "timed_sentences": TIMED_SQL,
         "shifted_segments": SHIFT_SQL,

@@ -20,14 +20,8 @@ def may_cut(point: Column, mark: Column, after: Column, search: float, least_aft
     return (F.abs(point - mark) <= search) & (point > after + least_after)
 
 
-def nearest_pause(pauses: Column, mark: Column, after: Column, search: float, margin: float, least_after: float = 1.0) -> Column:
-    """``pauses``: array of (a, b) in order; null where none will do."""
-    points = F.filter(F.transform(pauses, lambda p: pause_point(p["a"], p["b"], mark, margin)), lambda t: may_cut(t, mark, after, search, least_after))
-    return F.array_min(F.transform(points, lambda t, i: F.struct(F.abs(t - mark).alias("far"), i.alias("place"), t.alias("at"))))["at"]
-
-
 def nearest_pause_of(starts: np.ndarray, stops: np.ndarray, mark: float, after: float, search: float, margin: float, least_after: float = 1.0) -> float | None:
-    """The same for a task that holds the pauses as arrays."""
+    """The point for a task that holds the pauses as arrays, in order; None where none will do."""
     pad = np.minimum(margin, (stops - starts) / 2)
     points = np.minimum(np.maximum(mark, starts + pad), stops - pad)
     far = np.where((np.abs(points - mark) <= search) & (points > after + least_after), np.abs(points - mark), np.inf)
