@@ -384,6 +384,17 @@ UNION ALL SELECT file_id, 'ja.json', 'whisper test|' || count(*) || '|' || strin
 UNION ALL SELECT file_id, 'whisper.json', string_agg(ja || CASE WHEN gap_fill THEN '+' ELSE '' END, '|' ORDER BY idx) FROM un GROUP BY file_id"""
 
 
+def stream_blocks(spark, d):
+    return demo.windows_of_blocks(spark, d)
+
+
+LOUD = c.STRETCHES.replace("sp AS (SELECT file_id, a, b FROM x WHERE b > a), fin AS", "sp9 AS (SELECT file_id, a, b FROM x WHERE b > a), fin9 AS") + """,
+k AS (SELECT DISTINCT file_id, unnest(range(ceil(a / 600)::BIGINT, floor(b / 600)::BIGINT)) AS k FROM sp9), ki AS (SELECT *, k - row_number() OVER (PARTITION BY file_id ORDER BY k) AS i FROM k),
+sp AS (SELECT file_id, min(k) * 600.0::DOUBLE AS a, (max(k) + 1) * 600.0::DOUBLE AS b FROM ki GROUP BY file_id, i), fin AS (SELECT file_id, floor(fin / 600) * 600::DOUBLE AS fin FROM fin9 WHERE fin >= 600)"""
+BLOCKS_SQL = f"""WITH {LOUD}, wn AS ({c._windows_sql(LOUD, "file_id, idx, a, b")})
+SELECT wn.file_id, wn.idx, wn.a, wn.b, count(k.k)::VARCHAR AS text FROM wn LEFT JOIN k ON k.file_id = wn.file_id AND k.k >= round_even(wn.a / 600, 0) AND k.k < round_even(wn.b / 600, 0) GROUP BY wn.file_id, wn.idx, wn.a, wn.b"""
+
+
 def cues_from_words(spark, d):
     """Every user's events as the words of one segment: groups at pauses of half an hour, whose last words are cut short."""
     e = c.events(spark, d)
@@ -625,7 +636,7 @@ def zipped_lines(spark, d):
 
 def queries():
     names = """job_lines job_counts job_srt job_documents job_from_recogniser translate_retry translate_echo analysis resumed_translation judged_lines repaired_lines align_report prompt_frames
-    gap_fill_segments gap_fill_stats recognised_windows media_outputs cues_from_words split_cues timed_sentences shifted_segments clipped_speech bilingual_srt transcripts_read glossary_store result_cache resumed_windows
+    gap_fill_segments gap_fill_stats recognised_windows media_outputs stream_blocks cues_from_words split_cues timed_sentences shifted_segments clipped_speech bilingual_srt transcripts_read glossary_store result_cache resumed_windows
     progress_table queue_state folder_listing report_lines job_figures marked_sentences float_samples echo_match zipped_lines"""
     return {n: globals()[n] for n in names.split()}
 
@@ -649,6 +660,7 @@ def oracle_sql():
         "gap_fill_stats": FILL_STATS_SQL,
         "recognised_windows": RECOGNISED_SQL,
         "media_outputs": MEDIA_OUTPUTS_SQL,
+        "stream_blocks": BLOCKS_SQL,
         "cues_from_words": CUES_SQL,
         "timed_sentences": TIMED_SQL,
         "shifted_segments": SHIFT_SQL,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,10 +37,54 @@ def windows_of_events(spark: SparkSession, d: str, batches: int = 4) -> DataFram
     root = shared_path(spark, "stream")
     parts = stretches(spark, d).repartitionByRange(batches, "seen").withColumn("part", F.spark_partition_id())
     parts.write.partitionBy("part").parquet(f"{root}/in")
+    out, state = f"{root}/out", f"{root}/state-{uuid.uuid4().hex}"
     names = sorted(r[0] for r in spark.read.parquet(f"{root}/in").select("part").distinct().collect())  # ``batches`` numbers at most
     for part in names:
-        spark.read.schema(SCHEMA).parquet(f"{root}/in/part={part}").coalesce(1).write.mode("append").parquet(f"{root}/arrived")
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/arrived")
-    query = stream_windows(stream, 864_000.0, 86_400.0).writeStream.format("parquet").option("checkpointLocation", f"{root}/state-{uuid.uuid4().hex}").option("path", f"{root}/out").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema("file_id string, a double, b double").parquet(f"{root}/out")
+        # a part arrives in files by file_id, and is a batch of its own
+        spark.read.schema(SCHEMA).parquet(f"{root}/in/part={part}").repartition("file_id").write.mode("append").parquet(f"{root}/arrived")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{root}/arrived")
+        stream_windows(stream, 864_000.0, 86_400.0).writeStream.format("parquet").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("file_id string, a double, b double").parquet(out)
+
+
+STEP = 600  # seconds of a sample
+
+
+def sample_blocks_of(spark: SparkSession, d: str) -> DataFrame:
+    """Users' stretches as sound: a sample every ten minutes, 1 where a stretch holds all of them, in blocks of a day."""
+    rows = stretches(spark, d)
+    loud = rows.filter("a is not null").select("file_id", F.explode(F.filter(F.sequence(F.ceil(F.col("a") / STEP), F.greatest(F.ceil(F.col("a") / STEP), F.floor(F.col("b") / STEP) - 1)), lambda k: k < F.floor(F.col("b") / STEP))).alias("k")).distinct()
+    ends = rows.filter("total is not null").select("file_id", F.floor(F.col("total") / STEP).alias("n")).filter("n > 0")
+    days = ends.select("file_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 144))).alias("block_no"))
+    heard = loud.groupBy("file_id", F.floor(F.col("k") / 144).alias("block_no")).agg(F.collect_set(F.col("k") % 144).alias("at"))
+    size = F.least(F.lit(144).cast("long"), F.col("n") - F.col("block_no") * 144)
+    samples = F.transform(F.sequence(F.lit(0).cast("long"), size - 1), lambda k: F.array_contains(F.coalesce("at", F.array().cast("array<bigint>")), k).cast("float"))
+    return days.join(heard, ["file_id", "block_no"], "left").select("file_id", "block_no", samples.alias("samples"), (F.col("n") * STEP).cast("double").alias("total"), ((F.col("block_no") + 1) * 144 >= F.col("n")).alias("last"))
+
+
+def loud_runs(samples: np.ndarray, rate: float) -> list[tuple[float, float]]:
+    edge = np.diff(np.concatenate([[0], (samples > 0).astype(int), [0]]))
+    return [(float(a / rate), float(b / rate)) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+
+
+def count_loud(samples: np.ndarray, rate: float) -> list[tuple]:
+    """A recogniser that hears how many samples are loud."""
+    said = str(int(samples.sum()))
+    return [(0.0, 0.5, said, [(0.0, 0.5, said, 1.0)])]
+
+
+def windows_of_blocks(spark: SparkSession, d: str, parts: int = 3) -> DataFrame:
+    """The blocks come in ``parts``; after each the stream is stopped, and it is started again for the next. (file_id, idx, a, b, text) of all windows."""
+    from ..plans.recognition import window_table
+    from ..plans.storage import kept, shared_path
+    from .blocks import BLOCKS, hear_blocks, keep_windows
+
+    root = shared_path(spark, "blocks")
+    table = window_table(spark, f"{root}/windows")
+    blocks = kept(sample_blocks_of(spark, d), "blocks")
+    part = F.floor(F.col("block_no") * parts * 144 / (F.col("total") / STEP + 144)).cast("int")
+    for k in range(parts):
+        blocks.filter(part == k).repartition("file_id").write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(BLOCKS).parquet(f"{root}/in")
+        keep_windows(hear_blocks(stream, 1 / STEP, loud_runs, count_loud, 864_000.0, 86_400.0), table, "loud", f"{root}/state").awaitTermination()
+    return table.read().select("file_id", "idx", "a", "b", F.col("segments")[0]["text"].alias("text"))
