@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.cuts import may_cut, pause_point
 from .islands import islands
 
+SLICE = 3_600_000  # an hour in milliseconds
+
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], start: str = "s", end: str = "e", bucket: int = 300_000) -> DataFrame:
     """Pairs with ``l.s < r.e and l.e > r.s``; columns come back as l_* and r_*.
@@ -30,30 +32,42 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], start: str
     return both.filter(meets & once).drop("bucket", "l_first", "r_first", *keys)
 
 
-def _latest_end(left: DataFrame, at: Column, right: DataFrame, keys: list[str], start: str, end: str, equal: bool) -> DataFrame:
+def _latest_end(left: DataFrame, at: Column, right: DataFrame, keys: list[str], start: str, end: str, equal: bool, slice_: int) -> DataFrame:
     """``left`` with ``_latest``: the largest end of the key's right rows that start before ``at`` (or, with ``equal``, at it).
 
-    One sorted sweep per key over both sides; nothing is paired.
+    Nothing is paired. Time is cut into slices, so a key with very many rows is many tasks: the largest end of each slice is
+    carried on over the slices of its key, one row each, and comes into a slice as its first row; there one sorted sweep
+    carries it on from row to row.
     """
-    rows = left.select("*", at.alias("_at"), F.lit(0 if equal else -1).alias("_side"), F.lit(None).cast(right.schema[end].dataType).alias("_end"))
-    marks = right.select(*keys, F.col(start).cast(rows.schema["_at"].dataType).alias("_at"), F.lit(-1 if equal else 0).alias("_side"), F.col(end).alias("_end"))
-    both = rows.withColumn("_left", F.lit(True)).unionByName(marks.withColumn("_left", F.lit(False)), allowMissingColumns=True)
-    so_far = W.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("_latest", F.max("_end").over(so_far)).filter("_left").drop("_at", "_side", "_end", "_left")
-
-
-def uncovered(left: DataFrame, right: DataFrame, keys: list[str], start: str = "s", end: str = "e") -> DataFrame:
+    place = lambda x: F.floor(x / slice_)
+    rows = left.select("*", at.alias("_at"), F.lit(0 if equal else -1).alias("_side"), F.lit(None).cast(right.schema[end].dataType).alias("_end"), F.lit(True).alias("_left"))
+    rows = rows.withColumn("_slice", place(F.col("_at")))
+    kind = rows.schema["_at"].dataType
+    marks = right.select(*keys, F.col(start).cast(kind).alias("_at"), F.lit(-1 if equal else 0).alias("_side"), F.col(end).alias("_end"), F.lit(False).alias("_left")).withColumn("_slice", place(F.col("_at")))
+    # slices that hold rows of the left, and what the slices of the right before them hold
+    tops = marks.groupBy(*keys, "_slice").agg(F.max("_end").alias("_end")).unionByName(rows.select(*keys, "_slice").distinct().withColumn("_end", F.lit(None).cast(right.schema[end].dataType)))
+    along = W.partitionBy(*keys).orderBy("_slice")
+    carried = tops.groupBy(*keys, "_slice").agg(F.max("_end").alias("_end")).withColumn("_end", F.max("_end").over(along.rowsBetween(W.unboundedPreceding, -1))).filter("_end is not null")
+    # before all rows of its slice
+    firsts = carried.select(*keys, "_slice", F.lit(None).cast(kind).alias("_at"), F.lit(-2).alias("_side"), "_end", F.lit(False).alias("_left"))
+    both = rows.unionByName(marks, allowMissingColumns=True).unionByName(firsts, allowMissingColumns=True)
+    so_far = W.partitionBy(*keys, "_slice").orderBy(F.asc_nulls_first("_at"), "_side").rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn("_latest", F.max("_end").over(so_far)).filter("_left").drop("_at", "_side", "_end", "_left", "_slice")
+
+
+def uncovered(left: DataFrame, right: DataFrame, keys: list[str], start: str = "s", end: str = "e", slice_: int = SLICE) -> DataFrame:
     """Rows of ``left`` that no row of ``right`` overlaps (anti join).
 
-    A row is overlapped where, of all that start before its end, the latest end lies behind its start.
+    A row is overlapped where, of all that start before its end, the latest end lies behind its start. ``slice_`` is the
+    length of the time slices into which a key is cut.
     """
-    swept = _latest_end(left, F.col(end), right, keys, start, end, equal=False)
+    swept = _latest_end(left, F.col(end), right, keys, start, end, equal=False, slice_=slice_)
     return swept.filter(~F.coalesce(F.col("_latest") > F.col(start), F.lit(False))).drop("_latest")
 
 
-def points_inside(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str = "s", end: str = "e") -> DataFrame:
+def points_inside(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str = "s", end: str = "e", slice_: int = SLICE) -> DataFrame:
     """Rows whose ``at`` lies in a span, ``start <= at < end`` (semi join)."""
-    swept = _latest_end(points, F.col(at), spans, keys, start, end, equal=True)
+    swept = _latest_end(points, F.col(at), spans, keys, start, end, equal=True, slice_=slice_)
     return swept.filter(F.col("_latest") > F.col(at)).drop("_latest")
 
 
@@ -88,12 +102,25 @@ def complement(speech: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame
 
 
 def choose_cut(gaps: DataFrame, marks: DataFrame, keys: list[str], search, least_after, margin) -> DataFrame:
-    """Per mark (keys, mark, after) the point inside a gap nearest to it, at least ``margin`` from either side; else the mark."""
-    met = marks.join(gaps, keys, "left")
+    """Per mark (keys, mark, after) the point inside a gap nearest to it, at least ``margin`` from either side; else the mark.
+
+    Marks meet only gaps in reach. A gap is laid into buckets that are as wide as itself, twice the search range at least and a
+    power of two times that, so it touches two at most. A mark looks into the one or two buckets around it of every width that its key has.
+    """
+    width = lambda level: F.lit(2.0 * search) * F.pow(F.lit(2.0), level)
+    touched = lambda low, high: F.explode(F.array_distinct(F.array(F.floor(low / width(F.col("_level"))), F.floor(high / width(F.col("_level"))))))
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("b") - F.col("a")) / (2.0 * search)))).cast("int")
+    sized = gaps.withColumn("_level", F.coalesce(level, F.lit(0)))
+    laid = sized.withColumn("_bucket", touched(F.col("a"), F.col("b")))
+    levels = sized.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
+    asked = marks.join(levels, keys, "left").withColumn("_level", F.explode(F.coalesce("_levels", F.array(F.lit(0))))).drop("_levels")
+    asked = asked.withColumn("_bucket", touched(F.col("mark") - search, F.col("mark") + search))
+    met = asked.join(laid, [*keys, "_level", "_bucket"], "left")
     t = pause_point(F.col("a"), F.col("b"), F.col("mark"), margin)
-    good = may_cut(t, F.col("mark"), F.col("after"), search, least_after)
-    near = met.groupBy(*keys, "mark", "after").agg(F.min_by(F.when(good, t), F.when(good, F.struct(F.abs(t - F.col("mark")), F.col("a")))).alias("cut"))
-    return near.withColumn("cut", F.coalesce("cut", "mark"))
+    good = F.col("a").isNotNull() & may_cut(t, F.col("mark"), F.col("after"), search, least_after)
+    # of equally near ones the earlier gap's
+    best = met.groupBy(*keys, "mark", "after").agg(F.min(F.when(good, F.struct(F.abs(t - F.col("mark")).alias("far"), F.col("a"), t.alias("cut")))).alias("best"))
+    return best.select(*keys, "mark", "after", F.coalesce("best.cut", "mark").alias("cut"))
 
 
 def pad_and_clip(df: DataFrame, pad, low: Column, high: Column) -> DataFrame:
