@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from . import catalog as c
 from .functions import matching, text
 from .operators import folds
-from .plans import cues, gaps, glossary, job, metrics, model, recognition, resume, storage
-from .sources import srt, transcripts
+from .plans import cues, gaps, glossary, job, metrics, model, progress, recognition, resume, storage
+from .sources import files, srt, transcripts, wav
 from .streaming import demo, windows
 
 # --- stand-ins for models -------------------------------------------------------------------------------
@@ -363,8 +363,8 @@ def media_outputs(spark, d):
     _, found = job.media_job(heard, ends, Translator(echo=True), analyst, "whisper test", job.About("test", "m:8b", NOON), bilingual=True)
     path = storage.shared_path(spark, "outputs")
     job.write_outputs(found, path)
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
-    files = files.select(F.regexp_extract("name", r"^([^.]*)\.", 1).alias("file_id"), F.regexp_extract("name", r"^[^.]*\.(.*)$", 1).alias("suffix"), "value")
+    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    read = read.select(F.regexp_extract("name", r"^([^.]*)\.", 1).alias("file_id"), F.regexp_extract("name", r"^[^.]*\.(.*)$", 1).alias("suffix"), "value")
     listed = lambda path, kind: F.from_json(F.get_json_object("value", path), kind)
     units = listed("$.units", "array<struct<t_ms:bigint,end_ms:bigint,ja:string,en:string>>")
     cue = listed("$.cues", "array<struct<t_ms:bigint,dur_ms:bigint,ja:string>>")
@@ -372,7 +372,7 @@ def media_outputs(spark, d):
     said = F.when(F.col("suffix") == "en.json", F.concat_ws("|", F.get_json_object("value", "$.model"), F.get_json_object("value", "$.gap_ms"), F.array_join(F.transform(units, lambda u: F.concat(u["t_ms"], F.lit(" "), u["end_ms"], F.lit(" "), u["en"])), "|")))
     said = said.when(F.col("suffix") == "ja.json", F.concat_ws("|", F.get_json_object("value", "$.source"), F.get_json_object("value", "$.cue_count"), F.array_join(F.transform(cue, lambda x: F.concat(x["t_ms"], F.lit(" "), x["dur_ms"], F.lit(" "), x["ja"])), "|")))
     said = said.when(F.col("suffix") == "whisper.json", F.array_join(F.transform(segs, lambda x: F.concat(x["text"], F.when(x["gap_fill"], "+").otherwise(""))), "|"))
-    return files.select("file_id", "suffix", said.otherwise(F.col("value")).alias("value"))
+    return read.select("file_id", "suffix", said.otherwise(F.col("value")).alias("value"))
 
 
 _MEDIA = HEARD.replace("LETTER", "'w'") + """, un AS (SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY win, start_ms) - 1)::INT AS idx, text AS ja, 'EN ' || text AS en, start_ms, start_ms + 1500 AS end_ms, gap_fill FROM sg)"""
@@ -507,6 +507,96 @@ SELECT name, ((CASE WHEN h.n IS NULL THEN 0 ELSE 3 END) + (CASE WHEN f.name IS N
 (coalesce(h.n, 0) + least(greatest(30 - coalesce(h.n, 0), 0), coalesce(a.n, 0)))::INT AS n_names, 0 AS n_terms, h.oldest FROM h LEFT JOIN a USING (name) LEFT JOIN f USING (name)"""
 
 
+def told(prompt: str) -> str:
+    """An analyst that says what it was told is known."""
+    known = re.search(r"(?m)^Known: (.*)$", prompt)
+    return json.dumps({"setting": known[1] if known else "nothing"})
+
+
+def glossary_series(spark, d):
+    """Two jobs of each series remember their files' names at once: the one that comes second finds the store changed and merges anew. A third job's analysis is told all names."""
+    lines = kept_units(spark, d)
+    files = lines.select("file_id").distinct().withColumn("name", (F.col("file_id").cast("long") % 7).cast("string")).withColumn("job", F.col("file_id").cast("long") % 2)
+    first = files.groupBy("name", "job").agg(F.min(F.col("file_id").cast("long")).cast("string").alias("file_id"))
+    said = lines.filter("idx = 0").join(first, "file_id").select("name", "job", "file_id", F.array_distinct(F.regexp_extract_all(F.lower("ja"), F.lit("[a-z]+"), 0)).alias("ws"))
+    names = F.map_from_arrays("ws", F.transform("ws", lambda w: F.concat(w, F.lit(" of "), "file_id")))
+    found = storage.kept(said.select("name", "job", F.to_json(F.struct(names.alias("names"))).alias("glossary")), "series-found")
+    table = glossary.store(spark, storage.shared_path(spark, "series"))
+    job_one, job_two = (found.filter(F.col("job") == k).drop("job") for k in (0, 1))
+    change = table.change
+
+    def late(rows_of, tries=20):
+        """Job one has read the store, and job two changes it before job one does."""
+        table.change = change
+        asked = []
+
+        def rows(held):
+            asked.append(held)
+            if len(asked) == 1:
+                glossary.remember_in(table, job_two)
+            return rows_of(held)
+
+        return change(rows, tries)
+
+    table.change = late
+    glossary.remember_in(table, job_one)
+    third = files.groupBy("name").agg(F.max(F.col("file_id").cast("long")).cast("string").alias("file_id"))
+    units = lines.join(third, "file_id", "left_semi")
+    heard = model.analyse(units, told, glossary.known_for(third, table))
+    _, totals = glossary.in_store(table.read())
+    return heard.join(third, "file_id").join(totals, "name").select("name", "files", F.get_json_object("glossary", "$.setting").alias("known"))
+
+
+SERIES_SQL = f"""WITH {TALK}, f AS (SELECT DISTINCT file_id::BIGINT AS file_id, (file_id::BIGINT % 7)::VARCHAR AS name, file_id::BIGINT % 2 AS job FROM un), m AS (SELECT name, job, min(file_id) AS file_id FROM f GROUP BY name, job),
+w0 AS (SELECT name, job, m.file_id, regexp_extract_all(lower(ja), '[a-z]+') AS ws FROM m JOIN un ON un.file_id::BIGINT = m.file_id AND idx = 0), w AS (SELECT name, job, file_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS p FROM w0),
+t AS (SELECT name, job, file_id, term, min(p) AS p FROM w GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY name, term ORDER BY job DESC) AS k FROM t),
+e AS (SELECT name, term || '":"' || term || ' of ' || file_id AS pair, row_number() OVER (PARTITION BY name ORDER BY job DESC, p) AS n FROM o WHERE k = 1),
+nm AS (SELECT name, string_agg('"' || pair || '"', ',' ORDER BY n) AS names FROM e WHERE n <= 40 GROUP BY name), c AS (SELECT name, count(*) AS files FROM m GROUP BY name)
+SELECT name, files, coalesce('{{"names":{{' || names || '}},"terms":{{}}}}', 'nothing') AS known FROM c LEFT JOIN nm USING (name)"""
+
+
+def job_progress(spark, d):
+    """Lines of conversations are read as a stream of four batches; what is observed goes into a table as (stage, step, done, total)."""
+    root = storage.shared_path(spark, "observed")
+    lines = c.read(spark, d, "conversations").select("conv_id", "turn").withColumn("part", F.col("conv_id") % 4)
+    lines.repartition("part").write.partitionBy("part").parquet(f"{root}/in")
+    table = progress.progress_table(spark, f"{root}/progress")
+    listener = progress.Observed(progress.Progress(progress.into(table, "job"), least_s=0.0), {"read": lines.count()})
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema("conv_id long, turn long").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        stream.observe("read", F.count(F.lit(1)).alias("done")).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()
+        listener.ended.wait(60)
+    finally:
+        spark.streams.removeListener(listener)
+    steps = table.read()
+    before = F.lag("done").over(W.partitionBy("job", "stage").orderBy("step"))
+    rows = steps.withColumn("grew", F.coalesce(F.col("done") > before, F.lit(True)))
+    return rows.groupBy("job", "stage").agg(F.count("*").alias("steps"), F.max("done").alias("done"), F.max("total").alias("total"), F.bool_and("grew").alias("grew"))
+
+
+PROGRESS_SQL = "SELECT 'job' AS job, 'read' AS stage, count(DISTINCT conv_id % 4) AS steps, count(*)::DOUBLE AS done, count(*)::DOUBLE AS total, true AS grew FROM conversations"
+
+
+def wav_blocks(spark, d):
+    """Vectors as sound of seven files, which are written, and read again in blocks by several tasks, as a batch and as a stream."""
+    e = c.read(spark, d, "embeddings").select((F.col("vec_id") % 7).alias("f"), "vec_id", F.transform("embedding", lambda x: F.round(x * 1000).cast("int")).alias("x"))
+    sound = e.groupBy("f").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "x"))), lambda v: v["x"])).alias("x"))
+    root = storage.shared_path(spark, "sound")
+    files.write_files(sound.select(F.concat("f", F.lit(".wav")).alias("name"), wav.wav_of(F.col("x"), 1000).alias("value")), root)
+    batch = wav.read_wav(spark, root, 0.5, 4000)
+    heard = storage.shared_path(spark, "heard")
+    wav.stream_wav(spark, root, 0.5, 4000).writeStream.format("parquet").option("checkpointLocation", f"{heard}/state").option("path", f"{heard}/out").trigger(once=True).start().awaitTermination()
+    streamed = spark.read.schema(wav.SCHEMA).parquet(f"{heard}/out")
+    row = lambda df, how: df.select("file_id", "block_no", F.lit(how).alias("how"), "t0", F.size("samples").alias("n"), F.bround(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x) * 32768).cast("long").alias("sum"), "last")
+    return row(batch, "batch").unionByName(row(streamed, "stream"))
+
+
+WAV_SQL = """WITH s AS (SELECT vec_id % 7 AS f, vec_id, generate_subscripts(embedding, 1) AS p, unnest(embedding) AS x FROM embeddings), n AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY vec_id, p) - 1 AS n FROM s),
+b AS (SELECT f || '.wav' AS file_id, n // 500 AS block_no, count(*)::INT AS n, sum(round(x::FLOAT * 1000)::BIGINT)::BIGINT AS "sum" FROM n GROUP BY f, n // 500)
+SELECT file_id, block_no, how, block_no * 0.5::DOUBLE AS t0, n, "sum", block_no = max(block_no) OVER (PARTITION BY file_id, how) AS "last" FROM b, (VALUES ('batch'), ('stream')) v(how)"""
+
+
 def result_cache(spark, d):
     """Orders as wanted results and customers' earlier orders as kept ones: reusable where source and options are equal."""
     o = c.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("string").alias("name"), (F.col("o_orderkey") % 5).alias("size"), (F.col("o_custkey") % 3).alias("mtime"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("model"))
@@ -636,7 +726,7 @@ def zipped_lines(spark, d):
 
 def queries():
     names = """job_lines job_counts job_srt job_documents job_from_recogniser translate_retry translate_echo analysis resumed_translation judged_lines repaired_lines align_report prompt_frames
-    gap_fill_segments gap_fill_stats recognised_windows media_outputs stream_blocks cues_from_words split_cues timed_sentences shifted_segments clipped_speech bilingual_srt transcripts_read glossary_store result_cache resumed_windows
+    gap_fill_segments gap_fill_stats recognised_windows media_outputs stream_blocks cues_from_words split_cues timed_sentences shifted_segments clipped_speech bilingual_srt transcripts_read glossary_store glossary_series job_progress wav_blocks result_cache resumed_windows
     progress_table queue_state folder_listing report_lines job_figures marked_sentences float_samples echo_match zipped_lines"""
     return {n: globals()[n] for n in names.split()}
 
@@ -668,6 +758,9 @@ def oracle_sql():
         "bilingual_srt": BILINGUAL_SQL,
         "transcripts_read": READ_SQL,
         "glossary_store": STORE_SQL,
+        "glossary_series": SERIES_SQL,
+        "job_progress": PROGRESS_SQL,
+        "wav_blocks": WAV_SQL,
         "result_cache": CACHE_SQL,
         "resumed_windows": RESUME_SQL,
         "progress_table": "SELECT user_id % 30 AS line, max(event_id) AS answer FROM events GROUP BY 1",

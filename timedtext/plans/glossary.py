@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import valid_name
 from ..operators.folds import capped_merge
+from ..schemas import GLOSSARY
+from .tables import Table
 
 CATEGORIES = ("names", "terms")
 MOST_ENTRIES = 40
@@ -41,3 +43,38 @@ def remember(entries: DataFrame, totals: DataFrame, found: DataFrame, most: int
     seen = found.groupBy("name").agg(F.count("*").alias("more"))
     rows = totals.select("name", "files").join(seen, "name", "full").join(before, "name", "left").join(after, "name", "left").na.fill(0)
     return merged, rows.select("name", (F.col("files") + F.col("more")).alias("files"), (F.col("after") - F.col("before")).alias("new"))
+
+
+# --- a store that several jobs change -----------------------------------------------------------------
+
+TOTAL = "#"  # the category of the row that counts a glossary's files
+
+
+def store(spark: SparkSession, path: str) -> Table:
+    """Entries of all glossaries, and per glossary a row of category ``TOTAL`` whose ``pos`` counts its files."""
+    return Table(spark, path, GLOSSARY, ["name", "category", "term"])
+
+
+def in_store(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, totals) of a store's rows."""
+    return held.filter(F.col("category") != TOTAL), held.filter(F.col("category") == TOTAL).select("name", F.col("pos").cast("long").alias("files"))
+
+
+def remember_in(table: Table, found: DataFrame, most: int = MOST_ENTRIES) -> int:
+    """:func:`remember` in a store. Where another job changed it meanwhile, the merge is worked out anew, so neither loses an entry."""
+
+    def rows(held: DataFrame) -> DataFrame:
+        entries, totals = in_store(held)
+        merged, after = remember(entries, totals, found, most)
+        new = merged.join(entries, table.keys, "left_anti")
+        counted = after.join(found, "name", "left_semi").select("name", F.lit(TOTAL).alias("category"), F.lit("").alias("term"), F.lit(None).cast("string").alias("rendering"), F.col("files").cast("int").alias("pos"))
+        return new.unionByName(counted)
+
+    return table.change(rows)
+
+
+def known_for(files: DataFrame, table: Table) -> DataFrame:
+    """``files`` (file_id, name) -> (file_id, known): what the analysis of each file is told from its glossary."""
+    entries, totals = in_store(table.read())
+    told = seeds(load(files.select("name").distinct(), entries, totals))
+    return files.join(told, "name").select("file_id", "known")
