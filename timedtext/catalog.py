@@ -1,7 +1,7 @@
 """All queries of the timed-text operators, by name, with the SQL that checks them.
 
 The driver's tables stand in for transcripts: ``events`` are timed items of a user, ``conversations`` are
-ordered lines, lines of ``documents`` are segments. Japanese rules run on the rows of :data:`JA_LINES`.
+ordered lines, lines of ``documents`` are segments. For Japanese rules, events bring the lines of :data:`JA_LINES` and :data:`CUES`.
 """
 
 from __future__ import annotations
@@ -37,36 +37,42 @@ def kind(df: DataFrame, *names: str) -> DataFrame:
     return df.filter(F.col("kind").isin(*names))
 
 
-# Rows for the rules that only Japanese text shows: (file, idx, text, no_speech_prob, gap_fill)
+# Lines that the rules for Japanese text are put to, one of them for every event in turn: (text, no_speech_prob, gap_fill, what becomes of it)
 JA_LINES = [
-    ("f", 0, "ご視聴ありがとうございました。", 0.9, False),
-    ("f", 1, "ご視聴ありがとうございました。", 0.1, False),
-    ("f", 2, "今日はいい天気ですね。", 0.0, False),
-    ("f", 3, "シ", 0.0, True),
-    ("f", 4, "シ", 0.0, False),
-    ("f", 5, "もう一度だけ言います", 0.0, False),
-    ("f", 6, " もう一度だけ言います　", 0.0, False),
-    ("f", 7, "もう一度だけ言います", 0.0, False),
-    ("f", 8, "そう", 0.0, False),
-    ("f", 9, "そう", 0.0, False),
-    ("f", 10, "そう", 0.0, False),
-    ("f", 11, "字幕作成者 テスト", 0.7, False),
-    ("f", 12, "チャンネル登録よろしくお願いします!", None, False),
-    ("f", 13, "、。", 0.9, True),
+    ("ご視聴ありがとうございました。", 0.9, False, "phantom phrase"),
+    ("ご視聴ありがとうございました。", 0.1, False, "kept"),
+    ("シ", 0.0, True, "gap-fill fragment"),
+    ("シ", 0.0, False, "kept"),
+    ("まだ雨が降っている", 0.0, False, "kept"),
+    (" まだ雨が降っている　", 0.0, False, "repeated line"),
+    ("まだ雨が降っている", 0.0, False, "repeated line"),
+    ("字幕作成者 テスト", 0.7, False, "phantom phrase"),
+    ("チャンネル登録よろしくお願いします!", None, False, "kept"),
+    ("、。", 0.9, True, "gap-fill fragment"),
 ]
+# Cues that every event brings: (idx, t_ms, dur_ms, text), and the units they make, by hand: pieces, their shares of the cue, ends of sentences
 CUES = [
-    ("c", 0, 0, 3000, "あ。」い!!う"),
-    ("c", 1, 3000, 1000, "[音楽]"),
-    ("c", 2, 4000, 2001, "𠮷野家に行った。そうだね"),
-    ("c", 3, 6100, 999, "ええ？本当？！「すごい」"),
-    ("c", 4, 9000, 3333, "時間を分ける。三つに。分ける。"),
-    ("c", 5, 14100, 800, "  "),
-    ("c", 6, 20000, 0, "ゼロ"),
+    (0, 0, 3000, "ね。」や!!ま"),
+    (1, 3000, 1000, "[拍手]"),
+    (2, 4000, 2001, "𠮷田さんが来た。もう夜だ"),
+    (3, 6100, 999, "なに？明日？！「いいね」"),
+    (4, 9000, 3333, "本棚を動かす。二階へ。明日に。"),
+    (5, 14100, 800, "  "),
+    (6, 20000, 0, "はい"),
+]
+UNITS_BY_HAND = [
+    (0, "ね。", 0, 3000),
+    (1, "」や!", 857, 3000),
+    (2, "!", 2143, 3000),
+    (3, "ま𠮷田さんが来た。", 2571, 6001),
+    (4, "もう夜だなに？", 5385, 7099),
+    (5, "明日？", 6350, 7099),
+    (6, "！", 6600, 7099),
+    (7, "「いいね」本棚を動かす。", 6683, 12333),
+    (8, "二階へ。", 10555, 12333),
+    (9, "明日に。", 11444, 12333),
+    (10, "はい", 20000, 20000),
 ]
-STRINGS = ["𠮷野家", "abc", "", "あ𝄞い", "é", "  x　"]
-NUMBERS = [2.5, -2.5, 0.49999999999999994, 0.5, -0.5, 3.4999, 1e6 + 0.5]
-TIMES = [0, 999, 1000, 61_001, 3_600_000, 360_000_123, -5]
-REPLIES = ['{"1":"one"}', '```json\n{"1":"two"}\n```', 'Here: {"1":{"ja":"x","en":"three"}} done', '{"1":"cut', "none", ""]
 
 
 def _q(s: str) -> str:
@@ -371,25 +377,19 @@ FROM f JOIN rk r ON r.user_id = f.user_id AND r.idx = f.idx + 1, LATERAL (SELECT
 SELECT user_id::VARCHAR AS file_id, unit::INT AS idx, last(ja ORDER BY idx) AS ja, last(s ORDER BY idx) AS start_ms, last(mx ORDER BY idx) AS end_ms, last(n ORDER BY idx)::INT AS n_cues FROM f GROUP BY user_id, unit"""
 
 
-def sentence_units(spark, d):
-    rows = spark.createDataFrame([(*r, None) for r in CUES], "file_id string, idx int, t_ms bigint, dur_ms bigint, ja string, segs array<struct<text:string,t_ms:bigint>>")
-    return cues.to_units(rows).select("file_id", "idx", "ja", "start_ms", "end_ms")
+def _picked(rows: list, names: list[str], n) -> "F.Column":
+    """The row of a fixed list whose number is ``n`` modulo its length, as a struct."""
+    listed = F.array(*[F.struct(*[F.lit(x).cast("double" if name == "no_speech_prob" else "string" if isinstance(x, str) else "boolean" if isinstance(x, bool) else "bigint").alias(name) for name, x in zip(names, r, strict=False)]) for r in rows])
+    return F.element_at(listed, (n % len(rows) + 1).cast("int"))
 
 
-# from the rules, by hand: pieces, their shares of the cue and the flushes after sentence ends
-UNITS_BY_HAND = [
-    ("c", 0, "あ。", 0, 3000),
-    ("c", 1, "」い!", 857, 3000),
-    ("c", 2, "!", 2143, 3000),
-    ("c", 3, "う𠮷野家に行った。", 2571, 6001),
-    ("c", 4, "そうだねええ？", 5385, 7099),
-    ("c", 5, "本当？", 6350, 7099),
-    ("c", 6, "！", 6600, 7099),
-    ("c", 7, "「すごい」時間を分ける。", 6683, 12333),
-    ("c", 8, "三つに。", 10555, 12333),
-    ("c", 9, "分ける。", 11444, 12333),
-    ("c", 10, "ゼロ", 20000, 20000),
-]
+def sentence_units(spark, d):
+    """Every event is seven cues, a hundred seconds after those of the event before."""
+    cue = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t"), F.lit(n).cast("bigint").alias("dur_ms"), F.lit(s).alias("ja")) for i, t, n, s in CUES])
+    rows = _ranked(spark, d).select(F.col("user_id").cast("string").alias("file_id"), F.col("idx").alias("k"), F.explode(cue).alias("c"))
+    segs = F.lit(None).cast("array<struct<text:string,t_ms:bigint>>")
+    rows = rows.select("file_id", (F.col("k") * len(CUES) + F.col("c.i")).alias("idx"), (F.col("k") * 100_000 + F.col("c.t")).cast("bigint").alias("t_ms"), "c.dur_ms", "c.ja", segs.alias("segs"))
+    return cues.to_units(rows).select("file_id", "idx", "ja", "start_ms", "end_ms")
 
 
 def chunks_context(spark, d):
@@ -474,32 +474,47 @@ STREAM_SQL = _windows_sql(STRETCHES, "file_id, a, b")
 
 
 def utf16_len(spark, d):
-    return spark.createDataFrame([(s,) for s in STRINGS], "s string").select("s", text.utf16_length(F.col("s")).alias("n"))
+    """Texts with a character of two units after every e."""
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.replace(F.coalesce("text", F.lit("")), F.lit("e"), F.lit("e𝄞𠮷")).alias("s"))
+    return rows.select("conv_id", "turn", text.utf16_length(F.col("s")).alias("n"))
 
 
 def js_round(spark, d):
-    return spark.createDataFrame([(x,) for x in NUMBERS], "x double").select("x", text.round_half_up(F.col("x")).alias("n"))
+    """Quarters on both sides of 0, and what lies next to a half."""
+    x = (F.col("event_id") % 1001 - 500) / 4
+    return read(spark, d, "events").select("event_id", text.round_half_up(x).alias("n"), text.round_half_up(F.when(F.col("event_id") % 2 == 0, F.lit(0.49999999999999994)).otherwise(F.col("event_id") + 0.5)).alias("near"))
 
 
 def srt_timestamp(spark, d):
-    return spark.createDataFrame([(x,) for x in TIMES], "ms bigint").select("ms", text.timestamp(F.col("ms")).alias("stamp"), text.clock(F.greatest(F.col("ms"), F.lit(0)) / 1000).alias("clock"))
+    ms = F.col("event_id") * 77_777 - 500_000
+    return read(spark, d, "events").select("event_id", text.timestamp(ms).alias("stamp"), text.clock(F.greatest(ms, F.lit(0)) / 1000).alias("clock"))
 
 
 CLOCK_SQL = "CASE WHEN m >= 3600000 THEN printf('%d:%02d:%02d', m // 3600000, m // 60000 % 60, m // 1000 % 60) ELSE printf('%d:%02d', m // 60000, m // 1000 % 60) END"
 
 
 def json_recover(spark, d):
-    r = spark.createDataFrame(list(enumerate(REPLIES)), "k int, reply string").select("k", F.to_json(text.recover_json(F.col("reply"))).alias("v"))
-    return r.select("k", F.coalesce(F.get_json_object("v", "$.1.en"), F.get_json_object("v", "$.1")).alias("en"))
+    """Lines in replies of six kinds: plain, fenced, within prose, cut off, none and empty."""
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "")
+    rows = read(spark, d, "conversations").select("conv_id", "turn", said.alias("s"), ((F.col("conv_id") + F.col("turn")) % 6).alias("k"))
+    plain, nested = F.concat(F.lit('{"1":"'), "s", F.lit('"}')), F.concat(F.lit('{"1":{"ja":"x","en":"'), "s", F.lit('"}}'))
+    reply = F.when(F.col("k") == 0, plain).when(F.col("k") == 1, F.concat(F.lit("```json\n"), plain, F.lit("\n```"))).when(F.col("k") == 2, F.concat(F.lit("Here: "), nested, F.lit(" done")))
+    reply = reply.when(F.col("k") == 3, F.concat(F.lit('{"1":"'), "s")).when(F.col("k") == 4, F.lit("none")).otherwise("")
+    found = rows.select("conv_id", "turn", F.to_json(text.recover_json(reply)).alias("v"))
+    return found.select("conv_id", "turn", F.coalesce(F.get_json_object("v", "$.1.en"), F.get_json_object("v", "$.1")).alias("en"))
 
 
 def phantom_filter(spark, d):
-    rows = spark.createDataFrame(JA_LINES, "file_id string, idx int, text string, no_speech_prob double, gap_fill boolean")
+    """Every event is one of ten lines, in turn; ends of files cut the last ten short."""
+    line = _picked(JA_LINES, ["text", "no_speech_prob", "gap_fill"], F.col("idx"))
+    rows = _ranked(spark, d).select(F.col("user_id").cast("string").alias("file_id"), "idx", line.alias("line")).select("file_id", "idx", "line.*")
     kept, dropped = cues.clean(rows)
-    return kept.select("idx", F.lit("kept").alias("reason")).unionByName(dropped.select("idx", "reason"))
+    return kept.select("file_id", "idx", F.lit("kept").alias("reason")).unionByName(dropped.select("file_id", "idx", "reason"))
 
 
-PHANTOM_BY_HAND = {0: "phantom phrase", 3: "gap-fill fragment", 6: "repeated line", 7: "repeated line", 11: "phantom phrase", 13: "gap-fill fragment"}
+# a line that comes again is dropped where it stands three times at least
+PHANTOM_SQL = f"""WITH {RANKED}, n AS (SELECT user_id, max(idx) AS top FROM rk GROUP BY user_id)
+SELECT user_id::VARCHAR AS file_id, idx::INT AS idx, CASE WHEN idx % 10 = 5 AND top = idx THEN 'kept' ELSE reason END AS reason FROM rk JOIN n USING (user_id) JOIN {_values([(k, r[3]) for k, r in enumerate(JA_LINES)], 'k, reason')} ON k = idx % 10"""
 
 
 def media_kinds(spark, d):
@@ -575,15 +590,15 @@ def oracle_sql():
         "reference_report": REFERENCE_SQL,
         "verdict_histogram": HIST_SQL,
         "segment_units": SEGMENT_SQL,
-        "sentence_units": f"SELECT file_id, idx::INT AS idx, ja, start_ms::BIGINT AS start_ms, end_ms::BIGINT AS end_ms FROM {_values(UNITS_BY_HAND, 'file_id, idx, ja, start_ms, end_ms')}",
+        "sentence_units": f"WITH {RANKED} SELECT user_id::VARCHAR AS file_id, (rk.idx * {len(UNITS_BY_HAND)} + k)::INT AS idx, ja, (rk.idx * 100000 + a)::BIGINT AS start_ms, (rk.idx * 100000 + b)::BIGINT AS end_ms FROM rk, {_values(UNITS_BY_HAND, 'k, ja, a, b')}",
         "chunks_context": CHUNK_SQL,
         "budget_sample": BUDGET_SQL,
         "glossary_merge": GLOSSARY_SQL,
-        "utf16_len": rf"SELECT s, (length(s) + length(regexp_replace(s, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))::INT AS n FROM {_values(STRINGS, 's')}",
-        "js_round": f"SELECT x, (floor(x) + CASE WHEN x - floor(x) >= 0.5 THEN 1 ELSE 0 END)::BIGINT AS n FROM {_values(NUMBERS, 'x')}",
-        "srt_timestamp": f"SELECT ms::BIGINT AS ms, {_stamp_sql('m')} AS stamp, {CLOCK_SQL} AS clock FROM (SELECT ms, greatest(ms, 0) AS m FROM {_values(TIMES, 'ms')})",
-        "json_recover": f"SELECT k::INT AS k, en FROM {_values([(0, 'one'), (1, 'two'), (2, 'three'), (3, None), (4, None), (5, None)], 'k, en')}",
-        "phantom_filter": f"SELECT idx::INT AS idx, reason FROM {_values([(r[1], PHANTOM_BY_HAND.get(r[1], 'kept')) for r in JA_LINES], 'idx, reason')}",
+        "utf16_len": r"SELECT conv_id, turn, (length(coalesce(text, '')) + 4 * (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', ''))) + length(regexp_replace(coalesce(text, ''), '[^\x{10000}-\x{10FFFF}]', '', 'g')))::INT AS n FROM conversations",
+        "js_round": "SELECT event_id, floor((event_id % 1001 - 500) / 4.0::DOUBLE + 0.5)::BIGINT AS n, CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id + 1 END AS near FROM events",
+        "srt_timestamp": f"SELECT event_id, {_stamp_sql('m')} AS stamp, {CLOCK_SQL} AS clock FROM (SELECT event_id, greatest(event_id * 77777 - 500000, 0) AS m FROM events)",
+        "json_recover": "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 6 < 3 THEN regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g') END AS en FROM conversations",
+        "phantom_filter": PHANTOM_SQL,
         "media_kinds": MEDIA_SQL,
         "sample_blocks": BLOCK_SQL,
         "result_documents": DOCUMENTS_SQL,

@@ -623,11 +623,9 @@ def progress_table(spark, d):
     root = storage.shared_path(spark, "progress")
     e = c.read(spark, d, "events").select((F.col("user_id") % 30).alias("line"), F.col("event_id").alias("answer"), (F.col("event_id") % 3).alias("part"))
     for part in range(3):
-        e.filter(F.col("part") == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    newest = stream.groupBy("line").agg(F.max("answer").alias("answer"))
-    query = windows.keep_progress(newest, f"{root}/out", f"{root}/state", mode="update")
-    query.awaitTermination()
+        e.filter(F.col("part") == part).repartition("line").write.mode("append").parquet(f"{root}/in")
+        newest = spark.readStream.schema(e.schema).parquet(f"{root}/in").groupBy("line").agg(F.max("answer").alias("answer"))
+        windows.keep_progress(newest, f"{root}/out", f"{root}/state", mode="update").awaitTermination()
     return windows.latest(spark.read.parquet(f"{root}/out"), ["line"]).select("line", "answer")
 
 
@@ -644,14 +642,19 @@ SELECT event_type AS what, count(*) AS n FROM e GROUP BY 1 UNION ALL SELECT 'new
 
 
 def folder_listing(spark, d):
-    """Media and transcripts in a folder, sorted; a transcript beside media of its stem is left out."""
-    root = storage.shared_path(spark, "folder")
-    for name in ("a.mp4", "a.ja.json", "b.ja.json", "c.FLAC", "notes.md"):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-        out.write(120)
-        out.close()
-    return transcripts.scan_folder(spark, root).select("name", "stem", "kind").orderBy("name")
+    """Documents as files of two folders, media of three kinds, transcripts and notes; a transcript is left out beside media of its stem in its own folder alone."""
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("mp4", "ja.json", "FLAC", "md", "ja.json")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = c.read(spark, d, "documents").select((F.floor(F.col("doc_id") / 7) % 2).alias("folder"), F.concat(F.floor(F.col("doc_id") / 3).cast("string"), F.lit("."), suffix).alias("name"), F.lit("x").alias("value")).distinct()
+    root = storage.shared_path(spark, "folders")
+    for folder in range(2):
+        files.write_files(rows.filter(F.col("folder") == folder), f"{root}/{folder}")
+    found = transcripts.scan_folder(spark, f"{root}/*")
+    return found.select(F.regexp_extract("path", r"/(\d)/[^/]*$", 1).alias("folder"), "name", "stem", "kind", "size")
+
+
+FOLDER_SQL = """WITH f AS (SELECT DISTINCT (doc_id // 7 % 2)::VARCHAR AS folder, (doc_id // 3)::VARCHAR AS stem, ['mp4', 'ja.json', 'FLAC', 'md', 'ja.json'][doc_id % 5 + 1] AS suffix FROM documents),
+k AS (SELECT *, CASE suffix WHEN 'mp4' THEN 'video' WHEN 'FLAC' THEN 'audio' WHEN 'ja.json' THEN 'transcript' END AS kind FROM f WHERE suffix <> 'md')
+SELECT folder, stem || '.' || suffix AS name, stem, kind, 1::BIGINT AS size FROM k WHERE kind <> 'transcript' OR NOT EXISTS (SELECT 1 FROM k m WHERE m.folder = k.folder AND m.stem = k.stem AND m.kind <> 'transcript')"""
 
 
 # --- reports and scalars --------------------------------------------------------------------------------------
@@ -765,7 +768,7 @@ def oracle_sql():
         "resumed_windows": RESUME_SQL,
         "progress_table": "SELECT user_id % 30 AS line, max(event_id) AS answer FROM events GROUP BY 1",
         "queue_state": QUEUE_SQL,
-        "folder_listing": "SELECT * FROM (VALUES ('a.mp4', 'a', 'video'), ('b.ja.json', 'b', 'transcript'), ('c.FLAC', 'c', 'audio')) AS v(name, stem, kind)",
+        "folder_listing": FOLDER_SQL,
         "report_lines": LINES_SQL,
         "job_figures": FIGURES_SQL,
         "marked_sentences": SENTENCES_SQL,
