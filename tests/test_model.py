@@ -103,9 +103,7 @@ def test_lists_of_unequal_length_raise(spark):
 
 def test_job_outputs_are_written(spark, tmp_path):
     cues = spark.createDataFrame([("f", 0, 0, 1000, "一。二", None), ("f", 1, 9000, 500, "三", None)], "file_id string, idx int, t_ms bigint, dur_ms bigint, ja string, segs array<struct<text:string,t_ms:bigint>>")
-    done, found = job.subtitle_job(cues, Translator(echo=True), analyst, bilingual=True)
-    job.write_outputs(found, str(tmp_path))
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["en.json", "en.srt", "ja-en.srt", "ja.srt"]
-    text = spark.read.parquet(str(tmp_path / "ja-en.srt")).first().srt
-    assert text == "1\n00:00:00,000 --> 00:00:00,917\n一。\nEN 一。\n\n2\n00:00:00,500 --> 00:00:01,500\n二\nEN 二\n\n3\n00:00:09,000 --> 00:00:10,000\n三\nEN 三\n" or text.count("EN ") == 3
-    assert rows(done.counts(), "units", "translated", "missing", "failed_chunks") == [(3, 3, 0, 0)]
+    counts = job.finished_job(cues, str(tmp_path), Translator(echo=True), analyst, bilingual=True)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["f.en.json", "f.en.srt", "f.ja-en.srt", "f.ja.srt"]
+    assert (tmp_path / "f.ja-en.srt").read_text() == "1\n00:00:00,000 --> 00:00:00,917\n一。\nEN 一。\n\n2\n00:00:00,500 --> 00:00:01,500\n二\nEN 二\n\n3\n00:00:09,000 --> 00:00:10,000\n三\nEN 三\n" or (tmp_path / "f.ja-en.srt").read_text().count("EN ") == 3
+    assert rows(counts, "units", "translated", "missing", "failed_chunks") == [(3, 3, 0, 0)]

@@ -16,7 +16,7 @@ from ..sources.transcripts import recogniser_document, result_document, transcri
 from .cues import to_transcript, to_units
 from .model import Backend, analyse, check_and_repair, translate
 from .recognition import Heard
-from .storage import kept
+from .storage import finish, kept, scratch
 
 GAP_MS, WHISPER_GAP_MS, WHISPER_LEAST_CHARS = 2000, 500, 8
 
@@ -108,3 +108,11 @@ def output_files(found: dict[str, DataFrame]) -> DataFrame:
 def write_outputs(found: dict[str, DataFrame], path: str) -> None:
     """One file for every output of every file, in one folder; each is there whole or not at all."""
     write_files(output_files(found), path)
+
+
+def finished_job(cues: DataFrame, path: str, translator: Backend, analyst: Backend, **options) -> DataFrame:
+    """Run :func:`subtitle_job`, write its outputs, delete its intermediate tables; (file_id, units, translated, missing, failed_chunks) comes back."""
+    with scratch(cues.sparkSession):
+        done, found = subtitle_job(cues, translator, analyst, **options)
+        write_outputs(found, path)
+        return finish(done.counts(), "job-counts")

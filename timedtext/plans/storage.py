@@ -3,21 +3,46 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_open = threading.local()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``. A local session without one gets a temporary folder; on a cluster that is an error."""
+    """A new path under ``spark.checkpoint.dir``. A local session without one gets a temporary folder; on a cluster that is an error.
+
+    Inside :func:`scratch` what is put there goes when the block ends.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="timedtext-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if stack := getattr(_open, "paths", None):
+        stack[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are kept inside are deleted at the end, but those that :func:`finish` made."""
+    stack = _open.paths = getattr(_open, "paths", None) or []
+    stack.append([])
+    try:
+        yield
+    finally:
+        for name in stack.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -28,6 +53,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def finish(df: DataFrame, name: str) -> DataFrame:
+    """A block's result as a table that outlives the block; an outer block takes it over."""
+    out = kept(df, name)
+    stack = getattr(_open, "paths", None) or []
+    if stack:
+        path = stack[-1].pop()
+        if len(stack) > 1:
+            stack[-2].append(path)
+    return out
+
+
 def with_positions(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Join lists by position; a position that one side lacks is an error, not a dropped row."""
     both = left.withColumn("_left", F.lit(True)).join(right.select(*keys, value, F.lit(True).alias("_right")), keys, "full")
