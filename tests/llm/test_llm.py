@@ -626,3 +626,23 @@ def test_chat_is_linear_in_a_long_conversation(spark):
     turns = spark.range(20_000).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 7, F.repeat(F.lit("</s>é "), 50_000)).otherwise(F.col("id").cast("string")).alias("text"))
     r = chat.read_back(chat.collected(chat.expand(chat.pieces(turns)))).first()
     assert len(r.turns) == 20_000 and r.turns[7].text == "</s>é " * 50_000 and r.loss == [t.text for t in r.turns if t.role == "assistant"]
+
+
+def test_loss_text_comes_from_the_output_by_its_mask(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "q\\[INST]"), (1, 1, "assistant", "a <s>b\\ c"), (1, 2, "user", "ü"), (1, 3, "assistant", "done</s>")], "conv_id long, turn long, role string, text string")
+    made = chat.collected(chat.expand(chat.pieces(turns)))
+    row = made.first()
+    for e in row.examples:
+        assert e.piece is None
+        assert row.formatted[e.context_chars : e.context_chars + e.target_chars] == chat_escape({1: "a <s>b\\ c", 3: "done</s>"}[e.turn_no - 1])
+    assert chat.read_back(made).first().loss == ["a <s>b\\ c", "done</s>"]
+    moved = lambda by, more: made.withColumn("examples", F.transform("examples", lambda e: F.struct(e["turn_no"].alias("turn_no"), e["start"].alias("start"), (e["context_chars"] + by).alias("context_chars"), (e["target_chars"] + more).alias("target_chars"))))
+    assert chat.read_back(moved(1, 0)).first().loss[0] != "a <s>b\\ c"
+    assert chat.read_back(moved(0, -1)).first().loss == ["a <s>b\\ ", "done</s"]
+
+
+def chat_escape(text):
+    text = text.replace("\\", "\\\\")
+    for s in chat.CONTROL:
+        text = text.replace(s, s[0] + "\\" + s[1:])
+    return text
