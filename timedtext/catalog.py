@@ -61,18 +61,18 @@ CUES = [
     (6, 20000, 0, "はい"),
 ]
 UNITS_BY_HAND = [
-    (0, "ね。", 0, 3000),
-    (1, "」や!", 857, 3000),
-    (2, "!", 2143, 3000),
-    (3, "ま𠮷田さんが来た。", 2571, 6001),
-    (4, "もう夜だなに？", 5385, 7099),
-    (5, "明日？", 6350, 7099),
-    (6, "！", 6600, 7099),
-    (7, "「いいね」本棚を動かす。", 6683, 12333),
-    (8, "二階へ。", 10555, 12333),
-    (9, "明日に。", 11444, 12333),
-    (10, "はい", 20000, 20000),
-]
+    (0, "ね。", 0, 3000, 0, 0),
+    (1, "」や!", 857, 3000, 0, 0),
+    (2, "!", 2143, 3000, 0, 0),
+    (3, "ま𠮷田さんが来た。", 2571, 6001, 0, 2),
+    (4, "もう夜だなに？", 5385, 7099, 2, 3),
+    (5, "明日？", 6350, 7099, 3, 3),
+    (6, "！", 6600, 7099, 3, 3),
+    (7, "「いいね」本棚を動かす。", 6683, 12333, 3, 4),
+    (8, "二階へ。", 10555, 12333, 4, 4),
+    (9, "明日に。", 11444, 12333, 4, 4),
+    (10, "はい", 20000, 20000, 6, 6),
+]  # number, text, start, end, first and last cue
 
 
 def _q(s: str) -> str:
@@ -389,7 +389,8 @@ def sentence_units(spark, d):
     rows = _ranked(spark, d).select(F.col("user_id").cast("string").alias("file_id"), F.col("idx").alias("k"), F.explode(cue).alias("c"))
     segs = F.lit(None).cast("array<struct<text:string,t_ms:bigint>>")
     rows = rows.select("file_id", (F.col("k") * len(CUES) + F.col("c.i")).alias("idx"), (F.col("k") * 100_000 + F.col("c.t")).cast("bigint").alias("t_ms"), "c.dur_ms", "c.ja", segs.alias("segs"))
-    return cues.to_units(rows).select("file_id", "idx", "ja", "start_ms", "end_ms")
+    units = cues.to_units(rows)
+    return units.select("file_id", "idx", "ja", "start_ms", "end_ms", F.array_join(F.transform("cue_index", lambda k: k.cast("string")), ",").alias("cues"))
 
 
 def chunks_context(spark, d):
@@ -590,7 +591,7 @@ def oracle_sql():
         "reference_report": REFERENCE_SQL,
         "verdict_histogram": HIST_SQL,
         "segment_units": SEGMENT_SQL,
-        "sentence_units": f"WITH {RANKED} SELECT user_id::VARCHAR AS file_id, (rk.idx * {len(UNITS_BY_HAND)} + k)::INT AS idx, ja, (rk.idx * 100000 + a)::BIGINT AS start_ms, (rk.idx * 100000 + b)::BIGINT AS end_ms FROM rk, {_values(UNITS_BY_HAND, 'k, ja, a, b')}",
+        "sentence_units": f"WITH {RANKED} SELECT user_id::VARCHAR AS file_id, (rk.idx * {len(UNITS_BY_HAND)} + k)::INT AS idx, ja, (rk.idx * 100000 + a)::BIGINT AS start_ms, (rk.idx * 100000 + b)::BIGINT AS end_ms, (rk.idx * {len(CUES)} + c1) || CASE WHEN c2 > c1 THEN ',' || (rk.idx * {len(CUES)} + c2) ELSE '' END AS cues FROM rk, {_values(UNITS_BY_HAND, 'k, ja, a, b, c1, c2')}",
         "chunks_context": CHUNK_SQL,
         "budget_sample": BUDGET_SQL,
         "glossary_merge": GLOSSARY_SQL,

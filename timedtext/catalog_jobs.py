@@ -222,6 +222,20 @@ def resumed_translation(spark, d):
 RESUMED_SQL = f"WITH {TALK} SELECT file_id, count(*) AS lines, count(*) AS asked, count(*) AS \"right\", 1::BIGINT AS analysed, 0::BIGINT AS rows_left, true AS some_before, true AS some_after FROM un GROUP BY file_id"
 
 
+def counting(prompt: str) -> str:
+    """As many names, terms and corrections as the number of lines leaves modulo 4, 3 and 2."""
+    n = prompt.split("Text:\n", 1)[1].count("\n") + 1
+    some = lambda k: {f"w{i}": "x" for i in range(n % k)}
+    return json.dumps({"setting": "s", "names": some(4), "terms": some(3), "asr_corrections": some(2)})
+
+
+def analysis_counts(spark, d):
+    return model.glossary_counts(model.analyse(kept_units(spark, d), counting, budget=10**9))
+
+
+ANALYSIS_COUNTS_SQL = f"WITH {TALK} SELECT file_id, (count(*) % 4)::INT AS names, (count(*) % 3)::INT AS terms, (count(*) % 2)::INT AS asr_corrections FROM un GROUP BY file_id"
+
+
 def judged_lines(spark, d):
     kind = F.element_at(F.array(*[F.lit(x) for x in ("EN ", "late ", "old ", "none ", "skip ")]), F.col("idx") % 5 + 1)
     return model.judge(lines_of(spark, d, F.when(F.col("idx") % 7 == 6, "").otherwise(F.concat(kind, "ja"))), judge)
@@ -257,15 +271,16 @@ SELECT file_id, n AS lines, n - greatest(0, least(n, 4) - 2) AS same, greatest(0
 def prompt_frames(spark, d):
     """What a request for outstanding lines holds: context that is there, the lines, and an example of the first two."""
     units = kept_units(spark, d)
-    asked = model.requests_for(units.filter("idx % 2 = 1"), model.frames_of(units, 4), units.select("file_id", F.lit(None).cast("string").alias("glossary")).distinct(), False, 4)
+    known = units.select("file_id", F.when(F.col("file_id").cast("long") % 3 == 0, F.concat(F.lit('{"setting":"'), "file_id", F.lit('"}'))).alias("glossary")).distinct()
+    asked = model.requests_for(units.filter("idx % 2 = 1"), model.frames_of(units, 4), known, False, 4)
     lines = F.regexp_extract("prompt", r"(?s)\nLines:\n(.*)\nExample: ", 1)
-    return asked.select("file_id", "chunk", F.col("prompt").contains("\nBefore:\n").alias("has_before"), F.col("prompt").contains("\nAfter:\n").alias("has_after"), F.col("prompt").contains("Glossary:").alias("has_glossary"), lines.alias("lines"), F.regexp_extract("prompt", r"Example: (.*)$", 1).alias("example"))
+    return asked.select("file_id", "chunk", F.col("prompt").contains("\nBefore:\n").alias("has_before"), F.col("prompt").contains("\nAfter:\n").alias("has_after"), F.regexp_extract("prompt", r"(?m)^Glossary: (.*)$", 1).alias("glossary"), lines.alias("lines"), F.regexp_extract("prompt", r"Example: (.*)$", 1).alias("example"))
 
 
 PROMPT_SQL = f"""WITH {TALK}, o AS (SELECT *, idx // 4 AS chunk, max(idx) OVER (PARTITION BY file_id) AS top, row_number() OVER (PARTITION BY file_id, idx // 4 ORDER BY idx) AS r FROM un),
 k AS (SELECT file_id, chunk, any_value(top) AS top, string_agg((idx + 1) || ': ' || ja, chr(10) ORDER BY idx) AS lines, string_agg('"' || (idx + 1) || '": "..."', ', ' ORDER BY idx) FILTER (rr <= 2) AS ex
 FROM (SELECT *, row_number() OVER (PARTITION BY file_id, chunk ORDER BY idx) AS rr FROM o WHERE idx % 2 = 1) GROUP BY file_id, chunk)
-SELECT file_id, chunk::INT AS chunk, chunk > 0 AS has_before, top > chunk * 4 + 3 AS has_after, false AS has_glossary, lines, '{{' || ex || '}}' AS example FROM k"""
+SELECT file_id, chunk::INT AS chunk, chunk > 0 AS has_before, top > chunk * 4 + 3 AS has_after, CASE WHEN file_id::BIGINT % 3 = 0 THEN '{{"setting":"' || file_id || '"}}' ELSE '' END AS glossary, lines, '{{' || ex || '}}' AS example FROM k"""
 
 # --- recognition ---------------------------------------------------------------------------------------------
 
@@ -411,6 +426,28 @@ q AS (SELECT user_id, i, min(s - t0) AS t_ms, last(least(e, s + 60000) - t0 ORDE
 SELECT user_id::VARCHAR AS file_id, (row_number() OVER (PARTITION BY user_id ORDER BY i) - 1)::INT AS idx, t_ms, greatest(1, e - t_ms) AS dur_ms, ja FROM q"""
 
 
+def transcript_made(spark, d):
+    """Segments without word times to the transcript: what becomes a cue, and what is dropped and why."""
+    line = c._picked(c.JA_LINES, ["text", "no_speech_prob", "gap_fill"], F.col("idx"))
+    rows = c._ranked(spark, d).select(F.col("user_id").cast("string").alias("file_id"), "idx", line.alias("line"))
+    words = F.lit(None).cast("array<struct<start:double,end:double,word:string,p:double>>")
+    segments = rows.select("file_id", "idx", (F.col("idx") * 2.0).alias("start"), (F.col("idx") * 2.0 + 1.5).alias("end"), "line.*", words.alias("words"))
+    said, dropped = cues.to_transcript(segments)
+    return said.select("file_id", "t_ms", "dur_ms", "ja", F.lit(None).cast("string").alias("reason")).unionByName(dropped.select("file_id", "t_ms", F.lit(None).cast("bigint").alias("dur_ms"), "ja", "reason"))
+
+
+TRANSCRIPT_SQL = f"""WITH r AS ({c.PHANTOM_SQL}), t AS (SELECT r.*, v.ja FROM r JOIN {c._values([(k, x[0]) for k, x in enumerate(c.JA_LINES)], 'k, ja')} ON k = idx % 10)
+SELECT file_id, (idx * 2000)::BIGINT AS t_ms, CASE WHEN reason = 'kept' THEN 1500::BIGINT END AS dur_ms, CASE WHEN reason = 'kept' THEN regexp_replace(ja, '^[ 　]+|[ 　]+$', '', 'g') ELSE ja END AS ja, nullif(reason, 'kept') AS reason FROM t"""
+
+
+def pretty_json(spark, d):
+    e = c.read(spark, d, "events").select("event_id", F.struct("event_id", F.concat(F.lit("é "), "event_type").alias("kind"), F.lit(None).cast("int").alias("none")).alias("v"))
+    return e.select("event_id", text.json_pretty(F.col("v")).alias("json"))
+
+
+PRETTY_SQL = """SELECT event_id, '{' || chr(10) || '  "event_id" : ' || event_id || ',' || chr(10) || '  "kind" : "é ' || event_type || '",' || chr(10) || '  "none" : null' || chr(10) || '}' AS json FROM events"""
+
+
 def split_cues(spark, d):
     """Words of a line, of which every seventh is followed by a pause, in groups of at most eight seconds; tested against brute force."""
     rows = talk(spark, d).select("file_id", "turn", F.posexplode(F.split("ja", " ")).alias("w", "word"))
@@ -722,14 +759,20 @@ def echo_match(spark, d):
     return rows.select("file_id", "idx", "ja", "copied", matching.echo_matches(F.col("ja"), F.col("copied")).alias("ok"))
 
 
+# other marks are no difference, and half a line is all of one match: its ratio is twice its length over both
+ECHO_MATCH_SQL = rf"""WITH {TALK}, e AS (SELECT file_id, idx, ja, CASE idx % 4 WHEN 0 THEN ja WHEN 1 THEN '「' || ja || '。」' WHEN 2 THEN left(ja, floor(length(ja) / 2)::INT) END AS copied FROM un),
+n AS (SELECT *, length(regexp_replace(ja, '[\s、。，．！？!?「」『』…・〜ー~]', '', 'g')) AS a, length(regexp_replace(copied, '[\s、。，．！？!?「」『』…・〜ー~]', '', 'g')) AS b FROM e)
+SELECT file_id, idx, ja, copied, CASE WHEN idx % 4 < 2 THEN true WHEN idx % 4 = 3 THEN false WHEN a = 0 OR b = 0 THEN a = b ELSE 2.0 * b / (a + b) >= 0.7 END AS ok FROM n"""
+
+
 def zipped_lines(spark, d):
     units = kept_units(spark, d)
     return storage.with_positions(units.select("file_id", "idx", "ja"), units.select("file_id", "idx", F.upper("file_id").alias("en")), ["file_id", "idx"], "en")
 
 
 def queries():
-    names = """job_lines job_counts job_srt job_documents job_from_recogniser translate_retry translate_echo analysis resumed_translation judged_lines repaired_lines align_report prompt_frames
-    gap_fill_segments gap_fill_stats recognised_windows media_outputs stream_blocks cues_from_words split_cues timed_sentences shifted_segments clipped_speech bilingual_srt transcripts_read glossary_store glossary_series job_progress wav_blocks result_cache resumed_windows
+    names = """job_lines job_counts job_srt job_documents job_from_recogniser translate_retry translate_echo analysis analysis_counts resumed_translation judged_lines repaired_lines align_report prompt_frames
+    gap_fill_segments gap_fill_stats recognised_windows media_outputs stream_blocks cues_from_words transcript_made pretty_json split_cues timed_sentences shifted_segments clipped_speech bilingual_srt transcripts_read glossary_store glossary_series job_progress wav_blocks result_cache resumed_windows
     progress_table queue_state folder_listing report_lines job_figures marked_sentences float_samples echo_match zipped_lines"""
     return {n: globals()[n] for n in names.split()}
 
@@ -745,6 +788,10 @@ def oracle_sql():
         "translate_echo": ECHO_SQL,
         "analysis": ANALYSIS_SQL,
         "resumed_translation": RESUMED_SQL,
+        "analysis_counts": ANALYSIS_COUNTS_SQL,
+        "transcript_made": TRANSCRIPT_SQL,
+        "pretty_json": PRETTY_SQL,
+        "echo_match": ECHO_MATCH_SQL,
         "judged_lines": JUDGED_SQL,
         "repaired_lines": REPAIRED_SQL,
         "align_report": ALIGN_SQL,

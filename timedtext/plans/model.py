@@ -73,6 +73,12 @@ def analyse(units: DataFrame, backend: Backend, known: DataFrame | None = None,
     return units.select("file_id").distinct().join(done, "file_id", "left")
 
 
+def glossary_counts(found: DataFrame) -> DataFrame:
+    """(file_id, names, terms, asr_corrections): how many of each an analysis found; none where it is null or not an object."""
+    n = lambda k: F.coalesce(F.size(F.from_json(F.get_json_object("glossary", f"$.{k}"), "map<string,string>")), F.lit(0)).alias(k)
+    return found.select("file_id", n("names"), n("terms"), n("asr_corrections"))
+
+
 def frames_of(units: DataFrame, size: int) -> DataFrame:
     """(file_id, chunk, before, after): what is shown around each chunk. It is source text, so chunks do not depend on one another."""
     return chunk(units, size).select("file_id", "chunk", "before", "after")
