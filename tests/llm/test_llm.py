@@ -617,7 +617,7 @@ def test_chat(spark):
     assert len(out) == len(spans) == 4
     for e in out:
         span = spans[e.conv_id, e.turn_no]
-        assert whole[e.conv_id].startswith(e.context + e.target) and (len(e.context), len(e.target), e.target) == (span.context_chars, span.target_chars, span.piece)
+        assert whole[e.conv_id].startswith(e.context + e.target) and (len(e.context), len(e.target)) == (span.context_chars, span.target_chars)
     assert chat.collected(chat.expand(chat.pieces(df.limit(0)))).count() == 0
 
 
