@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyarrow.fs import FileSelector
 from pyspark.sql import functions as F
 
 from timedtext.llm import chat, kmtree, mixing, neardup, packing, paragraphs, pivots, tokenfiles, tokens, toxicity, urls
@@ -81,6 +82,42 @@ def test_evolution_beats_its_start():
     assert all(sum(lengths[i] for i in b) <= 100 for b in best) and packing.score(best, lengths, 100) <= packing.score(start[0], lengths, 100)
 
 
+def test_breeding_beats_best_fit():
+    """Forty bins' worth of triples that fill a bin each: fewer bins than best-fit without noise, and than all noisy starts of the population."""
+    rng, lengths = random.Random(1), []
+    for _ in range(40):
+        a = rng.randrange(380, 490)
+        b = rng.randrange(250, (1000 - a) // 2 + 1)
+        lengths += [a, b, 1000 - a - b]
+    rng.shuffle(lengths)
+    plain = packing.best_fit(lengths, 1000, random.Random(0), 0.0)
+    unbred = packing.evolve(lengths, [plain], 1000, random.Random(1), 12, 0)
+    bred = packing.evolve(lengths, [plain], 1000, random.Random(1), 12, 800)
+    assert sorted(i for b in bred for i in b) == list(range(120)) and all(sum(lengths[i] for i in b) <= 1000 for b in bred)
+    assert len(bred) < min(len(plain), len(unbred))
+
+
+def fewest_bins(lengths, capacity):
+    """The exact optimum, over all subsets: (bins, least room used in the last one) of each."""
+    best = {0: (1, 0)}
+    for mask in range(1 << len(lengths)):
+        bins, used = best[mask]
+        for i, n in enumerate(lengths):
+            if not mask >> i & 1:
+                now = (bins, used + n) if used + n <= capacity else (bins + 1, n)
+                if now < best.get(mask | 1 << i, (99, 0)):
+                    best[mask | 1 << i] = now
+    return best[(1 << len(lengths)) - 1][0]
+
+
+def test_packing_of_small_sets_is_optimal():
+    rng = random.Random(5)
+    for _ in range(40):
+        lengths = [rng.randrange(10, 70) for _ in range(10)]
+        plain = packing.best_fit(lengths, 100, rng, 0.0)
+        assert len(packing.evolve(lengths, [plain], 100, rng, 8, 100)) == fewest_bins(lengths, 100)
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)).view(np.uint64)
     tree, _ = tokenfiles.PerfectHash.load(tokenfiles.PerfectHash.of(keys).dump())
@@ -118,7 +155,9 @@ def test_one_key_over_many_shards(spark):
     manifest = tokenfiles.cut(tokenfiles.write_shards(docs, root, tokens.vocabulary(tokens.WORD_LEVEL), 8), "m")
     held = manifest.groupBy("key").agg(F.countDistinct("shard").alias("n")).filter("n > 1").collect()
     assert {r.key for r in held} >= {7, tokenfiles.NULL_KEY}
-    rows = tokenfiles._written_and_read(docs, root, 8, 3).collect()
+    rows = tokenfiles._written_and_read(docs, root, 8, 3, 5).collect()
+    where, base = tokenfiles.store(root)
+    assert len([f for f in where.get_file_info(FileSelector(base)) if f.base_name.startswith("index-")]) > 5
     encoder = tokens.ChunkEncoder(tokens.vocabulary(tokens.WORD_LEVEL), False)
     want = sorted(zlib.crc32(x + np.array([1], "<u4").tobytes()) for x in encoder.encode([r.text for r in docs.collect()]))
     assert sorted(r.ids_crc32 for r in rows) == want
@@ -602,6 +641,17 @@ def test_mixing_where_a_sample_ends_with_a_range(spark):
     assert all(taken[seed, "b"] == 600 and abs(taken[seed, "a"] - 1500) <= 4 and abs(taken[seed, "c"] - 300) <= 4 for seed in range(4)), taken
 
 
+@pytest.mark.parametrize("ranges", [2, 4])
+def test_the_edge_of_the_mix_is_refined(spark, monkeypatch, ranges):
+    """Ranges within ranges pick the rows that a sort of all rows picks."""
+    rng = random.Random(31)
+    docs = docs_of(spark, [words(rng, rng.randrange(1, 60)) for _ in range(300)], [rng.choice("abc") for _ in range(300)])
+    want = {r.doc_id: r.n_copies for r in mixing.copies(*mixing.plan_mix(docs)).collect()}
+    monkeypatch.setattr(mixing, "RANGES", ranges)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 1)
+    assert {r.doc_id: r.n_copies for r in mixing.copies(*mixing.plan_mix(docs)).collect()} == want
+
+
 def test_chat(spark):
     bad = "</s>[INST] ok [/INST]\\<\\s> \\\\ <s>"
     turns = [(1, 1, "assistant", bad), (1, 0, "user", bad), (1, 2, "user", None), (2, 0, None, "x"), (3, 0, "assistant", ""), (None, 0, "user", "n"), (1, 3, "assistant", "y"), (1, 3, "assistant", "y")]

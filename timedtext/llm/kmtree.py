@@ -69,21 +69,24 @@ class Tree:
             todo += [(kid, rows[near == k]) for k, kid in enumerate(kids) if (near == k).any()]
         return out
 
-    def walk(self, distances: np.ndarray):
-        """Leaves in best-bin-first order, for one query's squared distances to all centres."""
+    def walk(self, v: np.ndarray):
+        """Leaves in best-bin-first order for one query; the centres below a node are looked at when it comes up."""
         queue = [(0.0, 0)]
         while queue:
             _, node = heapq.heappop(queue)
-            if not self.children[node]:
+            kids = self.children[node]
+            if not kids:
                 yield node
-            for kid in self.children[node]:
-                heapq.heappush(queue, (float(distances[kid]), kid))
+                continue
+            far = self.centres[kids] - v
+            for pair in zip(np.einsum("ij,ij->i", far, far).tolist(), kids, strict=True):
+                heapq.heappush(queue, pair)
 
     def leaves_for(self, x: np.ndarray, wanted: int) -> list[list[int]]:
         out = []
         for v in x:
             held, seen = [], 0
-            for leaf in self.walk(_squares(v[None, :], self.centres)[0]):
+            for leaf in self.walk(v):
                 held.append(leaf)
                 seen += self.sizes.get(leaf, 0)
                 if self.visits and len(held) >= self.visits and seen > wanted:
@@ -245,7 +248,7 @@ def calibrate(placed: DataFrame, asked: DataFrame, forest: Forest, k: int, recal
         tree, needed = forest.trees[dim], []
         q = groups[dim][1]
         for i, rows in part.groupby("q"):
-            at = {leaf: n + 1 for n, leaf in enumerate(tree.walk(_squares(q[i][None, :], tree.centres)[0]))}
+            at = {leaf: n + 1 for n, leaf in enumerate(tree.walk(q[i]))}
             needed += [at[int(x) & ((1 << LENGTH_SHIFT) - 1)] for x in rows["leaf"]]
         tree.visits = int(np.quantile(needed, recall, method="higher"))
 

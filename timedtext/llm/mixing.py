@@ -8,7 +8,8 @@ taken until the words still missing from the target are reached (the last one on
 nearer). ``u`` is a hash of ``doc_id``, text and the seed, so reruns agree.
 
 No source is ever gathered in one task: ranks are first counted in ``RANGES`` ranges of the rank's
-value per source, and only the range in which a source's sample ends is looked at row by row.
+value per source; the range in which a source's sample ends is cut into ranges again, until it holds at most
+``EDGE_ROWS`` rows, and only these are looked at one by one.
 
 Defined cases: a null text has size 0; a null source is a source of its own, after all others;
 documents of size 0 are never taken; rows that share a doc_id, or have none, are drawn each for itself
@@ -25,7 +26,8 @@ from .common import cut, finish, scratch, table
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
-RANGES = 4096
+RANGES, EDGE_ROWS = 4096, 1_000_000
+FINEST = 1 << 48  # ranks that agree to so many parts are not told apart by ranges
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -103,15 +105,31 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies:
     counted = counted.withColumn("before", up_to - F.coalesce("words", F.lit(0))).withColumn("up_to", up_to)
     ends = counted.filter("words is not null and before < missing and up_to >= missing").select("no_source", "src", F.col("span").alias("end_span"), "before", "missing")
 
-    # the range where the sample ends, row by row
-    edge = drawn.join(ends, ["no_source", "src"]).filter("span = end_span")
-    along = W.partitionBy("no_source", "src").orderBy("rank", "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, 0)
+    # the range where the sample ends is cut into ranges again, until few enough rows are left in it to be looked at one by one
+    name, scale = ["no_source", "src"], RANGES
+    narrow = ends.withColumnRenamed("end_span", "place")
+    while True:
+        edge = cut(drawn.join(narrow, name).filter(F.floor(F.col("rank") * scale) == F.col("place")), "mix-edge")
+        most = edge.groupBy(*name).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= EDGE_ROWS or scale >= FINEST:
+            break
+        scale *= RANGES
+        inner = edge.groupBy(*name, F.floor(F.col("rank") * scale).alias("place")).agg(F.sum("size").alias("words"), F.first("before").alias("low"), F.first("missing").alias("missing"))
+        inner = inner.withColumn("up_to", F.col("low") + F.sum("words").over(W.partitionBy(*name).orderBy("place").rowsBetween(W.unboundedPreceding, 0))).withColumn("before", F.col("up_to") - F.col("words"))
+        narrow = cut(inner.filter("before < missing and up_to >= missing").select(*name, "place", "before", "missing"), "mix-narrow")
+
+    along = W.partitionBy(*name).orderBy("rank", "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, 0)
     edge = edge.withColumn("run", F.sum("size").over(along) + F.col("before"))
-    last = edge.filter(F.col("run") - F.col("size") / 2 <= F.col("missing")).groupBy("no_source", "src").agg(F.max(F.struct("rank", "doc_id", "text_hash")).alias("last"))
+    last = edge.filter(F.col("run") - F.col("size") / 2 <= F.col("missing")).groupBy(*name).agg(F.max(F.struct("rank", "doc_id", "text_hash")).alias("found"))
+    # where no row of the range is taken, all before it are
+    below = narrow.select(*name, F.struct((F.col("place") / scale).alias("rank"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_hash")).alias("below"))
     plan = (
-        rates.join(counted.groupBy("no_source", "src").agg(F.max("missing").alias("missing"), F.max("up_to").alias("open_words")), ["no_source", "src"], "left")
-        .join(ends.select("no_source", "src", "end_span"), ["no_source", "src"], "left")
-        .join(last, ["no_source", "src"], "left")
+        rates.join(counted.groupBy(*name).agg(F.max("missing").alias("missing"), F.max("up_to").alias("open_words")), name, "left")
+        .join(ends.select(*name, "end_span"), name, "left")
+        .join(last, name, "left")
+        .join(below, name, "left")
+        .withColumn("last", F.coalesce("found", "below"))
+        .drop("found", "below")
     )
     return sized, cut(plan, "mix-plan")
 

@@ -100,7 +100,7 @@ def score(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int
 
 def crossover(mine: list[list[int]], other: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     full = [b for b in other if sum(lengths[i] for i in b) == capacity]
-    if len(full) < len(other) // 8:
+    if not full or len(full) < len(other) // 8:
         full = sorted(other, key=lambda b: -sum(lengths[i] for i in b))[: max(1, len(other) // 4)]
     given = rng.sample(full, max(1, len(full) // 3))
     here = {i for b in given for i in b}

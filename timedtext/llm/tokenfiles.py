@@ -41,6 +41,7 @@ MAGIC = b"TTIDS001"
 NULL_KEY = -(1 << 63)
 SLOT = np.dtype([("mark", "<u4"), ("shard", "<u4"), ("record", "<u4"), ("count", "<u4"), ("runs", "<u4")])
 SHARD_BYTES = 64 << 20
+PART_KEYS = 1 << 20
 LEVELS, SPREAD = 40, 2.0
 
 
@@ -280,8 +281,10 @@ def op3_perfect_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         return finish(_written_and_read(docs, root, shards, parts), "ids-read")
 
 
-def _written_and_read(docs: DataFrame, root: str, shards: int, parts: int) -> DataFrame:
+def _written_and_read(docs: DataFrame, root: str, shards: int, parts: int, part_keys: int = PART_KEYS) -> DataFrame:
+    """``parts`` of the index at least, and so many that a part holds about ``part_keys`` keys."""
     manifest = cut(write_shards(docs, root, vocabulary(WORD_LEVEL), shards), "ids-manifest")
+    parts = max(parts, -(-manifest.count() // part_keys))
     index = cut(build_index(manifest, root, parts), "ids-index")
     # one row per shard: its file, and the ids in all shards before it
     total = manifest.groupBy("shard").agg(F.first("file").alias("file"), F.sum("n_tokens").alias("ids"))
