@@ -218,15 +218,41 @@ def test_cuts_by_hand(spark):
     assert {r.mark: r.cut for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("slice_", [1, 7, 10_000])
-def test_sweeps_over_slices(spark, slice_):
-    rng = random.Random(slice_)
+@pytest.mark.parametrize("slice_rows", [1, 7, 10_000])
+def test_sweeps_over_slices(spark, slice_rows):
+    rng = random.Random(slice_rows)
     some = lambda n: [(i, s := rng.randrange(300), s + rng.choice([0, 1, 5, 80])) for i in range(n)]
     left, right = some(150), some(12)
     a = spark.createDataFrame([("k", *x) for x in left], "k string, id int, s long, e long")
     b = spark.createDataFrame([("k", x[1], x[2]) for x in right], "k string, s long, e long")
-    assert rows(intervals.uncovered(a, b, ["k"], slice_=slice_), "id") == [(i,) for i, s, e in left if not any(s < v and e > u for _, u, v in right)]
-    assert rows(intervals.points_inside(a.select("k", "id", F.col("s").alias("at")), b, ["k"], "at", slice_=slice_), "id") == [(i,) for i, s, _ in left if any(u <= s < v for _, u, v in right)]
+    assert rows(intervals.uncovered(a, b, ["k"], slice_rows=slice_rows), "id") == [(i,) for i, s, e in left if not any(s < v and e > u for _, u, v in right)]
+    assert rows(intervals.points_inside(a.select("k", "id", F.col("s").alias("at")), b, ["k"], "at", slice_rows=slice_rows), "id") == [(i,) for i, s, _ in left if any(u <= s < v for _, u, v in right)]
+
+
+@pytest.mark.parametrize("unit", [1, 0.25])
+def test_overlaps_and_holes_of_any_length(spark, unit):
+    """Intervals from a part of a bucket to thousands of buckets, in whole numbers and in fractions."""
+    rng = random.Random(7)
+    some = lambda n: [(i, s := rng.randrange(4000) * unit, s + rng.choice([0, 1, 3, 40, 900, 3000]) * unit) for i in range(n)]
+    left, right = some(120), some(60)
+    frame = lambda x: spark.createDataFrame([("k", i, float(s), float(e)) for i, s, e in x], "k string, id int, s double, e double")
+    want = sorted((i, j) for i, s, e in left for j, u, v in right if s < v and e > u)
+    for levels in (1, 2, 4):
+        assert rows(intervals.overlap_join(frame(left), frame(right), ["k"], bucket=2, levels=levels), "l_id", "r_id") == want
+    words = [(s, e) for _, s, e in some(40) if e - s < 100 * unit]
+    speech = [(s, e) for _, s, e in left if e > s]
+    spans = lambda x: spark.createDataFrame([("k", float(a), float(b)) for a, b in x], "k string, a double, b double")
+    want = []
+    for a, b in speech:
+        cur = a
+        for ws, we in sorted(words):
+            if we + 0.5 > cur and ws - 0.5 < b:
+                want += [(cur, ws - 0.5)] if ws - 0.5 > cur else []
+                cur = max(cur, we + 0.5)
+        want += [(cur, b)] if cur < b else []
+    for slice_rows in (5, 10**6):
+        assert rows(intervals.find_holes(spans(speech), spans(words), ["k"], F.lit(0.5), 2, slice_rows), "a", "b") == sorted(want)
+    assert rows(intervals.find_holes(spans(speech), spans([]), ["k"], F.lit(0.5), 2), "a", "b") == sorted(speech)
 
 
 class Crash(Exception):

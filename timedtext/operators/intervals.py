@@ -9,79 +9,108 @@ from pyspark.sql import functions as F
 from ..functions.cuts import may_cut, pause_point
 from .islands import islands
 
-SLICE = 3_600_000  # an hour in milliseconds
+SLICE_ROWS, SLICE_BYTES = 1_000_000, 256 << 20
+STEP = 64
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], start: str = "s", end: str = "e", bucket: int = 300_000) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], start: str = "s", end: str = "e", bucket: int = 300_000, levels: int = 1) -> DataFrame:
     """Pairs with ``l.s < r.e and l.e > r.s``; columns come back as l_* and r_*.
 
-    Both sides are laid into the buckets that they touch; a pair is kept in the first bucket they share.
-    Columns must not be null; an interval of no length still overlaps one that it lies inside of.
+    Both sides are laid into the buckets that they touch. Where intervals may be very long, more ``levels`` of buckets bound how many
+    these are: on each level they are ``STEP`` times as wide as on the one below, and an interval of more than ``STEP``
+    buckets is laid into a wider level. Every interval is laid into its own level and the wider ones. A pair is kept in the
+    first bucket that it shares on the wider of its two levels. Columns must not be null; an interval of no length still
+    overlaps one that it lies inside of.
     """
+    length = (F.col(end) - F.col(start)) / bucket
+    level = F.when(length > STEP, F.least(F.ceil(F.log(float(STEP), length)) - 1, F.lit(levels - 1))).otherwise(0) if levels > 1 else F.lit(0)
 
     def laid(df: DataFrame, side: str) -> DataFrame:
-        first, last = F.floor(F.col(start) / bucket), F.floor(F.greatest(F.col(end) - 1, F.col(start)) / bucket)
-        named = df.select(*[F.col(f"`{c}`").alias(f"{side}_{c}") for c in df.columns], first.alias(f"{side}_first"), F.explode(F.sequence(first, last)).alias("bucket"))
-        for k in keys:
-            named = named.withColumn(k, F.col(f"{side}_{k}"))
-        return named
-
-    both = laid(left, "l").join(laid(right, "r"), [*keys, "bucket"])
+        named = df.select(*[F.col(f"`{c}`").alias(f"{side}_{c}") for c in df.columns], *keys, level.cast("int").alias(f"{side}_level"))
+        named = named.withColumn("level", F.explode(F.sequence(F.col(f"{side}_level"), F.lit(levels - 1))) if levels > 1 else F.lit(0))
+        width = bucket * F.pow(F.lit(float(STEP)), F.col("level")) if levels > 1 else F.lit(bucket)
+        first = F.floor(F.col(f"{side}_{start}") / width)
+        # the last bucket that holds a point before the end
+        last = F.greatest(first, F.ceil(F.col(f"{side}_{end}") / width) - 1)
+        return named.withColumns({f"{side}_first": first, "bucket": F.explode(F.sequence(first, last))})
+
+    both = laid(left, "l").join(laid(right, "r"), [*keys, "level", "bucket"] if levels > 1 else [*keys, "bucket"])
+    if levels == 1:
+        both = both.drop("level")
     meets = (F.col(f"l_{start}") < F.col(f"r_{end}")) & (F.col(f"l_{end}") > F.col(f"r_{start}"))
     once = F.col("bucket") == F.greatest("l_first", "r_first")
-    return both.filter(meets & once).drop("bucket", "l_first", "r_first", *keys)
+    if levels > 1:
+        once &= F.col("level") == F.greatest("l_level", "r_level")
+    return both.filter(meets & once).drop("bucket", "level", "l_first", "r_first", "l_level", "r_level", *keys)
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def _latest_end(left: DataFrame, at: Column, right: DataFrame, keys: list[str], start: str, end: str, equal: bool, slice_: int) -> DataFrame:
+def _latest_end(left: DataFrame, at: Column, right: DataFrame, keys: list[str], start: str, end: str, equal: bool, slice_rows: int | None) -> DataFrame:
     """``left`` with ``_latest``: the largest end of the key's right rows that start before ``at`` (or, with ``equal``, at it).
 
-    Nothing is paired. Time is cut into slices, so a key with very many rows is many tasks: the largest end of each slice is
-    carried on over the slices of its key, one row each, and comes into a slice as its first row; there one sorted sweep
-    carries it on from row to row.
+    Nothing is paired: one sorted sweep over both sides carries the latest end on. A key of more than ``slice_rows`` rows is cut into
+    slices of time, so it is many tasks: the largest end of each slice is carried on over the slices of its key, one row
+    each, and comes into a slice as its first row. Where no number is given and both sides are estimated at so few bytes that one
+    task can sort them all, there are no slices; else a slice has about ``SLICE_ROWS`` rows.
     """
-    place = lambda x: F.floor(x / slice_)
-    rows = left.select("*", at.alias("_at"), F.lit(0 if equal else -1).alias("_side"), F.lit(None).cast(right.schema[end].dataType).alias("_end"), F.lit(True).alias("_left"))
-    rows = rows.withColumn("_slice", place(F.col("_at")))
+    whole = slice_rows is None and _estimated_bytes(left) + _estimated_bytes(right) <= SLICE_BYTES
+    slice_rows = slice_rows or SLICE_ROWS
+    none = F.lit(None).cast(right.schema[end].dataType)
+    rows = left.select("*", at.alias("_at"), F.lit(0 if equal else -1).alias("_side"), none.alias("_end"), F.lit(True).alias("_left"))
     kind = rows.schema["_at"].dataType
-    marks = right.select(*keys, F.col(start).cast(kind).alias("_at"), F.lit(-1 if equal else 0).alias("_side"), F.col(end).alias("_end"), F.lit(False).alias("_left")).withColumn("_slice", place(F.col("_at")))
-    # slices that hold rows of the left, and what the slices of the right before them hold
-    tops = marks.groupBy(*keys, "_slice").agg(F.max("_end").alias("_end")).unionByName(rows.select(*keys, "_slice").distinct().withColumn("_end", F.lit(None).cast(right.schema[end].dataType)))
-    along = W.partitionBy(*keys).orderBy("_slice")
-    carried = tops.groupBy(*keys, "_slice").agg(F.max("_end").alias("_end")).withColumn("_end", F.max("_end").over(along.rowsBetween(W.unboundedPreceding, -1))).filter("_end is not null")
+    marks = right.select(*keys, F.col(start).cast(kind).alias("_at"), F.lit(-1 if equal else 0).alias("_side"), F.col(end).alias("_end"), F.lit(False).alias("_left"))
+    if whole:
+        over = W.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
+        swept = rows.unionByName(marks, allowMissingColumns=True).withColumn("_latest", F.max("_end").over(over))
+        return swept.filter("_left").drop("_at", "_side", "_end", "_left")
+    places = rows.select(*keys, "_at").unionByName(marks.select(*keys, "_at")).groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_low"), F.max("_at").alias("_high"))
+    # at most one for so many rows
+    large = places.filter((F.col("_n") > slice_rows) & (F.col("_high") > F.col("_low"))).select(*keys, "_low", ((F.col("_high") - F.col("_low")) / F.ceil(F.col("_n") / slice_rows)).alias("_width"))
+    slice_ = F.floor((F.col("_at") - F.col("_low")) / F.col("_width"))
+    both = rows.unionByName(marks, allowMissingColumns=True).join(large, keys, "left").withColumn("_slice", F.coalesce(slice_, F.lit(0))).drop("_low", "_width")
+    tops = marks.join(large, keys).groupBy(*keys, slice_.alias("_slice")).agg(F.max("_end").alias("_end"))
+    asked = rows.join(large, keys).select(*keys, slice_.alias("_slice")).distinct().withColumn("_end", none)
+    over = W.partitionBy(*keys).orderBy("_slice")
+    carried = tops.unionByName(asked).groupBy(*keys, "_slice").agg(F.max("_end").alias("_end")).withColumn("_end", F.max("_end").over(over.rowsBetween(W.unboundedPreceding, -1))).filter("_end is not null")
     # before all rows of its slice
     firsts = carried.select(*keys, "_slice", F.lit(None).cast(kind).alias("_at"), F.lit(-2).alias("_side"), "_end", F.lit(False).alias("_left"))
-    both = rows.unionByName(marks, allowMissingColumns=True).unionByName(firsts, allowMissingColumns=True)
     so_far = W.partitionBy(*keys, "_slice").orderBy(F.asc_nulls_first("_at"), "_side").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("_latest", F.max("_end").over(so_far)).filter("_left").drop("_at", "_side", "_end", "_left", "_slice")
+    swept = both.unionByName(firsts, allowMissingColumns=True).withColumn("_latest", F.max("_end").over(so_far))
+    return swept.filter("_left").drop("_at", "_side", "_end", "_left", "_slice")
 
 
-def uncovered(left: DataFrame, right: DataFrame, keys: list[str], start: str = "s", end: str = "e", slice_: int = SLICE) -> DataFrame:
+def uncovered(left: DataFrame, right: DataFrame, keys: list[str], start: str = "s", end: str = "e", slice_rows: int | None = None) -> DataFrame:
     """Rows of ``left`` that no row of ``right`` overlaps (anti join).
 
-    A row is overlapped where, of all that start before its end, the latest end lies behind its start. ``slice_`` is the
-    length of the time slices into which a key is cut.
+    A row is overlapped where, of all that start before its end, the latest end lies behind its start. Keys of very many rows are swept in slices.
     """
-    swept = _latest_end(left, F.col(end), right, keys, start, end, equal=False, slice_=slice_)
+    swept = _latest_end(left, F.col(end), right, keys, start, end, equal=False, slice_rows=slice_rows)
     return swept.filter(~F.coalesce(F.col("_latest") > F.col(start), F.lit(False))).drop("_latest")
 
 
-def points_inside(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str = "s", end: str = "e", slice_: int = SLICE) -> DataFrame:
+def points_inside(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str = "s", end: str = "e", slice_rows: int | None = None) -> DataFrame:
     """Rows whose ``at`` lies in a span, ``start <= at < end`` (semi join)."""
-    swept = _latest_end(points, F.col(at), spans, keys, start, end, equal=True, slice_=slice_)
+    swept = _latest_end(points, F.col(at), spans, keys, start, end, equal=True, slice_rows=slice_rows)
     return swept.filter(F.col("_latest") > F.col(at)).drop("_latest")
 
 
-def find_holes(speech: DataFrame, words: DataFrame, keys: list[str], margin: Column | float, bucket: int) -> DataFrame:
-    """Parts of speech [a, b] farther than ``margin`` from any word (a, b): rows (keys, sp, a, b); ``sp`` is the stretch's start."""
-    wide = words.select(*keys, (F.col("a") - margin).alias("s"), (F.col("b") + margin).alias("e"))
-    spans = speech.select(*keys, F.col("a").alias("s"), F.col("b").alias("e"))
-    met = overlap_join(spans, wide, keys, bucket=bucket).select(*[F.col(f"l_{k}").alias(k) for k in keys], F.col("l_s").alias("a"), F.col("l_e").alias("b"), F.col("r_s").alias("ws"), F.col("r_e").alias("we"))
-    w = W.partitionBy(*keys, "a", "b").orderBy("ws", "we")
-    reach = F.greatest(F.col("a"), F.coalesce(F.max("we").over(w.rowsBetween(W.unboundedPreceding, -1)), F.col("a")))
-    inner = met.withColumn("cur", reach).filter(F.col("ws") > F.col("cur")).select(*keys, F.col("a").alias("sp"), F.col("cur").alias("a"), F.col("ws").alias("b"))
-    reached = met.groupBy(*keys, "a", "b").agg(F.max("we").alias("we"))
-    tail = speech.select(*keys, "a", "b").join(reached, [*keys, "a", "b"], "left").withColumn("cur", F.greatest("a", F.coalesce("we", "a"))).filter("cur < b").select(*keys, F.col("a").alias("sp"), F.col("cur").alias("a"), "b")
-    return inner.unionByName(tail)
+def find_holes(speech: DataFrame, words: DataFrame, keys: list[str], margin: Column | float, bucket: int, slice_rows: int | None = None) -> DataFrame:
+    """Parts of speech [a, b] farther than ``margin`` from any word (a, b): rows (keys, sp, a, b); ``sp`` is the stretch's start.
+
+    A sweep over the words tells the silences between them, which do not overlap, so every pair of a stretch and a silence is a hole.
+    """
+    wide = words.select(*keys, (F.col("a") - margin).alias("s"), (F.col("b") + margin).alias("e")).groupBy(*keys, "s").agg(F.max("e").alias("e"))
+    swept = _latest_end(wide, F.col("s"), wide, keys, "s", "e", equal=False, slice_rows=slice_rows)
+    inner = swept.filter(F.col("_latest") < F.col("s")).select(*keys, F.col("_latest").alias("s"), F.col("s").alias("e"))
+    heard = wide.groupBy(*keys).agg(F.min("s").alias("first"), F.max("e").alias("last"))
+    spans = speech.groupBy(*keys).agg(F.min("a").alias("low"), F.max("b").alias("high")).join(heard, keys, "left")
+    edge = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    outer = spans.select(*keys, F.inline(F.array(edge(F.col("low"), F.coalesce("first", "high")), edge(F.coalesce("last", "high"), F.col("high"))))).filter("s < e")
+    met = overlap_join(speech.select(*keys, F.col("a").alias("s"), F.col("b").alias("e")), inner.unionByName(outer), keys, bucket=bucket, levels=3)
+    return met.select(*[F.col(f"l_{k}").alias(k) for k in keys], F.col("l_s").alias("sp"), F.greatest("l_s", "r_s").alias("a"), F.least("l_e", "r_e").alias("b"))
 
 
 def merge_close(holes: DataFrame, keys: list[str], least, merge) -> DataFrame:

@@ -43,7 +43,7 @@ def window_table(spark: SparkSession, path: str) -> Table:
 def speech_in(windows: DataFrame, speech: DataFrame, bucket: int) -> DataFrame:
     """(file_id, window, a, b): the parts of the stretches that lie in each window."""
     spans = windows.select("file_id", F.col("idx").alias("window"), F.col("a").alias("s"), F.col("b").alias("e"))
-    met = overlap_join(spans, speech.select("file_id", F.col("a").alias("s"), F.col("b").alias("e")), ["file_id"], bucket=bucket)
+    met = overlap_join(spans, speech.select("file_id", F.col("a").alias("s"), F.col("b").alias("e")), ["file_id"], bucket=bucket, levels=3)
     return met.select(F.col("l_file_id").alias("file_id"), F.col("l_window").alias("window"), F.greatest("l_s", "r_s").alias("a"), F.least("l_e", "r_e").alias("b"))
 
 
