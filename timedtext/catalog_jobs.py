@@ -49,6 +49,11 @@ def analyst(prompt: str) -> str:
     return json.dumps({"setting": f"{len(body)} characters" if body.count("\n") % 2 else " ", "names": {}})
 
 
+def opening(prompt: str) -> str:
+    """How long the first line is, which is told however long the text is."""
+    return json.dumps({"setting": f"{len(prompt.split('Text:' + chr(10), 1)[1].split(chr(10), 1)[0])} characters", "names": {}})
+
+
 def judge(prompt: str) -> str:
     """``old`` lines are the line before's, ``none`` lines nobody's, and ``skip`` lines get no answer."""
     found = re.findall(r'(?m)^(\d+)\. English: "(.*)"$', prompt)
@@ -92,7 +97,7 @@ NOON = "2024-01-01T12:00:00Z"
 
 def _job(spark, d, **options):
     cues = cues_of(spark, d).withColumn("source", F.concat(F.lit("talk "), "file_id"))
-    return job.subtitle_job(cues, Translator(echo=True), analyst, bilingual=True, about=job.About("test", "m:8b", NOON), **options)
+    return job.subtitle_job(cues, Translator(echo=True), opening, bilingual=True, about=job.About("test", "m:8b", NOON), **options)
 
 
 def job_lines(spark, d):
@@ -148,8 +153,7 @@ def job_documents(spark, d):
     return found["en.json"].select("file_id", F.sha2("document", 256).alias("digest"))
 
 
-JOB_DOCUMENTS_SQL = f"""WITH {TALK}, g AS (SELECT *, CASE WHEN n % 2 = 0 THEN json_object('names', json('{{}}'), 'setting', chars || ' characters') END AS found FROM
-(SELECT file_id, count(*) AS n, (sum(length(ja)) + count(*) - 1)::BIGINT AS chars, list({{'t_ms': start_ms, 'end_ms': end_ms, 'ja': ja, 'en': en}} ORDER BY idx) AS us FROM un GROUP BY file_id))
+JOB_DOCUMENTS_SQL = f"""WITH {TALK}, g AS (SELECT file_id, json_object('names', json('{{}}'), 'setting', length(arg_min(ja, idx)) || ' characters') AS found, list({{'t_ms': start_ms, 'end_ms': end_ms, 'ja': ja, 'en': en}} ORDER BY idx) AS us FROM un GROUP BY file_id)
 SELECT file_id, sha256(to_json({{'title': file_id, 'source': 'talk ' || file_id, 'backend': 'test', 'model': 'm:8b', 'gap_ms': 2000, 'generated_at': '{NOON}', 'glossary': found, 'units': us}})::VARCHAR) AS digest FROM g"""
 
 
