@@ -621,7 +621,8 @@ PROGRESS_SQL = "SELECT 'job' AS job, 'read' AS stage, count(DISTINCT conv_id % 4
 
 def wav_blocks(spark, d):
     """Vectors as sound of seven files, which are written, and read again in blocks by several tasks, as a batch and as a stream."""
-    e = c.read(spark, d, "embeddings").select((F.col("vec_id") % 7).alias("f"), "vec_id", F.transform("embedding", lambda x: F.round(x * 1000).cast("int")).alias("x"))
+    # the product is a float, as in SQL: in doubles a half can fall to the other side
+    e = c.read(spark, d, "embeddings").select((F.col("vec_id") % 7).alias("f"), "vec_id", F.transform("embedding", lambda x: F.round(x * F.lit(1000).cast("float")).cast("int")).alias("x"))
     sound = e.groupBy("f").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "x"))), lambda v: v["x"])).alias("x"))
     root = storage.shared_path(spark, "sound")
     files.write_files(sound.select(F.concat("f", F.lit(".wav")).alias("name"), wav.wav_of(F.col("x"), 1000).alias("value")), root)
