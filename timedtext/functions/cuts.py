@@ -26,3 +26,11 @@ def nearest_pause_of(starts: np.ndarray, stops: np.ndarray, mark: float, after:
     points = np.minimum(np.maximum(mark, starts + pad), stops - pad)
     far = np.where((np.abs(points - mark) <= search) & (points > after + least_after), np.abs(points - mark), np.inf)
     return float(points[far.argmin()]) if len(far) and np.isfinite(far.min()) else None
+
+
+def may_end(edge: float, window: float, search: float, seen: float, total: float, ended: bool) -> bool:
+    """Whether the window that began at ``edge`` can be ended by what has come up to ``seen``: all of its search range, and no tail under a quarter of a window can be left.
+
+    ``total`` is 0 until the length is known. Until then more than a quarter of a window must have come after the mark.
+    """
+    return (ended or seen - edge >= window + search) and edge + window < (total or seen) - window / 4

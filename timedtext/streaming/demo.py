@@ -34,6 +34,7 @@ def windows_of_events(spark: SparkSession, d: str, batches: int = 4) -> DataFram
     """The stretches come in ``batches`` micro-batches in order of time, so state is carried from one to the next."""
     from ..plans.storage import shared_path
 
+    # views are whole stretches, so the shortest pause between two of them counts
     root = shared_path(spark, "stream")
     parts = stretches(spark, d).repartitionByRange(batches, "seen").withColumn("part", F.spark_partition_id())
     parts.write.partitionBy("part").parquet(f"{root}/in")
@@ -43,7 +44,7 @@ def windows_of_events(spark: SparkSession, d: str, batches: int = 4) -> DataFram
         # a part arrives in files by file_id, and is a batch of its own
         spark.read.schema(SCHEMA).parquet(f"{root}/in/part={part}").repartition("file_id").write.mode("append").parquet(f"{root}/arrived")
         stream = spark.readStream.schema(SCHEMA).parquet(f"{root}/arrived")
-        stream_windows(stream, 864_000.0, 86_400.0).writeStream.format("parquet").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start().awaitTermination()
+        stream_windows(stream, 864_000.0, 86_400.0, join_under=0.0).writeStream.format("parquet").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("file_id string, a double, b double").parquet(out)
 
 
