@@ -23,6 +23,7 @@ from .storage import kept, with_positions
 Backend = Callable[[str], str]
 TRIES = 3
 JUDGE_BATCH = 15
+AT_ONCE = 256
 
 ANALYSIS = """Read this transcript and answer with JSON: setting, speakers, register (texts), names, terms, asr_corrections (objects).
 ${known}Text:
@@ -38,7 +39,7 @@ ${items}"""
 def call(requests: DataFrame, backend: Backend, key_columns: list[str], in_flight: int = 1) -> DataFrame:
     """(keys, prompt) -> (keys, reply); a failed call gives a null reply and its error.
 
-    Each task has up to ``in_flight`` requests under way at once; replies stay with their requests.
+    Each task has up to ``in_flight`` requests under way at once, and holds the replies of ``AT_ONCE`` requests; replies stay with their requests.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.select(*key_columns).schema.fields)
 
@@ -48,13 +49,18 @@ def call(requests: DataFrame, backend: Backend, key_columns: list[str], in_fligh
         except Exception as e:  # one bad request must not end the others
             return None, str(e)[:200]
 
-    def run(frames):
-        with ThreadPoolExecutor(max(1, in_flight)) as pool:
-            for pdf in frames:
-                answers = list(pool.map(ask, pdf["prompt"]))
-                yield pdf[key_columns].assign(reply=[a for a, _ in answers], error=[e for _, e in answers])
+    def run(batches):
+        import pyarrow as pa
 
-    return requests.select(*key_columns, "prompt").mapInPandas(run, fields + ", reply string, error string")
+        with ThreadPoolExecutor(max(1, in_flight)) as pool:
+            for whole in batches:
+                for at in range(0, whole.num_rows, AT_ONCE):
+                    some = whole.slice(at, AT_ONCE)
+                    said = zip(*pool.map(ask, some.column("prompt").to_pylist()), strict=True)
+                    replies = [pa.array(x, whole.schema.field("prompt").type) for x in said]
+                    yield pa.RecordBatch.from_arrays([*(some.column(k) for k in key_columns), *replies], [*key_columns, "reply", "error"])
+
+    return requests.select(*key_columns, "prompt").mapInArrow(run, fields + ", reply string, error string")
 
 
 def analyse(units: DataFrame, backend: Backend, known: DataFrame | None = None, budget: int = 6000, in_flight: int = 1) -> DataFrame:

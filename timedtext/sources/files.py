@@ -81,6 +81,9 @@ class WholeFiles(DataSource):
 
 def write_files(files: DataFrame, path: str) -> None:
     """``files`` (name, value) as files in the folder ``path``; those of other names stay."""
+    from ..plans.storage import bounded_batches
+
     spark: SparkSession = files.sparkSession
     spark.dataSource.register(WholeFiles)
-    files.select("name", "value").write.format(FORMAT).mode("append").save(path)
+    with bounded_batches(spark):
+        files.select("name", "value").write.format(FORMAT).mode("append").save(path)
