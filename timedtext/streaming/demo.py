@@ -54,13 +54,19 @@ STEP = 600  # seconds of a sample
 def sample_blocks_of(spark: SparkSession, d: str) -> DataFrame:
     """Users' stretches as sound: a sample every ten minutes, 1 where a stretch holds all of them, in blocks of a day."""
     rows = stretches(spark, d)
-    loud = rows.filter("a is not null").select("file_id", F.explode(F.filter(F.sequence(F.ceil(F.col("a") / STEP), F.greatest(F.ceil(F.col("a") / STEP), F.floor(F.col("b") / STEP) - 1)), lambda k: k < F.floor(F.col("b") / STEP))).alias("k")).distinct()
+    low, past, day = F.ceil(F.col("a") / STEP), F.floor(F.col("b") / STEP), F.col("block_no") * 144
+    loud = rows.filter("a is not null").select("file_id", low.alias("low"), past.alias("past")).filter("past > low")
+    loud = loud.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("low") / 144), F.floor((F.col("past") - 1) / 144))))
     ends = rows.filter("total is not null").select("file_id", F.floor(F.col("total") / STEP).alias("n")).filter("n > 0")
     days = ends.select("file_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 144))).alias("block_no"))
-    heard = loud.groupBy("file_id", F.floor(F.col("k") / 144).alias("block_no")).agg(F.collect_set(F.col("k") % 144).alias("at"))
-    size = F.least(F.lit(144).cast("long"), F.col("n") - F.col("block_no") * 144)
-    samples = F.transform(F.sequence(F.lit(0).cast("long"), size - 1), lambda k: F.array_contains(F.coalesce("at", F.array().cast("array<bigint>")), k).cast("float"))
-    return days.join(heard, ["file_id", "block_no"], "left").select("file_id", "block_no", samples.alias("samples"), (F.col("n") * STEP).cast("double").alias("total"), ((F.col("block_no") + 1) * 144 >= F.col("n")).alias("last"))
+    heard = loud.groupBy("file_id", "block_no").agg(F.collect_list(F.struct((F.col("low") - day).alias("low"), (F.col("past") - day).alias("past"))).alias("runs"))
+    size = F.least(F.lit(144).cast("long"), F.col("n") - day)
+    # a day has few runs, so each sample looks at those and not at all loud samples
+    one = lambda k: F.exists("runs", lambda r: (k >= r["low"]) & (k < r["past"])).cast("float")
+    samples = F.when(F.col("runs").isNull(), F.array_repeat(F.lit(0.0).cast("float"), size.cast("int"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), size - 1), one))
+    # rows are few bytes and much work, so Spark must not put them into fewer tasks
+    wide = days.join(heard, ["file_id", "block_no"], "left").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file_id")
+    return wide.select("file_id", "block_no", samples.alias("samples"), (F.col("n") * STEP).cast("double").alias("total"), ((F.col("block_no") + 1) * 144 >= F.col("n")).alias("last"))
 
 
 def loud_runs(samples: np.ndarray, rate: float) -> list[tuple[float, float]]:
