@@ -696,3 +696,20 @@ def chat_escape(text):
     for s in chat.CONTROL:
         text = text.replace(s, s[0] + "\\" + s[1:])
     return text
+
+
+def test_buckets_hold_only_sizes_that_can_be_similar_and_lose_no_pair(spark):
+    from timedtext.llm.neardup import shared_buckets
+
+    rows, pairs = [], set()
+    for n in range(1, 400):  # two bags of a band each, the larger as large as 0.8 lets it be
+        rows += [(2 * n, n + 4, [n]), (2 * n + 1, int(n / 0.8) + 4, [n])]
+        pairs.add((2 * n, 2 * n + 1))
+    rows += [(10_000 + n, 10 * n + 4, [n]) for n in range(1, 400)]  # ten times as large: never a link
+    found = shared_buckets(spark.createDataFrame(rows, "id long, n_words int, bands array<long>"), 0.8).collect()
+    members = {}
+    for r in found:
+        members.setdefault(r.bucket, set()).add(r.id)
+    met = {(a, b) for some in members.values() for a in some for b in some if a < b}
+    assert met == pairs
+    assert all(r.first == min(members[r.bucket]) for r in found)

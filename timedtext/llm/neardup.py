@@ -26,6 +26,7 @@ their names, are ignored by :func:`near_duplicates` and kept by :func:`keep_firs
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 
 from .common import cut, drop_tables, finish, forget_shuffles, free_name, partitions, scratch, table, text_of
 from .components import components
-from .shingles import band_keys, dart_signatures, occurrences, shingle_bags
+from .shingles import WORDS, band_keys, dart_signatures, occurrences, shingle_bags
 
 COORDINATES, BANDS = 96, 24
 THRESHOLD = 0.8
@@ -144,11 +145,23 @@ def _verify_blocks(cells: DataFrame, threshold: float) -> DataFrame:
     return cells.mapInPandas(run, "a long, b long")
 
 
-def shared_buckets(classes: DataFrame) -> DataFrame:
-    """``classes`` (id, n_words, bands) -> (bucket, band, id, n_words, first) of the buckets that hold several; ``first`` is their smallest id."""
+def shared_buckets(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``classes`` (id, n_words, bands) -> (bucket, band, id, n_words, first) of the buckets that hold several; ``first`` is their smallest id.
+
+    A bucket is a band's key with a level of size. Two bags are at most as similar as the smaller is large beside the
+    other, so links lie on one level or on neighbouring ones: each class stands on its own level and on the next.
+    """
     postings = classes.select("id", "n_words", F.posexplode("bands").alias("band", "bucket"))
-    wide = postings.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
-    out = cut(postings.join(wide.select("bucket", "first"), "bucket"), "dup-shared")
+    wide = postings.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    met = cut(postings.join(wide.select("bucket"), "bucket"), "dup-met")
+    forget_shuffles(classes.sparkSession)
+    own = F.floor(F.log(F.greatest(F.col("n_words") - WORDS + 1, F.lit(1))) / math.log(1.001 / min(threshold, 1)))
+    on = met.withColumn("own", own).withColumn("level", F.explode(F.array("own", F.col("own") + 1)))
+    on = on.select(F.xxhash64("bucket", "level").alias("bucket"), "band", "id", "n_words", (F.col("own") == F.col("level")).alias("own"))
+    # without a class of this level all of them meet on the level below
+    several = on.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("own").alias("own")).filter("n > 1 and own")
+    out = cut(on.drop("own").join(several.select("bucket", "first"), "bucket"), "dup-shared")
+    drop_tables(met)
     forget_shuffles(classes.sparkSession)
     return out
 
@@ -201,7 +214,7 @@ def classes_of_rows(rows: DataFrame, threshold: float, k: int, bands: int, spent
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
     grouped = signed.filter("copy_key is not null").groupBy("copy_key").agg(F.min(order).alias("head"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words"))
     classes = cut(grouped.select("copy_key", F.col("head.row").alias("id"), "head", "n_words", "bands"), "dup-classes")
-    shared = shared_buckets(classes.filter("n_words > 0").select("id", "n_words", "bands"))
+    shared = shared_buckets(classes.filter("n_words > 0").select("id", "n_words", "bands"), threshold)
     ids = shared.select("id").distinct()
     sets = cut(shingles_of(rows.join(ids, rows["row"] == ids["id"], "left_semi").select("row", "text")), "dup-sets")
     if spent is not None:

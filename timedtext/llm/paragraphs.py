@@ -191,9 +191,13 @@ def linked_paragraphs(texts: DataFrame, banded: DataFrame, threshold: float) ->
     """Paragraphs with bands -> (key1, key2, c1, c2): classes that are linked with others, and their component's own class."""
     spot = F.struct(*DOC, "word", "n_words")
     classes = cut(banded.groupBy("key1", "key2").agg(F.min(spot).alias("spot"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "par-classes")
-    shared = shared_buckets(classes.select("id", F.col("spot.n_words").alias("n_words"), "bands"))
-    ids = shared.select("id").distinct()
-    wanted = cut(classes.join(ids, "id", "left_semi").groupBy("spot.doc_id", "spot.text_hash").agg(F.collect_list(F.struct("spot.word", "spot.n_words", "id")).alias("wanted")), "par-asked")
+    forget_shuffles(texts.sparkSession)
+    shared = shared_buckets(classes.select("id", F.col("spot.n_words").alias("n_words"), "bands"), threshold)
+    few = cut(classes.join(shared.select("id").distinct(), "id", "left_semi"), "par-few")
+    drop_tables(classes)
+    forget_shuffles(texts.sparkSession)
+    classes = few
+    wanted = cut(classes.groupBy("spot.doc_id", "spot.text_hash").agg(F.collect_list(F.struct("spot.word", "spot.n_words", "id")).alias("wanted")), "par-asked")
     forget_shuffles(texts.sparkSession)
     # one text of each document, which the join has dealt by document already
     sets = cut(shingles_of_spans(texts.join(wanted, DOC).dropDuplicates(DOC).select("text", "wanted")), "par-sets")
