@@ -456,6 +456,21 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == classes(texts)
 
 
+def test_rows_in_tiles_grow_with_the_group(spark, monkeypatch):
+    """Near copies of a text that is not there, four words off: similar, but mostly not at the threshold."""
+    rows = []
+    verify = neardup._verify_blocks
+    monkeypatch.setattr(neardup, "_verify_blocks", lambda cells, threshold: rows.append(cells.count()) or verify(cells, threshold))
+    for n in (300, 1200):
+        r = random.Random(5)
+        texts = [[f"w{i}" for i in range(150)] for _ in range(n)]
+        for i, t in enumerate(texts):
+            for k in range(4):
+                t[r.randrange(150)] = f"x{i}y{k}"
+        neardup.near_duplicates(docs_of(spark, [" ".join(t) for t in texts]))
+    assert rows[1] <= 5 * rows[0]
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(9)
     e = np.arange(1, 120, dtype=np.uint64)

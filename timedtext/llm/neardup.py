@@ -10,9 +10,10 @@ Buckets may hold very many classes, so pairs are not listed:
 
 1. every bucket's first member is compared with all other members (one pair a member), and
    components are taken;
-2. buckets whose members then lie in more than one component are compared in blocks: the members
+2. buckets whose other members then lie in more than one component are compared in blocks: the members
    outside the bucket's largest component against all members in other components, tile by tile,
-   each pair in the first band that it shares only. Tiles are bounded in members and in words. A tile
+   each pair in the first band that it shares only. Tiles are bounded in words, so that a member goes to as few
+   as memory allows, and within its task a tile is compared some members at a time. It
    returns one link per member and component that it meets, not its pairs.
 
 So every candidate pair is either in one component already or verified.
@@ -42,7 +43,7 @@ from .shingles import WORDS, band_keys, dart_signatures, occurrences, shingle_ba
 COORDINATES, BANDS = 96, 24
 THRESHOLD = 0.8
 REST_TILE, ALL_TILE = 256, 1024
-REST_WORDS, ALL_WORDS = 500_000, 2_000_000
+REST_WORDS, ALL_WORDS, MEMBER_WORDS = 500_000, 2_000_000, 100
 
 
 def signatures(texts: DataFrame, k: int = COORDINATES, bands: int = BANDS, seed: int = 0) -> DataFrame:
@@ -128,7 +129,9 @@ def _verify_blocks(cells: DataFrame, threshold: float) -> DataFrame:
 
         def close(rows: list) -> list[tuple[int, int]]:
             rest, every = [r for r in rows if r.in_rest], [r for r in rows if not r.in_rest]
-            return _links_in_tile(member(rest), member(every), rows[0].band, threshold) if rest and every else []
+            others = [member(every[y : y + ALL_TILE]) for y in range(0, len(every), ALL_TILE)]
+            some = [member(rest[x : x + REST_TILE]) for x in range(0, len(rest), REST_TILE)]
+            return [link for x in some for y in others for link in _links_in_tile(x, y, rows[0].band, threshold)]
 
         held, cell = [], None
         for pdf in frames:
@@ -177,8 +180,8 @@ def verified_links(classes: DataFrame, shared: DataFrame, sets: DataFrame, thres
     forget_shuffles(spark)
     first = components(links)
 
-    # buckets that still hold several components
-    placed = shared.select("bucket", "band", "id", "n_words").join(first, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", "n_words", F.coalesce("component", "id").alias("component"))
+    # buckets that still hold several components, without their first members, which were compared with all others
+    placed = shared.filter("id != first").select("bucket", "band", "id", "n_words").join(first, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", "n_words", F.coalesce("component", "id").alias("component"))
     counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
     largest = F.max(F.struct("n", "component", "words"))
     main = counts.groupBy("bucket").agg(largest["component"].alias("main"), F.sum("n").alias("n"), F.sum("words").alias("words"), (F.sum("n") - largest["n"]).alias("n_rest"), (F.sum("words") - largest["words"]).alias("words_rest"), F.count("*").alias("parts")).filter("parts > 1")
@@ -186,13 +189,14 @@ def verified_links(classes: DataFrame, shared: DataFrame, sets: DataFrame, thres
     forget_shuffles(spark)
     if open_.isEmpty():
         return first
-    tiles = lambda n, most, words, most_words: F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(words) / most_words)).cast("int")
-    n_rest, n_all = tiles("n_rest", REST_TILE, "words_rest", REST_WORDS), tiles("n", ALL_TILE, "words", ALL_WORDS)
+    # every member weighs some words more, for what is held beside its shingles
+    tiles = lambda n, words, most: F.ceil((F.col(words) + MEMBER_WORDS * F.col(n)) / most).cast("int")
+    n_rest, n_all = tiles("n_rest", "words_rest", REST_WORDS), tiles("n", "words", ALL_WORDS)
     slot = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     rest = open_.filter("component != main").select("*", F.lit(True).alias("in_rest"), slot(n_rest).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"))
     every = open_.select("*", F.lit(False).alias("in_rest"), F.explode(F.sequence(F.lit(0), n_rest - 1)).alias("i"), slot(n_all).alias("j"))
     cells = rest.unionByName(every).select("bucket", "i", "j", "band", "in_rest", "id", "component")
-    cells = cells.join(classes.select("id", "bands"), "id").join(sets, "id").select("bucket", "i", "j", "band", "in_rest", "id", "component", "bands", "shingles")
+    cells = cells.join(cut(sets.join(classes, "id").select("id", "bands", "shingles"), "dup-members"), "id").select("bucket", "i", "j", "band", "in_rest", "id", "component", "bands", "shingles")
     cells = cells.repartition(partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = cut(_verify_blocks(cells, threshold), "dup-more")
     drop_tables(open_)
