@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop_tables, finish, forget_shuffles, free_name, scratch, table, text_of
+from .common import cut, drop_part, drop_tables, finish, forget_shuffles, free_name, scratch, table, text_of
 from .neardup import THRESHOLD, shared_buckets, verified_links
 from .shingles import WORDS, band_keys, dart_signatures, grouped, mix, occurrences, sequence_hash, shingles_in_order, words_in
 
@@ -111,6 +111,23 @@ def anchors(h: np.ndarray, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarra
     return chosen, key[chosen]
 
 
+def bags(s: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each run ``lo`` to ``hi`` (not included): its distinct elements and how often each occurs."""
+    if not len(lo):
+        return []
+    size = hi - lo
+    past = np.cumsum(size)
+    owner = np.repeat(np.arange(len(lo)), size)
+    flat = s[np.arange(past[-1]) + np.repeat(lo - past + size, size)]
+    # runs together, and in them equal elements: 40 bits of an element tell those of one run apart, or else it counts as two
+    order = np.argsort((owner.astype(np.uint64) << np.uint64(40)) | (flat >> np.uint64(24)))
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])]))
+    counts, at = np.diff(np.concatenate([first, [len(flat)]])), np.searchsorted(owner[first], np.arange(len(lo) + 1))
+    flat = flat[first]
+    return [(flat[x:y], counts[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def _signed(sets: list[tuple[np.ndarray, np.ndarray]], k: int, bands: int) -> np.ndarray:
     """Band keys of all bags (elements, counts), so many shingles at once."""
     out, first, size = [np.zeros((0, bands), np.int64)], 0, 0
@@ -123,7 +140,7 @@ def _signed(sets: list[tuple[np.ndarray, np.ndarray]], k: int, bands: int) -> np
 
 
 def spans(texts: DataFrame, least_words: int, k: int, bands: int) -> DataFrame:
-    """(doc_id, text_hash, text) -> paragraphs as ``SPAN``; ``bands`` are empty for those that only equal words link.
+    """(doc_id, text_hash, text) -> paragraphs as ``SPAN``, with ``bands`` empty, and once more with them those that not only equal words link.
 
     Anchors have one key of 64 bits, and 0 as the other.
     """
@@ -155,8 +172,8 @@ def spans(texts: DataFrame, least_words: int, k: int, bands: int) -> DataFrame:
         wide = (room > LONG) & ((phi - plo)[inner] - WORDS + 1 < NESTED * (room - WORDS + 1))
         long = np.concatenate([np.ones(lines.sum(), bool), wide & (phi - plo >= least_words)[inner]])
         lo, hi = np.concatenate([lo[lines], plo[inner]]), np.concatenate([hi[lines], phi[inner]])
-        signed = _signed([np.unique(s[x : y - WORDS + 1], return_counts=True) for x, y in zip(lo[long], hi[long], strict=True)], k, bands)
-        for some, keys in ((long, signed), (~long, np.zeros(((~long).sum(), 0), np.int64))):
+        signed = _signed(bags(s, lo[long], hi[long] - WORDS + 1), k, bands)
+        for some, keys in ((long, signed), (np.ones(len(lo), bool), np.zeros((len(lo), 0), np.int64))):
             x, y = lo[some], hi[some]
             yield batch(x, y - x, sequence_hash(h, x, y).view(np.int64), sequence_hash(again, x, y).view(np.int64), keys)
         lo, key = anchors(h, at, owner)
@@ -187,10 +204,15 @@ def shingles_of_spans(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, shingles array<long>")
 
 
-def linked_paragraphs(texts: DataFrame, banded: DataFrame, threshold: float) -> DataFrame:
-    """Paragraphs with bands -> (key1, key2, c1, c2): classes that are linked with others, and their component's own class."""
-    spot = F.struct(*DOC, "word", "n_words")
-    classes = cut(banded.groupBy("key1", "key2").agg(F.min(spot).alias("spot"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "par-classes")
+def linked_paragraphs(texts: DataFrame, held: DataFrame, threshold: float, bands: int) -> DataFrame:
+    """Paragraphs by ``banded`` -> (key1, key2, c1, c2): classes that are linked with others, and their component's own class. Those with bands are deleted."""
+    banded = held.filter("banded")
+    # any place of a class will do, as its words are the same; columns of fixed width are grouped without a sort
+    place = [*DOC, "word", "n_words"]
+    firsts = [F.first(c).alias(c) for c in place] + [F.first(F.col("bands")[i]).alias(f"band{i}") for i in range(bands)]
+    classes = banded.groupBy("key1", "key2").agg(*firsts).select("key1", "key2", F.struct(*place).alias("spot"), F.array(*[f"band{i}" for i in range(bands)]).alias("bands"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "par-classes")
+    drop_part(held, "banded=true")
     forget_shuffles(texts.sparkSession)
     shared = shared_buckets(classes.select("id", F.col("spot.n_words").alias("n_words"), "bands"), threshold)
     few = cut(classes.join(shared.select("id").distinct(), "id", "left_semi"), "par-few")
@@ -258,10 +280,11 @@ def grown(texts: DataFrame, met: DataFrame) -> DataFrame:
 def passages(docs: DataFrame, least_words: int, threshold: float, k: int, bands: int) -> DataFrame:
     """One row per passage that occurs more than once: (DOC, word, n_words, first, kept)."""
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    held = cut(spans(texts, least_words, k, bands), "par-spans")
+    held = cut(spans(texts, least_words, k, bands).withColumn("banded", F.size("bands") > 0), "par-spans", "banded")
     with scratch(docs.sparkSession):
-        linked = finish(linked_paragraphs(texts, held.filter(F.size("bands") > 0), threshold), "par-linked")
+        linked = finish(linked_paragraphs(texts, held, threshold, bands), "par-linked")
     forget_shuffles(docs.sparkSession)
+    spans_held, held = held, held.filter("not banded")
     # anchors have the short key alone
     anchor, other = held.filter("key2 = 0").select(*DOC, "word", "key1"), held.filter("key2 != 0").select(*DOC, "word", "n_words", "key1", "key2")
     twice = other.groupBy("key1", "key2").agg(F.count("*").alias("n")).filter("n > 1").select("key1", "key2")
@@ -273,7 +296,7 @@ def passages(docs: DataFrame, least_words: int, threshold: float, k: int, bands:
     met = anchor.join(again, "key1").select(*DOC, "word", F.lit(ANCHOR).alias("n_words"), F.col("key1").alias("c1"), F.lit(0).cast("long").alias("c2"))
     forget_shuffles(docs.sparkSession)
     members = cut(parts.unionByName(met), "par-members")
-    drop_tables(held, parts, again)
+    drop_tables(spans_held, parts, again)
     forget_shuffles(docs.sparkSession)
     spot = F.struct(*DOC, "word")
     # written, so that the join stands on two exchanges and a component with very many places can be split
