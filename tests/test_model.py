@@ -107,3 +107,12 @@ def test_job_outputs_are_written(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["f.en.json", "f.en.srt", "f.ja-en.srt", "f.ja.srt"]
     assert (tmp_path / "f.ja-en.srt").read_text() == "1\n00:00:00,000 --> 00:00:00,917\n一。\nEN 一。\n\n2\n00:00:00,500 --> 00:00:01,500\n二\nEN 二\n\n3\n00:00:09,000 --> 00:00:10,000\n三\nEN 三\n" or (tmp_path / "f.ja-en.srt").read_text().count("EN ") == 3
     assert rows(counts, "units", "translated", "missing", "failed_chunks") == [(3, 3, 0, 0)]
+
+
+def test_copies_are_compared_once(spark):
+    """Each comparison in a plan takes a Python worker of its own for every task."""
+    asked = spark.createDataFrame([("f", 0, "a b")], "file_id string, idx int, ja string")
+    replies = spark.createDataFrame([("f", 0, '{"1": {"ja": "a b", "en": "A"}}')], "file_id string, chunk int, reply string")
+    got = model.accept(asked, replies, True, False, 20)
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in got.collect()] == [("f", 0, "A")]

@@ -37,6 +37,10 @@ def _echo_slow(source: pd.Series, copied: pd.Series) -> pd.Series:
     return pd.Series([echoes(a, b) for a, b in zip(source, copied, strict=True)], dtype=bool)
 
 
+# not for chance's sake: Spark would work it out once more in each filter on what it decides, with a Python worker each
+_echo_slow = _echo_slow.asNondeterministic()
+
+
 def echo_matches(source: Column, copied: Column) -> Column:
     """Is ``copied`` the source text, near enough? Null is no match."""
     return F.coalesce(_echo_slow(source, copied), F.lit(False))
