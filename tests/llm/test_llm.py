@@ -42,6 +42,16 @@ def test_chunked_ids_are_the_library_s(name, space):
     assert tokens.ChunkEncoder(tokens.vocabulary(name), space, memory=20).encode(texts, at_once=200) == want
 
 
+def test_words_around_line_breaks_merge_once():
+    encoder = tokens.ChunkEncoder(tokens.vocabulary(tokens.BYTE_LEVEL), True)
+    texts = ["x Wort, ünï.\nWort ünï) \nWort Wort\n\nünï ünï.\n", "x Wort.\nÜnï! Wort\nWort's", "x Wort. Wort\n.Wort ünï\n12 ünï\nünï\nünï"]
+    merged, merge = [], encoder.merge
+    encoder.merge = lambda x: merged.append(x) or merge(x)
+    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == want == encoder.encode(texts)
+    assert len(merged) == len(set(merged)) and encoder.known.keys() >= {"Wort", "Wort,", "ünï"} and "ünï.\nWort" not in encoder.known
+
+
 def check_packing(rows, docs, capacity):
     t = tokens.ChunkEncoder(tokens.vocabulary(tokens.BYTE_LEVEL), True)
     held = {d: ids + packing.END for d, ids in zip([d for d, _ in docs], t.encode([x or "" for _, x in docs]), strict=True)}

@@ -5,7 +5,7 @@ Both vocabularies cut texts into words before they merge bytes, and no word cros
 text's ids are the ids of its space-separated chunks, one after another, and each distinct chunk is
 encoded once by the ``tokenizers`` library. A chunk that is only letters and then only ASCII
 punctuation is two words to either vocabulary; its letters are given to the library's merge model by
-themselves, so ``word``, ``word,`` and ``word.`` merge once. Texts where a cut could matter, those
+themselves, so ``word``, ``word,`` and ``word.`` merge once; so do the words on both sides of a line break. Texts where a cut could matter, those
 with a space between two other white-space characters or at the end after one, or with a control
 token in the byte-level vocabulary, go to the library whole. The memory of chunks is bounded
 in bytes: when it is full, only the chunks of the texts at hand stay, and chunks of over ``LONG_CHUNK``
@@ -60,50 +60,76 @@ class ChunkEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merged(self, word: str) -> bytes:
+        plain = word.isascii() and word.isprintable()
+        named = word.replace(" ", "\u0120") if plain else word.encode().decode("latin-1").translate(self.names)
+        return array("I", [t.id for t in self.merge(named)]).tobytes()
+
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            named = word if word.isascii() and " " not in word else word.encode().decode("latin-1").translate(self.names)
-            found = array("I", [t.id for t in self.merge(named)]).tobytes()
+            found = self._merged(word)
             if len(word) <= LONG_CHUNK:
                 self.words[word] = found
                 self.used += self._cost(word, found)
         return found
 
+    def _after_space(self, letters: str, chunk: str) -> bytes:
+        """The ids of ``chunk``, which begins with ``letters`` and goes on with punctuation, behind a space. Its letters are a chunk that is remembered too."""
+        found = self.known.get(letters)
+        if found is None:
+            found = self._merged(" " + letters)
+            if len(letters) <= LONG_CHUNK and letters != chunk:
+                self.known[letters] = found
+                self.used += self._cost(letters, found)
+        return found + self._word(chunk[len(letters) :]) if len(letters) < len(chunk) else found
+
+    def _broken(self, chunk: str) -> bytes | None:
+        """The ids of a word, a line break and another word, either with punctuation behind it; None for other chunks."""
+        before, mark, after = chunk.partition("\n")
+        first, second = before.rstrip(TAIL), after.rstrip(TAIL)
+        if not (mark and first.isalpha() and second.isalpha()):
+            return None
+        ids = self._after_space(first, before) + self._word(mark) + self._word(second)
+        return ids + self._word(after[len(second) :]) if len(second) < len(after) else ids
+
     @staticmethod
     def _cost(chunk: str, ids: bytes) -> int:
         return 2 * len(chunk) + len(ids) + ENTRY_BYTES
 
     def _learn(self, chunks: set[str]) -> list[str]:
-        """Afterwards all ``chunks`` are known; those that must be forgotten again come back."""
-        new = chunks - self.known.keys()
+        """Afterwards all ``chunks`` are known; those that must be forgotten again come back: long ones, and those around line breaks, which hardly come twice."""
+        new = chunks.difference(self.known)
         if self.used > self.memory:
             self.known = {c: self.known[c] for c in chunks - new} | {"": self.known[""]}
             self.words = {}
             self.used = sum(map(self._cost, self.known, self.known.values()))
-        odd = []
+        known, odd, broken = self.known, [], []
         for c in new:
             letters = c.rstrip(TAIL)
             if letters.isalpha():
                 if self.leading_space:
-                    ids = self._word(" " + letters)
+                    known[c] = self._after_space(letters, c)
                 elif "Σ" not in letters and unicodedata.is_normalized("NFC", letters) and (lower := letters.lower()).isalpha():
                     ids = self._word(lower)
+                    known[c] = ids + self._word(c[len(letters) :]) if len(letters) < len(c) else ids
                 else:
                     odd.append(c)
-                    continue
-                self.known[c] = ids + self._word(c[len(letters) :]) if len(letters) < len(c) else ids
+            elif self.leading_space and "\n" in c and (ids := self._broken(c)) is not None:
+                known[c] = ids
+                broken.append(c)
             else:
                 odd.append(c)
         if odd:
-            self.known.update(zip(odd, self._ids([" " + c for c in odd] if self.leading_space else odd), strict=True))
-        self.used += sum(2 * len(c) + len(self.known[c]) + ENTRY_BYTES for c in new if len(c) <= LONG_CHUNK)
-        return [c for c in new if len(c) > LONG_CHUNK]
+            known.update(zip(odd, self._ids([" " + c for c in odd] if self.leading_space else odd), strict=True))
+        spent = [c for c in new if len(c) > LONG_CHUNK] + [c for c in broken if len(c) <= LONG_CHUNK]
+        self.used += sum(map(self._cost, new, map(known.__getitem__, new))) - sum(map(self._cost, spent, map(known.__getitem__, spent)))
+        return spent
 
     def _whole(self, text: str) -> bool:
         return self.leading_space and (ODD_SPACE.search(text) is not None or any(c in text for c in self.controls))
 
-    def encode(self, texts: Iterable[str], at_once: int = 4_000_000) -> list[bytes]:
+    def encode(self, texts: Iterable[str], at_once: int = 250_000) -> list[bytes]:
         out: list[bytes] = []
         some: list[str] = []
         size = 0
@@ -121,7 +147,7 @@ class ChunkEncoder:
         for p in parts:
             if p is not None:
                 seen.update(p[1:] if self.leading_space else p)
-        long = self._learn(seen)
+        spent = self._learn(seen)
         get, out = self.known.__getitem__, []
         heads = self._ids([p[0] if p is not None else t for p, t in zip(parts, texts, strict=True)]) if self.leading_space else []
         for i, p in enumerate(parts):
@@ -131,7 +157,7 @@ class ChunkEncoder:
                 out.append(heads[i] + b"".join(map(get, p[1:])))
             else:
                 out.append(b"".join(map(get, p)))
-        for c in long:
+        for c in spent:
             del self.known[c]
         return out
 
