@@ -1,6 +1,7 @@
 """The training-data operators: edge cases, and brute force where SQL cannot say what they do."""
 
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pytest
 from pyarrow.fs import FileSelector
 from pyspark.sql import functions as F
 
-from timedtext.llm import chat, kmtree, mixing, neardup, packing, paragraphs, pivots, tokenfiles, tokens, toxicity, urls
+from timedtext.llm import chat, kmtree, mixing, neardup, packing, paragraphs, pivots, repeats, tokenfiles, tokens, toxicity, urls
 from timedtext.llm.components import components
 from timedtext.llm.shingles import dart_signatures, occurrences, shingle_bags
 
@@ -738,3 +739,26 @@ def test_buckets_hold_only_sizes_that_can_be_similar_and_lose_no_pair(spark):
     met = {(a, b) for some in members.values() for a in some for b in some if a < b}
     assert met == pairs
     assert all(r.first == min(members[r.bucket]) for r in found)
+
+
+def test_repeated_keys_have_their_first_place(spark):
+    rng = random.Random(5)
+    rows = [(d, rng.randrange(2), [rng.randrange(40) if rng.random() < 0.5 else rng.getrandbits(62) - 2**61 for _ in range(n)], rng.sample(range(99), n)) for d in range(300) for n in [rng.randrange(6)]]
+    rows += rows[:20] + [(999, 0, [7**20], [3])] * 2  # one place told twice is one place
+    places = {}
+    for d, t, keys, words_ in rows:
+        for key, w in zip(keys, words_, strict=True):
+            places.setdefault(key, []).append((d, t, w))
+    df = spark.createDataFrame(rows, "d int, t long, k array<long>, w array<int>").repartition(7)
+    got = {tuple(r) for r in repeats.repeated(df.select("k", "d", "t", "w"), "d", "t", "w").collect()}
+    assert got == {(k, *min(x)) for k, x in places.items() if len(set(x)) > 1}
+    assert sorted(r.key for r in repeats.repeated(df.select("k")).collect()) == sorted(k for k, x in places.items() if len(x) > 1)
+    assert repeats.repeated(df.select("k", "d").limit(0), "d").count() == 0
+
+
+def test_heavy_shingles_are_signed_in_few_steps(monkeypatch):
+    steps, module = [], sys.modules[dart_signatures.__module__]
+    mix = module.mix
+    monkeypatch.setattr(module, "mix", lambda x: steps.append(1) or mix(x))
+    signed = dart_signatures([np.array([5, 6], np.uint64), np.array([6], np.uint64)], 18, [np.array([3000, 1]), np.array([1])])
+    assert (signed > 0).all() and len(steps) < 200

@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from .common import cut, drop_tables, finish, forget_shuffles, free_name, partitions, scratch, table, text_of
 from .components import components
+from .repeats import repeated
 from .shingles import WORDS, band_keys, dart_signatures, occurrences, shingle_bags
 
 COORDINATES, BANDS = 96, 24
@@ -155,8 +156,10 @@ def shared_buckets(classes: DataFrame, threshold: float = THRESHOLD) -> DataFram
     other, so links lie on one level or on neighbouring ones: each class stands on its own level and on the next.
     """
     postings = classes.select("id", "n_words", F.posexplode("bands").alias("band", "bucket"))
-    wide = postings.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    met = cut(postings.join(wide.select("bucket"), "bucket"), "dup-met")
+    wide = cut(repeated(classes.select("bands")).withColumnRenamed("key", "bucket"), "dup-wide")
+    forget_shuffles(classes.sparkSession)
+    met = cut(postings.join(wide.hint("shuffle_hash"), "bucket"), "dup-met")
+    drop_tables(wide)
     forget_shuffles(classes.sparkSession)
     own = F.floor(F.log(F.greatest(F.col("n_words") - WORDS + 1, F.lit(1))) / math.log(1.001 / min(threshold, 1)))
     on = met.withColumn("own", own).withColumn("level", F.explode(F.array("own", F.col("own") + 1)))

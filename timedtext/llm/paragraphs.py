@@ -34,6 +34,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ from pyspark.sql import types as T
 
 from .common import cut, drop_part, drop_tables, finish, forget_shuffles, free_name, scratch, table, text_of
 from .neardup import THRESHOLD, shared_buckets, verified_links
+from .repeats import repeated
 from .shingles import WORDS, band_keys, dart_signatures, grouped, mix, occurrences, sequence_hash, shingles_in_order, words_in
 
 COORDINATES, BANDS = 18, 9
@@ -53,7 +55,7 @@ GAP_WORDS = 4
 DARTS_AT_ONCE = 100_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = ["doc_id", "text_hash"]
-SPAN = "doc_id long, text_hash long, word int, n_words int, key1 long, key2 long, bands array<long>"
+SPAN = "doc_id long, text_hash long, word int, n_words int, key1 long, key2 long, bands array<long>, words array<int>"
 
 
 def edges(h: np.ndarray, at: np.ndarray, b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,10 +105,11 @@ def anchors(h: np.ndarray, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarra
         return here[:0], np.zeros(0, np.uint64)
     key = sequence_hash(h, here, here + ANCHOR)
     order = (key & ~np.uint64(15)) | ((here - at[owner[here]]) % SPACING).astype(np.uint64)
-    best, least = order[:n].copy(), here[:n].copy()
-    for j in range(1, SPACING):
-        less = order[j : j + n] < best
-        best[less], least[less] = order[j : j + n][less], here[j : j + n][less]
+    best, least, size = order, here, 1
+    while size < SPACING:  # the least of ever more neighbours, the earlier of equal ones
+        by = min(size, SPACING - size)
+        less = best[by:] < best[:-by]
+        best, least, size = np.where(less, best[by:], best[:-by]), np.where(less, least[by:], least[:-by]), size + by
     chosen = np.unique(least[owner[:n] == owner[np.arange(n) + SPACING + ANCHOR - 2]])
     return chosen, key[chosen]
 
@@ -142,7 +145,7 @@ def _signed(sets: list[tuple[np.ndarray, np.ndarray]], k: int, bands: int) -> np
 def spans(texts: DataFrame, least_words: int, k: int, bands: int) -> DataFrame:
     """(doc_id, text_hash, text) -> paragraphs as ``SPAN``, with ``bands`` empty, and once more with them those that not only equal words link.
 
-    Anchors have one key of 64 bits, and 0 as the other.
+    A document's anchors are one row: their keys of 64 bits in ``bands``, and where they begin in ``words``.
     """
     names = [f.split()[0] for f in SPAN.split(", ")]
 
@@ -159,9 +162,11 @@ def spans(texts: DataFrame, least_words: int, k: int, bands: int) -> DataFrame:
             hi = np.flatnonzero(flag) + 1
             return np.concatenate([[0], hi[:-1]]), hi
 
-        def batch(lo: np.ndarray, size: np.ndarray, key1: np.ndarray, key2: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-            held = pa.ListArray.from_arrays(pa.array(np.arange(len(lo) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel(), pa.int64()))
-            columns = [*[pa.array(d[owner[lo]], pa.int64()) for d in docs], pa.array(lo - at[owner[lo]], pa.int32()), pa.array(size, pa.int32()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), held]
+        def lists(values: np.ndarray, past: np.ndarray, kind: pa.DataType) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(past, pa.int32()), pa.array(values, kind))
+
+        def batch(lo: np.ndarray, size: np.ndarray, key1: np.ndarray, key2: np.ndarray, bands: pa.Array, words: pa.Array) -> pa.RecordBatch:
+            columns = [*[pa.array(d[owner[lo]], pa.int64()) for d in docs], pa.array(lo - at[owner[lo]], pa.int32()), pa.array(size, pa.int32()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), bands, words]
             return pa.RecordBatch.from_arrays(columns, names)
 
         (lo, hi), (plo, phi) = ends(line_end), ends(part_end)
@@ -175,9 +180,13 @@ def spans(texts: DataFrame, least_words: int, k: int, bands: int) -> DataFrame:
         signed = _signed(bags(s, lo[long], hi[long] - WORDS + 1), k, bands)
         for some, keys in ((long, signed), (np.ones(len(lo), bool), np.zeros((len(lo), 0), np.int64))):
             x, y = lo[some], hi[some]
-            yield batch(x, y - x, sequence_hash(h, x, y).view(np.int64), sequence_hash(again, x, y).view(np.int64), keys)
+            held = lists(keys.ravel(), np.arange(len(x) + 1) * keys.shape[1], pa.int64())
+            yield batch(x, y - x, sequence_hash(h, x, y).view(np.int64), sequence_hash(again, x, y).view(np.int64), held, lists([], np.zeros(len(x) + 1), pa.int32()))
         lo, key = anchors(h, at, owner)
-        yield batch(lo, np.full(len(lo), ANCHOR), key.view(np.int64), np.zeros(len(lo), np.int64), np.zeros((len(lo), 0), np.int64))
+        if len(lo):
+            of, first = np.unique(owner[lo], return_index=True)
+            past, none = [*first, len(lo)], np.zeros(len(of), np.int64)
+            yield batch(at[of], none + ANCHOR, none, none, lists(key.view(np.int64), past, pa.int64()), lists(lo - at[owner[lo]], past, pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,28 +203,31 @@ def shingles_of_spans(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for first, some in grouped(b.column(0).to_pylist()):
+                asked = b.column(1).slice(first, len(some))
+                word, size, ids = [asked.flatten().field(i).to_numpy() for i in range(3)]
                 with np.errstate(over="ignore"):
-                    s = shingles_in_order(words_in([text])[0])
-                    sets = [occurrences(*np.unique(s[w["word"] : w["word"] + w["n_words"] - WORDS + 1], return_counts=True)).view(np.int64) for w in wanted]
+                    h, at = words_in(some)[:2]
+                    lo = np.repeat(at[:-1], pc.list_value_length(asked)) + word
+                    sets = [occurrences(*x).view(np.int64) for x in bags(shingles_in_order(h), lo, lo + size - WORDS + 1)]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x) for x in sets]]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-                yield pa.RecordBatch.from_arrays([pa.array([w["id"] for w in wanted], pa.int64()), lists], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), lists], ["id", "shingles"])
 
     return texts.mapInArrow(run, "id long, shingles array<long>")
 
 
 def linked_paragraphs(texts: DataFrame, held: DataFrame, threshold: float, bands: int) -> DataFrame:
-    """Paragraphs by ``banded`` -> (key1, key2, c1, c2): classes that are linked with others, and their component's own class. Those with bands are deleted."""
-    banded = held.filter("banded")
+    """Paragraphs by ``kind`` -> (key1, key2, c1, c2): classes that are linked with others, and their component's own class. Those with bands are deleted."""
+    banded = held.filter("kind = 'banded'")
     # any place of a class will do, as its words are the same; columns of fixed width are grouped without a sort
     place = [*DOC, "word", "n_words"]
     firsts = [F.first(c).alias(c) for c in place] + [F.first(F.col("bands")[i]).alias(f"band{i}") for i in range(bands)]
     classes = banded.groupBy("key1", "key2").agg(*firsts).select("key1", "key2", F.struct(*place).alias("spot"), F.array(*[f"band{i}" for i in range(bands)]).alias("bands"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "par-classes")
-    drop_part(held, "banded=true")
+    drop_part(held, "kind=banded")
     forget_shuffles(texts.sparkSession)
     shared = shared_buckets(classes.select("id", F.col("spot.n_words").alias("n_words"), "bands"), threshold)
-    few = cut(classes.join(shared.select("id").distinct(), "id", "left_semi"), "par-few")
+    few = cut(classes.join(shared.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"), "par-few")
     drop_tables(classes)
     forget_shuffles(texts.sparkSession)
     classes = few
@@ -233,15 +245,21 @@ def words_around(texts: DataFrame) -> DataFrame:
     """(doc_id, text_hash, text, wanted: words at which anchors begin) -> (doc_id, text_hash, word, before, after): hashes of the words next to each anchor, the nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(h: np.ndarray, lo: np.ndarray, size: np.ndarray, step: int) -> pa.Array:
+            """``size`` words of ``h`` from each ``lo`` on, forward or backward."""
+            past = np.cumsum(size)
+            flat = h[np.repeat(lo, size) + step * (np.arange(size.sum()) - np.repeat(past - size, size))]
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], past]), pa.int32()), pa.array(flat, pa.int32()))
+
         for b in batches:
-            out = []
-            for doc, text_hash, text, wanted in zip(*[b.column(c).to_pylist() for c in range(4)], strict=True):
+            for first, some in grouped(b.column(2).to_pylist()):
+                docs, asked = [b.column(c).slice(first, len(some)).to_numpy() for c in range(2)], b.column(3).slice(first, len(some))
                 with np.errstate(over="ignore"):
-                    h = words_in([text])[0].astype(np.uint32).view(np.int32)
-                out += [(doc, text_hash, w, h[max(0, w - REACH) : w][::-1], h[w + ANCHOR : w + ANCHOR + REACH]) for w in wanted]
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], [*DOC, "word", "before", "after"])
+                    h, at = words_in(some)[:2]
+                h, word, each = h.astype(np.uint32).view(np.int32), asked.flatten().to_numpy(), pc.list_value_length(asked).to_numpy()
+                lo, end = np.repeat(at[:-1], each) + word, np.repeat(at[1:], each)
+                before, after = lists(h, lo - 1, np.minimum(word, REACH), -1), lists(h, lo + ANCHOR, np.clip(end - lo - ANCHOR, 0, REACH), 1)
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(d, each)) for d in docs], pa.array(word), before, after], [*DOC, "word", "before", "after"])
 
     return texts.mapInArrow(run, "doc_id long, text_hash long, word int, before array<int>, after array<int>")
 
@@ -280,33 +298,31 @@ def grown(texts: DataFrame, met: DataFrame) -> DataFrame:
 def passages(docs: DataFrame, least_words: int, threshold: float, k: int, bands: int) -> DataFrame:
     """One row per passage that occurs more than once: (DOC, word, n_words, first, kept)."""
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    held = cut(spans(texts, least_words, k, bands).withColumn("banded", F.size("bands") > 0), "par-spans", "banded")
+    kind = F.when(F.size("words") > 0, "anchors").when(F.size("bands") > 0, "banded").otherwise("plain")
+    held = cut(spans(texts, least_words, k, bands).withColumn("kind", kind), "par-spans", "kind")
     with scratch(docs.sparkSession):
         linked = finish(linked_paragraphs(texts, held, threshold, bands), "par-linked")
     forget_shuffles(docs.sparkSession)
-    spans_held, held = held, held.filter("not banded")
-    # anchors have the short key alone
-    anchor, other = held.filter("key2 = 0").select(*DOC, "word", "key1"), held.filter("key2 != 0").select(*DOC, "word", "n_words", "key1", "key2")
+    anchored, other = held.filter("kind = 'anchors'"), held.filter("kind = 'plain'").select(*DOC, "word", "n_words", "key1", "key2")
     twice = other.groupBy("key1", "key2").agg(F.count("*").alias("n")).filter("n > 1").select("key1", "key2")
     heads = twice.join(linked, ["key1", "key2"], "full").select("key1", "key2", F.coalesce("c1", "key1").alias("c1"), F.coalesce("c2", "key2").alias("c2"))
-    parts = other.join(heads, ["key1", "key2"]).select(*DOC, "word", "n_words", "c1", "c2")
-    parts = cut(parts, "par-parts")
-    forget_shuffles(docs.sparkSession)
-    again = cut(anchor.groupBy("key1").agg(F.count("*").alias("n")).filter("n > 1").select("key1"), "par-again")
-    met = anchor.join(again, "key1").select(*DOC, "word", F.lit(ANCHOR).alias("n_words"), F.col("key1").alias("c1"), F.lit(0).cast("long").alias("c2"))
-    forget_shuffles(docs.sparkSession)
-    members = cut(parts.unionByName(met), "par-members")
-    drop_tables(spans_held, parts, again)
+    members = cut(other.join(heads.hint("shuffle_hash"), ["key1", "key2"]).select(*DOC, "word", "n_words", "c1", "c2"), "par-members")
     forget_shuffles(docs.sparkSession)
     spot = F.struct(*DOC, "word")
     # written, so that the join stands on two exchanges and a component with very many places can be split
     whole = F.struct(*DOC, "word", (-F.col("n_words")).alias("less"))
     first = members.groupBy("c1", "c2").agg(F.min(whole).alias("first"), F.max(spot).alias("last")).select("c1", "c2", F.struct(*[F.col(f"first.{c}").alias(c) for c in [*DOC, "word"]]).alias("first"), (F.col("first.word") - F.col("first.less")).alias("first_past"), "last")
     first = cut(first.filter("first != last").drop("last"), "par-first")
+    # an anchor is a component by itself
+    again = repeated(anchored.select("bands", *DOC, "words"), *DOC, "word")
+    again = cut(again.select(F.col("key").alias("key1"), F.struct(*DOC, F.col("word").cast("int").alias("word")).alias("first")), "par-again")
     forget_shuffles(docs.sparkSession)
-    placed = members.join(first, ["c1", "c2"]).select(*DOC, "word", (F.col("word") + F.col("n_words")).alias("past"), "first", "first_past", (spot == F.col("first")).alias("kept"), (F.col("c2") == 0).alias("anchor"))
-    placed = cut(placed, "par-placed")
-    drop_tables(members, first)
+    anchor = anchored.select(*DOC, F.explode(F.arrays_zip("bands", "words")).alias("x")).select(*DOC, F.col("x.words").alias("word"), F.col("x.bands").alias("key1"))
+    inside = members.withColumn("past", F.col("word") + F.col("n_words")).join(first.hint("shuffle_hash"), ["c1", "c2"]).withColumn("anchor", F.lit(False))
+    met = anchor.join(again.hint("shuffle_hash"), "key1").withColumns({"past": F.col("word") + ANCHOR, "first_past": F.col("first.word") + ANCHOR, "anchor": F.lit(True)})
+    placed = [x.select(*DOC, "word", "past", "first", "first_past", (spot == F.col("first")).alias("kept"), "anchor") for x in (inside, met)]
+    placed = cut(placed[0].unionByName(placed[1]), "par-placed")
+    drop_tables(held, members, first, again)
     forget_shuffles(docs.sparkSession)
     more = grown(texts, placed.filter("anchor and not kept").select(*DOC, "word", "first"))
     begin = F.col("first.word") - F.col("left")

@@ -8,6 +8,7 @@ import numpy as np
 
 WORDS = 5
 AT_ONCE = 1_000_000
+DARTS_AHEAD = 4_096
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -130,12 +131,19 @@ def dart_signatures(sets: list[np.ndarray], k: int, weights: list[np.ndarray], s
             while len(element):
                 width = max(low, 1.0)
                 h = mix(element + np.uint64(((seed * 64 + band) * 0xA24BAED4963EE407 + 0x9FB21C651E98DF25) & 0xFFFFFFFFFFFFFFFF))
-                r, lim, w, rank, j = row, limit, weight, np.zeros(len(h)), 0
+                row_of, limit_of, weight_of, last, j = row, limit, weight, np.zeros(len(h)), 0
                 while len(h):
-                    u = mix(h + np.uint64(((2 * j + 1) * BASE) & 0xFFFFFFFFFFFFFFFF))
-                    rank = rank - np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width
-                    near = rank <= lim
-                    h, r, lim, w, rank, u = h[near], r[near], lim[near], w[near], rank[near], u[near]
+                    # some thousand darts at once, so that the last elements, with most darts each, take few steps
+                    ahead = max(1, min(64, DARTS_AHEAD // len(h)))
+                    turns = (2 * np.arange(j, j + ahead, dtype=np.uint64) + np.uint64(1)) * np.uint64(BASE)
+                    u = mix(h[:, None] + turns)
+                    gaps = -np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width
+                    gaps[:, 0] += last
+                    ranks = np.cumsum(gaps, axis=1)
+                    near = ranks <= limit_of[:, None]
+                    at = np.repeat(np.arange(len(h)), near.sum(axis=1))
+                    r, w, u, rank, more = row_of[at], weight_of[at], u[near], ranks[near], near[:, -1]
+                    h, row_of, limit_of, weight_of, last = h[more], row_of[more], limit_of[more], weight_of[more], ranks[more, -1]
                     v = mix(u ^ np.uint64(0x5851F42D4C957F2D))
                     dart = (rank.view(np.uint64) & ~np.uint64(0xFFFFFF)) | (v & np.uint64(0xFFFFFF))
                     cell = r * k + ((v >> np.uint64(24)) % np.uint64(k)).astype(np.int64)
@@ -143,7 +151,7 @@ def dart_signatures(sets: list[np.ndarray], k: int, weights: list[np.ndarray], s
                         place = low + width * (mix(v) >> np.uint64(11)).astype(np.float64) * 2.0**-53
                         cell, dart = cell[place < w], dart[place < w]
                     np.minimum.at(best, cell, dart)
-                    j += 1
+                    j += ahead
                 low = width if band == 0 else low * 2
                 band += 1
                 more = weight > low
