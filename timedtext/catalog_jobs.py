@@ -343,6 +343,7 @@ class Hearer:
 
 
 WINDOW = {"window": 864_000.0, "search": 86_400.0, "bucket": 864_000}
+FOLDERS = 256
 
 
 def _speech_of(spark, d):
@@ -381,8 +382,8 @@ def media_outputs(spark, d):
     heard = recognition.transcribe(speech, ends, Hearer("w"), recognition.window_table(spark, storage.shared_path(spark, "heard")), keys, at_once=20, **WINDOW)
     _, found = job.media_job(heard, ends, Translator(echo=True), analyst, "whisper test", job.About("test", "m:8b", NOON), bilingual=True)
     path = storage.shared_path(spark, "outputs")
-    job.write_outputs(found, path)
-    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    job.write_outputs(found, path, FOLDERS)
+    read = files.read_files(spark, path, FOLDERS)
     read = read.select(F.regexp_extract("name", r"^([^.]*)\.", 1).alias("file_id"), F.regexp_extract("name", r"^[^.]*\.(.*)$", 1).alias("suffix"), "value")
     listed = lambda path, kind: F.from_json(F.get_json_object("value", path), kind)
     units = listed("$.units", "array<struct<t_ms:bigint,end_ms:bigint,ja:string,en:string>>")

@@ -99,15 +99,16 @@ def media_job(heard: Heard, ends: DataFrame, translator: Backend | None, analyst
     return done, found | more
 
 
-def output_files(found: dict[str, DataFrame]) -> DataFrame:
-    """(name, value): every output of every file, named by file and suffix."""
-    rows = [df.select(F.concat("file_id", F.lit(f".{suffix}")).alias("name"), F.col("document" if "document" in df.columns else "srt").alias("value")) for suffix, df in found.items()]
+def output_files(found: dict[str, DataFrame], folders: int = 0) -> DataFrame:
+    """(name, value): every output of every file, named by file and suffix; with ``folders`` also which of so many folders holds all of a file's."""
+    below = [F.pmod(F.crc32(F.col("file_id").cast("binary")), F.lit(folders)).cast("int").alias("folder")] if folders else []
+    rows = [df.select(*below, F.concat("file_id", F.lit(f".{suffix}")).alias("name"), F.col("document" if "document" in df.columns else "srt").alias("value")) for suffix, df in found.items()]
     return reduce(DataFrame.unionByName, rows)
 
 
-def write_outputs(found: dict[str, DataFrame], path: str) -> None:
-    """One file for every output of every file, in one folder; each is there whole or not at all."""
-    write_files(output_files(found), path)
+def write_outputs(found: dict[str, DataFrame], path: str, folders: int = 0) -> None:
+    """One file for every output of every file, in one folder or dealt over so many ``folders`` in it; each is there whole or not at all."""
+    write_files(output_files(found, folders), path, "folder" if folders else None)
 
 
 def finished_job(cues: DataFrame, path: str, translator: Backend, analyst: Backend, **options) -> DataFrame:

@@ -19,6 +19,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import bounded_broadcasts
+
 WHOLE_EVERY = 32
 
 
@@ -92,7 +94,8 @@ class Table:
 
     def _write(self, rows: DataFrame) -> str:
         folder = f"rows-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{folder}")
+        with bounded_broadcasts(self.spark):
+            rows.write.parquet(f"{self.path}/{folder}")
         return folder
 
     def change(self, rows_of: Callable[[DataFrame], DataFrame], tries: int = 20) -> int:

@@ -1,19 +1,23 @@
-"""A sink that writes each row as one file: (name, value). A file is there whole or not at all.
+"""A sink that writes each row as one file: (name, value), and a source that reads such files. A file is there whole or not at all.
 
 Tasks write beside the folder's files, each task into a hidden folder of its own. When all tasks are done, the commit
 renames what they wrote into place, over files of the same names; if the job fails, the hidden folder goes.
+
+Very many files are dealt over numbered folders in the folder. They are read by tasks that list some of these
+each, so the driver holds no list of files, and no more tasks than a few for each core.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 FORMAT = "whole_files"
+BATCH_BYTES, BATCH_FILES, TASKS_PER_CORE = 4 << 20, 1000, 4
 
 
 def open_folder(path: str):
@@ -23,38 +27,52 @@ def open_folder(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def numbered(folder: int) -> str:
+    return f"{folder:03}"
+
+
+def _under(*names: str) -> str:
+    return "/".join(n for n in names if n)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     folder: str | None
+    below: list[str] = field(default_factory=list)  # the numbered folders in it; the empty name for itself
 
 
 class FilesWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path, self.pending = path.rstrip("/"), f".pending-{uuid.uuid4().hex}"
+    def __init__(self, path: str, dealt: bool = False):
+        self.path, self.pending, self.dealt = path.rstrip("/"), f".pending-{uuid.uuid4().hex}", dealt
 
     def write(self, iterator: Iterator) -> Written:
         files, base = open_folder(self.path)
         mine = f"{base}/{self.pending}/{uuid.uuid4().hex}"
-        n = 0
+        made: dict[str, None] = {}
         for row in iterator:
-            if not row[0] or "/" in row[0]:
-                raise ValueError(f"not a file name: {row[0]!r}")
-            if not n:
-                files.create_dir(mine)
-            with files.open_output_stream(f"{mine}/{row[0]}") as out:
-                out.write(row[1].encode() if isinstance(row[1], str) else bytes(row[1] or b""))
-            n += 1
-        return Written(mine if n else None)
+            name, value = row[-2], row[-1]
+            if not name or "/" in name:
+                raise ValueError(f"not a file name: {name!r}")
+            below = numbered(row[0]) if self.dealt else ""
+            if below not in made:
+                files.create_dir(_under(mine, below))
+                made[below] = None
+            with files.open_output_stream(_under(mine, below, name)) as out:
+                out.write(value.encode() if isinstance(value, str) else bytes(value or b""))
+        return Written(mine if made else None, list(made))
 
     def commit(self, messages: list[Written | None]) -> None:
         from pyarrow import fs
 
         files, base = open_folder(self.path)
+        files.create_dir(base)
         # what lost attempts of tasks wrote has no message
         for message in messages:
             if message and message.folder:
-                for info in files.get_file_info(fs.FileSelector(message.folder)):
-                    files.move(info.path, f"{base}/{info.base_name}")
+                for below in message.below:
+                    files.create_dir(_under(base, below))
+                    for info in files.get_file_info(fs.FileSelector(_under(message.folder, below))):
+                        files.move(info.path, _under(base, below, info.base_name))
         self._drop(files, base)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -67,6 +85,47 @@ class FilesWriter(DataSourceWriter):
             files.delete_dir(f"{base}/{self.pending}")
 
 
+@dataclass
+class Folders(InputPartition):
+    below: list[str]
+
+
+class FilesReader(DataSourceReader):
+    def __init__(self, path: str, folders: int, tasks: int):
+        self.path, self.folders, self.tasks = path.rstrip("/"), folders, tasks
+
+    def partitions(self) -> list[Folders]:
+        from pyarrow import fs
+
+        files, base = open_folder(self.path)
+        if files.get_file_info(base).type != fs.FileType.Directory:
+            raise FileNotFoundError(self.path)
+        below = [numbered(k) for k in range(self.folders)] or [""]
+        return [Folders(below[k :: self.tasks]) for k in range(min(self.tasks, len(below)))]
+
+    def read(self, partition: Folders) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, base = open_folder(self.path)
+        names, values, held = [], [], 0
+        for below in partition.below:
+            # a folder that got no file is not there
+            for info in files.get_file_info(fs.FileSelector(_under(base, below), allow_not_found=True)):
+                if not info.is_file:
+                    continue
+                with files.open_input_stream(info.path) as file:
+                    value = file.read()
+                names.append(info.base_name)
+                values.append(value.decode())
+                held += len(value)
+                if held >= BATCH_BYTES or len(names) >= BATCH_FILES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], ["name", "value"])
+                    names, values, held = [], [], 0
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], ["name", "value"])
+
+
 class WholeFiles(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -75,15 +134,28 @@ class WholeFiles(DataSource):
     def schema(self) -> str:
         return "name string, value string"
 
+    def reader(self, schema) -> FilesReader:
+        return FilesReader(self.options["path"], int(self.options.get("folders", "0")), int(self.options.get("tasks", "1")))
+
     def writer(self, schema, overwrite: bool) -> FilesWriter:
-        return FilesWriter(self.options["path"])
+        return FilesWriter(self.options["path"], len(schema.fields) == 3)
+
 
+def write_files(files: DataFrame, path: str, folder: str | None = None) -> None:
+    """``files`` (name, value) as files in the folder ``path``; those of other names stay.
 
-def write_files(files: DataFrame, path: str) -> None:
-    """``files`` (name, value) as files in the folder ``path``; those of other names stay."""
-    from ..plans.storage import bounded_batches
+    ``folder`` names a column that tells, from 0 on, in which numbered folder in ``path`` a file goes; there may be some thousands of these.
+    """
+    from ..plans.storage import bounded_batches, bounded_broadcasts
 
     spark: SparkSession = files.sparkSession
     spark.dataSource.register(WholeFiles)
-    with bounded_batches(spark):
-        files.select("name", "value").write.format(FORMAT).mode("append").save(path)
+    with bounded_batches(spark), bounded_broadcasts(spark):
+        files.select(*([folder] if folder else []), "name", "value").write.format(FORMAT).mode("append").save(path)
+
+
+def read_files(spark: SparkSession, path: str, folders: int = 0) -> DataFrame:
+    """(name, value) of the text files in the folder ``path``, or in its numbered ``folders``; a task lists the folders that it reads, one after another."""
+    spark.dataSource.register(WholeFiles)
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    return spark.read.format(FORMAT).option("folders", str(folders)).option("tasks", str(tasks)).load(path)
