@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.intervals import find_holes, merge_close, pad_and_clip
 from .cues import shift
+from .storage import kept
 
 Recogniser = Callable[[DataFrame], DataFrame]
 MARGIN, LEAST_HOLE, MERGE, PAD, SLACK = 0.5, 1.0, 2.0, 1.0, 0.2
@@ -44,11 +45,12 @@ def fill_gaps(
     filled one by one, the window. stats: (keys, holes, seconds, recovered).
     """
     words = segments.select(*keys, F.explode("words").alias("w")).select(*keys, F.col("w.start").alias("a"), F.col("w.end").alias("b"))
-    holes = merge_close(find_holes(speech, words, list(keys), F.lit(margin), bucket), list(keys), least, merge)
+    # tables, as both are read more than once
+    holes = kept(merge_close(find_holes(speech, words, list(keys), F.lit(margin), bucket), list(keys), least, merge), "gap-holes")
     numbered = holes.withColumn("clip", F.row_number().over(W.partitionBy("file_id").orderBy("a", "b"))).withColumns({"low": F.col("a"), "high": F.col("b")})
     begin = F.col("begin") if "begin" in ends.columns else F.lit(0.0)
     clips = pad_and_clip(numbered.join(ends, list(keys)), pad, begin, F.col("end")).drop("begin", "end")
-    found = recognise(clips, recogniser, "low", "high", keys[1:]).withColumn("gap_fill", F.lit(True))
+    found = kept(recognise(clips, recogniser, "low", "high", keys[1:]).withColumn("gap_fill", F.lit(True)), "gap-found")
     both = segments.withColumn("_pass", F.lit(0)).unionByName(found.withColumn("_pass", F.lit(1)), allowMissingColumns=True)
     out = in_order(both, "_pass", "clip", "idx").drop("_pass", "clip")
     stats = holes.groupBy(*keys).agg(F.count("*").alias("holes"), F.sum(F.col("b") - F.col("a")).alias("seconds"))

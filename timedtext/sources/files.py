@@ -1,4 +1,4 @@
-"""A sink that writes each row as one file: (name, value), and a source that reads such files. A file is there whole or not at all.
+"""A sink that writes each row as one file: (name, value), and how such files are read. A file is there whole or not at all.
 
 Tasks write beside the folder's files, each task into a hidden folder of its own. When all tasks are done, the commit
 renames what they wrote into place, over files of the same names; if the job fails, the hidden folder goes.
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 FORMAT = "whole_files"
 BATCH_BYTES, BATCH_FILES, TASKS_PER_CORE = 4 << 20, 1000, 4
@@ -85,45 +85,30 @@ class FilesWriter(DataSourceWriter):
             files.delete_dir(f"{base}/{self.pending}")
 
 
-@dataclass
-class Folders(InputPartition):
-    below: list[str]
-
-
-class FilesReader(DataSourceReader):
-    def __init__(self, path: str, folders: int, tasks: int):
-        self.path, self.folders, self.tasks = path.rstrip("/"), folders, tasks
-
-    def partitions(self) -> list[Folders]:
-        from pyarrow import fs
-
-        files, base = open_folder(self.path)
-        if files.get_file_info(base).type != fs.FileType.Directory:
-            raise FileNotFoundError(self.path)
-        below = [numbered(k) for k in range(self.folders)] or [""]
-        return [Folders(below[k :: self.tasks]) for k in range(min(self.tasks, len(below)))]
-
-    def read(self, partition: Folders) -> Iterator:
-        import pyarrow as pa
-        from pyarrow import fs
+def read_folders(path: str, folders: Iterator[str]) -> Iterator:
+    """Batches (name, value) of the text files in ``folders`` below ``path``, of a few MB or one file; a folder that got no file is not there."""
+    import pyarrow as pa
+    from pyarrow import fs
 
-        files, base = open_folder(self.path)
-        names, values, held = [], [], 0
-        for below in partition.below:
-            # a folder that got no file is not there
-            for info in files.get_file_info(fs.FileSelector(_under(base, below), allow_not_found=True)):
-                if not info.is_file:
-                    continue
-                with files.open_input_stream(info.path) as file:
-                    value = file.read()
-                names.append(info.base_name)
-                values.append(value.decode())
-                held += len(value)
-                if held >= BATCH_BYTES or len(names) >= BATCH_FILES:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], ["name", "value"])
-                    names, values, held = [], [], 0
-        if names:
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], ["name", "value"])
+    files, base = open_folder(path)
+    if files.get_file_info(base).type != fs.FileType.Directory:
+        raise FileNotFoundError(path)
+    names, values, held = [], [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], ["name", "value"])
+    for below in folders:
+        for info in files.get_file_info(fs.FileSelector(_under(base, below), allow_not_found=True)):
+            if not info.is_file:
+                continue
+            with files.open_input_stream(info.path) as file:
+                value = file.read()
+            names.append(info.base_name)
+            values.append(value.decode())
+            held += len(value)
+            if held >= BATCH_BYTES or len(names) >= BATCH_FILES:
+                yield batch()
+                names, values, held = [], [], 0
+    if names:
+        yield batch()
 
 
 class WholeFiles(DataSource):
@@ -134,9 +119,6 @@ class WholeFiles(DataSource):
     def schema(self) -> str:
         return "name string, value string"
 
-    def reader(self, schema) -> FilesReader:
-        return FilesReader(self.options["path"], int(self.options.get("folders", "0")), int(self.options.get("tasks", "1")))
-
     def writer(self, schema, overwrite: bool) -> FilesWriter:
         return FilesWriter(self.options["path"], len(schema.fields) == 3)
 
@@ -156,6 +138,11 @@ def write_files(files: DataFrame, path: str, folder: str | None = None) -> None:
 
 def read_files(spark: SparkSession, path: str, folders: int = 0) -> DataFrame:
     """(name, value) of the text files in the folder ``path``, or in its numbered ``folders``; a task lists the folders that it reads, one after another."""
-    spark.dataSource.register(WholeFiles)
-    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    return spark.read.format(FORMAT).option("folders", str(folders)).option("tasks", str(tasks)).load(path)
+    path = path.rstrip("/")
+
+    def run(batches):
+        return read_folders(path, (numbered(k) if folders else "" for batch in batches for k in batch.column("id").to_pylist()))
+
+    n = max(folders, 1)
+    tasks = min(n, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return spark.range(0, n, 1, tasks).mapInArrow(run, "name string, value string")
