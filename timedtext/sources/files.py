@@ -1,4 +1,4 @@
-"""A sink that writes each row as one file: (name, value), and how such files are read. A file is there whole or not at all.
+"""Tables whose rows are files, (name, value), written and read. A file is there whole or not at all.
 
 Tasks write beside the folder's files, each task into a hidden folder of its own. When all tasks are done, the commit
 renames what they wrote into place, over files of the same names; if the job fails, the hidden folder goes.
@@ -14,9 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-FORMAT = "whole_files"
 BATCH_BYTES, BATCH_FILES, TASKS_PER_CORE = 4 << 20, 1000, 4
 
 
@@ -36,12 +34,12 @@ def _under(*names: str) -> str:
 
 
 @dataclass
-class Written(WriterCommitMessage):
+class Written:
     folder: str | None
     below: list[str] = field(default_factory=list)  # the numbered folders in it; the empty name for itself
 
 
-class FilesWriter(DataSourceWriter):
+class FilesWriter:
     def __init__(self, path: str, dealt: bool = False):
         self.path, self.pending, self.dealt = path.rstrip("/"), f".pending-{uuid.uuid4().hex}", dealt
 
@@ -61,21 +59,21 @@ class FilesWriter(DataSourceWriter):
                 out.write(value.encode() if isinstance(value, str) else bytes(value or b""))
         return Written(mine if made else None, list(made))
 
-    def commit(self, messages: list[Written | None]) -> None:
+    def commit(self, messages: list[Written]) -> None:
         from pyarrow import fs
 
         files, base = open_folder(self.path)
         files.create_dir(base)
         # what lost attempts of tasks wrote has no message
         for message in messages:
-            if message and message.folder:
+            if message.folder:
                 for below in message.below:
                     files.create_dir(_under(base, below))
                     for info in files.get_file_info(fs.FileSelector(_under(message.folder, below))):
                         files.move(info.path, _under(base, below, info.base_name))
         self._drop(files, base)
 
-    def abort(self, messages: list[Written | None]) -> None:
+    def abort(self) -> None:
         self._drop(*open_folder(self.path))
 
     def _drop(self, files, base: str) -> None:
@@ -111,18 +109,6 @@ def read_folders(path: str, folders: Iterator[str]) -> Iterator:
         yield batch()
 
 
-class WholeFiles(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return FORMAT
-
-    def schema(self) -> str:
-        return "name string, value string"
-
-    def writer(self, schema, overwrite: bool) -> FilesWriter:
-        return FilesWriter(self.options["path"], len(schema.fields) == 3)
-
-
 def write_files(files: DataFrame, path: str, folder: str | None = None) -> None:
     """``files`` (name, value) as files in the folder ``path``; those of other names stay.
 
@@ -131,9 +117,22 @@ def write_files(files: DataFrame, path: str, folder: str | None = None) -> None:
     from ..plans.storage import bounded_batches, bounded_broadcasts
 
     spark: SparkSession = files.sparkSession
-    spark.dataSource.register(WholeFiles)
+    writer = FilesWriter(path, folder is not None)
+
+    def run(batches):
+        import pyarrow as pa
+
+        done = writer.write(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([done.folder], pa.string()), pa.array([done.below], pa.list_(pa.string()))], ["folder", "below"])
+
     with bounded_batches(spark), bounded_broadcasts(spark):
-        files.select(*([folder] if folder else []), "name", "value").write.format(FORMAT).mode("append").save(path)
+        try:
+            # a row for each task: of several attempts of one, the one that counts
+            rows = files.select(*([folder] if folder else []), "name", "value").mapInArrow(run, "folder string, below array<string>").collect()
+            writer.commit([Written(*row) for row in rows])
+        except BaseException:
+            writer.abort()
+            raise
 
 
 def read_files(spark: SparkSession, path: str, folders: int = 0) -> DataFrame:
